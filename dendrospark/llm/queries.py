@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, secrets, shingle_join, sp_bpe, toxicity
+from . import decontam, embed_dups, secrets, shingle_join, sp_bpe, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +38,14 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dups.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents")).drop("found")
 
@@ -47,6 +55,8 @@ QUERIES: dict[str, Query] = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op4_sentencepiece": op4_sentencepiece,
     "op6_decontamination": op6_decontamination,
+    "op8_warc": op8_warc,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "op10_secrets": op10_secrets,
 }
 ORACLE: dict[str, str] = {}
