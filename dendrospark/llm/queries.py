@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, embed_dups, secrets, shingle_join, sp_bpe, toxicity, warc
+from . import decontam, embed_dups, pii, secrets, shingle_join, sp_bpe, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,10 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.classes(table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents")).drop("found")
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -53,6 +57,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op3_pii": op3_pii,
     "op4_sentencepiece": op4_sentencepiece,
     "op6_decontamination": op6_decontamination,
     "op8_warc": op8_warc,
