@@ -12,7 +12,7 @@ all with all. The points are therefore dealt to shards, each with a tree of its
 own: a set of n shingles goes to the shards of its n - ceil(t n) + 1 first
 shingles in one global order. Two sets that reach t share one of those, whatever
 the order, so no pair is lost. The order puts shingles of crowded buckets last:
-a fixed-size table of counts over all shingles (``BUCKETS`` numbers, 4 MB) tells
+a fixed-size table of counts over all shingles (``BUCKETS`` numbers, 1 MB a task) tells
 which, so passages that many documents share open no large shards.
 
 Steps, each a Spark job over all documents:
@@ -48,7 +48,7 @@ from .shared import mixed, salted_fold, slices, text_bytes, word_hashes, word_sp
 
 WIDTH = 5
 GROUPS = 64
-BUCKETS = 1 << 20
+BUCKETS = 1 << 18
 CHUNK = 2048
 LEAF = 32
 BROADCAST_ROWS = 1_000_000
@@ -99,7 +99,7 @@ def vector(s: np.ndarray) -> bytes:
 
 
 def bucket(s: np.ndarray) -> np.ndarray:
-    return (s >> np.uint64(44)).astype(np.int64)
+    return (s >> np.uint64(46)).astype(np.int64)
 
 
 def keys(s: np.ndarray, counts: np.ndarray, crowded: int) -> np.ndarray:
@@ -347,11 +347,12 @@ def second_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 CANDIDATES = "a long, b long, bound double"
 
 
-def with_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, shingles) of the given ids.
+def maybe_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, shingles) of all given ids, and of a few others.
 
     A Bloom filter of fixed size over the ids goes to every task, so that only
-    texts that may be asked for become rows; the join after it is exact.
+    texts that may be asked for become rows; the join that follows is exact. A
+    set is shipped as its sorted hashes' upper 40 bits.
     """
     bits = 4
 
@@ -383,27 +384,52 @@ def with_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             if keep.any():
                 batch = batch.filter(pa.array(keep))
                 sets, _ = shingles(*text_bytes(batch.column(1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([packed(s) for s in sets], pa.binary())], names=["doc_id", "shingles"])
 
-    return docs.mapInArrow(run, "doc_id long, shingles binary").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return docs.mapInArrow(run, "doc_id long, shingles binary")
+
+
+def packed(s: np.ndarray) -> bytes:
+    return (s >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
+
+
+def common(p: np.ndarray, q: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    both = np.concatenate([p, q])
+    both.sort(kind="stable")
+    return int((both[1:] == both[:-1]).sum())
 
 
 def verified(docs: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose shingle sets reach num/den."""
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    sets = written(with_sets(docs, ids), "sets")
-    left = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    """The pairs (a, b) whose shingle sets reach num/den. Sets meet by pair, so a document in many pairs makes no hot key."""
+    side = F.explode(F.array(*[F.struct(F.col(c).alias("doc_id"), F.lit(k).alias("side")) for k, c in enumerate("ab")])).alias("s")
+    sides = written(pairs.select("a", "b", side).select("a", "b", "s.*"), "sides")
+    rows = maybe_sets(docs, sides.select("doc_id").distinct()).join(sides, "doc_id").select("a", "b", "side", "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, None
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(p) + len(q) - len(np.union1d(p, q))
-                ok.append(den * both >= num * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    return left.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+            a, b = [], []
+            for x, y, side, data in zip(*[c.to_pylist() for c in batch.columns[:3]], batch.column(3), strict=True):
+                if side == 0:
+                    if last != (x, y):
+                        last, held = (x, y), unpacked(data.as_py())
+                elif held is not None and last == (x, y):
+                    other = unpacked(data.as_py())
+                    both = common(held, other)
+                    if den * both >= num * (len(held) + len(other) - both):
+                        a.append(x)
+                        b.append(y)
+                    held = None
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return rows.repartition("a", "b").sortWithinPartitions("a", "b", "side").mapInArrow(run, "a long, b long")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -435,7 +461,8 @@ def classes(docs: DataFrame) -> DataFrame:
     rows = shards.join(vecs, "doc_id").select("key", "chunk", "n", "doc_id", "vec")
     found = rows.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "n", "doc_id").mapInArrow(first_round, CANDIDATES)
     best = found.groupBy("b").agg(F.max_by("a", F.struct("bound", -F.col("a"))).alias("a")).select("a", "b")
-    one = written(verified(known, written(best, "candidates"), num, den), "links")
+    best = written(best, "candidates")
+    one = written(verified(known, best, num, den), "links")
     comps = components(one)
 
     named = shards.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
@@ -447,7 +474,7 @@ def classes(docs: DataFrame) -> DataFrame:
     more = sides.join(named, ["key", "chunk"]).join(vecs.select("doc_id", "vec"), "doc_id").select("key", "ca", "cb", "side", "n", "doc_id", "comp", "vec")
     later = more.repartition("key", "ca", "cb").sortWithinPartitions("key", "ca", "cb", "side", "n", "doc_id").mapInArrow(second_round, CANDIDATES)
     later = written(later.select("a", "b").distinct().join(best, ["a", "b"], "left_anti"), "candidates")
-    links = one.union(verified(known, later, num, den))
+    links = one.union(written(verified(known, later, num, den), "links"))
     ends = components(links).withColumnRenamed("node", "rep")
 
     of_doc = points.join(reps, ["d1", "d2"], "left").join(ends, "rep", "left")
