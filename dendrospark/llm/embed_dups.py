@@ -31,7 +31,7 @@ from .shared import written
 PASSES = 16
 PASSES_A_JOB = 4  # passes whose sorted copies are on disk at a time
 WINDOW = 64
-BLOCK = 1024
+BLOCK = 256
 COSINE = 0.9
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, embed_dups, pii, secrets, shingle_join, sp_bpe, toxicity, warc
+from . import cdc, chat_hmm, decontam, embed_dups, pii, secrets, shingle_join, sp_bpe, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,11 +37,19 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cdc.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest")
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_hmm.recovered(table(spark, sf_dir, "conversations"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
@@ -59,7 +67,9 @@ QUERIES: dict[str, Query] = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_pii": op3_pii,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_decontamination": op6_decontamination,
+    "op7_chat_format": op7_chat_format,
     "op8_warc": op8_warc,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_secrets": op10_secrets,
