@@ -26,7 +26,7 @@ from .shared import _BYTE, mixed, powers, slices, text_bytes, written
 
 REACH = 20
 LONGEST = 512
-LEAST_RUN = 100
+LEAST_RUN = 140
 PAD = 32
 _GEAR = (mixed(_BYTE) >> np.uint64(16)).astype(np.uint32)
 
