@@ -42,6 +42,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove shuffle files of finished stages now, not when the driver next happens to collect garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches cut so that the text ``column`` of each holds about ``limit`` bytes, or one row."""
     for batch in batches:

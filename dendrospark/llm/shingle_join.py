@@ -36,7 +36,7 @@ near copies costs its size, not its square.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import mixed, salted_fold, slices, text_bytes, word_hashes, word_spans, written
+from .shared import mixed, release, salted_fold, slices, text_bytes, word_hashes, word_spans, written
 
 WIDTH = 5
 GROUPS = 64
@@ -95,7 +95,25 @@ def shingles(raw: np.ndarray, starts: np.ndarray, width: int = WIDTH) -> tuple[l
 
 
 def vector(s: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), 2**32 - 1).astype("<u4").tobytes()
+    """Counts of ``GROUPS`` groups, a byte each, or four where one needs more."""
+    v = np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+    return v.astype(np.uint8 if v.max() < 256 else "<u4").tobytes()
+
+
+def fine_vector(s: np.ndarray) -> bytes:
+    """Counts of as many groups (a power of two) as make two to four shingles a group; a byte each, 255 for that many or more."""
+    groups = max(GROUPS, 1 << max(0, (len(s) - 1) // 4).bit_length())
+    return np.minimum(np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups), 255).astype(np.uint8).tobytes()
+
+
+def fine_bound_ok(a: bytes, b: bytes, num: int = 3, den: int = 4) -> bool:
+    """Whether the bound of two fine vectors lets a pair through; the finer one is folded to the other's groups."""
+    x, y = (np.frombuffer(v, np.uint8).astype(np.int64) for v in (a, b))
+    if x.max(initial=0) == 255 or y.max(initial=0) == 255:
+        return True
+    total = int(x.sum() + y.sum())
+    g = min(len(x), len(y))
+    return int(np.minimum(x.reshape(-1, g).sum(axis=0), y.reshape(-1, g).sum(axis=0)).sum()) >= need(total, num, den)
 
 
 def bucket(s: np.ndarray) -> np.ndarray:
@@ -113,7 +131,7 @@ def keys(s: np.ndarray, counts: np.ndarray, crowded: int) -> np.ndarray:
     return np.concatenate([plain, rest[np.lexsort((rest, c[c > crowded]))[: k - len(plain)]]])
 
 
-VECTORS = "doc_id long, n int, d1 long, d2 long, vec binary, counts binary"
+VECTORS = "doc_id long, n int, d1 long, d2 long, vec binary, fine binary, counts binary"
 
 
 def vectors(docs: DataFrame) -> DataFrame:
@@ -126,8 +144,8 @@ def vectors(docs: DataFrame) -> DataFrame:
             if any(map(len, sets)):
                 counts += np.bincount(bucket(np.concatenate(sets)), minlength=BUCKETS)
             d = digests.view(np.int64)
-            cols = [batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array([vector(s) for s in sets], pa.binary()), pa.nulls(len(sets), pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "d1", "d2", "vec", "counts"])
+            cols = [batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array([vector(s) for s in sets], pa.binary()), pa.array([fine_vector(s) for s in sets], pa.binary()), pa.nulls(len(sets), pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "d1", "d2", "vec", "fine", "counts"])
         yield counts_row(counts)
 
     return docs.mapInArrow(run, VECTORS)
@@ -135,7 +153,9 @@ def vectors(docs: DataFrame) -> DataFrame:
 
 def counts_row(counts: np.ndarray) -> pa.RecordBatch:
     none = pa.nulls(1, pa.int64())
-    return pa.RecordBatch.from_arrays([none, pa.nulls(1, pa.int32()), none, none, pa.nulls(1, pa.binary()), pa.array([counts.astype("<u4" if counts.max() < 2**32 else "<u8").tobytes()], pa.binary())], names=["doc_id", "n", "d1", "d2", "vec", "counts"])
+    data = counts.astype("<u4" if counts.max() < 2**32 else "<u8").tobytes()
+    blank = pa.nulls(1, pa.binary())
+    return pa.RecordBatch.from_arrays([none, pa.nulls(1, pa.int32()), none, none, blank, blank, pa.array([data], pa.binary())], names=["doc_id", "n", "d1", "d2", "vec", "fine", "counts"])
 
 
 def counts_of(data: bytes) -> np.ndarray:
@@ -145,7 +165,7 @@ def counts_of(data: bytes) -> np.ndarray:
 def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(BUCKETS, np.int64)
     for batch in batches:
-        for data in batch.column(5):
+        for data in batch.column(6):
             total += counts_of(data.as_py())
     yield counts_row(total)
 
@@ -257,7 +277,12 @@ def table_columns(t: pa.Table) -> list[np.ndarray]:
     out = []
     for c in t.columns:
         if pa.types.is_binary(c.type):
-            out.append(np.frombuffer(b"".join(c.to_pylist()), "<u4").reshape(-1, GROUPS))
+            data = c.to_pylist()
+            wide = np.array([len(d) > GROUPS for d in data])
+            points = np.zeros((len(data), GROUPS), np.int32 if wide.any() else np.int16)
+            points[~wide] = np.frombuffer(b"".join([d for d in data if len(d) == GROUPS]), np.uint8).reshape(-1, GROUPS)
+            points[wide] = np.frombuffer(b"".join([d for d in data if len(d) > GROUPS]), "<u4").reshape(-1, GROUPS)
+            out.append(points)
         else:
             out.append(c.to_numpy())
     return out
@@ -267,7 +292,7 @@ SMALL = 8
 
 
 def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (key, chunk, n, doc_id, vec) sorted by the first four: per document the best candidate before it."""
+    """From (key, chunk, n, doc_id, vec) sorted by the first four: all candidates in shards of up to ``SMALL``, else per document the best before it."""
     for key, chunk, n, doc, points in units(batches, 2):
         first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])])
         size = np.diff(np.r_[first, len(key)])
@@ -406,11 +431,10 @@ def common(p: np.ndarray, q: np.ndarray) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
-def verified(docs: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose shingle sets reach num/den. Sets meet by pair, so a document in many pairs makes no hot key."""
+def meeting(pairs: DataFrame, values: DataFrame, name: str, test: Callable[[bytes, bytes], bool]) -> DataFrame:
+    """The pairs (a, b) whose two values pass ``test``. Values meet by pair, so a document in many pairs makes no hot key."""
     side = F.explode(F.array(*[F.struct(F.col(c).alias("doc_id"), F.lit(k).alias("side")) for k, c in enumerate("ab")])).alias("s")
-    sides = written(pairs.select("a", "b", side).select("a", "b", "s.*"), "sides")
-    rows = maybe_sets(docs, sides.select("doc_id").distinct()).join(sides, "doc_id").select("a", "b", "side", "shingles")
+    rows = pairs.select("a", "b", side).select("a", "b", "s.*").join(values, "doc_id").select("a", "b", "side", name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
@@ -419,11 +443,9 @@ def verified(docs: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame
             for x, y, side, data in zip(*[c.to_pylist() for c in batch.columns[:3]], batch.column(3), strict=True):
                 if side == 0:
                     if last != (x, y):
-                        last, held = (x, y), unpacked(data.as_py())
+                        last, held = (x, y), data.as_py()
                 elif held is not None and last == (x, y):
-                    other = unpacked(data.as_py())
-                    both = common(held, other)
-                    if den * both >= num * (len(held) + len(other) - both):
+                    if test(held, data.as_py()):
                         a.append(x)
                         b.append(y)
                     held = None
@@ -432,6 +454,21 @@ def verified(docs: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame
     return rows.repartition("a", "b").sortWithinPartitions("a", "b", "side").mapInArrow(run, "a long, b long")
 
 
+def sets_ok(a: bytes, b: bytes, num: int = 3, den: int = 4) -> bool:
+    x, y = unpacked(a), unpacked(b)
+    both = common(x, y)
+    return den * both >= num * (len(x) + len(y) - both)
+
+
+def verified(docs: DataFrame, pairs: DataFrame, fine: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link: a bound from finer counts first, then the shingle sets of those it lets through."""
+    near = written(meeting(pairs, fine, "fine", fine_bound_ok), "near")
+    ids = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    out = written(meeting(near, maybe_sets(docs, ids), "shingles", sets_ok), "links")
+    release(docs.sparkSession)
+    return out
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id.
 
@@ -442,7 +479,7 @@ def classes(docs: DataFrame) -> DataFrame:
     links are the id's. A null id gives a row with a null component. An empty
     table gives an empty result; further columns are not read.
     """
-    num, den = 3, 4
+    spark = docs.sparkSession
     docs = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
     known = docs.where("doc_id is not null")
     made = written(vectors(docs), "vectors")
@@ -451,30 +488,38 @@ def classes(docs: DataFrame) -> DataFrame:
     full = points.where("n > 0 and doc_id is not null")
     reps = written(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
     # Copies are left out of all that follows; their ids are broadcast only if they are few.
-    copies = full.join(reps, ["d1", "d2"]).where("doc_id <> rep").select("doc_id").distinct()
-    copies = written(copies, "copies")
+    copies = written(full.select("doc_id", "d1", "d2").join(reps, ["d1", "d2"]).where("doc_id <> rep").select("doc_id").distinct(), "copies")
     few = copies.count() <= BROADCAST_ROWS
     single = known.join(F.broadcast(copies) if few else copies, "doc_id", "left_anti")
     shards = written(members(postings(single, counts)), "shards")
-    vecs = written(full.join(copies, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select("doc_id", "n", "vec"), "points")
+    release(spark)
+    alone = written(full.join(copies, "doc_id", "left_anti").dropDuplicates(["doc_id"]), "points")
+    vecs, fine = alone.select("doc_id", "n", "vec"), alone.select("doc_id", "fine")
 
     rows = shards.join(vecs, "doc_id").select("key", "chunk", "n", "doc_id", "vec")
     found = rows.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "n", "doc_id").mapInArrow(first_round, CANDIDATES)
-    best = found.groupBy("b").agg(F.max_by("a", F.struct("bound", -F.col("a"))).alias("a")).select("a", "b")
-    best = written(best, "candidates")
-    one = written(verified(known, best, num, den), "links")
+    found = written(found.groupBy("a", "b").agg(F.max("bound").alias("bound")), "candidates")
+    release(spark)
+    best = written(found.groupBy("b").agg(F.max_by("a", F.struct("bound", -F.col("a"))).alias("a")).select("a", "b"), "best")
+    one = verified(known, best, fine)
     comps = components(one)
 
     named = shards.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
     named = written(named.join(vecs.select("doc_id", "n"), "doc_id"), "named")
-    chunk = named.groupBy("key", "chunk").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
-    a, b = (chunk.toDF("key", *[f"{s}_{c}" for c in ("chunk", "low", "high", "least", "most")]) for s in "ab")
+    release(spark)
+    # Small shards have shown all their candidates; the others are searched again for those between components.
+    chunk = named.groupBy("key", "chunk").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("rows")).where(f"rows > {SMALL} or chunk > 0")
+    a, b = (chunk.toDF("key", *[f"{s}_{c}" for c in ("chunk", "low", "high", "least", "most", "rows")]) for s in "ab")
     open_ = a.join(b, "key").where("a_chunk <= b_chunk and (least(a_low, b_low) < greatest(a_high, b_high)) and 4 * a_most >= 3 * b_least and 4 * b_most >= 3 * a_least").selectExpr("key", "a_chunk ca", "b_chunk cb")
-    sides = open_.select("key", "ca", "cb", F.explode(F.when(F.col("ca") == F.col("cb"), F.array(F.struct(F.lit(0).alias("side"), F.col("ca").alias("chunk")))).otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("ca").alias("chunk")), F.struct(F.lit(1).alias("side"), F.col("cb").alias("chunk"))))).alias("s")).select("key", "ca", "cb", "s.*")
+    one_side = lambda s, c: F.struct(F.lit(s).alias("side"), F.col(c).alias("chunk"))
+    sides = open_.select("key", "ca", "cb", F.explode(F.when(F.col("ca") == F.col("cb"), F.array(one_side(0, "ca"))).otherwise(F.array(one_side(0, "ca"), one_side(1, "cb")))).alias("s")).select("key", "ca", "cb", "s.*")
     more = sides.join(named, ["key", "chunk"]).join(vecs.select("doc_id", "vec"), "doc_id").select("key", "ca", "cb", "side", "n", "doc_id", "comp", "vec")
     later = more.repartition("key", "ca", "cb").sortWithinPartitions("key", "ca", "cb", "side", "n", "doc_id").mapInArrow(second_round, CANDIDATES)
-    later = written(later.select("a", "b").distinct().join(best, ["a", "b"], "left_anti"), "candidates")
-    links = one.union(written(verified(known, later, num, den), "links"))
+    of = lambda c: comps.toDF(c, f"c{c}")
+    apart = found.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+    later = written(later.select("a", "b").union(apart.select("a", "b")).distinct().join(best, ["a", "b"], "left_anti"), "later")
+    release(spark)
+    links = one.union(verified(known, later, fine))
     ends = components(links).withColumnRenamed("node", "rep")
 
     of_doc = points.join(reps, ["d1", "d2"], "left").join(ends, "rep", "left")
