@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -34,7 +35,11 @@ def primary_cell_type(types: Column) -> Column:
 
 def primary_region(regions: Column) -> Column:
     """The first primary region that a region holds or is part of, else the first region. An empty one is part of any."""
-    hits = [F.when(F.exists(regions, lambda r, p=p: F.contains(F.lower(r), F.lit(p)) | F.contains(F.lit(p), F.lower(r))), p) for p in PRIMARY_REGIONS]
+
+    def hit(p: str) -> Column:
+        return F.when(F.exists(regions, lambda r: F.contains(F.lower(r), F.lit(p)) | F.contains(F.lit(p), F.lower(r))), p)
+
+    hits = [hit(p) for p in PRIMARY_REGIONS]
     return F.coalesce(*hits, F.get(regions, F.lit(0)))
 
 
@@ -182,21 +187,32 @@ def clipped(s: Column, n: int = 50) -> Column:
     return F.when(F.length(s) > n, F.concat(F.left(s, F.lit(n)), F.lit("..."))).otherwise(s)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ngrams(text: Column, most: int = 3) -> Column:
     """Word n-grams of lower-cased text; text without words gives itself."""
-    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    grams = [F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i, n=n: F.array_join(F.slice(words, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>")) for n in range(1, most + 1)]
-    return F.when(F.size(words) > 0, F.concat(*grams)).otherwise(F.array(text))
+
+    def of_size(words: Column, n: int) -> Column:
+        joined = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
+        return F.when(F.size(words) >= n, joined).otherwise(F.array().cast("array<string>"))
+
+    split = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+    return let(split, lambda words: F.when(F.size(words) > 0, F.concat(*[of_size(words, n) for n in range(1, most + 1)])).otherwise(F.array(text)))
 
 
 def md5_mod(s: Column, d: int) -> Column:
     """The 128-bit md5 of ``s`` modulo ``d``, folded by 32-bit words."""
-    h = F.md5(s.cast("binary"))
-    word = lambda k: F.conv(F.substring(h, 8 * k + 1, 8), 16, 10).cast("bigint")
-    acc = F.lit(0).cast("bigint")
-    for k in range(4):
-        acc = (acc * (2**32 % d) + word(k)) % d
-    return acc.cast("int")
+
+    def folded(h: Column) -> Column:
+        acc = F.lit(0).cast("bigint")
+        for k in range(4):
+            acc = (acc * (2**32 % d) + F.conv(F.substring(h, 8 * k + 1, 8), 16, 10).cast("bigint")) % d
+        return acc.cast("int")
+
+    return let(F.md5(s.cast("binary")), folded)
 
 
 def sha1_sign(s: Column) -> Column:

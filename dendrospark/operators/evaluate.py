@@ -31,7 +31,7 @@ def ranks(queries: DataFrame, items: DataFrame, query_id: str, label: str = "lab
         return np.array([r["__label"] for r in rows], object), np.array([r["__v"] for r in rows], float).reshape(len(rows), -1)
 
     def passed(df: DataFrame, b: int, count: bool) -> DataFrame:
-        shared = df.sparkSession.sparkContext.broadcast(block(b))
+        shared, names = df.sparkSession.sparkContext.broadcast(block(b)), df.columns
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             labels, x = shared.value
@@ -45,7 +45,7 @@ def ranks(queries: DataFrame, items: DataFrame, query_id: str, label: str = "lab
                         sims = np.round(v @ x.T, 12)
                         right = np.where(mine[:, None] == labels[None, :], sims, -np.inf)
                         best, above = (best, above + (sims > best[:, None]).sum(axis=1)) if count else (np.maximum(best, right.max(axis=1)), above)
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(best), pa.array(above.astype(np.int64))], names=df.columns)
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(best), pa.array(above.astype(np.int64))], names=names)
 
         return df.mapInArrow(run, df.schema)
 
