@@ -31,8 +31,8 @@ from pyspark.sql import types as T
 from .shared import slices
 
 SPACE = "▁"
-TABLE = 300_000  # segments kept in each of a worker's two tables
-PAIRS = 300_000  # compatibility results kept
+TABLE = 100_000  # segments kept in each of a worker's two tables
+PAIRS = 150_000  # compatibility results kept
 LONGEST = 64  # characters looked at for the longest match; no longer pieces are accepted
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
