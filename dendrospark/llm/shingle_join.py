@@ -24,9 +24,11 @@ Steps, each a Spark job over all documents:
 3. first round: in every shard each class takes the best bound among those before
    it. The best of a class over all its shards is verified on the shingle
    sets; links give first components.
-4. second round: shards that still hold several components search all pairs of
-   different components; the candidates are verified. Pairs inside a component
-   need no check, as the result is which documents are connected.
+4. second round: the other candidates of small shards (``SMALL`` classes or fewer)
+   are verified if they lie in different components; large shards that still hold
+   several components search all pairs of different components, compare the
+   candidates exactly in place and pass on only links that join components. Pairs
+   inside a component need no check, as the result is which documents are connected.
 
 A shard larger than ``CHUNK`` is cut in chunks of similar sizes; the second round
 takes chunk pairs, unless both chunks hold one and the same component or their
@@ -49,7 +51,7 @@ from .shared import mixed, release, salted_fold, slices, text_bytes, word_hashes
 WIDTH = 5
 GROUPS = 64
 BUCKETS = 1 << 18
-CHUNK = 2048
+CHUNK = 512
 LEAF = 32
 BROADCAST_ROWS = 1_000_000
 BLOOM_BITS = 1 << 23
@@ -275,8 +277,10 @@ def units(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[np.nda
 
 def table_columns(t: pa.Table) -> list[np.ndarray]:
     out = []
-    for c in t.columns:
-        if pa.types.is_binary(c.type):
+    for c, name in zip(t.columns, t.column_names, strict=True):
+        if name == "shingles":
+            out.append(c.to_pylist())
+        elif pa.types.is_binary(c.type):
             data = c.to_pylist()
             wide = np.array([len(d) > GROUPS for d in data])
             points = np.zeros((len(data), GROUPS), np.int32 if wide.any() else np.int16)
@@ -288,7 +292,7 @@ def table_columns(t: pa.Table) -> list[np.ndarray]:
     return out
 
 
-SMALL = 8
+SMALL = 16
 
 
 def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,40 +337,75 @@ def candidate_rows(doc, n, a, b, bound) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x[once].astype(np.int64)), pa.array(y[once].astype(np.int64)), pa.array(v[once])], names=["a", "b", "bound"])
 
 
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Incidence of the shingles that at least two of the sets hold; its products are the sets' exact overlaps."""
+    values, codes, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    shared = counts[codes] > 1
+    column = np.cumsum(counts > 1) - 1
+    out = np.zeros((len(sets), max(1, int((counts > 1).sum()))), np.float32)
+    out[row[shared], column[codes[shared]]] = 1
+    return out
+
+
 def second_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (key, ca, cb, side, n, doc_id, comp, vec) sorted by the first five: all candidates of different components."""
-    for key, ca, cb, side, n, doc, comp, points in units(batches, 3):
+    """From (key, ca, cb, side, n, doc_id, comp, vec, shingles) sorted by the first five: links of different components.
+
+    The tree's candidates are compared exactly here, and of the links found in a
+    unit only those that join its components are passed on.
+    """
+    for key, ca, cb, side, n, doc, comp, points, data in units(batches, 3):
         first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (ca[1:] != ca[:-1]) | (cb[1:] != cb[:-1])])
-        size = np.diff(np.r_[first, len(key)])
-        few = size <= SMALL
-        i, j = pairs_of(size[few], first[few])
-        ok = (comp[i] != comp[j]) & ((ca[i] == cb[i]) | (side[i] != side[j]))
-        i, j = i[ok], j[ok]
-        a, b, bound = [], [], []
-        for at in range(0, len(i), 1 << 15):
-            x, y = i[at : at + (1 << 15)], j[at : at + (1 << 15)]
-            m = np.minimum(points[x], points[y]).sum(axis=1)
-            ok = m >= need(n[x] + n[y])
-            a.append(x[ok])
-            b.append(y[ok])
-            bound.append(m[ok])
-        for f, s in zip(first[~few], size[~few], strict=True):
+        for f, s in zip(first, np.diff(np.r_[first, len(key)]), strict=True):
             one = ca[f] == cb[f]
             split = f + s if one else f + int(np.searchsorted(side[f : f + s], 1))
-            queries = range(f, split)
             base = f if one else split
-            if base == f + s or len(queries) == 0:
+            if base == f + s or split == f:
+                continue
+            labels, label = np.unique(comp[f : f + s], return_inverse=True)
+            if len(labels) < 2:
                 continue
             tree = Tree(points[base : f + s], n[base : f + s])
-            for q in queries:
-                rows, m = tree.search(points[q], int(n[q]))
+            a, b = [], []
+            for q in range(f, split):
+                rows, _ = tree.search(points[q], int(n[q]))
                 rows = rows + base
-                ok = (comp[rows] != comp[q]) & ((rows > q) if one else True)
-                if ok.any():
-                    a.append(np.full(ok.sum(), q))
-                    b.append(rows[ok])
-                    bound.append(m[ok])
-        yield candidate_rows(doc, n, a, b, bound)
+                rows = rows[(comp[rows] != comp[q]) & ((rows > q) if one else True)]
+                a.append(np.full(len(rows), q))
+                b.append(rows)
+            x, y = np.concatenate(a), np.concatenate(b)
+            used = np.unique(np.r_[x, y])
+            if not len(used):
+                continue
+            sets = [unpacked(data[i]) for i in used]
+            m = overlaps(sets)
+            i, j = np.searchsorted(used, x), np.searchsorted(used, y)
+            linked = np.zeros(len(x), bool)
+            starts = np.unique(i)
+            for at in range(0, len(starts), 128):
+                block = starts[at : at + 128]
+                mine = (i >= block[0]) & (i <= block[-1])
+                both = (m[block[0] : block[-1] + 1] @ m.T)[i[mine] - block[0], j[mine]].astype(np.int64)
+                linked[mine] = 4 * both >= 3 * (n[x[mine]] + n[y[mine]] - both)
+            x, y = x[linked], y[linked]
+            keep = forest(len(labels), label[x - f], label[y - f])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[x[keep]].astype(np.int64)), pa.array(doc[y[keep]].astype(np.int64))], names=["a", "b"])
+
+
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Indices of pairs that join what the pairs before them have not."""
+    parent, keep = list(range(n)), []
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        while parent[y] != y:
+            parent[y] = parent[parent[y]]
+            y = parent[y]
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            keep.append(k)
+    return keep
 
 
 CANDIDATES = "a long, b long, bound double"
@@ -513,13 +552,16 @@ def classes(docs: DataFrame) -> DataFrame:
     open_ = a.join(b, "key").where("a_chunk <= b_chunk and (least(a_low, b_low) < greatest(a_high, b_high)) and 4 * a_most >= 3 * b_least and 4 * b_most >= 3 * a_least").selectExpr("key", "a_chunk ca", "b_chunk cb")
     one_side = lambda s, c: F.struct(F.lit(s).alias("side"), F.col(c).alias("chunk"))
     sides = open_.select("key", "ca", "cb", F.explode(F.when(F.col("ca") == F.col("cb"), F.array(one_side(0, "ca"))).otherwise(F.array(one_side(0, "ca"), one_side(1, "cb")))).alias("s")).select("key", "ca", "cb", "s.*")
-    more = sides.join(named, ["key", "chunk"]).join(vecs.select("doc_id", "vec"), "doc_id").select("key", "ca", "cb", "side", "n", "doc_id", "comp", "vec")
-    later = more.repartition("key", "ca", "cb").sortWithinPartitions("key", "ca", "cb", "side", "n", "doc_id").mapInArrow(second_round, CANDIDATES)
+    placed = written(sides.join(named, ["key", "chunk"]), "placed")
+    more = placed.join(vecs.select("doc_id", "vec"), "doc_id").join(maybe_sets(known, placed.select("doc_id").distinct()).dropDuplicates(["doc_id"]), "doc_id")
+    more = more.select("key", "ca", "cb", "side", "n", "doc_id", "comp", "vec", "shingles")
+    across = more.repartition("key", "ca", "cb").sortWithinPartitions("key", "ca", "cb", "side", "n", "doc_id").mapInArrow(second_round, "a long, b long")
+    across = written(across, "across")
+    release(spark)
     of = lambda c: comps.toDF(c, f"c{c}")
     apart = found.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-    later = written(later.select("a", "b").union(apart.select("a", "b")).distinct().join(best, ["a", "b"], "left_anti"), "later")
-    release(spark)
-    links = one.union(verified(known, later, fine))
+    later = written(apart.select("a", "b").join(best, ["a", "b"], "left_anti"), "later")
+    links = one.union(across).union(verified(known, later, fine))
     ends = components(links).withColumnRenamed("node", "rep")
 
     of_doc = points.join(reps, ["d1", "d2"], "left").join(ends, "rep", "left")
