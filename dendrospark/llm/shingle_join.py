@@ -26,9 +26,11 @@ Steps, each a Spark job over all documents:
    sets; links give first components.
 4. second round: the other candidates of small shards (``SMALL`` classes or fewer)
    are verified if they lie in different components; large shards that still hold
-   several components search all pairs of different components, compare the
-   candidates exactly in place and pass on only links that join components. Pairs
-   inside a component need no check, as the result is which documents are connected.
+   several components search all pairs of different components, bound the
+   candidates by finer counts, then compare those left exactly in place and pass
+   on only links that join components. Shingle sets go only to the shards where a
+   document has a candidate left. Pairs inside a component need no check, as the
+   result is which documents are connected.
 
 A shard larger than ``CHUNK`` is cut in chunks of similar sizes; the second round
 takes chunk pairs, unless both chunks hold one and the same component or their
@@ -278,7 +280,7 @@ def units(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[np.nda
 def table_columns(t: pa.Table) -> list[np.ndarray]:
     out = []
     for c, name in zip(t.columns, t.column_names, strict=True):
-        if name == "shingles":
+        if name in ("shingles", "fine"):
             out.append(c.to_pylist())
         elif pa.types.is_binary(c.type):
             data = c.to_pylist()
@@ -337,33 +339,36 @@ def candidate_rows(doc, n, a, b, bound) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x[once].astype(np.int64)), pa.array(y[once].astype(np.int64)), pa.array(v[once])], names=["a", "b", "bound"])
 
 
-def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Incidence of the shingles that at least two of the sets hold; its products are the sets' exact overlaps."""
+def overlaps(sets: list[np.ndarray], block: int = 1 << 21) -> np.ndarray:
+    """Exact overlaps of all the sets, summed over blocks of the shingles that at least two of them hold."""
     values, codes, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     shared = counts[codes] > 1
-    column = np.cumsum(counts > 1) - 1
-    out = np.zeros((len(sets), max(1, int((counts > 1).sum()))), np.float32)
-    out[row[shared], column[codes[shared]]] = 1
+    column = (np.cumsum(counts > 1) - 1)[codes[shared]]
+    row = row[shared]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    wide = max(1, block // len(sets))
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, wide):
+        lo, hi = np.searchsorted(column, [at, at + wide])
+        m = np.zeros((len(sets), wide), np.float32)
+        m[row[lo:hi], column[lo:hi] - at] = 1
+        out += m @ m.T
     return out
 
 
-def second_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (key, ca, cb, side, n, doc_id, comp, vec, shingles) sorted by the first five: links of different components.
-
-    The tree's candidates are compared exactly here, and of the links found in a
-    unit only those that join its components are passed on.
-    """
-    for key, ca, cb, side, n, doc, comp, points, data in units(batches, 3):
+def open_units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], int, np.ndarray, np.ndarray]]:
+    """From rows (key, ca, cb, side, n, doc_id, comp, vec, ...) sorted by the first five: per unit of several
+    components its columns, its first row and the tree's candidates of different components."""
+    for cols in units(batches, 3):
+        key, ca, cb, side, n, _, comp, points = cols[:8]
         first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (ca[1:] != ca[:-1]) | (cb[1:] != cb[:-1])])
         for f, s in zip(first, np.diff(np.r_[first, len(key)]), strict=True):
             one = ca[f] == cb[f]
             split = f + s if one else f + int(np.searchsorted(side[f : f + s], 1))
             base = f if one else split
-            if base == f + s or split == f:
-                continue
-            labels, label = np.unique(comp[f : f + s], return_inverse=True)
-            if len(labels) < 2:
+            if base == f + s or split == f or (comp[f : f + s] == comp[f]).all():
                 continue
             tree = Tree(points[base : f + s], n[base : f + s])
             a, b = [], []
@@ -374,22 +379,59 @@ def second_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 a.append(np.full(len(rows), q))
                 b.append(rows)
             x, y = np.concatenate(a), np.concatenate(b)
-            used = np.unique(np.r_[x, y])
-            if not len(used):
-                continue
-            sets = [unpacked(data[i]) for i in used]
-            m = overlaps(sets)
-            i, j = np.searchsorted(used, x), np.searchsorted(used, y)
-            linked = np.zeros(len(x), bool)
-            starts = np.unique(i)
-            for at in range(0, len(starts), 128):
-                block = starts[at : at + 128]
-                mine = (i >= block[0]) & (i <= block[-1])
-                both = (m[block[0] : block[-1] + 1] @ m.T)[i[mine] - block[0], j[mine]].astype(np.int64)
-                linked[mine] = 4 * both >= 3 * (n[x[mine]] + n[y[mine]] - both)
-            x, y = x[linked], y[linked]
-            keep = forest(len(labels), label[x - f], label[y - f])
-            yield pa.RecordBatch.from_arrays([pa.array(doc[x[keep]].astype(np.int64)), pa.array(doc[y[keep]].astype(np.int64))], names=["a", "b"])
+            if len(x):
+                yield cols, f, x, y
+
+
+def fine_ok(fine: list[bytes], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``fine_bound_ok`` of many index pairs, those of equal lengths at once."""
+    used, at = np.unique(np.r_[x, y], return_inverse=True)
+    length = np.array([len(fine[i]) for i in used])
+    place = np.zeros(len(used), np.int64)
+    of = {}
+    for size in np.unique(length):
+        mine = np.flatnonzero(length == size)
+        place[mine] = np.arange(len(mine))
+        of[int(size)] = np.frombuffer(b"".join([fine[i] for i in used[mine]]), np.uint8).reshape(-1, size)
+    i, j = at[: len(x)], at[len(x) :]
+    ok = np.zeros(len(x), bool)
+    for p, q in np.unique(np.c_[length[i], length[j]], axis=0).tolist():
+        pairs, g = np.flatnonzero((length[i] == p) & (length[j] == q)), min(p, q)
+        step = max(1, (1 << 20) // max(p, q))
+        for k in range(0, len(pairs), step):
+            some = pairs[k : k + step]
+            u, v = of[p][place[i[some]]], of[q][place[j[some]]]
+            full = (u == 255).any(axis=1) | (v == 255).any(axis=1)
+            u, v = (w.astype(np.int32).reshape(len(some), -1, g).sum(axis=1) for w in (u, v))
+            ok[some] = full | (np.minimum(u, v).sum(axis=1) >= need(u.sum(axis=1) + v.sum(axis=1)))
+    return ok
+
+
+def contenders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows (key, ca, cb, side, doc_id, comp) of ``open_units`` with a candidate that finer counts let through."""
+    for cols, _, x, y in open_units(batches):
+        near = fine_ok(cols[8], x, y)
+        used = np.unique(np.r_[x[near], y[near]])
+        if len(used):
+            names = ["key", "ca", "cb", "side", "doc_id", "comp"]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[i][used]) for i in (0, 1, 2, 3, 5, 6)], names=names)
+
+
+def second_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of different components among ``open_units``, whose last column is the shingle sets.
+
+    The tree's candidates are compared exactly here, and of the links found in a
+    unit only those that join its components are passed on.
+    """
+    for (_, _, _, _, n, doc, comp, _, data), _, x, y in open_units(batches):
+        used = np.unique(np.r_[x, y])
+        m = overlaps([unpacked(data[i]) for i in used])
+        both = m[np.searchsorted(used, x), np.searchsorted(used, y)].astype(np.int64)
+        linked = 4 * both >= 3 * (n[x] + n[y] - both)
+        x, y = x[linked], y[linked]
+        labels, label = np.unique(np.r_[comp[x], comp[y]], return_inverse=True)
+        keep = forest(len(labels), label[: len(x)], label[len(x) :])
+        yield pa.RecordBatch.from_arrays([pa.array(doc[x[keep]].astype(np.int64)), pa.array(doc[y[keep]].astype(np.int64))], names=["a", "b"])
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[int]:
@@ -553,9 +595,15 @@ def classes(docs: DataFrame) -> DataFrame:
     one_side = lambda s, c: F.struct(F.lit(s).alias("side"), F.col(c).alias("chunk"))
     sides = open_.select("key", "ca", "cb", F.explode(F.when(F.col("ca") == F.col("cb"), F.array(one_side(0, "ca"))).otherwise(F.array(one_side(0, "ca"), one_side(1, "cb")))).alias("s")).select("key", "ca", "cb", "s.*")
     placed = written(sides.join(named, ["key", "chunk"]), "placed")
-    more = placed.join(vecs.select("doc_id", "vec"), "doc_id").join(maybe_sets(known, placed.select("doc_id").distinct()).dropDuplicates(["doc_id"]), "doc_id")
-    more = more.select("key", "ca", "cb", "side", "n", "doc_id", "comp", "vec", "shingles")
-    across = more.repartition("key", "ca", "cb").sortWithinPartitions("key", "ca", "cb", "side", "n", "doc_id").mapInArrow(second_round, "a long, b long")
+    unit = ["key", "ca", "cb"]
+    rough = placed.join(alone.select("doc_id", "vec", "fine"), "doc_id").select(*unit, "side", "n", "doc_id", "comp", "vec", "fine")
+    rough = rough.repartition(*unit).sortWithinPartitions(*unit, "side", "n", "doc_id")
+    # Sets go only to the units in which a document has a candidate left by its finer counts.
+    left = written(rough.mapInArrow(contenders, "key long, ca int, cb int, side int, doc_id long, comp long"), "left")
+    release(spark)
+    sets = maybe_sets(known, left.select("doc_id").distinct()).dropDuplicates(["doc_id"])
+    more = left.join(vecs, "doc_id").join(sets, "doc_id").select(*unit, "side", "n", "doc_id", "comp", "vec", "shingles")
+    across = more.repartition(*unit).sortWithinPartitions(*unit, "side", "n", "doc_id").mapInArrow(second_round, "a long, b long")
     across = written(across, "across")
     release(spark)
     of = lambda c: comps.toDF(c, f"c{c}")
