@@ -54,6 +54,7 @@ WIDTH = 5
 GROUPS = 64
 BUCKETS = 1 << 18
 CHUNK = 512
+LOWS = 8
 LEAF = 32
 BROADCAST_ROWS = 1_000_000
 BLOOM_BITS = 1 << 23
@@ -282,6 +283,10 @@ def table_columns(t: pa.Table) -> list[np.ndarray]:
     for c, name in zip(t.columns, t.column_names, strict=True):
         if name in ("shingles", "fine"):
             out.append(c.to_pylist())
+        elif pa.types.is_list(c.type):
+            c = c.combine_chunks()
+            ends = c.offsets.to_numpy()
+            out.append(np.split(c.flatten().to_numpy(), (ends[1:-1] - ends[0])))
         elif pa.types.is_binary(c.type):
             data = c.to_pylist()
             wide = np.array([len(d) > GROUPS for d in data])
@@ -408,8 +413,18 @@ def fine_ok(fine: list[bytes], x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def contenders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows (key, ca, cb, side, doc_id, comp) of ``open_units`` with a candidate that finer counts let through."""
-    for cols, _, x, y in open_units(batches):
+    """The rows (key, ca, cb, side, doc_id, comp) of ``open_units`` with a candidate that finer counts let through.
+
+    A pair that also shares a smaller key, as far as both rows' ``lows`` tell, is
+    left to that shard. The shard of a pair's smallest shared key never passes it on.
+    """
+    for cols, f, x, y in open_units(batches):
+        used, at = np.unique(np.r_[x, y], return_inverse=True)
+        elsewhere = overlaps([low[low < cols[0][f]] for low in (cols[9][i] for i in used)])
+        here = elsewhere[at[: len(x)], at[len(x) :]] == 0
+        x, y = x[here], y[here]
+        if not len(x):
+            continue
         near = fine_ok(cols[8], x, y)
         used = np.unique(np.r_[x[near], y[near]])
         if len(used):
@@ -596,7 +611,8 @@ def classes(docs: DataFrame) -> DataFrame:
     sides = open_.select("key", "ca", "cb", F.explode(F.when(F.col("ca") == F.col("cb"), F.array(one_side(0, "ca"))).otherwise(F.array(one_side(0, "ca"), one_side(1, "cb")))).alias("s")).select("key", "ca", "cb", "s.*")
     placed = written(sides.join(named, ["key", "chunk"]), "placed")
     unit = ["key", "ca", "cb"]
-    rough = placed.join(alone.select("doc_id", "vec", "fine"), "doc_id").select(*unit, "side", "n", "doc_id", "comp", "vec", "fine")
+    lows = placed.groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_set("key")), 1, LOWS).alias("lows"))
+    rough = placed.join(alone.select("doc_id", "vec", "fine").join(lows, "doc_id"), "doc_id").select(*unit, "side", "n", "doc_id", "comp", "vec", "fine", "lows")
     rough = rough.repartition(*unit).sortWithinPartitions(*unit, "side", "n", "doc_id")
     # Sets go only to the units in which a document has a candidate left by its finer counts.
     left = written(rough.mapInArrow(contenders, "key long, ca int, cb int, side int, doc_id long, comp long"), "left")

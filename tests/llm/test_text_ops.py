@@ -90,6 +90,41 @@ def test_fine_bound_never_loses_a_link():
             assert set(shingle_join.keys(a, np.zeros(shingle_join.BUCKETS, np.int64), 9).tolist()) & set(shingle_join.keys(b, np.zeros(shingle_join.BUCKETS, np.int64), 9).tolist())
 
 
+def test_fine_bounds_and_overlaps_of_many_pairs_agree_with_single_ones():
+    rng = np.random.default_rng(11)
+    base = np.unique(rng.integers(0, 2**63, 900).astype(np.uint64))
+    sets = [np.sort(rng.permutation(base)[: int(rng.integers(1, 900))]) for _ in range(40)] + [base[:0], base]
+    fine = [shingle_join.fine_vector(s) for s in sets]
+    x, y = np.triu_indices(len(sets), 1)
+    got = shingle_join.fine_ok(fine, x, y)
+    assert got.tolist() == [shingle_join.fine_bound_ok(fine[i], fine[j]) for i, j in zip(x, y, strict=True)]
+    for block in (1 << 21, 97):
+        m = shingle_join.overlaps(sets, block)
+        assert [int(v) for v in m[x, y]] == [len(set(sets[i].tolist()) & set(sets[j].tolist())) for i, j in zip(x, y, strict=True)]
+
+
+def test_jaccard_of_chained_near_copies_in_large_shards(spark):
+    """Every text differs from the next by a few words, so large shards hold many components after the first round."""
+    rng = np.random.default_rng(17)
+    rows, passage = [], " ".join(f"share{i}" for i in range(40))
+    for group in range(3):
+        w = [f"g{group}w{i}" for i in range(120)]
+        for k in range(60):
+            if k % 7:
+                w[int(rng.integers(len(w)))] = f"new{group}x{k}"
+            else:
+                w[k : k + 4] = [f"cut{group}x{k}x{i}" for i in range(4)]
+            rows.append((len(rows), passage + " " + " ".join(w)))
+    docs = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "doc_id long, text string")
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
+    links = [[b for b, other in enumerate(sets) if 4 * len(mine & other) >= 3 * len(mine | other)] for mine in sets]
+    least = list(range(len(rows)))
+    for _ in rows:
+        least = [min(least[b] for b in near) for near in links]
+    got = {r.doc_id: r.component_id for r in shingle_join.classes(docs).collect()}
+    assert got == dict(enumerate(least))
+
+
 def test_tree_finds_all_points_within_the_bound():
     rng = np.random.default_rng(2)
     points = rng.integers(0, 6, (300, shingle_join.GROUPS)).astype(np.int16)
