@@ -1,9 +1,11 @@
 """Near-duplicate embeddings by sorted projection passes.
 
-In each of ``PASSES`` passes every vector gets the signs of 64 random projections
-of its own, concatenated. Vectors are ordered by them lexicographically (a range
+In each pass every vector gets the signs of 64 random projections of its own,
+concatenated. Vectors are ordered by them lexicographically (a range
 partitioning, so any number of tasks share the order), and each is compared with
-the ``WINDOW`` before it by cosine in double precision. Verified pairs of
+the ``WINDOW`` before it by cosine in double precision. The rows at the edges of
+range partitions are compared again across them, so the links don't depend on
+the number of partitions. Verified pairs of
 all passes are united to components; a task passes on only a spanning forest of
 what it has verified, so a dense group costs rows in proportion to its size.
 
@@ -12,29 +14,42 @@ all found afterwards: within each component every pair is compared, in blocks of
 ``BLOCK`` vectors that spread over tasks, and only counted. Equal vectors are one
 class from the start. Recall can thus only be lost between components: two
 vectors at cosine 0.9 agree in a sign with probability 0.86, at 0.95 with 0.9.
+They surely meet in a pass where they agree in the log2(n / ``WINDOW``) signs
+that leave ``WINDOW`` of n evenly spread vectors together. ``passes_for`` takes
+as many passes as find a pair at the least cosine with probability ``RECALL``.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 from .shared import written
 
-PASSES = 16
+RECALL = 0.98  # of isolated pairs at the least cosine
+PASSES = 16  # at least
 PASSES_A_JOB = 4  # passes whose sorted copies are on disk at a time
 WINDOW = 64
 BLOCK = 256
 COSINE = 0.9
 
 
+def passes_for(n: int, window: int = WINDOW, cosine: float = COSINE, recall: float = RECALL) -> int:
+    """Passes over ``n`` vectors that show a pair at ``cosine`` with probability ``recall``, and ``PASSES`` at least."""
+    agree = 1 - math.acos(cosine) / math.pi
+    met = agree ** math.log2(max(1.0, n / window))
+    return PASSES if met >= 1 else max(PASSES, math.ceil(math.log(1 - recall) / math.log(1 - met)))
+
+
 @cache
 def planes(number: int, dim: int) -> np.ndarray:
     return np.random.default_rng([number, dim, 77]).standard_normal((dim, 64))
@@ -94,6 +109,34 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = new
 
 
+def windows(batches: Iterator[pa.RecordBatch], window: int, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Verified links of rows at most ``window`` apart. The last two columns are vec_id and vec; rows that are equal in the others are one sequence."""
+    group, ids, x = None, np.zeros(0, np.int64), None  # the sequence, and its last rows
+    for batch in batches:
+        kinds = np.stack([c.to_numpy() for c in batch.columns[:-2]], 1)
+        cuts = np.flatnonzero(np.any(kinds[1:] != kinds[:-1], axis=1)) + 1
+        for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(kinds)], strict=True):
+            for at in range(a, b, 2048):
+                part = batch.slice(at, min(b, at + 2048) - at)
+                new_ids, new = part.column(part.num_columns - 2).to_numpy(), units_of(part.column(part.num_columns - 1).to_pylist())
+                if group != tuple(kinds[a]):
+                    group, ids, x = tuple(kinds[a]), np.zeros(0, np.int64), new[:0]
+                before = len(ids)
+                ids, x = np.r_[ids, new_ids], np.r_[x, new]
+                left, right = [], []
+                for i in range(before, len(ids), 256):
+                    low, high = max(0, i - window), min(i + 256, len(ids))
+                    r, c = np.nonzero(x[i:high] @ x[low:high].T >= cosine)
+                    r, c = r + i, c + low
+                    ok = (c < r) & (r - c <= window)
+                    left.append(r[ok])
+                    right.append(c[ok])
+                l_, r_ = np.concatenate(left), np.concatenate(right)
+                keep = forest(len(ids), l_, r_)
+                yield ids[l_[keep]], ids[r_[keep]]
+                ids, x = ids[-window:], x[-window:]
+
+
 def sorted_pass(classes: DataFrame, numbers: list[int], window: int, cosine: float) -> DataFrame:
     """Verified links (a, b) from the windows of some passes."""
 
@@ -113,34 +156,67 @@ def sorted_pass(classes: DataFrame, numbers: list[int], window: int, cosine: flo
                     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, ids, x = None, np.zeros(0, np.int64), None  # the pass and size, and its last rows
-        for batch in batches:
-            kinds = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], 1)
-            cuts = np.flatnonzero(np.any(kinds[1:] != kinds[:-1], axis=1)) + 1
-            for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(kinds)], strict=True):
-                for at in range(a, b, 2048):
-                    part = batch.slice(at, min(b, at + 2048) - at)
-                    new_ids, new = part.column(3).to_numpy(), units_of(part.column(4).to_pylist())
-                    if group != tuple(kinds[a]):
-                        group, ids, x = tuple(kinds[a]), np.zeros(0, np.int64), new[:0]
-                    before = len(ids)
-                    ids, x = np.r_[ids, new_ids], np.r_[x, new]
-                    left, right = [], []
-                    for i in range(before, len(ids), 256):
-                        low, high = max(0, i - window), min(i + 256, len(ids))
-                        r, c = np.nonzero(x[i:high] @ x[low:high].T >= cosine)
-                        r, c = r + i, c + low
-                        ok = (c < r) & (r - c <= window)
-                        left.append(r[ok])
-                        right.append(c[ok])
-                    l_, r_ = np.concatenate(left), np.concatenate(right)
-                    keep = forest(len(ids), l_, r_)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[l_[keep]]), pa.array(ids[r_[keep]])], names=["a", "b"])
-                    ids, x = ids[-window:], x[-window:]
+        """Links of a range partition, then its first and last ``window`` rows with their place ``at`` of ``n``."""
+        n, head, tail = 0, None, None
+
+        def watched() -> Iterator[pa.RecordBatch]:
+            nonlocal n, head, tail
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                narrow = batch.select(["pass", "size", "vec_id", "vec"])
+                more = pa.Table.from_batches([narrow])
+                n += batch.num_rows
+                head = more.slice(0, window) if head is None else head if len(head) >= window else pa.concat_tables([head, more]).slice(0, window)
+                tail = more if tail is None else pa.concat_tables([tail, more])
+                tail = tail.slice(max(0, len(tail) - window))
+                yield narrow
+
+        for a, b in windows(watched(), window, cosine):
+            none = [pa.nulls(len(a), f.type) for f in edge]
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *none], names=["a", "b", *edge.names])
+        if not n:
+            return
+        new = max(0, len(head) + len(tail) - n)  # so many rows of the tail are in the head
+        at = np.r_[np.arange(len(head)), np.arange(n - len(tail) + new, n)]
+        rows = pa.concat_tables([head, tail.slice(new)]).combine_chunks()
+        own = [pa.array(np.full(len(at), TaskContext.get().partitionId(), np.int32)), pa.array(at), pa.array(np.full(len(at), n))]
+        none = [pa.nulls(len(at), pa.int64())] * 2
+        for batch in pa.Table.from_arrays([*none, *own, *rows.columns], names=["a", "b", *edge.names]).to_batches():
+            yield batch
 
+    edge = pa.schema([("part", pa.int32()), ("at", pa.int64()), ("n", pa.int64()), ("pass", pa.int32()), ("size", pa.int32()), ("vec_id", pa.int64()), ("vec", pa.binary())])
     rows = classes.select("vec_id", "vec").mapInArrow(project, "pass int, size int, sign long, vec_id long, vec binary")
     order = ["pass", "size", "sign", "vec_id"]
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(compare, "a long, b long")
+    ranges = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    found = written(ranges.mapInArrow(compare, "a long, b long, part int, at long, n long, pass int, size int, vec_id long, vec binary"), "windows")
+    return found.where("a is not null").select("a", "b").union(across(found.where("part is not null").drop("a", "b"), window, cosine))
+
+
+def across(edges: DataFrame, window: int, cosine: float) -> DataFrame:
+    """Verified links (a, b) between range partitions: the first rows of each are compared behind the ``window`` rows before it, of however many partitions.
+
+    Only each partition's number of rows is collected.
+    """
+    sizes = sorted((r["part"], r["n"]) for r in edges.groupBy("part").agg(F.max("n").alias("n")).collect())
+    reach = []  # (part, a later partition, rows between both)
+    for k, (part, _) in enumerate(sizes):
+        between = 0
+        for later, n in sizes[k + 1 :]:
+            reach.append((part, later, between))
+            between += n
+            if between >= window:
+                break
+    spark = edges.sparkSession
+    reached = edges.join(F.broadcast(spark.createDataFrame(reach, "part int, into int, between long")), "part").where(F.col("n") - F.col("at") + F.col("between") <= window)
+    names = ["into", "part", "at", "pass", "size", "vec_id", "vec"]
+    rows = reached.select(*names).union(edges.where(F.col("at") < window).withColumn("into", F.col("part")).select(*names))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for a, b in windows((batch.select(["into", "pass", "size", "vec_id", "vec"]) for batch in batches if batch.num_rows), window, cosine):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return rows.repartition("into").sortWithinPartitions("into", "part", "at").mapInArrow(compare, "a long, b long")
 
 
 def link_counts(classes: DataFrame, comps: DataFrame, cosine: float) -> DataFrame:
@@ -188,13 +264,14 @@ def link_counts(classes: DataFrame, comps: DataFrame, cosine: float) -> DataFram
     return blocks.groupBy("vec_id").agg(F.sum("near").alias("near"))
 
 
-def near_duplicates(embeddings: DataFrame, passes: int = PASSES, window: int = WINDOW, cosine: float = COSINE) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, passes: int | None = None, window: int = WINDOW, cosine: float = COSINE) -> DataFrame:
     """Per row of ``embeddings`` (vec_id, embedding): vec_id, n_links, component_id, kept.
 
     Vectors that are null, zero or hold null or non-finite components link with
     nothing; so do vectors of different lengths with each other. A repeated row
     counts once in links. A null id gives a row with no links and null component.
-    Further columns are not read; an empty table gives an empty result.
+    Further columns are not read; an empty table gives an empty result. Without
+    ``passes`` their number follows from the number of different vectors.
     """
     narrow = embeddings.selectExpr("cast(vec_id as bigint) vec_id", "embedding")
     rows = written(usable(narrow), "vectors")
@@ -202,6 +279,7 @@ def near_duplicates(embeddings: DataFrame, passes: int = PASSES, window: int = W
     grouped = written(ids.groupBy("d1", "d2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes")
     vecs = rows.join(grouped, (rows.d1 == grouped.d1) & (rows.d2 == grouped.d2) & (rows.vec_id == grouped.rep)).select("vec_id", "copies", "vec")
     vecs = written(vecs.dropDuplicates(["vec_id"]), "representatives")
+    passes = passes or passes_for(vecs.count(), window, cosine)
     links = None
     for at in range(0, passes, PASSES_A_JOB):
         part = written(sorted_pass(vecs, list(range(at, min(passes, at + PASSES_A_JOB))), window, cosine).distinct(), "links")

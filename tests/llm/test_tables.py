@@ -59,6 +59,41 @@ def test_embedding_links(spark):
     assert got[None].component_id is None
 
 
+def test_windows_reach_over_the_edges_of_partitions(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((200, 16))
+    v = np.r_[x, x + 0.2 * rng.standard_normal((200, 16))]
+    vecs = spark.createDataFrame([(i, r.tobytes()) for i, r in enumerate(v)], "vec_id long, vec binary")
+    u = embed_dups.units_of([r.tobytes() for r in v])
+    want = set()
+    for p in (0, 1):
+        bits = (u @ embed_dups.planes(p, 16) > 0).astype(int).tolist()
+        order = sorted(range(len(v)), key=lambda i: (bits[i], i))
+        want |= {frozenset((a, b)) for k, a in enumerate(order) for b in order[max(0, k - 12) : k] if u[a] @ u[b] >= 0.9}
+    assert want
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "4"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for parts in ("1", "9", "80"):
+            for k, x in (conf | {"spark.sql.shuffle.partitions": parts}).items():
+                spark.conf.set(k, x)
+            links = embed_dups.sorted_pass(vecs, [0, 1], 12, 0.9).collect()
+            got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+            assert {frozenset((r.a, r.b)) for r in links} <= want
+            assert all(got[a] == got[b] for a, b in map(tuple, want))
+    finally:
+        for k, x in before.items():
+            spark.conf.set(k, x)
+
+
+def test_passes_follow_the_number_of_vectors():
+    agree = 1 - np.arccos(0.9) / np.pi
+    for n in (50, 500, 50_000, 1_000_000, 10_000_000):
+        met = agree ** max(0, np.log2(n / embed_dups.WINDOW))
+        assert 1 - (1 - met) ** embed_dups.passes_for(n) >= embed_dups.RECALL
+    assert embed_dups.passes_for(10_000_000) > embed_dups.passes_for(1_000_000) > embed_dups.passes_for(50)
+
+
 def test_pipeline_on_small_tables(spark):
     data = "/root/testdata/sf0.001"
     if not os.path.isdir(data):
