@@ -9,8 +9,10 @@ every ``LONGEST`` bytes.
 
 Chunks are compared by digest over all documents. A chunk is a repeat where a
 document with a smaller id has it (with ``within``, also where an earlier chunk of
-its own document is the same). Repeats go where they stand in runs of ``LEAST_RUN`` bytes or more, so
-phrases that recur by chance stay.
+its own document is the same). A text's last chunk, or what a set end leaves, may be of ``REACH`` bytes or less;
+it is then compared together with the chunk before it. Repeats go where they stand in
+runs of ``LEAST_RUN`` bytes or more, so phrases that recur by chance stay, and
+where a run is the whole document.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from .shared import _BYTE, mixed, powers, slices, text_bytes, written
 
 REACH = 20
 LONGEST = 512
-LEAST_RUN = 140
+LEAST_RUN = 100
 PAD = 32
 _GEAR = (mixed(_BYTE) >> np.uint64(16)).astype(np.uint32)
 
@@ -96,6 +98,14 @@ def digests(raw: np.ndarray, cuts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return mixed((sums[ends] - sums[cuts]) * down[cuts] + (ends - cuts).astype(np.uint64)).view(np.int64)
 
 
+def chunk_digests(raw: np.ndarray, cuts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Digests of the chunks; one of at most ``REACH`` bytes has that of its bytes and the chunk before, if its text has one."""
+    begin = cuts.copy()
+    short = np.setdiff1d(np.flatnonzero(ends - cuts <= REACH), first)
+    begin[short] = cuts[short - 1]
+    return digests(raw, begin, ends)
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
     """(digest, doc_id): the chunks of each document, once."""
 
@@ -103,8 +113,8 @@ def occurrences(docs: DataFrame) -> DataFrame:
         for batch in slices(batches, 1):
             raw, starts = text_bytes(batch.column(1))
             cuts, ends, rows = chunks(raw, starts)
-            d = digests(raw, cuts, ends)
-            out = [np.unique(d[a:b][ends[a:b] - cuts[a:b] > REACH]) for a, b in zip(rows[:-1], rows[1:], strict=True)]
+            d = chunk_digests(raw, cuts, ends, rows)
+            out = [np.unique(d[a:b]) for a, b in zip(rows[:-1], rows[1:], strict=True)]
             ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), [len(o) for o in out])
             if len(ids):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(ids)], names=["digest", "doc_id"])
@@ -113,7 +123,9 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 
 def runs(flag: np.ndarray, cuts: np.ndarray, ends: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """Byte spans of runs of flagged chunks of at least ``least`` bytes."""
+    """Byte spans of runs of flagged chunks of at least ``least`` bytes, or of all of a document's chunks."""
+    if flag.all() and len(flag):
+        return [(int(cuts[0]), int(ends[-1]))]
     if not flag.any():
         return []
     edge = np.flatnonzero(np.diff(np.r_[0, flag.astype(np.int8), 0]))
@@ -149,7 +161,7 @@ def deduplicate(docs: DataFrame, least_run: int = LEAST_RUN, within: bool = Fals
         for batch in slices(batches, at):
             raw, starts = text_bytes(batch.column(at))
             cuts, ends, first = chunks(raw, starts)
-            d = digests(raw, cuts, ends)
+            d = chunk_digests(raw, cuts, ends, first)
             chars = np.r_[0, np.cumsum((raw & 0xC0) != 0x80)]
             texts, found = [], []
             for k, (old, again, owned) in enumerate(zip(batch.column(at).to_pylist(), batch.column(len(names)), batch.column(len(names) + 1), strict=True)):
@@ -162,7 +174,7 @@ def deduplicate(docs: DataFrame, least_run: int = LEAST_RUN, within: bool = Fals
                 later = np.isin(mine, values(again))
                 shared = later | np.isin(mine, values(owned))
                 if within:
-                    repeat = e - c > REACH
+                    repeat = np.ones(len(mine), bool)
                     repeat[np.unique(mine, return_index=True)[1]] = False
                     later |= repeat
                 gone, all_ = runs(later, c, e, least_run), runs(shared, c, e, least_run)

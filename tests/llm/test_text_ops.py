@@ -234,6 +234,40 @@ def test_substring_dedup(spark, docs):
         assert got[k].text == dict(rows)[k] and got[k].n_repeated == 0
 
 
+def test_exact_copies_are_left_empty(spark):
+    rng = np.random.default_rng(21)
+    texts = [prose(rng, int(n)) for n in rng.integers(1, 120, 40)] + ["ok", "é" * 9, "w1x w2x"]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(100 + k, t) for k, t in enumerate(texts)] + [(300, "w1x w3x, another short text")]
+    got = {r.doc_id: r for r in cdc.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, t in enumerate(texts):
+        assert got[k].text == t
+        assert (got[100 + k].text, got[100 + k].removed, got[100 + k].removed_chars) == ("", f"0:{len(t)}", len(t))
+    assert got[300].text == "w1x w3x, another short text"
+
+
+def test_a_short_end_goes_only_with_what_stands_before_it():
+    rng = np.random.default_rng(22)
+    a = prose(rng, 60).encode()
+    cuts, ends, rows = cdc.chunks(np.frombuffer(a, np.uint8), np.array([0, len(a)]))
+    text = a[: cuts[-1] + 3]
+    other = prose(rng, 30).encode() + text[-3:]
+    both = np.frombuffer(text + other, np.uint8)
+    starts = np.array([0, len(text), len(both)])
+    cuts, ends, rows = cdc.chunks(both, starts)
+    d = cdc.chunk_digests(both, cuts, ends, rows)
+    assert ends[rows[1] - 1] - cuts[rows[1] - 1] == 3 and not set(d[: rows[1]]) & set(d[rows[1] :])
+
+
+def test_passages_of_51_words_are_removed(spark):
+    rng = np.random.default_rng(23)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), int(rng.integers(2, 8))))
+    text = lambda n: " ".join(word() for _ in range(n))
+    passages = [text(51) for _ in range(200)]
+    rows = [(2 * k + i, f"{text(60)} {p} {text(60)}") for k, p in enumerate(passages) for i in (0, 1)]
+    got = {r.doc_id: r for r in cdc.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[2 * k + 1].removed_chars > 0 for k in range(len(passages))) >= 198
+
+
 def test_chunks_survive_an_insertion():
     rng = np.random.default_rng(4)
     text = prose(rng, 400).encode()
