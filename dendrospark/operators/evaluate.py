@@ -100,17 +100,26 @@ def precision_at(scored: DataFrame, right: str, order: str, k: int) -> DataFrame
     return scored.orderBy(F.desc("sim"), order).limit(k).agg((F.count_if(F.col(right)) / F.lit(k)).alias("precision"))
 
 
-def info_nce(batch: DataFrame, order: str, temperature: float = 0.07) -> DataFrame:
-    """Symmetric cross-entropy of a batch of (image, text) vectors and its accuracies both ways. A batch is small and stated, so it meets itself."""
-    a = batch.select(F.col(order).alias("i"), normalised(F.col("image")).alias("u"))
-    b = F.broadcast(batch.select(F.col(order).alias("j"), normalised(F.col("text")).alias("w")))
-    s = a.crossJoin(b).select("i", "j", (dot(F.col("u"), F.col("w")) / temperature).alias("s"))
-    side = lambda x, y: s.groupBy(x).agg(F.max("s").alias("m"), F.max_by(y, F.struct("s", -F.col(y))).alias("best"), F.max(F.when(F.col(x) == F.col(y), F.col("s"))).alias("own"), F.collect_list("s").alias("all"))
-    loss = F.log(F.aggregate("all", F.lit(0.0), lambda t, v: t + F.exp(v - F.col("m")))) + F.col("m") - F.col("own")
-    rows = side("i", "j").select(loss.alias("l"), (F.col("best") == F.col("i")).cast("double").alias("ok"))
-    cols = side("j", "i").select(loss.alias("l"), (F.col("best") == F.col("j")).cast("double").alias("ok"))
-    both = rows.agg(F.avg("l").alias("a"), F.avg("ok").alias("i2t_acc")).crossJoin(cols.agg(F.avg("l").alias("b"), F.avg("ok").alias("t2i_acc")))
-    return both.select(((F.col("a") + F.col("b")) / 2).alias("loss"), "i2t_acc", "t2i_acc")
+def info_nce(views: DataFrame, order: str, batch: str, temperature: float = 0.07) -> DataFrame:
+    """Per batch: n, the symmetric cross-entropy of its (image, text) vectors and the accuracies both ways; ties go to the smaller ``order``.
+
+    A batch is small and stated, so each meets itself in one task. Rows without
+    one of the vectors are in no batch.
+    """
+    rows = views.select(F.col(batch).cast("long").alias("batch"), F.col(order).alias("i"), normalised(F.col("image")).alias("u"), normalised(F.col("text")).alias("w"))
+
+    def side(s: np.ndarray) -> tuple[float, float]:
+        m = s.max(axis=1)
+        return float((np.log(np.exp(s - m[:, None]).sum(axis=1)) + m - np.diag(s)).mean()), float((s.argmax(axis=1) == np.arange(len(s))).mean())
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("i")
+        u, w = (np.array(t.column(c).to_pylist(), float) for c in ("u", "w"))
+        s = u @ w.T / temperature
+        (a, i2t), (b, t2i) = side(s), side(s.T)
+        return pa.table({"batch": t.column("batch").slice(0, 1), "n": [len(s)], "loss": [(a + b) / 2], "i2t_acc": [i2t], "t2i_acc": [t2i]})
+
+    return rows.where("u is not null and w is not null").groupBy("batch").applyInArrow(run, "batch long, n long, loss double, i2t_acc double, t2i_acc double")
 
 
 def kl_term(mu: Column, logvar: Column, free_bits: float = 0.0) -> Column:

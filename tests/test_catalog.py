@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 from dendrospark.plans import catalog
@@ -42,3 +43,16 @@ def test_query_matches_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_query_without_sql_runs(spark, name):
     assert catalog.QUERIES[name](spark, DATA).count() > 0
+
+
+def test_info_nce_takes_every_view(spark, duck):
+    rows = duck.execute("SELECT vec_id, embedding FROM embeddings ORDER BY vec_id").fetchall()
+    got = {r.batch: r for r in catalog.QUERIES["A33_info_nce"](spark, DATA).collect()}
+    assert len(got) == -(-len(rows) // 64) and sum(r.n for r in got.values()) == len(rows)
+    for k, r in got.items():
+        x = np.array([e for _, e in rows[64 * k : 64 * k + 64]], float)
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        s = u @ u[:, ::-1].T / 0.07
+        loss = [np.mean(np.log(np.exp(m).sum(axis=1)) - np.diag(m)) for m in (s, s.T)]
+        assert abs(r.loss - sum(loss) / 2) < 1e-5
+        assert abs(r.i2t_acc - np.mean(s.argmax(axis=1) == np.arange(len(s)))) < 1e-5
