@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BROADCAST_ROWS = 20_000
+QUERY_BLOCK = 4096
+ITEM_BLOCK = 2048
 
 
 def doubles(v: Column) -> Column:
@@ -74,7 +79,7 @@ def similarities(queries: DataFrame, items: DataFrame, query_id: str, item_id: s
     """(query, item, sim) of a stated query set against all items. The queries must be few (checked) and are broadcast."""
     n = queries.limit(BROADCAST_ROWS + 1).count()
     if n > BROADCAST_ROWS:
-        raise ValueError(f"more than {BROADCAST_ROWS} queries; rank them in blocks with evaluate.ranks")
+        raise ValueError(f"more than {BROADCAST_ROWS} queries; find their neighbours in blocks with nearest, their ranks with evaluate.ranks")
     q = queries.select(F.col(query_id), normalised(F.col("vec")).alias("qv"))
     i = items.select(F.col(item_id), normalised(F.col("vec")).alias("iv"))
     return i.crossJoin(F.broadcast(q)).select(query_id, item_id, dot(F.col("qv"), F.col("iv")).alias("sim"))
@@ -86,6 +91,57 @@ def top_k(sims: DataFrame, query_id: str, item_id: str, k: int) -> DataFrame:
     return sims.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def products(a: pa.ChunkedArray, b: pa.ChunkedArray) -> np.ndarray:
+    """All dot products of two columns of vectors; nan where one is null, holds a null or has another length."""
+    out = np.full((len(a), len(b)), np.nan)
+    rows, cols = a.to_pylist(), b.to_pylist()
+    left, right = (np.array([-1 if v is None else len(v) for v in x], np.int64) for x in (rows, cols))
+    for size in np.intersect1d(left[left >= 0], right[right >= 0]):
+        i, j = np.flatnonzero(left == size), np.flatnonzero(right == size)
+        out[np.ix_(i, j)] = np.array([rows[k] for k in i], float).reshape(len(i), size) @ np.array([cols[k] for k in j], float).reshape(len(j), size).T
+    return out
+
+
+def nearest(queries: DataFrame, items: DataFrame, query_id: str, item_id: str, k: int, places: int | None = None) -> DataFrame:
+    """(query, item, sim, rank): the k most similar items of any number of queries, as ``top_k`` orders them.
+
+    Queries and items are dealt into blocks of about ``QUERY_BLOCK`` and
+    ``ITEM_BLOCK`` rows. A task multiplies a block of queries with one of items
+    and passes on k rows a query; these lists are merged by rank. Similarities are
+    rounded to ``places`` before they are compared. Unknown ones come last.
+    """
+    n_q, n_i = max(1, -(-queries.count() // QUERY_BLOCK)), max(1, -(-items.count() // ITEM_BLOCK))
+
+    def dealt(df: DataFrame, own_id: str, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
+        rows = df.select(F.col(own_id).alias("id"), normalised(F.col("vec")).alias("v"))
+        return rows.withColumn(own, F.pmod(F.xxhash64("id", "v"), F.lit(n_own)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
+
+    schema = T.StructType([T.StructField(query_id, queries.schema[query_id].dataType), T.StructField(item_id, items.schema[item_id].dataType), T.StructField("sim", T.DoubleType())])
+
+    def run(q: pa.Table, it: pa.Table) -> pa.Table:
+        it = it.sort_by("id")
+        left, right, sims = [], [], []
+        for at in range(0, len(q) if len(it) else 0, 512):
+            s = products(q.column("v").slice(at, 512), it.column("v"))
+            if places is not None:
+                s = np.round(s, places)
+            key = np.where(np.isnan(s), np.inf, -s)
+            last = np.partition(key, k - 1, axis=1)[:, k - 1] if k < len(it) else np.full(len(key), np.inf)
+            r, c = np.nonzero(key <= last[:, None])
+            order = np.lexsort((c, key[r, c], r))
+            r, c = r[order], c[order]
+            best = np.arange(len(r)) - np.searchsorted(r, r) < k
+            r, c = r[best], c[best]
+            left.append(r + at)
+            right.append(c)
+            sims.append(s[r, c])
+        r, c, s = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((left, np.int64), (right, np.int64), (sims, float)))
+        return pa.table({query_id: q.column("id").take(pa.array(r)), item_id: it.column("id").take(pa.array(c)), "sim": pa.array(s, mask=np.isnan(s))})
+
+    blocks = dealt(queries, query_id, "qb", n_q, "ib", n_i).groupBy("qb", "ib").cogroup(dealt(items, item_id, "ib", n_i, "qb", n_q).groupBy("qb", "ib"))
+    return top_k(blocks.applyInArrow(run, schema), query_id, item_id, k)
+
+
 def nearest_class(sims: DataFrame, item_id: str, class_id: str) -> DataFrame:
     """Per item the class of the best similarity, the smaller id on ties."""
     return sims.groupBy(item_id).agg(F.max_by(class_id, F.struct(F.col("sim"), -F.col(class_id))).alias("predicted"))

@@ -6,6 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
+from dendrospark.operators import vectors
 from dendrospark.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
@@ -56,3 +57,20 @@ def test_info_nce_takes_every_view(spark, duck):
         loss = [np.mean(np.log(np.exp(m).sum(axis=1)) - np.diag(m)) for m in (s, s.T)]
         assert abs(r.loss - sum(loss) / 2) < 1e-5
         assert abs(r.i2t_acc - np.mean(s.argmax(axis=1) == np.arange(len(s)))) < 1e-5
+
+
+def test_top_k_of_many_queries_in_blocks(spark, duck, monkeypatch):
+    for name, rows in (("BROADCAST_ROWS", 5), ("QUERY_BLOCK", 7), ("ITEM_BLOCK", 100)):
+        monkeypatch.setattr(vectors, name, rows, raising=False)
+    got, want = plain(catalog.QUERIES["O2_top_k"](spark, DATA).toPandas()), plain(duck.execute(catalog.SQL["O2_top_k"]).df())
+    assert got.equals(want)
+
+
+def test_nearest_keeps_ties_and_unknown_ones_in_order(spark):
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (4, None), (5, [1.0]), (6, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "id long, vec array<double>")
+    for k in (1, 2, 6, 9):
+        got = vectors.nearest(df.selectExpr("id q", "vec"), df.selectExpr("id i", "vec"), "q", "i", k).collect()
+        want = vectors.top_k(vectors.similarities(df.selectExpr("id q", "vec"), df.selectExpr("id i", "vec"), "q", "i"), "q", "i", k).collect()
+        assert sorted((r.q, r.rank, r.i, r.sim) for r in got if r.sim is not None) == sorted((r.q, r.rank, r.i, r.sim) for r in want if r.sim is not None)
+        assert sorted((r.q, r.rank, r.i) for r in got) == sorted((r.q, r.rank, r.i) for r in want)
