@@ -2,7 +2,8 @@
 
 Text reaches Python only as Arrow batches. A batch is cut into slices of
 bounded bytes, so a task's memory follows the slice size (or one document, if
-that is longer), not the number of rows Spark puts in a batch.
+that is longer), not the number of rows Spark puts in a batch. The batches
+themselves are bounded by Spark's own setting (``mapped``).
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "2m")
 
 _RNG = np.random.default_rng(20240607)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -47,6 +49,14 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow``; where the session doesn't say how many bytes an Arrow batch may have, it is set to a few megabytes."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH[0], None) is None:
+        conf.set(*BATCH)
+    return df.mapInArrow(run, schema)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches cut so that the text ``column`` of each holds about ``limit`` bytes, or one row."""
     for batch in batches:
@@ -125,8 +135,8 @@ def salted_fold(df: DataFrame, fold: Callable[[Iterator[pa.RecordBatch]], Iterat
     The first step leaves at most 32 partitions, the second one; every row is
     a summary of constant size, so no step gathers rows of the corpus.
     """
-    once = df.repartition(32).mapInArrow(fold, df.schema)
-    return once.repartition(1).mapInArrow(fold, df.schema)
+    once = mapped(df.repartition(32), fold, df.schema)
+    return mapped(once.repartition(1), fold, df.schema)
 
 
 def with_unique_names(df: DataFrame, keep: list[str]) -> DataFrame:

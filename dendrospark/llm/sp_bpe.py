@@ -10,9 +10,14 @@ steps back otherwise; a bitfield holds the positions known to fail.
 
 A text is encoded in segments that start where a space follows something
 else. No piece of the vocabulary crosses such a place (checked when the model is
-read; otherwise the whole text is one segment), so segments are independent, and
-a bounded table keeps those seen before. Characters outside the vocabulary become
-their UTF-8 bytes' pieces, or the unknown piece in models without those.
+read; otherwise a whole text is one segment), so segments are independent. All
+different segments of a slice of text walk in step, one numpy operation for all
+of them at a time: first the automaton, which reads them from their ends (it holds
+the pieces backwards, so its state at a place tells the longest piece that begins
+there), then the backtracking. Segments of more than ``LONGEST`` characters and
+those that need many steps are walked one by one. Characters outside the
+vocabulary become their UTF-8 bytes' pieces, or the unknown piece in models
+without those.
 """
 
 from __future__ import annotations
@@ -21,19 +26,18 @@ import hashlib
 import re
 from collections.abc import Iterator
 from itertools import groupby
-from struct import pack
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .shared import slices
+from .shared import SLICE_BYTES, mapped, mixed, powers, slices, text_bytes
 
 SPACE = "▁"
-TABLE = 100_000  # segments kept in each of a worker's two tables
-PAIRS = 150_000  # compatibility results kept
+PAIRS = 400_000  # compatibility results kept; half of them go when there are more
 LONGEST = 64  # characters looked at for the longest match; no longer pieces are accepted
+STEPS = 48  # steps that segments take together; what needs more goes on alone
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
 SCHEMA = T.StructType(
@@ -46,6 +50,47 @@ SCHEMA = T.StructType(
 )
 
 
+class Table:
+    """A map from numbers of 0 or more to small numbers of 0 or more, asked and filled with whole arrays: open addressing."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(10, (2 * len(keys)).bit_length())
+        self.keys, self.values, self.n = np.full(1 << self.bits, -1), np.full(1 << self.bits, -1, np.int32), 0
+        self.put(keys, values)
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The values; -1 for keys that are not there."""
+        at = self.slot(keys)
+        seen = self.keys[at]
+        out = np.where(seen == keys, self.values[at], -1)
+        other = np.flatnonzero((seen != keys) & (seen >= 0))
+        while len(other):
+            at[other] = (at[other] + 1) & (len(self.keys) - 1)
+            seen = self.keys[at[other]]
+            same = seen == keys[other]
+            out[other[same]] = self.values[at[other[same]]]
+            other = other[~same & (seen >= 0)]
+        return out
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Adds keys that differ and are not there yet."""
+        if 2 * (self.n + len(keys)) > len(self.keys):
+            used = self.keys >= 0
+            return self.__init__(np.r_[self.keys[used], keys], np.r_[self.values[used], values])
+        self.n += len(keys)
+        at, left = self.slot(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[at[left]] < 0]
+            self.keys[at[free]] = keys[free]
+            mine = free[self.keys[at[free]] == keys[free]]
+            self.values[at[mine]] = values[mine]
+            left = np.setdiff1d(left, mine, assume_unique=True)
+            at[left] = (at[left] + 1) & (len(self.keys) - 1)
+
+
 class Bpe:
     """A BPE model read from a ``.model`` file's bytes. Only identity normalisation is supported."""
 
@@ -88,16 +133,56 @@ class Bpe:
         for p in reach:
             self.auto.add_word(p, len(p))
         self.auto.make_automaton()
-        crossing = any(SPACE in p.lstrip(SPACE) for p in self.id)
-        self.segment = re.compile(r"(?s).+" if crossing else rf"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self.crossing = any(SPACE in p.lstrip(SPACE) for p in self.id)
+        self.segment = re.compile(r"(?s).+" if self.crossing else rf"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.pair: dict[tuple[str, str], bool] = {}
         self.chars = frozenset(alone)
         self.utf8 = [(p.replace(SPACE, " ") if k == NORMAL else "" if k in (CONTROL, BYTE) else self.unk_text).encode() for p, k in zip(self.piece, self.kind, strict=True)]
         for value, i in enumerate(self.bytes):
             if i:
                 self.utf8[i] = bytes([value])
-        self.table: dict[str, tuple[bytes, bytes]] = {}
-        self.older: dict[str, tuple[bytes, bytes]] = {}
+        self.out_size = np.array([len(t) for t in self.utf8])
+        self.out_at = np.r_[0, np.cumsum(self.out_size)]
+        self.out = np.frombuffer(b"".join(self.utf8), np.uint8)
+        self.fit = Table(np.zeros(0, np.int64), np.zeros(0, np.int32))
+        self.automaton()
+
+    def automaton(self) -> None:
+        """Aho-Corasick over the pieces read backwards: states' links (``goto``, ``fail``) and the longest piece each ends with.
+
+        ``shorter`` leads from a piece to the longest piece that it begins with.
+        """
+        self.char = np.full(0x110000, -1, np.int32)
+        self.char[[ord(c) for c in self.chars]] = np.arange(len(self.chars))
+        links: list[dict[int, int]] = [{}]
+        ends = [-1]
+        for p, i in self.id.items():
+            at = 0
+            for c in self.char[[ord(c) for c in reversed(p)]].tolist():
+                if c not in links[at]:
+                    links[at][c] = len(links)
+                    links.append({})
+                    ends.append(-1)
+                at = links[at][c]
+            ends[at] = i
+        fail, wave = [0] * len(links), list(links[0].values())
+        while wave:
+            for s in wave:
+                for c, t in links[s].items():
+                    f = fail[s]
+                    while f and c not in links[f]:
+                        f = fail[f]
+                    fail[t] = links[f].get(c, 0)
+                    if ends[t] < 0:
+                        ends[t] = ends[fail[t]]
+            wave = [t for s in wave for t in links[s].values()]
+        flat = [(s * len(self.chars) + c, t) for s, more in enumerate(links) for c, t in more.items()]
+        self.goto = Table(*(np.array(x, np.int64) for x in zip(*flat, strict=True)))
+        self.fail, self.ends = np.array(fail), np.array(ends)
+        self.size = np.array([len(p) for p in self.piece])
+        self.shorter = np.full(len(self.piece), -1)
+        for p, i in self.id.items():
+            self.shorter[i] = next((self.id[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in self.id), -1)
 
     def merged(self, text: str) -> list[str]:
         """The merge rule itself, for short strings: what two neighbouring pieces become."""
@@ -121,7 +206,7 @@ class Bpe:
         got = self.pair.get(key)
         if got is None:
             got = self.merged(a + b) == [a, b]
-            if len(self.pair) >= PAIRS:
+            if len(self.pair) >= PAIRS // 8:
                 self.pair.clear()
             self.pair[key] = got
         return got
@@ -181,32 +266,141 @@ class Bpe:
             lost = not known
         return out
 
-    def parts(self, text: str) -> list[tuple[bytes, bytes]]:
-        """Per segment: ids as little-endian 32-bit, and decoded UTF-8 (before the leading space goes)."""
-        if not text:
-            return []
-        segments = self.segment.findall(self.prefix + text.replace(" ", SPACE))
-        out = list(map(self.table.get, segments))
-        if None in out:
-            for i, got in enumerate(out):
-                if got is None:
-                    out[i] = self.missing(segments[i])
+    def fitting(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``fits`` of many pairs of piece ids; each new pair is merged once."""
+        keys = a * len(self.piece) + b
+        got = self.fit.get(keys)
+        new = np.unique(keys[got < 0])
+        if len(new):
+            if self.fit.n + len(new) > PAIRS:
+                keep = np.flatnonzero(self.fit.keys >= 0)[::2]
+                self.fit = Table(self.fit.keys[keep], self.fit.values[keep])
+            pieces = [(self.piece[k // len(self.piece)], self.piece[k % len(self.piece)]) for k in new.tolist()]
+            value = np.array([self.merged(x + y) == [x, y] for x, y in pieces], np.int32)
+            self.fit.put(new, value)
+            got[got < 0] = value[np.searchsorted(new, keys[got < 0])]
+        return got == 1
+
+    def longest(self, codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """At each place of the given segments of character numbers the longest piece that begins there."""
+        out = np.full(len(codes), -1)
+        order = np.argsort(-size, kind="stable")
+        last, fewer = (start + size)[order] - 1, -size[order]
+        state = np.zeros(len(order), np.int64)
+        for k in range(int(size.max(initial=0))):
+            n = int(np.searchsorted(fewer, -k))  # segments with more than k characters
+            state, c = state[:n], codes[last[:n] - k]
+            to = self.goto.get(state * len(self.chars) + c)
+            back = np.flatnonzero(to < 0)
+            while len(back):
+                state[back] = self.fail[state[back]]
+                to[back] = self.goto.get(state[back] * len(self.chars) + c[back])
+                back = back[to[back] < 0]
+            state = to.astype(np.int64)
+            out[last[:n] - k] = self.ends[state]
         return out
 
-    def missing(self, seg: str) -> tuple[bytes, bytes]:
-        got = self.table.get(seg) or self.older.get(seg)
-        if got is None:
-            ids = self.encode_segment(seg)
-            got = (pack(f"<{len(ids)}I", *ids), self.pieces_text(ids))
-        if len(seg) <= 64:
-            if len(self.table) >= TABLE:
-                self.older, self.table = self.table, {}
-            self.table[seg] = got
-        return got
+    def walk(self, codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Backtracking of all segments in step: how many pieces each has (0: not done) and a table of them, a row a segment.
+
+        Between two segments in ``codes`` lies a place that belongs to neither.
+        """
+        longest = self.longest(codes, start, size)
+        end, pos = start + size, start.copy()
+        failed = np.zeros(len(codes) + 1, bool)
+        before, depth = np.full(len(start), -1), np.zeros(len(start), np.int64)
+        path = np.zeros((len(start), int(size.max(initial=0)) + 1), np.int32)
+        piece = longest[start]
+        active = np.arange(len(start))
+        for _ in range(STEPS):
+            if not len(active):
+                break
+            left = piece[active] >= 0
+            mine, stuck = active[left], active[~left]
+            p = piece[mine]
+            to = pos[mine] + self.size[p]
+            ok = ~failed[to]
+            ask = np.flatnonzero(ok & (before[mine] >= 0))
+            ok[ask] = self.fitting(before[mine[ask]], p[ask])
+            on, no = mine[ok], mine[~ok]
+            path[on, depth[on]] = before[on] = p[ok]
+            depth[on] += 1
+            pos[on] = to[ok]
+            on = on[pos[on] < end[on]]
+            piece[on] = longest[pos[on]]
+            piece[no] = self.shorter[p[~ok]]
+            # Nothing follows here: the position has failed and the piece before gives way to a shorter one.
+            failed[pos[stuck]] = True
+            depth[stuck] -= 1
+            last = path[stuck, depth[stuck]]
+            pos[stuck] -= self.size[last]
+            piece[stuck] = self.shorter[last]
+            before[stuck] = np.where(depth[stuck] > 0, path[stuck, depth[stuck] - 1], -1)
+            active = active[pos[active] < end[active]]
+        depth[active] = 0
+        return depth, path
+
+    def encode_rows(self, raw: np.ndarray, starts: np.ndarray, prefix: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many texts given as UTF-8 bytes, and each text's first id plus the total; ``prefix`` puts the dummy space before them."""
+        codes = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32).astype(np.int64)
+        row = np.r_[0, np.cumsum((raw & 0xC0) != 0x80)][starts]
+        codes[codes == 0x20] = ord(SPACE)
+        if prefix and self.prefix:
+            full = row[:-1][np.diff(row) > 0]
+            codes = np.insert(codes, full, ord(SPACE))
+            row = row + np.searchsorted(full, row)
+        if not len(codes):
+            return np.zeros(0, np.int64), np.zeros(len(row), np.int64)
+        char = self.char[codes].astype(np.int64)
+        known, space = char >= 0, codes == ord(SPACE)
+        first = np.zeros(len(codes), bool)
+        first[1:] = (known[1:] != known[:-1]) | (False if self.crossing else space[1:] & ~space[:-1])
+        first[row[:-1][np.diff(row) > 0]] = True
+        start = np.flatnonzero(first)
+        size = np.diff(np.r_[start, len(codes)])
+        one, of = self.different(codes, start, size)
+        s, n = start[one], size[one]
+        short = known[s] & (n <= LONGEST)
+        # The different segments side by side, a place apart.
+        at = np.r_[0, np.cumsum(n[short] + 1)][:-1]
+        place = np.repeat(at, n[short]) + within(n[short])
+        side = np.full(int((n[short] + 1).sum()), -1)
+        side[place] = char[np.repeat(s[short], n[short]) + within(n[short])]
+        depth, path = self.walk(side, at, n[short])
+        count = np.zeros(len(one), np.int64)
+        count[short] = depth
+        alone = {}
+        for k in np.flatnonzero(count == 0).tolist():
+            text = "".join(map(chr, codes[s[k] : s[k] + n[k]]))
+            alone[k] = self.encode_segment(text)
+            count[k] = len(alone[k])
+        begin = np.r_[0, np.cumsum(count)]
+        flat = np.zeros(begin[-1], np.int64)
+        flat[np.repeat(begin[:-1][short], depth) + within(depth)] = path[np.repeat(np.arange(len(depth)), depth), within(depth)]
+        for k, ids in alone.items():
+            flat[begin[k] : begin[k + 1]] = ids
+        many = count[of]
+        ids = flat[np.repeat(begin[:-1][of], many) + within(many)]
+        return ids, np.r_[0, np.cumsum(many)][np.searchsorted(start, row)]
+
+    def different(self, codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One segment of each different string, and for every segment which of these it equals (found by hash, then compared)."""
+        up, down = powers(len(codes))
+        sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(mixed(codes.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * up[: len(codes)], out=sums[1:])
+        _, one, of = np.unique(mixed((sums[start + size] - sums[start]) * down[start] + size.astype(np.uint64)), return_index=True, return_inverse=True)
+        if (size[one[of]] == size).all() and (codes[np.repeat(start[one[of]], size) + within(size)] == codes).all():
+            return one, of
+        return np.arange(len(start)), np.arange(len(start))
+
+    def decode_rows(self, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """UTF-8 of the pieces of many texts, spaces restored (the leading ones too), and each text's first byte plus the total."""
+        size = self.out_size[ids]
+        return self.out[np.repeat(self.out_at[ids], size) + within(size)], np.r_[0, np.cumsum(size)][starts]
 
     def encode(self, text: str, bos: bool = True, eos: bool = True) -> list[int]:
-        ids = np.frombuffer(b"".join(p[0] for p in self.parts(text)), "<u4").tolist()
-        return [self.bos] * bos + ids + [self.eos] * eos
+        raw = np.frombuffer(text.encode(), np.uint8)
+        return [self.bos] * bos + self.encode_rows(raw, np.array([0, len(raw)]))[0].tolist() + [self.eos] * eos
 
     def pieces_text(self, ids: list[int]) -> bytes:
         """UTF-8 of the pieces with spaces restored, byte pieces as bytes."""
@@ -222,6 +416,11 @@ class Bpe:
         return replaced(raw)
 
 
+def within(size: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each of runs of the given sizes."""
+    return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+
+
 def replaced(raw: bytes) -> str:
     try:
         return raw.decode()
@@ -251,12 +450,23 @@ def model_of(data: bytes) -> Bpe:
     return _models[key]
 
 
+def cut_places(raw: np.ndarray, limit: int) -> list[int]:
+    """Bytes at which a long text may be cut into pieces of about ``limit`` bytes: spaces that follow something else."""
+    space = raw == 0x20
+    mark = np.zeros(len(raw), bool)  # a character that already is the space mark ends here
+    mark[3:] = (raw[:-3] == 0xE2) & (raw[1:-2] == 0x96) & (raw[2:-1] == 0x81)
+    ok = np.flatnonzero(space[1:] & ~space[:-1] & ~mark[1:]) + 1
+    at = np.searchsorted(ok, np.arange(limit, len(raw), limit))
+    return np.unique(ok[at[at < len(ok)]]).tolist()
+
+
 def encode_documents(docs: DataFrame, model_path: str, with_ids: bool = False) -> DataFrame:
     """Per row of ``docs``: doc_id, n_tokens, ids_sha256, decoded_sha256, and the ids themselves if asked for.
 
     A map over partitions, no shuffle; the model file (half a megabyte, read
     once on the driver) is broadcast. Null and empty texts give begin and end
-    only; long texts are walked segment by segment; further columns aren't read.
+    only; repeated rows and null ids give a row each; very long texts are walked
+    in parts that end where a segment does; further columns aren't read.
     """
     model = docs.sparkSession.sparkContext.broadcast(open(model_path, "rb").read())
     schema = T.StructType([*SCHEMA.fields, *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])])
@@ -264,20 +474,34 @@ def encode_documents(docs: DataFrame, model_path: str, with_ids: bool = False) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model_of(model.value)
         begin, end = (np.array([i], "<u4").tobytes() for i in (bpe.bos, bpe.eos))
+
+        def parts(raw: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+            """Bytes and starts of the rows, or one long row part by part; the last value tells the first part."""
+            cuts = cut_places(raw, SLICE_BYTES) if len(starts) == 2 and len(raw) > 2 * SLICE_BYTES and not bpe.crossing else []
+            if not cuts:
+                yield raw, starts, True
+            for a, b in zip([0, *cuts], [*cuts, len(raw)], strict=True) if cuts else ():
+                yield raw[a:b], np.array([0, b - a]), a == 0
+
         for batch in slices(batches, 1):
-            n, ids_sha, text_sha, ids = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                parts = list(bpe.parts(text or ""))
-                got, back = map(b"".join, zip(*parts, strict=True)) if parts else (b"", b"")
-                raw = begin + got + end
-                if bpe.prefix and back[:1] == b" ":
-                    back = back[1:]
-                n.append(len(raw) // 4)
-                ids_sha.append(hashlib.sha256(raw).hexdigest())
-                text_sha.append(hashlib.sha256(back).hexdigest())
-                if with_ids:
-                    ids.append(np.frombuffer(raw, "<i4"))
-            cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
-            yield pa.RecordBatch.from_arrays(cols + ([pa.array(ids, pa.list_(pa.int32()))] if with_ids else []), names=schema.names)
-
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, schema)
+            n, sums = [0] * batch.num_rows, [(hashlib.sha256(begin), hashlib.sha256()) for _ in range(batch.num_rows)]
+            kept: list[list[np.ndarray]] = [[np.frombuffer(begin, "<i4")] for _ in range(batch.num_rows)]
+            for raw, starts, first in parts(*text_bytes(batch.column(1))):
+                ids, at = bpe.encode_rows(raw, starts, first)
+                back, to = bpe.decode_rows(ids, at)
+                ids = ids.astype("<u4")
+                for k, (a, b, x, y) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), to[:-1].tolist(), to[1:].tolist(), strict=True)):
+                    if first and bpe.prefix and x < y and back[x] == 0x20:
+                        x += 1
+                    n[k] += b - a
+                    sums[k][0].update(ids[a:b])
+                    sums[k][1].update(back[x:y])
+                    if with_ids:
+                        kept[k].append(ids[a:b].view("<i4"))
+            for ids_sum, _ in sums:
+                ids_sum.update(end)
+            cols = [batch.column(0), pa.array([k + 2 for k in n], pa.int64()), *(pa.array([s[i].hexdigest() for s in sums], pa.string()) for i in (0, 1))]
+            ids = [pa.array([np.concatenate([*k, np.frombuffer(end, "<i4")]) for k in kept], pa.list_(pa.int32()))] if with_ids else []
+            yield pa.RecordBatch.from_arrays(cols + ids, names=schema.names)
+
+    return mapped(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), run, schema)
