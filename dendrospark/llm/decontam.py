@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import slices, text_bytes, word_hashes, word_spans
+from .shared import mapped, slices, text_bytes, word_hashes, word_spans
 
 WINDOW = 13
 BLOCK_BYTES = 8 << 20
@@ -68,19 +68,21 @@ class Suffixes:
             at += n + 1
         self.starts, self.length, self.item = (np.array(x, np.int64) for x in (starts, length, item))
         self.shortest = int(self.length.min()) if len(self.length) else 0
+        self.longest_item = max((len(words[i]) for i in keep), default=0)
 
 
 def suffix_array(codes: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """``at`` sorted by the codes that follow, up to ``depth``; ``codes`` ends in a 0. Prefix doubling over the positions in runs."""
+    """``at`` sorted by the codes that follow, up to ``depth`` or until all differ; ``codes`` ends in a 0. Prefix doubling over the positions in runs."""
     rank = codes.astype(np.int64)
-    step = 1
-    while step < depth:
+    step, different = 1, 0
+    while step < depth and different < np.count_nonzero(rank):
         ahead = np.zeros_like(rank)
         ahead[:-step or None] = rank[step:]
         ahead[rank == 0] = 0
         pair = rank * (int(rank.max()) + 1) + ahead
         values, rank2 = np.unique(pair, return_inverse=True)
         rank = np.where(rank == 0, 0, rank2 + 1)
+        different = len(values) - 1  # one of the values is that of the places between runs
         step *= 2
     return at[np.argsort(rank[at], kind="stable")]
 
@@ -154,7 +156,7 @@ def shard(raw: np.ndarray, starts: np.ndarray, test: Suffixes) -> tuple[np.ndarr
     spans = [(a + 1, b + 1) for a, b in zip(edge[:-1][long_run], edge[1:][long_run], strict=True)]
     kept = np.concatenate([np.arange(a, b) for a, b in spans])  # whole runs with the 0 behind each
     small, r = codes[kept], run[kept]
-    order = suffix_array(small, np.flatnonzero(r >= test.shortest), int(max(test.length.max(), 64)))
+    order = suffix_array(small, np.flatnonzero(r >= test.shortest), test.longest_item)
     where, which, longest, _ = search(small, order, test)
     if not len(where):
         return n_words, out
@@ -197,10 +199,12 @@ def locate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_by
     """``docs`` with n_words, hits (merged word spans), items and longest (words of the longest verbatim match).
 
     All columns of ``docs`` come back, so no later join is needed; a column
-    ``text`` must be there. Null or empty text has no words and no hits; an
-    empty benchmark hits nothing; repeated rows each get their result. Words
-    are compared by 64-bit hash.
+    ``text`` must be there, and one named like a figure is replaced by it. Null
+    or empty text has no words and no hits; an empty benchmark or a table without
+    rows hits nothing; repeated rows each get their result. Words are compared by
+    64-bit hash.
     """
+    docs = docs.drop(*[f.name for f in FOUND])
     names = docs.columns
     at = names.index("text")
     out = T.StructType([*docs.schema.fields, *FOUND])
@@ -229,7 +233,7 @@ def locate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_by
                 ]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *new], names=out.names)
 
-        df = df.mapInArrow(run, out)
+        df = mapped(df, run, out)
         first = False
     return df
 
