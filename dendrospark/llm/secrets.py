@@ -6,12 +6,14 @@ so text without keywords costs one automaton pass. Rules whose secret embeds a
 checksum or has an inner structure are kept only if that holds.
 
 Base kinds (``assign``, ``access``, ``hex``) follow fixed patterns and are
-always reported. Further kinds add spans that lie in no base span's place:
+always reported. Further kinds add spans, which may lie inside a base span (a
+token that is assigned is reported as both):
 
 * ``github``, ``npm``: ``ghp_``/``gho_``/``ghu_``/``ghs_``/``ghr_``/``npm_`` and 36
   base-62 characters, of which the last six are the CRC-32 of the first thirty;
 * ``jwt``: three base64url parts whose first decodes to a JSON object with ``alg``;
-* ``pem``: a private-key block from its BEGIN to its END line.
+* ``pem``: a private-key block of any length from its BEGIN to its END line, with or
+  without header lines; another BEGIN line in between ends the search.
 
 ``hex`` has no keyword; maximal runs of 24 or more hex digits are its matches.
 """
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .shared import slices
+from .shared import mapped, slices
 
 KINDS = ("assign", "access", "hex", "github", "npm", "jwt", "pem")
 BASE = KINDS[:3]
@@ -41,7 +43,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 GITHUB = re.compile(r"gh[pousr]_([0-9A-Za-z]{36})(?![0-9A-Za-z])")
 NPM = re.compile(r"npm_([0-9A-Za-z]{36})(?![0-9A-Za-z])")
 JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)")
-PEM = re.compile(r"-----BEGIN ([A-Z ]{0,40}PRIVATE KEY)-----[A-Za-z0-9+/=\s]{16,20000}-----END \1-----")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----")
+PEM_BODY = re.compile(r"\s*(?:[A-Za-z][A-Za-z0-9-]*:[^\n]*\n)*[A-Za-z0-9+/=\s]{16,}")
 KEYWORDS = {
     "password": "assign", "passwd": "assign", "secret": "assign", "token": "assign", "apikey": "assign", "api_key": "assign",
     "akia": "access", "ghp_": "github", "gho_": "github", "ghu_": "github", "ghs_": "github", "ghr_": "github",
@@ -112,12 +115,18 @@ def find(text: str) -> list[tuple[int, int, str, int]]:
             if end - at >= 20:
                 out.append((at, 1, "access", end))
     out += [(m.start(), 2, "hex", m.end()) for m in HEX.finditer(text)]
-    for kind, pattern, ok in (("github", GITHUB, lambda m: checksum_ok(m[1])), ("npm", NPM, lambda m: checksum_ok(m[1])), ("jwt", JWT, lambda m: jwt_ok(m[1])), ("pem", PEM, lambda m: True)):
+    for kind, pattern, ok in (("github", GITHUB, lambda m: checksum_ok(m[1])), ("npm", NPM, lambda m: checksum_ok(m[1])), ("jwt", JWT, lambda m: jwt_ok(m[1]))):
         end = 0
         for at in near.get(kind, ()):
             if at >= end and (m := pattern.match(text, at)) and ok(m):
                 end = m.end()
                 out.append((at, KINDS.index(kind), kind, end))
+    begins = near.get("pem", [])
+    for at, stop in zip(begins, [*begins[1:], len(text)], strict=False):
+        if m := PEM.match(text, at):
+            last = text.find(f"-----END {m[1]}-----", m.end(), stop)
+            if last >= 0 and PEM_BODY.fullmatch(text, m.end(), last):
+                out.append((at, KINDS.index("pem"), "pem", last + len(m[1]) + 14))
     return sorted(out)
 
 
@@ -146,7 +155,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 [batch.column(0), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], span), pa.array(cols[4], pa.string()), pa.array(cols[5], pa.string())], names=SCHEMA.names
             )
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, SCHEMA)
+    return mapped(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), run, SCHEMA)
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
@@ -180,4 +189,4 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
                 cols[count] = pa.array([n if a == b else len(b) for n, a, b in zip(was, old, new, strict=True)], cols[count].type)
             yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
