@@ -6,8 +6,8 @@ other scripts to Latin letters and digits or signs used as letters back to them;
 
 The lexicon is learned: whole words and word beginnings of four to six letters
 get the log-odds of being in a toxic text, counted by Spark over a bounded
-sample of labelled rows (``SAMPLE`` rows, those with the smallest hashes). Two
-thirds of the sample choose the lexicon, the rest fits the score's logistic curve
+sample of labelled rows (``SAMPLE`` rows, those with the smallest hashes). All
+terms that qualify are kept; the sample bounds their number. Two thirds of the sample choose the lexicon, the rest fits the score's logistic curve
 over the summed weights, plain and divided by the square root of the length.
 Words inside an exception phrase don't count.
 """
@@ -26,10 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import slices, written
+from .shared import mapped, slices, written
 
 SAMPLE = 16_000
-TERMS = 4_000
 LEAST = 4  # toxic texts that hold a term
 ODDS = 2.5  # least log-odds of a term
 PREFIXES = (4, 5, 6)
@@ -69,12 +68,12 @@ def fold(text: str) -> str:
 
 def terms_of(word: str) -> list[str]:
     """A word's terms: itself with both ends marked, and its beginnings."""
-    return [f" {word} ", *(f" {word[:k]}" for k in PREFIXES if len(word) > k)] if len(word) >= 4 else []
+    return [f" {word} ", *(f" {word[:k]}" for k in PREFIXES if len(word) > k)]
 
 
 @dataclass
 class Lexicon:
-    """What scoring needs: the terms' weights and the curve. At most ``TERMS`` terms, so small enough to broadcast."""
+    """What scoring needs: the terms' weights and the curve. Terms come from a bounded sample, so it is small enough to broadcast."""
 
     weights: dict[str, float]
     curve: tuple[float, ...] = (-4.0, 1.0, 1.0)
@@ -112,9 +111,13 @@ class Lexicon:
                 spared.append((at, last))
             elif weight > best.get(at, 0.0):
                 best[at] = weight
-        for a, b in spared:
-            for at in [x for x in best if a <= x < b]:
-                del best[at]
+        if spared and best:
+            starts, ends = np.array(spared).T  # by their ends, so the least start from each on gives the places that some phrase covers
+            least = np.minimum.accumulate(starts[::-1])[::-1]
+            for at in list(best):
+                k = int(np.searchsorted(ends, at, "right"))
+                if k < len(ends) and least[k] <= at:
+                    del best[at]
         return sum(best.values()), len(best), len(words)
 
     def score(self, weight: float, n_words: int) -> float:
@@ -164,9 +167,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exceptions:
     if not n.get(0) or not n.get(1):
         return lexicon
     odds = F.log((F.col("toxic") + 0.5) / (n[1] + 1)) - F.log((F.col("clean") + 0.5) / (n[0] + 1))
-    counts = choose.select("text", "toxic").mapInArrow(count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = mapped(choose.select("text", "toxic"), count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     chosen = counts.where(F.col("toxic") >= LEAST).withColumn("odds", odds).where(F.col("odds") >= ODDS)
-    lexicon.weights = {r["term"]: float(r["odds"]) for r in chosen.orderBy(F.desc(F.col("odds") * F.log1p("toxic")), "term").limit(TERMS).collect()}
+    lexicon.weights = {r["term"]: float(r["odds"]) for r in chosen.select("term", "odds").collect()}
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +177,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exceptions:
             got = [shared.value.hits(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([g[0] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.int64())], names=["toxic", "weight", "words"])
 
-    got = rows.where("fits").select("text", "toxic").mapInArrow(features, "toxic int, weight double, words long").collect()  # at most SAMPLE rows of numbers
+    got = mapped(rows.where("fits").select("text", "toxic"), features, "toxic int, weight double, words long").collect()  # at most SAMPLE rows of numbers
     lexicon.curve = fitted(np.array([[r[0], r[1], r[2]] for r in got], float).reshape(-1, 3))
     return lexicon
 
@@ -205,8 +208,10 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """``docs`` with toxicity (0 to 1) and toxic_terms (matches that count); all its columns and rows come back.
 
     A map over partitions. Null and empty texts get the score of no match; a
-    repeated row is scored again; very long texts are scored whole.
+    repeated row is scored again; very long texts are scored whole; a table
+    without rows gives none; a column named like a new one is replaced by it.
     """
+    docs = docs.drop("toxicity", "toxic_terms")
     names, at = docs.columns, docs.columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
     schema = docs.limit(0).withColumns({"toxicity": F.lit(0.0), "toxic_terms": F.lit(0)}).schema
@@ -218,7 +223,7 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
             new = [pa.array([lex.score(g[0], g[2]) for g in got], pa.float64()), pa.array([g[1] for g in got], pa.int32())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*names, "toxicity", "toxic_terms"])
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)
 
 
 def predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -228,5 +233,8 @@ def predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows that score ``threshold`` or more."""
-    return score(docs, learn(docs, labels)).where(F.col("toxicity") < threshold).select(*docs.columns)
+    """``docs`` without the rows that score ``threshold`` or more; all columns as they came."""
+    own = {c: f"__own_{c}" for c in ("toxicity", "toxic_terms") if c in docs.columns}
+    renamed = docs.withColumnsRenamed(own)
+    kept = score(renamed, learn(docs, labels)).where(F.col("toxicity") < threshold).select(*renamed.columns)
+    return kept.withColumnsRenamed({v: k for k, v in own.items()})
