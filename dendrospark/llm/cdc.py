@@ -7,7 +7,7 @@ again within a few dozen bytes. Chunks are longer than ``REACH`` and about twice
 that on average; where a text repeats itself so that no end comes up, one is set
 every ``LONGEST`` bytes.
 
-Chunks are compared by digest over all documents. A chunk is a repeat where a
+Chunks are compared by digest (96 bits) over all documents. A chunk is a repeat where a
 document with a smaller id has it (with ``within``, also where an earlier chunk of
 its own document is the same). A text's last chunk, or what a set end leaves, may be of ``REACH`` bytes or less;
 it is then compared together with the chunk before it. Repeats go where they stand in
@@ -24,13 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import _BYTE, mixed, powers, slices, text_bytes, written
+from .shared import _BYTE, discard, mapped, mixed, powers, slices, text_bytes, written
 
 REACH = 20
 LONGEST = 512
 LEAST_RUN = 100
 PAD = 32
 _GEAR = (mixed(_BYTE) >> np.uint64(16)).astype(np.uint32)
+_CHECK = mixed(_BYTE + np.uint64(0x9E3779B97F4A7C15))  # other values for the bytes, for the digests' further bits
 
 
 def widest(v: np.ndarray, n: int) -> np.ndarray:
@@ -89,37 +90,39 @@ def chunks(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return cuts, ends, np.searchsorted(cuts, starts)
 
 
-def digests(raw: np.ndarray, cuts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def digests(raw: np.ndarray, cuts: np.ndarray, ends: np.ndarray, values: np.ndarray = _BYTE) -> np.ndarray:
     if not len(cuts):
         return np.zeros(0, np.int64)
     up, down = powers(len(raw))
     sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * up[: len(raw)], out=sums[1:])
+    np.cumsum(values[raw] * up[: len(raw)], out=sums[1:])
     return mixed((sums[ends] - sums[cuts]) * down[cuts] + (ends - cuts).astype(np.uint64)).view(np.int64)
 
 
-def chunk_digests(raw: np.ndarray, cuts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> np.ndarray:
+def chunk_digests(raw: np.ndarray, cuts: np.ndarray, ends: np.ndarray, first: np.ndarray, values: np.ndarray = _BYTE) -> np.ndarray:
     """Digests of the chunks; one of at most ``REACH`` bytes has that of its bytes and the chunk before, if its text has one."""
     begin = cuts.copy()
     short = np.setdiff1d(np.flatnonzero(ends - cuts <= REACH), first)
     begin[short] = cuts[short - 1]
-    return digests(raw, begin, ends)
+    return digests(raw, begin, ends, values)
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(digest, doc_id): the chunks of each document, once."""
+    """(digest, check, doc_id): the chunks of each document, once; ``check`` is 32 more bits of the digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             raw, starts = text_bytes(batch.column(1))
             cuts, ends, rows = chunks(raw, starts)
             d = chunk_digests(raw, cuts, ends, rows)
-            out = [np.unique(d[a:b]) for a, b in zip(rows[:-1], rows[1:], strict=True)]
+            check = (chunk_digests(raw, cuts, ends, rows, _CHECK) >> 32).astype(np.int32)
+            out = [a + np.unique(d[a:b], return_index=True)[1] for a, b in zip(rows[:-1], rows[1:], strict=True)]
             ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), [len(o) for o in out])
             if len(ids):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(ids)], names=["digest", "doc_id"])
+                at = np.concatenate(out).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(d[at]), pa.array(check[at]), pa.array(ids)], names=["digest", "check", "doc_id"])
 
-    return docs.mapInArrow(run, "digest long, doc_id long")
+    return mapped(docs, run, "digest long, check int, doc_id long")
 
 
 def runs(flag: np.ndarray, cuts: np.ndarray, ends: np.ndarray, least: int) -> list[tuple[int, int]]:
@@ -144,14 +147,17 @@ def deduplicate(docs: DataFrame, least_run: int = LEAST_RUN, within: bool = Fals
     n_repeated counts the chunks in the former. A copied document keeps its
     row with an empty text. Null texts stay null and have no chunks. Rows that
     repeat an id are one document, so they don't repeat each other; rows with a
-    null id are left as they are. Further columns come back unchanged.
+    null id are left as they are; a table without rows gives none. Further columns
+    come back unchanged, but for those named like a new one, which it replaces.
     """
+    docs = docs.drop("n_chunks", "n_repeated", "repeated", "removed", "removed_chars")
     names = docs.columns
     known = docs.selectExpr("cast(doc_id as bigint) doc_id", "text").where("doc_id is not null and text is not null")
     seen = written(occurrences(known), "chunks")
-    many = seen.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n")).where("n > 1").drop("n")
-    hits = seen.join(many, "digest").groupBy("doc_id").agg(F.collect_set(F.when(F.col("doc_id") > F.col("owner"), F.col("digest"))).alias("__again"), F.collect_set(F.when(F.col("doc_id") == F.col("owner"), F.col("digest"))).alias("__owned"))
+    many = seen.groupBy("digest", "check").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n")).where("n > 1").drop("n")
+    hits = seen.join(many, ["digest", "check"]).groupBy("doc_id").agg(F.collect_set(F.when(F.col("doc_id") > F.col("owner"), F.col("digest"))).alias("__again"), F.collect_set(F.when(F.col("doc_id") == F.col("owner"), F.col("digest"))).alias("__owned"))
     hits = written(hits, "repeats").withColumnRenamed("doc_id", "__doc")
+    discard(seen)
     rows = docs.join(hits, F.col("doc_id") == F.col("__doc"), "left").select(*names, "__again", "__owned")
     extra = {"n_chunks": F.lit(0).cast("long"), "n_repeated": F.lit(0).cast("long"), "repeated": F.lit(""), "removed": F.lit(""), "removed_chars": F.lit(0).cast("long")}
     schema, added = docs.limit(0).withColumns(extra).schema, list(extra)
@@ -191,4 +197,4 @@ def deduplicate(docs: DataFrame, least_run: int = LEAST_RUN, within: bool = Fals
             new = [pa.array([f[i] for f in found], pa.string() if i in (2, 3) else pa.int64()) for i in range(5)]
             yield pa.RecordBatch.from_arrays([*cols, *new], names=[*names, *added])
 
-    return rows.mapInArrow(run, schema)
+    return mapped(rows, run, schema)
