@@ -11,7 +11,9 @@ One tree over everything could not be searched in parallel without comparing
 all with all. The points are therefore dealt to shards, each with a tree of its
 own: a set of n shingles goes to the shards of its n - ceil(t n) + 1 first
 shingles in one global order. Two sets that reach t share one of those, whatever
-the order, so no pair is lost. The order puts shingles of crowded buckets last:
+the order, so no pair is lost; the first of those they share has a place in both
+sets from which enough shingles are left, so a pair is looked at only where that holds.
+The order puts shingles of crowded buckets last:
 a fixed-size table of counts over all shingles (``BUCKETS`` numbers, 1 MB a task) tells
 which, so passages that many documents share open no large shards.
 
@@ -34,8 +36,9 @@ Steps, each a Spark job over all documents:
 
 A shard larger than ``CHUNK`` is cut in chunks of similar sizes; the second round
 takes chunk pairs, unless both chunks hold one and the same component or their
-sizes are too far apart. So no shard is gathered in one task, and a large group of
-near copies costs its size, not its square.
+sizes are too far apart. Shards whose bucket counts more than ``HOT`` shingles are first
+dealt to several tasks by the document's hash. So no shard is gathered in one task,
+and a large group of near copies costs its size, not its square.
 """
 
 from __future__ import annotations
@@ -48,16 +51,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import mixed, release, salted_fold, slices, text_bytes, word_hashes, word_spans, written
+from .shared import discard, mapped, mixed, release, salted_fold, slices, text_bytes, word_hashes, word_spans, written
 
 WIDTH = 5
 GROUPS = 64
 BUCKETS = 1 << 18
 CHUNK = 512
+HOT = 1 << 16
 LOWS = 8
 LEAF = 32
 BROADCAST_ROWS = 1_000_000
-BLOOM_BITS = 1 << 23
+BLOOM_BITS = 1 << 20
+BLOOM_A_ID = 8
 # A word byte is any but space and U+0009 to U+000D.
 IS_WORD = np.ones(256, bool)
 IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
@@ -153,7 +158,7 @@ def vectors(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "d1", "d2", "vec", "fine", "counts"])
         yield counts_row(counts)
 
-    return docs.mapInArrow(run, VECTORS)
+    return mapped(docs, run, VECTORS)
 
 
 def counts_row(counts: np.ndarray) -> pa.RecordBatch:
@@ -176,7 +181,7 @@ def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(key, doc_id, n) for each shard a document goes to."""
+    """(key, salt, doc_id, place) for each shard a document goes to; place is 2^32 times the set's size and the shingle's place in the order; salt is above 0 for shards that are dealt to several tasks."""
     mean = counts.mean()
     shared = docs.sparkSession.sparkContext.broadcast((counts, int(mean + 6 * np.sqrt(mean) + 8)))  # BUCKETS numbers at any scale
 
@@ -188,37 +193,42 @@ def postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
             size = [len(k) for k in ks]
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             if sum(size):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ks).view(np.int64)), pa.array(np.repeat(ids, size)), pa.array(np.repeat([len(s) for s in sets], size).astype(np.int32))], names=["key", "doc_id", "n"])
+                key, doc = np.concatenate(ks), np.repeat(ids, size)
+                place = np.repeat([len(s) for s in sets], size) << 32 | np.concatenate([np.arange(k) for k in size])
+                tasks = -(-table[bucket(key)] // HOT)
+                salt = np.where(tasks > 1, 1 + (mixed(doc.view(np.uint64)) % np.maximum(tasks, 1).astype(np.uint64)).astype(np.int64), 0)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(doc), pa.array(place)], names=["key", "salt", "doc_id", "place"])
 
-    return docs.mapInArrow(run, "key long, doc_id long, n int")
+    return mapped(docs, run, "key long, salt int, doc_id long, place long")
 
 
 def members(posts: DataFrame) -> DataFrame:
-    """(key, chunk, doc_id) of shards with at least two documents, from postings sorted by key and size."""
+    """(key, chunk, doc_id, at) of shards with at least two documents; ``at`` is the shard's shingle's place in the document's order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, seen, held = None, 0, None  # the key before, its rows so far, and its first row while that is alone
+        last, seen, held = None, 0, None  # the shard before, its rows so far, and its first row while that is alone
         for batch in batches:
-            key, doc = (batch.column(i).to_numpy() for i in range(2))
+            key, salt, doc, at = (batch.column(i).to_numpy() for i in range(4))
             if not len(key):
                 continue
-            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            at = at & 0xFFFFFFFF
+            first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])])
             size = np.diff(np.r_[first, len(key)])
             place = np.arange(len(key)) - np.repeat(first, size)
             total = np.repeat(size, size)
-            cut = int(size[0]) if key[0] == last else 0
+            cut = int(size[0]) if (key[0], salt[0]) == last else 0
             place[:cut] += seen
             total[:cut] += seen
-            out = total >= 2
-            k, c, d = key[out], place[out] // CHUNK, doc[out]
+            out = (total >= 2) | (salt > 0)
+            rows = [key[out], (salt[out].astype(np.int64) << 32) + place[out] // CHUNK, doc[out], at[out]]
             if cut and held is not None:
-                k, c, d = np.r_[last, k], np.r_[0, c], np.r_[held, d]
+                rows = [np.r_[a, b] for a, b in zip((last[0], 0, *held), rows, strict=True)]
             seen = int(size[-1]) + (seen if cut and len(size) == 1 else 0)
-            last, held = key[-1], (doc[-1] if seen == 1 else None)
-            if len(k):
-                yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(c.astype(np.int32)), pa.array(d.astype(np.int64))], names=["key", "chunk", "doc_id"])
+            last, held = (key[-1], salt[-1]), ((doc[-1], at[-1]) if seen == 1 and not salt[-1] else None)
+            if len(rows[0]):
+                yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int64)) for x in rows[:3]), pa.array(rows[3].astype(np.int32))], names=["key", "chunk", "doc_id", "at"])
 
-    return posts.repartition("key").sortWithinPartitions("key", "n", "doc_id").mapInArrow(run, "key long, chunk int, doc_id long")
+    return mapped(posts.repartition("key", "salt").sortWithinPartitions("key", "salt", "place", "doc_id"), run, "key long, chunk long, doc_id long, at int")
 
 
 class Tree:
@@ -303,15 +313,21 @@ SMALL = 16
 
 
 def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (key, chunk, n, doc_id, vec) sorted by the first four: all candidates in shards of up to ``SMALL``, else per document the best before it."""
-    for key, chunk, n, doc, points in units(batches, 2):
+    """From (key, chunk, n, doc_id, vec, at) sorted by the first four: all candidates in shards of up to ``SMALL``, else per document the best before it.
+
+    A pair whose first shared shingle this is has at most what is left from it on in common.
+    """
+    for key, chunk, n, doc, points, at in units(batches, 2):
+        rest = n - at
         first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])])
         size = np.diff(np.r_[first, len(key)])
         few = size <= SMALL
         i, j = pairs_of(size[few], first[few])
+        ahead = np.minimum(rest[i], rest[j]) >= need(n[i] + n[j])
+        i, j = i[ahead], j[ahead]
         a, b, bound = [], [], []
-        for at in range(0, len(i), 1 << 15):
-            x, y = i[at : at + (1 << 15)], j[at : at + (1 << 15)]
+        for k in range(0, len(i), 1 << 15):
+            x, y = i[k : k + (1 << 15)], j[k : k + (1 << 15)]
             m = np.minimum(points[x], points[y]).sum(axis=1)
             ok = m >= need(n[x] + n[y])
             a.append(x[ok])
@@ -321,7 +337,7 @@ def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tree = Tree(points[f : f + s], n[f : f + s])
             for k in range(1, s):
                 rows, m = tree.search(points[f + k], int(n[f + k]))
-                ok = rows < k
+                ok = (rows < k) & (np.minimum(rest[f + rows], rest[f + k]) >= need(n[f + rows] + n[f + k]))
                 if ok.any():
                     rows, m = rows[ok], m[ok]
                     value = m / (n[f + rows] + n[f + k])
@@ -472,19 +488,20 @@ def maybe_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc_id, shingles) of all given ids, and of a few others.
 
     A Bloom filter of fixed size over the ids goes to every task, so that only
-    texts that may be asked for become rows; the join that follows is exact. A
-    set is shipped as its sorted hashes' upper 40 bits.
+    texts that may be asked for become rows; the join that follows is exact. The
+    filter has ``BLOOM_A_ID`` bits an id, between ``BLOOM_BITS`` and 128 times that (16 MB).
     """
     bits = 4
+    size = min(BLOOM_BITS << 7, max(BLOOM_BITS, 1 << (BLOOM_A_ID * ids.count()).bit_length()))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = np.zeros(BLOOM_BITS, bool)
+        got = np.zeros(size, bool)
         for batch in batches:
             got[slots(batch.column(0).to_numpy())] = True
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(got).tobytes()], pa.binary())], names=["bits"])
 
     def either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = np.zeros(BLOOM_BITS // 8, np.uint8)
+        got = np.zeros(size // 8, np.uint8)
         for batch in batches:
             for data in batch.column(0):
                 got |= np.frombuffer(data.as_py(), np.uint8)
@@ -492,9 +509,9 @@ def maybe_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     def slots(v: np.ndarray) -> np.ndarray:
         h = mixed(v.astype(np.int64).view(np.uint64) + _ODD[3])
-        return np.concatenate([((h >> np.uint64(i * 11)) & np.uint64(BLOOM_BITS - 1)).astype(np.int64) for i in range(bits)])
+        return np.concatenate([((h >> np.uint64(i * 11)) & np.uint64(size - 1)).astype(np.int64) for i in range(bits)])
 
-    folded = salted_fold(ids.select("doc_id").mapInArrow(fill, "bits binary"), either).collect()[0][0]
+    folded = salted_fold(mapped(ids.select("doc_id"), fill, "bits binary"), either).collect()[0][0]
     shared = docs.sparkSession.sparkContext.broadcast(folded)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -507,17 +524,15 @@ def maybe_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 sets, _ = shingles(*text_bytes(batch.column(1)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([packed(s) for s in sets], pa.binary())], names=["doc_id", "shingles"])
 
-    return docs.mapInArrow(run, "doc_id long, shingles binary")
+    return mapped(docs, run, "doc_id long, shingles binary")
 
 
 def packed(s: np.ndarray) -> bytes:
-    return (s >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+    return s.astype("<u8").tobytes()
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    return out.view("<u8").ravel()
+    return np.frombuffer(data, "<u8")
 
 
 def common(p: np.ndarray, q: np.ndarray) -> int:
@@ -547,7 +562,7 @@ def meeting(pairs: DataFrame, values: DataFrame, name: str, test: Callable[[byte
                     held = None
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return rows.repartition("a", "b").sortWithinPartitions("a", "b", "side").mapInArrow(run, "a long, b long")
+    return mapped(rows.repartition("a", "b").sortWithinPartitions("a", "b", "side"), run, "a long, b long")
 
 
 def sets_ok(a: bytes, b: bytes, num: int = 3, den: int = 4) -> bool:
@@ -561,6 +576,7 @@ def verified(docs: DataFrame, pairs: DataFrame, fine: DataFrame) -> DataFrame:
     near = written(meeting(pairs, fine, "fine", fine_bound_ok), "near")
     ids = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     out = written(meeting(near, maybe_sets(docs, ids), "shingles", sets_ok), "links")
+    discard(near)
     release(docs.sparkSession)
     return out
 
@@ -592,16 +608,17 @@ def classes(docs: DataFrame) -> DataFrame:
     alone = written(full.join(copies, "doc_id", "left_anti").dropDuplicates(["doc_id"]), "points")
     vecs, fine = alone.select("doc_id", "n", "vec"), alone.select("doc_id", "fine")
 
-    rows = shards.join(vecs, "doc_id").select("key", "chunk", "n", "doc_id", "vec")
-    found = rows.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "n", "doc_id").mapInArrow(first_round, CANDIDATES)
+    rows = shards.join(vecs, "doc_id").select("key", "chunk", "n", "doc_id", "vec", "at")
+    found = mapped(rows.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "n", "doc_id"), first_round, CANDIDATES)
     found = written(found.groupBy("a", "b").agg(F.max("bound").alias("bound")), "candidates")
     release(spark)
     best = written(found.groupBy("b").agg(F.max_by("a", F.struct("bound", -F.col("a"))).alias("a")).select("a", "b"), "best")
     one = verified(known, best, fine)
     comps = components(one)
 
-    named = shards.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
+    named = shards.drop("at").join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
     named = written(named.join(vecs.select("doc_id", "n"), "doc_id"), "named")
+    discard(shards)
     release(spark)
     # Small shards have shown all their candidates; the others are searched again for those between components.
     chunk = named.groupBy("key", "chunk").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("rows")).where(f"rows > {SMALL} or chunk > 0")
@@ -610,17 +627,20 @@ def classes(docs: DataFrame) -> DataFrame:
     one_side = lambda s, c: F.struct(F.lit(s).alias("side"), F.col(c).alias("chunk"))
     sides = open_.select("key", "ca", "cb", F.explode(F.when(F.col("ca") == F.col("cb"), F.array(one_side(0, "ca"))).otherwise(F.array(one_side(0, "ca"), one_side(1, "cb")))).alias("s")).select("key", "ca", "cb", "s.*")
     placed = written(sides.join(named, ["key", "chunk"]), "placed")
+    discard(named)
     unit = ["key", "ca", "cb"]
     lows = placed.groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_set("key")), 1, LOWS).alias("lows"))
     rough = placed.join(alone.select("doc_id", "vec", "fine").join(lows, "doc_id"), "doc_id").select(*unit, "side", "n", "doc_id", "comp", "vec", "fine", "lows")
     rough = rough.repartition(*unit).sortWithinPartitions(*unit, "side", "n", "doc_id")
     # Sets go only to the units in which a document has a candidate left by its finer counts.
-    left = written(rough.mapInArrow(contenders, "key long, ca int, cb int, side int, doc_id long, comp long"), "left")
+    left = written(mapped(rough, contenders, "key long, ca long, cb long, side int, doc_id long, comp long"), "left")
+    discard(placed)
     release(spark)
     sets = maybe_sets(known, left.select("doc_id").distinct()).dropDuplicates(["doc_id"])
     more = left.join(vecs, "doc_id").join(sets, "doc_id").select(*unit, "side", "n", "doc_id", "comp", "vec", "shingles")
-    across = more.repartition(*unit).sortWithinPartitions(*unit, "side", "n", "doc_id").mapInArrow(second_round, "a long, b long")
+    across = mapped(more.repartition(*unit).sortWithinPartitions(*unit, "side", "n", "doc_id"), second_round, "a long, b long")
     across = written(across, "across")
+    discard(left)
     release(spark)
     of = lambda c: comps.toDF(c, f"c{c}")
     apart = found.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
