@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -26,7 +27,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import shared_dir, slices, written
+from .shared import mapped, shared_dir, slices, written
 
 RANGE = 16 << 20
 MAGIC = b"\x1f\x8b\x08"
@@ -39,9 +40,18 @@ RECORD = "page_id long, url string, record_type string, refers_to long, payload_
 
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path with a scheme; Hadoop's names of S3 are known too."""
     if path.startswith("file:"):
         return pafs.LocalFileSystem(), "/" + path[5:].lstrip("/")
-    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+    return pafs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", path))
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme that Spark takes for paths without one, so that executors write where Spark's readers look."""
+    if re.match("[A-Za-z][A-Za-z0-9+.-]*:", path):
+        return path
+    base = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+    return base.rstrip("/") + ("//" if base.startswith("file:") and base.rstrip("/") == "file:" else "") + path
 
 
 def digest_of(payload: bytes) -> str:
@@ -71,8 +81,10 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_REVISIT) ->
     """Writes pages (page_id, url, html) as archives in ``folder``; returns their paths and sizes.
 
     Of pages with equal payloads of ``least`` bytes or more that with the smallest
-    id is written whole, the others as revisits of it.
+    id is written whole, the others as revisits of it. The folder must be one that
+    all executors share.
     """
+    folder = qualified(pages.sparkSession, folder)
     rows = pages.selectExpr("cast(page_id as bigint) page_id", "url", "html").where("page_id is not null")
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,7 +92,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_REVISIT) ->
             data = [(t or "").encode() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([digest_of(d) for d in data]), pa.array([len(d) for d in data], pa.int64())], names=["page_id", "digest", "size"])
 
-    sums = rows.select("page_id", "html").mapInArrow(weigh, "page_id long, digest string, size long").where(F.col("size") >= least)
+    sums = mapped(rows.select("page_id", "html"), weigh, "page_id long, digest string, size long").where(F.col("size") >= least)
     first = sums.groupBy("digest", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     again = sums.join(first, ["digest", "size"]).where("page_id <> first").select("page_id", "first").distinct()
     marked = rows.join(again, "page_id", "left").select("page_id", "url", "first", "html")
@@ -103,7 +115,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_REVISIT) ->
         fs.move(part, name)
         yield pa.RecordBatch.from_pydict({"path": [name], "size": pa.array([size], pa.int64())})
 
-    return written(marked.mapInArrow(write, "path string, size long"), "archives")
+    return written(mapped(marked, write, "path string, size long"), "archives")
 
 
 class Window:
@@ -138,18 +150,23 @@ class Window:
         return self.data[at - self.base : at - self.base + size]
 
 
-def is_record(data: bytes) -> bool:
-    """Whether a gzip member begins here whose content begins like a WARC record."""
-    unpack = zlib.decompressobj(31)
+def is_record(view: Window, at: int) -> bool:
+    """Whether a gzip member begins here whose content begins like a WARC record; its header may be of any length."""
+    unpack, head, used = zlib.decompressobj(31), b"", 0
     try:
-        head = unpack.decompress(data, 5)
+        while len(head) < 5 and not unpack.eof:
+            data = view.get(at + used, 512)
+            if not data:
+                return False
+            head += unpack.decompress(data, 5 - len(head))
+            used += len(data) - len(unpack.unconsumed_tail)
     except zlib.error:
         return False
     return head == b"WARC/"
 
 
 def records_in(path: str, start: int, end: int) -> Iterator[tuple[int, bytes, int]]:
-    """(offset, content, size of the member) of the records that start in bytes [start, end) of an archive."""
+    """(offset, content, size of the member) of the members holding records that start in bytes [start, end) of an archive."""
     fs, where = filesystem(path)
     with fs.open_input_file(where) as source:
         view = Window(source, start)
@@ -160,7 +177,7 @@ def records_in(path: str, start: int, end: int) -> Iterator[tuple[int, bytes, in
             if k < 0 or k >= end:
                 return
             at = k
-            if not is_record(view.get(at, 512)):
+            if not is_record(view, at):
                 at += 1
                 continue
             unpack, out, used = zlib.decompressobj(31), [], 0
@@ -178,26 +195,34 @@ def records_in(path: str, start: int, end: int) -> Iterator[tuple[int, bytes, in
             at += used
 
 
-def parsed(content: bytes) -> tuple[dict[str, str], bytes]:
-    """A record's headers (names lower-cased) and its block."""
-    head, _, rest = content.partition(b"\r\n\r\n")
-    headers = {}
-    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
-        name, _, value = line.partition(":")
-        headers[name.strip().lower()] = value.strip()
-    size = int(headers.get("content-length") or 0)
-    return headers, rest[:size]
+def parsed(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (names lower-cased) and block of each record of a member."""
+    at = 0
+    while (end := content.find(b"\r\n\r\n", at)) >= 0 and content.startswith(b"WARC/", at):
+        headers = {}
+        for line in content[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
+            name, _, value = line.partition(":")
+            headers[name.strip().lower()] = value.strip()
+        size = headers.get("content-length", "")
+        begin, at = end + 4, end + 4 + (int(size) if size.isdigit() else 0)
+        yield headers, content[begin:at]
+        while content.startswith(b"\r\n", at):
+            at += 2
 
 
 def page_of(value: str) -> int | None:
-    text = value.strip("<>").removeprefix(ID)
-    return int(text) if text.lstrip("-").isdigit() else None
+    text = value.strip("<>")
+    number = text.removeprefix(ID)
+    return int(number) if text.startswith(ID) and number.lstrip("-").isdigit() else None
 
 
 def read_archives(files: DataFrame, range_bytes: int = RANGE, payloads: bool = True) -> DataFrame:
     """The records of archives given by (path, size); ranges are dealt out so that tasks share the bytes evenly.
 
     A revisit's payload is null; its size and digest are those of the full payload.
+    A member may hold several records. Records of other writers, whose ids aren't
+    pages', have a null page_id (and refers_to); the digests of such are passed on
+    as they stand, while our own are checked against the payload.
     """
     start = F.explode(F.sequence(F.lit(0), F.col("size") - 1, F.lit(range_bytes))).alias("start")
     ranges = files.where("size > 0").select("path", start, "size").select("path", "start", F.least(F.col("start") + range_bytes, "size").alias("end"))
@@ -208,25 +233,25 @@ def read_archives(files: DataFrame, range_bytes: int = RANGE, payloads: bool = T
         for batch in batches:
             for path, begin, end in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 for _, content, _ in records_in(path, begin, end):
-                    headers, block = parsed(content)
-                    http, _, payload = block.partition(b"\r\n\r\n")
-                    kind = headers.get("warc-type")
-                    digest = headers.get("warc-payload-digest", "").removeprefix("sha1:")
-                    if kind == "response":
-                        if digest_of(payload) != digest:
-                            raise ValueError(f"{path}: the payload of {headers.get('warc-record-id')} has another digest")
-                        rows.append((page_of(headers["warc-record-id"]), headers.get("warc-target-uri"), kind, None, len(payload), digest, payload if payloads else None))
-                        held += len(payload) if payloads else 64
-                    elif kind == "revisit":
-                        size = next((int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), None)
-                        rows.append((page_of(headers["warc-record-id"]), headers.get("warc-target-uri"), kind, page_of(headers.get("warc-refers-to", "")), size, digest, None))
+                    for headers, block in parsed(content):
+                        http, _, payload = block.partition(b"\r\n\r\n")
+                        kind, page = headers.get("warc-type"), page_of(headers.get("warc-record-id", ""))
+                        digest = headers.get("warc-payload-digest", "").removeprefix("sha1:")
+                        if kind == "response":
+                            if page is not None and digest_of(payload) != digest:
+                                raise ValueError(f"{path}: the payload of {headers.get('warc-record-id')} has another digest")
+                            rows.append((page, headers.get("warc-target-uri"), kind, None, len(payload), digest, payload if payloads else None))
+                            held += len(payload) if payloads else 64
+                        elif kind == "revisit":
+                            size = next((x.split(b":")[1].strip() for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), b"")
+                            rows.append((page, headers.get("warc-target-uri"), kind, page_of(headers.get("warc-refers-to", "")), int(size) if size.isdigit() else None, digest, None))
                     if held > 1 << 22 or len(rows) > 10_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
                         rows, held = [], 0
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return ranges.repartition(F.col("path"), F.col("start")).mapInArrow(run, RECORD)
+    return mapped(ranges.repartition(F.col("path"), F.col("start")), run, RECORD)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
