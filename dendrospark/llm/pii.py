@@ -11,8 +11,11 @@ kind, votes, length and share of digits, is trained. Both see only counts: at
 most kinds x 3^4 x 9 rows reach the driver, whatever the input.
 
 Spans of the base kinds (email, ip, card, phone) follow fixed rules and are always
-reported; the classifier decides on the further kinds, whose spans are added
-where no base span lies. Texts are scanned once; the spans, a small table,
+reported. The classifier decides on all other proposals: what fails a base rule's
+check but may be a mistyped one (``card_like``, ``ip_like``, ``phone_like``), addresses
+without a domain's ending, masked addresses, national ids, IBANs, phone numbers
+without a country code, and account numbers. Those it accepts are added where no
+base span lies. Texts are scanned once; the spans, a small table,
 are written to the shared folder between counting and deciding.
 """
 
@@ -27,7 +30,8 @@ from pyspark.sql import functions as F
 from .shared import written
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "masked_email", "national_id", "iban", "local_phone")
+LIKE = {"card": "card_like", "ip": "ip_like", "phone": "phone_like"}
+KINDS = (*BASE, "masked_email", "national_id", "iban", "local_phone", *LIKE.values(), "bare_email", "account")
 LABELERS = ("form", "gazetteer", "context", "edge")
 
 # The base rules, written so that a search is linear: runs are taken whole
@@ -41,6 +45,8 @@ MORE = (
     r"|(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
     r"|(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
     r"|(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])"
+    r"|(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?![.A-Za-z0-9-])"
+    r"|(?<![A-Za-z0-9.+-])(?<![0-9]\x20)[0-9]{8,11}+(?![A-Za-z0-9])(?![\x20.-][0-9])"
 )
 # Gazetteers and cue words.
 ENDINGS = "com|org|net|edu|gov|info|io|de|fr|es|it|uk|eu|ch|at|nl|be|us|ca|mx|ar|co"
@@ -88,12 +94,12 @@ def vote(yes: Column, no: Column) -> Column:
     return F.when(yes, 1).when(no, -1).otherwise(0)
 
 
-def labelled(text: Column, spans: Column, name: str | None) -> Column:
-    """Spans with their kind and votes."""
+def labelled(text: Column, spans: Column, name: str | None, kind: str | None = None) -> Column:
+    """Spans with their kind and votes; ``kind`` names them otherwise than the base kind whose labelers vote."""
 
     def one(x: Column) -> Column:
         s = x["s"]
-        k = F.lit(name) if name else F.when(s.rlike(r"[\[(](?:at|AT)[\])]"), "masked_email").when(s.rlike(r"^[0-9]{3}-[0-9]{2}-"), "national_id").when(s.rlike("^[A-Z]"), "iban").otherwise("local_phone")
+        k = F.lit(kind or name) if name else F.when(s.rlike(r"[\[(](?:at|AT)[\])]"), "masked_email").when(s.contains("@"), "bare_email").when(s.rlike("^[0-9]{8,11}$"), "account").when(s.rlike(r"^[0-9]{3}-[0-9]{2}-"), "national_id").when(s.rlike("^[A-Z]"), "iban").otherwise("local_phone")
         before = F.substring(text, F.greatest(F.lit(1), x["start"] - 31), F.least(F.lit(32), x["start"]))
         near = F.substring(text, F.greatest(F.lit(1), x["start"]), F.when(x["start"] > 0, 1).otherwise(0))
         after = F.substring(text, x["end"] + 1, F.lit(1))
@@ -101,7 +107,7 @@ def labelled(text: Column, spans: Column, name: str | None) -> Column:
         form = (
             vote(luhn(s), ~luhn(s)) if name == "card" else vote(ip_ok(s), ~ip_ok(s)) if name == "ip" else vote(phone_ok(s), ~phone_ok(s)) if name == "phone"
             else F.lit(1) if name == "email"
-            else F.when(k == "national_id", vote(~s.rlike("^(?:000|666|9)|-00-|-0000$"), F.lit(True))).when(k == "iban", vote(F.length(F.replace(s, F.lit(" "), F.lit(""))).between(15, 34), F.lit(True))).when(k == "masked_email", F.lit(1)).otherwise(vote(s.rlike(r"^\(?[2-9]"), F.lit(True)))
+            else F.when(k == "national_id", vote(~s.rlike("^(?:000|666|9)|-00-|-0000$"), F.lit(True))).when(k == "iban", vote(F.length(F.replace(s, F.lit(" "), F.lit(""))).between(15, 34), F.lit(True))).when(k == "masked_email", F.lit(1)).when(k.isin("bare_email", "account"), F.lit(0)).otherwise(vote(s.rlike(r"^\(?[2-9]"), F.lit(True)))
         )
         gazetteer = (
             vote(s.rlike(rf"(?i)\.(?:{ENDINGS})$"), s.rlike(r"\.[0-9]+$")) if name == "email" else vote(~s.rlike(r"^0*(?:0|127|255)\."), F.lit(True)) if name == "ip" else vote(s.rlike(r"^[3-6]"), s.rlike("^0")) if name == "card"
@@ -128,14 +134,12 @@ def proposed(docs: DataFrame) -> DataFrame:
     raw = docs
     for name, pattern in (("email", EMAIL), ("ip", IP), ("card", CARD), ("phone", PHONE), ("more", MORE)):
         raw = raw.withColumn(name, F.when(has[name], found(F.col("text"), pattern)).otherwise(none) if name in has else found(F.col("text"), pattern))
-    raw = (
-        raw.withColumn("ip", F.filter("ip", lambda x: ip_ok(x["s"])))
-        .withColumn("card", F.filter("card", lambda x: luhn(x["s"])))
-        .withColumn("phone", F.filter("phone", lambda x: phone_ok(x["s"])))
-    )
+    for name, ok in (("ip", ip_ok), ("card", luhn), ("phone", phone_ok)):
+        raw = raw.withColumn(LIKE[name], F.filter(name, lambda x: ~ok(x["s"]))).withColumn(name, F.filter(name, lambda x: ok(x["s"])))  # noqa: B023 (used at once)
     text = F.col("text")
     base = F.concat(*[labelled(text, F.col(k), k) for k in BASE])
-    raw = raw.select("doc_id", base.alias("base"), labelled(text, F.col("more"), None).alias("extra"))
+    more = F.concat(labelled(text, F.col("more"), None), *[labelled(text, F.col(kind), name, kind) for name, kind in LIKE.items()])
+    raw = raw.select("doc_id", base.alias("base"), more.alias("extra"))
     free = F.filter("extra", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     return raw.select("doc_id", "base", free.alias("extra"))
 
@@ -203,8 +207,9 @@ def find(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): n_email, n_ip, n_card, n_phone, base_sha256, spans, found.
 
     No shuffle but that of the vote counts. Null text counts as empty; repeated
-    rows and null ids give a row each; further columns are not read; without any
-    span the classifier falls back to its starting values.
+    rows and null ids give a row each; a table without rows gives none; further
+    columns are not read; without any span the classifier falls back to its
+    starting values.
     """
     spans = written(proposed(docs), "spans")
     model = Model(vote_counts(spans))
