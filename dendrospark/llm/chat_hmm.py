@@ -9,13 +9,19 @@ Spark over labelled lines, smoothed, and small; Viterbi decoding finds the best
 path, from which turns are cut and rendered in one canonical form.
 
 Transcripts are decoded in parts of at most ``PART`` turns, so a conversation of any
-length is spread over tasks; a later part starts from any state.
+length is spread over tasks, and still along the one best path of the whole. For
+conversations of several parts each part first gives a table of its best scores
+from every state before it to every last state; these small tables, in order,
+tell the states at the edges of the parts, between which each is then decoded.
+
+Input rows with a null conv_id or turn are left out, and rows that repeat another
+in full count once. Roles other than the three are no states: their turns are
+not learned from and come back as one of the three.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 from collections.abc import Iterator
 
@@ -24,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import slices, written
+from .shared import mapped, slices, written
 
 ROLES = ("system", "user", "assistant")
 STATES = [(role, first) for role in ROLES for first in (True, False)]
-PART = 256
+PART = 1024
 SAMPLE = 20_000
 # Speaker markers of common transcript styles, by role.
 MARKERS = {
@@ -92,28 +98,39 @@ class Hmm:
         self.start = np.log(self.start / self.start.sum())
         self.emit = [np.log(e / e.sum(axis=1, keepdims=True)) for e in self.emit]
 
-    def path(self, lines: list[tuple[int, int, int]], begins: bool = True) -> list[int]:
-        """The best state sequence; ties go to the lower state."""
+    def emitted(self, lines: list[tuple[int, int, int]]) -> np.ndarray:
+        return sum(self.emit[f][:, [x[f] for x in lines]] for f in range(3))
+
+    def transfer(self, lines: list[tuple[int, int, int]], begins: bool) -> np.ndarray:
+        """The best score of the lines from each state before them (all alike where the transcript begins) to each last state."""
+        e = self.emitted(lines)
+        score = (np.repeat(self.start[None], len(STATES), axis=0) if begins else self.trans) + e[:, 0]
+        for t in range(1, len(lines)):
+            score = (score[:, :, None] + self.trans).max(axis=1) + e[:, t]
+        return score
+
+    def path(self, lines: list[tuple[int, int, int]], before: int | None = None, last: int | None = None) -> list[int]:
+        """The best state sequence from the state before the lines (none: the transcript begins) to a last state, if given; ties go to the lower state."""
         if not lines:
             return []
-        e = sum(self.emit[f][:, [x[f] for x in lines]] for f in range(3))
-        score = (self.start if begins else np.full(len(STATES), -math.log(len(STATES)))) + e[:, 0]
+        e = self.emitted(lines)
+        score = (self.start if before is None else self.trans[before]) + e[:, 0]
         back = np.zeros((len(lines), len(STATES)), np.int8)
         for t in range(1, len(lines)):
             each = score[:, None] + self.trans
             back[t] = each.argmax(axis=0)
             score = each.max(axis=0) + e[:, t]
-        out = [int(score.argmax())]
+        out = [int(score.argmax()) if last is None else last]
         for t in range(len(lines) - 1, 0, -1):
             out.append(int(back[t, out[-1]]))
         return out[::-1]
 
 
-def turns(text: str, model: Hmm, begins: bool = True) -> list[tuple[str, str]]:
+def turns(text: str, model: Hmm, before: int | None = None, last: int | None = None) -> list[tuple[str, str]]:
     """(role, text) of a transcript's turns, markers removed."""
     lines = text.split("\n")
     out: list[list] = []
-    for line, state in zip(lines, model.path([observed(x) for x in lines], begins), strict=True):
+    for line, state in zip(lines, model.path([observed(x) for x in lines], before, last), strict=True):
         role, first = STATES[state]
         marked, at = marker(line)
         body = line[at:] if marked == role else line
@@ -144,9 +161,13 @@ def transcripts(conversations: DataFrame) -> DataFrame:
     return group.select("conv_id", "part", F.col("t.role").alias("roles"), F.array_join("t.text", "\n").alias("text"), F.transform("t", lambda x: F.size(F.split(x["text"], "\n"))).alias("lines"))
 
 
+def held_out():
+    return F.pmod(F.xxhash64("conv_id"), F.lit(4)) == 2
+
+
 def learn(parts: DataFrame, sample: int = SAMPLE) -> Hmm:
     """Tables from at most ``sample`` labelled parts, those with the smallest hashes of their id; held-out ids (hash mod 4 = 2) are not used."""
-    some = parts.where(F.pmod(F.xxhash64("conv_id"), F.lit(4)) != 2).orderBy(F.xxhash64("conv_id", F.lit(5)), "conv_id", "part").limit(sample)
+    some = parts.where(~held_out()).orderBy(F.xxhash64("conv_id", F.lit(5)), "conv_id", "part").limit(sample)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2):
@@ -163,33 +184,62 @@ def learn(parts: DataFrame, sample: int = SAMPLE) -> Hmm:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["what", "x", "y", "z", "n"])
 
-    counts = some.select("conv_id", "roles", "text", "lines").mapInArrow(count, "what string, x long, y long, z long, n long").groupBy("what", "x", "y", "z").agg(F.sum("n").alias("n")).collect()
+    counts = mapped(some.select("conv_id", "roles", "text", "lines"), count, "what string, x long, y long, z long, n long").groupBy("what", "x", "y", "z").agg(F.sum("n").alias("n")).collect()
     by = lambda what: [(r["x"], r["y"], r["z"], float(r["n"])) for r in counts if r["what"] == what]
     return Hmm({(x, y): n for x, y, _, n in by("t")}, {(x, y, z): n for x, y, z, n in by("e")}, {x: n for x, _, _, n in by("s")})
 
 
+def edges(parts: DataFrame, shared) -> DataFrame:
+    """(conv_id, part, before, last): the states around each part of the conversations that have several.
+
+    A conversation's tables (one of 36 numbers a part) meet in one task.
+    """
+    several = parts.groupBy("conv_id").agg(F.min("part").alias("first"), F.count("*").alias("n")).where("n > 1").select("conv_id", "first")
+
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 2):
+            scores = [shared.value.transfer([observed(x) for x in (t or "").split("\n")], b).ravel() for t, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(scores, pa.list_(pa.float64()))], names=["conv_id", "part", "scores"])
+
+    def joined(t: pa.Table) -> pa.Table:
+        t = t.sort_by("part")
+        each = np.array(t.column("scores").to_pylist()).reshape(-1, len(STATES), len(STATES))
+        best = [each[0, 0]]  # the first part's table is the same from every state
+        for m in each[1:]:
+            best.append((best[-1][:, None] + m).max(axis=0))
+        last = [int(best[-1].argmax())]
+        for before, m in zip(best[-2::-1], each[:0:-1], strict=True):
+            last.append(int((before + m[:, last[-1]]).argmax()))
+        last = last[::-1]
+        return pa.table({"conv_id": t.column("conv_id"), "part": t.column("part"), "before": pa.array([None, *last[:-1]], pa.int32()), "last": pa.array(last, pa.int32())})
+
+    rows = parts.join(several, "conv_id").select("conv_id", "part", "text", (F.col("part") == F.col("first")).alias("begins"))
+    return mapped(rows, tables, "conv_id long, part long, scores array<double>").groupBy("conv_id").applyInArrow(joined, "conv_id long, part long, before int, last int")
+
+
 def format_chats(parts: DataFrame, model: Hmm) -> DataFrame:
     """Per row of ``parts`` (conv_id, part, text): the turns found and their canonical rendering.
 
     Null text is one empty turn; very long parts are decoded whole, line by line.
     """
     shared = parts.sparkSession.sparkContext.broadcast(model)
+    rows = parts.select("conv_id", "part", "text").join(edges(parts, shared), ["conv_id", "part"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2):
-            got = [turns(t or "", shared.value, p == 0) for t, p in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            got = [turns(t or "", shared.value, a, b) for t, a, b in zip(*[c.to_pylist() for c in batch.columns[2:5]], strict=True)]
             text = [render(g) for g in got]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:2], pa.array([[r for r, _ in g] for g in got], pa.list_(pa.string())), pa.array(text), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in text])],
                 names=["conv_id", "part", "found_roles", "rendered", "rendered_sha256"],
             )
 
-    return parts.select("conv_id", "part", "text").mapInArrow(run, "conv_id long, part long, found_roles array<string>, rendered string, rendered_sha256 string")
+    return mapped(rows.select("conv_id", "part", "text", "before", "last"), run, "conv_id long, part long, found_roles array<string>, rendered string, rendered_sha256 string")
 
 
 def recovered(conversations: DataFrame) -> DataFrame:
-    """Per conversation part: turns written and found, whether all roles came back, the rendering."""
+    """Per conversation part: turns written and found, whether all roles came back, whether its id is held out from learning, the rendering."""
     parts = written(transcripts(conversations), "transcripts")
     found = format_chats(parts, learn(parts))
     both = parts.select("conv_id", "part", "roles").join(found, ["conv_id", "part"])
-    return both.select("conv_id", "part", F.size("roles").alias("n_turns"), F.size("found_roles").alias("n_found"), (F.col("roles") == F.col("found_roles")).alias("same_roles"), "rendered", "rendered_sha256")
+    return both.select("conv_id", "part", F.size("roles").alias("n_turns"), F.size("found_roles").alias("n_found"), (F.col("roles") == F.col("found_roles")).alias("same_roles"), held_out().alias("held_out"), "rendered", "rendered_sha256")
