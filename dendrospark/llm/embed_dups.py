@@ -17,6 +17,7 @@ vectors at cosine 0.9 agree in a sign with probability 0.86, at 0.95 with 0.9.
 They surely meet in a pass where they agree in the log2(n / ``WINDOW``) signs
 that leave ``WINDOW`` of n evenly spread vectors together. ``passes_for`` takes
 as many passes as find a pair at the least cosine with probability ``RECALL``.
+Where no link may be lost, ``exact`` compares all blocks of all vectors instead.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import written
+from .shared import mapped, written
 
 RECALL = 0.98  # of isolated pairs at the least cosine
 PASSES = 16  # at least
@@ -73,7 +74,7 @@ def usable(embeddings: DataFrame) -> DataFrame:
             d = np.array(ds, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(raw, pa.binary())], names=["vec_id", "d1", "d2", "vec"])
 
-    return embeddings.mapInArrow(run, "vec_id long, d1 long, d2 long, vec binary")
+    return mapped(embeddings, run, "vec_id long, d1 long, d2 long, vec binary")
 
 
 def units_of(raw: list[bytes]) -> np.ndarray:
@@ -186,10 +187,10 @@ def sorted_pass(classes: DataFrame, numbers: list[int], window: int, cosine: flo
             yield batch
 
     edge = pa.schema([("part", pa.int32()), ("at", pa.int64()), ("n", pa.int64()), ("pass", pa.int32()), ("size", pa.int32()), ("vec_id", pa.int64()), ("vec", pa.binary())])
-    rows = classes.select("vec_id", "vec").mapInArrow(project, "pass int, size int, sign long, vec_id long, vec binary")
+    rows = mapped(classes.select("vec_id", "vec"), project, "pass int, size int, sign long, vec_id long, vec binary")
     order = ["pass", "size", "sign", "vec_id"]
     ranges = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    found = written(ranges.mapInArrow(compare, "a long, b long, part int, at long, n long, pass int, size int, vec_id long, vec binary"), "windows")
+    found = written(mapped(ranges, compare, "a long, b long, part int, at long, n long, pass int, size int, vec_id long, vec binary"), "windows")
     return found.where("a is not null").select("a", "b").union(across(found.where("part is not null").drop("a", "b"), window, cosine))
 
 
@@ -216,12 +217,16 @@ def across(edges: DataFrame, window: int, cosine: float) -> DataFrame:
         for a, b in windows((batch.select(["into", "pass", "size", "vec_id", "vec"]) for batch in batches if batch.num_rows), window, cosine):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return rows.repartition("into").sortWithinPartitions("into", "part", "at").mapInArrow(compare, "a long, b long")
+    return mapped(rows.repartition("into").sortWithinPartitions("into", "part", "at"), compare, "a long, b long")
 
 
-def link_counts(classes: DataFrame, comps: DataFrame, cosine: float) -> DataFrame:
-    """(vec_id, near): the copies in other classes of its component that a class links with, by comparing blocks."""
-    many = comps.groupBy("component").count().withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")).drop("count")
+def blockwise(classes: DataFrame, comps: DataFrame, cosine: float, links: bool) -> DataFrame:
+    """Compares all classes of each component in pairs of blocks, which grow with a component of more than 64 of them.
+
+    Gives (vec_id, near), the copies in other classes that a class links with as
+    far as a block shows, or with ``links`` (a, b), links that join what a block's join.
+    """
+    many = comps.groupBy("component").count().withColumn("blocks", F.ceil(F.col("count") / (BLOCK * F.least(F.lit(8.0), F.greatest(F.lit(1.0), F.col("count") / (64 * BLOCK))))).cast("int")).drop("count")
     mine = comps.join(many, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, "own").alias("ca"), F.greatest(k, "own").alias("cb")))
     spread = mine.select("component", F.col("node").alias("vec_id"), "own", F.explode(other).alias("e")).select("component", "e.*", "own", "vec_id")
@@ -244,34 +249,54 @@ def link_counts(classes: DataFrame, comps: DataFrame, cosine: float) -> DataFram
         key = np.stack([t.column(i).to_numpy().astype(np.int64) for i in range(3)], 1)
         own, ids, copies, raw = t.column(3).to_numpy(), t.column(4).to_numpy(), t.column(5).to_numpy(), t.column(6).to_pylist()
         first = np.flatnonzero(np.r_[True, np.any(key[1:] != key[:-1], axis=1)])
-        out_ids, out = [], []
+        out_ids, out, joins = [], [], []
         for a, b in zip(first, np.r_[first[1:], len(key)], strict=True):
             x = units_of(raw[a:b])
             if key[a, 1] == key[a, 2]:
                 hit = x @ x.T >= cosine
                 np.fill_diagonal(hit, False)
                 near = hit @ copies[a:b]
+                pair = np.nonzero(np.triu(hit))
             else:
                 split = int((own[a:b] == key[a, 1]).sum())  # sorted by block
                 hit = x[:split] @ x[split:].T >= cosine
                 near = np.r_[hit @ copies[a + split : b], hit.T @ copies[a : a + split]]
+                pair = np.nonzero(hit)
+                pair = pair[0], pair[1] + split
+            if links:
+                keep = forest(b - a, *pair)
+                joins.append(ids[a:b][np.stack(pair, 1)[keep]])
             out_ids.append(ids[a:b])
             out.append(near)
+        if links:
+            both = np.concatenate(joins)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_ids)), pa.array(np.concatenate(out).astype(np.int64))], names=["vec_id", "near"])
 
     order = ["component", "ca", "cb", "own", "vec_id"]
-    blocks = rows.repartition("component", "ca", "cb").sortWithinPartitions(*order).mapInArrow(run, "vec_id long, near long")
-    return blocks.groupBy("vec_id").agg(F.sum("near").alias("near"))
+    return mapped(rows.repartition("component", "ca", "cb").sortWithinPartitions(*order), run, "a long, b long" if links else "vec_id long, near long")
+
+
+def link_counts(classes: DataFrame, comps: DataFrame, cosine: float) -> DataFrame:
+    """(vec_id, near): the copies in other classes of its component that a class links with."""
+    return blockwise(classes, comps, cosine, False).groupBy("vec_id").agg(F.sum("near").alias("near"))
+
+
+def all_links(classes: DataFrame, cosine: float) -> DataFrame:
+    """(a, b): links that keep all components, by comparing every vector with every other of its length; the work grows with the square of their number."""
+    together = classes.select(F.col("vec_id").alias("node"), F.length("vec").cast("long").alias("component"))
+    return blockwise(classes, together, cosine, True)
 
 
-def near_duplicates(embeddings: DataFrame, passes: int | None = None, window: int = WINDOW, cosine: float = COSINE) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, passes: int | None = None, window: int = WINDOW, cosine: float = COSINE, exact: bool = False) -> DataFrame:
     """Per row of ``embeddings`` (vec_id, embedding): vec_id, n_links, component_id, kept.
 
     Vectors that are null, zero or hold null or non-finite components link with
     nothing; so do vectors of different lengths with each other. A repeated row
     counts once in links. A null id gives a row with no links and null component.
     Further columns are not read; an empty table gives an empty result. Without
-    ``passes`` their number follows from the number of different vectors.
+    ``passes`` their number follows from the number of different vectors; with
+    ``exact`` there are none, and all vectors are compared.
     """
     narrow = embeddings.selectExpr("cast(vec_id as bigint) vec_id", "embedding")
     rows = written(usable(narrow), "vectors")
@@ -279,8 +304,8 @@ def near_duplicates(embeddings: DataFrame, passes: int | None = None, window: in
     grouped = written(ids.groupBy("d1", "d2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes")
     vecs = rows.join(grouped, (rows.d1 == grouped.d1) & (rows.d2 == grouped.d2) & (rows.vec_id == grouped.rep)).select("vec_id", "copies", "vec")
     vecs = written(vecs.dropDuplicates(["vec_id"]), "representatives")
-    passes = passes or passes_for(vecs.count(), window, cosine)
-    links = None
+    passes = 0 if exact else passes or passes_for(vecs.count(), window, cosine)
+    links = written(all_links(vecs, cosine).distinct(), "links") if exact else None
     for at in range(0, passes, PASSES_A_JOB):
         part = written(sorted_pass(vecs, list(range(at, min(passes, at + PASSES_A_JOB))), window, cosine).distinct(), "links")
         links = part if links is None else links.union(part)
