@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from dendrospark.llm import decontam, secrets, shingle_join, sp_bpe, toxicity
 from dendrospark.llm.queries import table, tokenizer_path
-from dendrospark.llm.shared import written
+from dendrospark.llm.shared import discard, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,10 @@ ORACLE_SQL = None  # the learned lexicon and the encoder can't be written in SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
