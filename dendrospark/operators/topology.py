@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,18 +68,21 @@ def soma_index(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("neuron_id").agg(F.coalesce(pick(F.col("type_id") == 1), pick(F.col("parent") == -1)).alias("soma_idx"))
 
 
-def closure(nodes: DataFrame, rounds: int = 40) -> DataFrame:
-    """(neuron_id, idx, depth, path_len, root) by pointer doubling in joins. Nodes on or below a cycle never reach a root and are left out."""
+def closure(nodes: DataFrame) -> DataFrame:
+    """(neuron_id, idx, depth, path_len, root) by pointer doubling in joins. Nodes on or below a cycle never reach a root and are left out.
+
+    Every round but those that only go around cycles finishes some nodes, so
+    the first that finishes none is the last.
+    """
     linked = edges(nodes).select("neuron_id", "idx", F.col("parent").alias("anc"), F.lit(1).cast("long").alias("hops"), F.col("seg_len").alias("len"))
     top = nodes.join(linked.select("neuron_id", "idx"), ["neuron_id", "idx"], "left_anti").select("neuron_id", "idx", F.col("idx").alias("anc"), F.lit(0).cast("long").alias("hops"), F.lit(0.0).alias("len"))
     state = stored(top.union(linked), "closure")
     ends = top.select("neuron_id", F.col("idx").alias("anc"))
-    for _ in range(rounds):
+    before, left = None, state.join(ends, ["neuron_id", "anc"], "left_anti").count()
+    while left and left != before:
         jump = state.select("neuron_id", F.col("idx").alias("anc"), F.col("anc").alias("to"), F.col("hops").alias("h"), F.col("len").alias("l"))
-        before = state
-        state = stored(before.join(jump, ["neuron_id", "anc"]).select("neuron_id", "idx", F.col("to").alias("anc"), (F.col("hops") + F.col("h")).alias("hops"), (F.col("len") + F.col("l")).alias("len")), "closure")
-        if state.join(ends, ["neuron_id", "anc"], "left_anti").where(F.col("hops") <= 2**30).join(before.select("neuron_id", "idx", "anc"), ["neuron_id", "idx", "anc"], "left_anti").isEmpty():
-            break
+        state = stored(state.join(jump, ["neuron_id", "anc"]).select("neuron_id", "idx", F.col("to").alias("anc"), (F.col("hops") + F.col("h")).alias("hops"), (F.col("len") + F.col("l")).alias("len")), "closure")
+        before, left = left, state.join(ends, ["neuron_id", "anc"], "left_anti").count()
     done = state.join(ends, ["neuron_id", "anc"], "left_semi")
     return done.select("neuron_id", "idx", F.col("hops").cast("int").alias("depth"), F.col("len").alias("path_len"), F.col("anc").alias("root"))
 
@@ -109,7 +113,7 @@ def of_trees(tree: np.ndarray, idx: np.ndarray, kind: np.ndarray, xyz: np.ndarra
     up = np.where(has, order[at], me)
     seg = np.where(has, np.sqrt(((xyz - xyz[up]) ** 2).sum(axis=1)), 0.0)
     root, hops, path = doubled(up, seg)
-    good = up[root] == root
+    good = (up[root] == root) & ~(has & (up == me))[root]  # a node that is its own parent is a cycle, not a root
     children = np.bincount(up[has], minlength=n)
     size = np.ones(n, np.int64)
     deep = np.flatnonzero(has & good)
@@ -144,6 +148,30 @@ def of_trees(tree: np.ndarray, idx: np.ndarray, kind: np.ndarray, xyz: np.ndarra
     }
 
 
+def whole_trees(batches: Iterator[pa.RecordBatch], key: int, least: int = 20_000) -> Iterator[pa.Table]:
+    """Tables of about ``least`` rows or more that end where the ``key`` column, by which the batches are sorted, changes."""
+    held, rows = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if rows >= least:
+            last, keys = held[-1].column(key)[-1], batch.column(key)
+            same = pc.fill_null(pc.equal(keys, last), False) if last.is_valid else pc.is_null(keys)
+            cut = pc.index(same, False).as_py()
+            if cut >= 0:
+                yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+                held, rows, batch = [], 0, batch.slice(cut)
+        held.append(batch)
+        rows += batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def tree_numbers(col: pa.ChunkedArray) -> np.ndarray:
+    codes = col.combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+    return np.cumsum(np.r_[0, codes[1:] != codes[:-1]])
+
+
 def topology(nodes: DataFrame) -> DataFrame:
     """Nodes with has_parent, the parent's place and radius, seg_len, n_children, depth, path_len, root, subtree_size, the soma and the hops to it.
 
@@ -156,27 +184,12 @@ def topology(nodes: DataFrame) -> DataFrame:
     at = {c: names.index(c) for c in NODE}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            rest = t if rest is None else pa.concat_tables([rest, t])
-            if rest.num_rows < 20_000:
-                continue
-            key = numbered(rest.column(at["neuron_id"]))
-            cut = int(np.searchsorted(key, key[-1]))
-            if cut:
-                yield from done(rest.slice(0, cut))
-                rest = rest.slice(cut)
-        if rest is not None and rest.num_rows:
-            yield from done(rest)
-
-    def numbered(col: pa.ChunkedArray) -> np.ndarray:
-        codes = col.combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
-        return np.cumsum(np.r_[0, codes[1:] != codes[:-1]])
+        for t in whole_trees(batches, at["neuron_id"]):
+            yield from done(t)
 
     def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
         get = lambda c: t.column(at[c]).to_numpy()
-        out = of_trees(numbered(t.column(at["neuron_id"])), get("idx"), get("type_id"), np.stack([get(c).astype(float) for c in "xyz"], 1), get("radius").astype(float), get("parent"))
+        out = of_trees(tree_numbers(t.column(at["neuron_id"])), get("idx"), get("type_id"), np.stack([get(c).astype(float) for c in "xyz"], 1), get("radius").astype(float), get("parent"))
         cols = []
         for f in schema.fields[len(names) :]:
             v = out[f.name]
@@ -189,46 +202,104 @@ def topology(nodes: DataFrame) -> DataFrame:
 
 
 def ancestors(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(neuron_id, idx, anc, hops): all ancestors of the wanted nodes, themselves at 0 hops. Grows with their depths only."""
-    up = edges(nodes).select("neuron_id", F.col("idx").alias("anc"), F.col("parent").alias("next")).cache()
-    step = wanted.select("neuron_id", "idx", F.col("idx").alias("anc"), F.lit(0).alias("hops")).distinct()
-    all_, k = step, 0
-    while True:
-        k += 1
-        step = stored(step.join(up, ["neuron_id", "anc"]).select("neuron_id", "idx", F.col("next").alias("anc"), F.lit(k).alias("hops")), "ancestors")
-        if step.isEmpty():
-            up.unpersist()
-            return all_
-        all_ = all_.union(step)
+    """(neuron_id, idx, anc, hops): all ancestors of the wanted nodes, themselves at 0 hops, in as many rounds as the greatest depth has binary digits.
+
+    A node on or below a cycle has only itself.
+    """
+    mine = nodes.join(wanted.select("neuron_id").distinct(), "neuron_id", "left_semi")
+    linked = stored(topology(mine).where("depth > 0").select("neuron_id", F.col("idx").alias("anc"), F.col("parent").alias("next"), "depth"), "links")
+    deepest, step = linked.agg(F.max("depth")).first()[0] or 0, 1
+    jump = linked.drop("depth")
+    all_ = wanted.select("neuron_id", "idx", F.col("idx").alias("anc"), F.lit(0).alias("hops")).distinct()
+    while step <= deepest:
+        more = all_.join(jump, ["neuron_id", "anc"]).select("neuron_id", "idx", F.col("next").alias("anc"), (F.col("hops") + step).alias("hops"))
+        all_ = stored(all_.union(more), "ancestors")
+        step *= 2
+        if step <= deepest:
+            jump = stored(jump.join(jump.toDF("neuron_id", "next", "to"), ["neuron_id", "next"]).select("neuron_id", "anc", F.col("to").alias("next")), "jumps")
+    return all_
+
+
+PAIR = "neuron_id {}, a int, b int, distance double, distance_ref double"
+
+
+def pair_distances(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(neuron_id, a, b, distance, distance_ref) of node pairs (neuron_id, a, b), by their lowest common ancestor.
+
+    ``distance`` is the length of the way between both; ``distance_ref`` is the
+    reference's rule: from ``a`` up to the first node also above ``b``, and as many
+    steps up from ``b`` (or to its root), so it depends on the order. Both are
+    infinite without a common ancestor, also for nodes on or below a cycle, and
+    null for nodes that are not there. One shuffle by neuron; the ancestors of many
+    trees' pairs are looked up at once by binary lifting.
+    """
+    kind = nodes.schema["neuron_id"].dataType.simpleString()
+    tagged = nodes.select("neuron_id", F.lit(0).alias("pair"), F.col("idx").cast("int"), F.col("parent").cast("int"), *[F.col(c).cast("double") for c in "xyz"])
+    rows = tagged.union(pairs.select("neuron_id", F.lit(1), F.col("a").cast("int"), F.col("b").cast("int"), *[F.lit(0.0)] * 3))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_trees(batches, 0):
+            tree, pair = tree_numbers(t.column(0)), t.column(1).to_numpy() == 1
+            idx, other = (t.column(i).to_numpy().astype(np.int64) for i in (2, 3))
+            if not pair.any():
+                continue
+            key = lambda who, i: tree[who].astype(np.int64) * 2**32 + (i + 2**31)
+            own = key(~pair, idx[~pair])
+            order = np.argsort(own, kind="stable")
+            xyz = np.stack([t.column(i).to_numpy()[~pair] for i in (4, 5, 6)], 1)
+            ask = pair.nonzero()[0]
+            dist, ref = distances(own[order], order, xyz, key(~pair, other[~pair]), other[~pair] == -1, key(ask, idx[ask]), key(ask, other[ask]))
+            out = pa.table({"neuron_id": t.column(0).take(pa.array(ask)), "a": t.column(2).take(pa.array(ask)), "b": t.column(3).take(pa.array(ask)), "distance": pa.array(dist, mask=np.isnan(dist)), "distance_ref": pa.array(ref, mask=np.isnan(ref))})
+            yield from out.combine_chunks().to_batches(max_chunksize=65_536)
+
+    return rows.repartition("neuron_id").sortWithinPartitions("neuron_id", "pair").mapInArrow(run, PAIR.format(kind))
+
+
+def distances(keys: np.ndarray, order: np.ndarray, xyz: np.ndarray, want: np.ndarray, root: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both distances of pairs of keys among nodes with sorted ``keys`` at ``order``, whose parents have the keys ``want``; nan where a node is not there."""
+    none = np.full(len(a), np.nan)
+    if not len(keys):
+        return none, none.copy()
+
+    def place(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
+        return order[at], keys[at] == k
+
+    up, has = place(want)
+    me = np.arange(len(want))
+    up = np.where(has & ~root, up, me)
+    top, hops, path = doubled(up, np.sqrt(((xyz - xyz[up]) ** 2).sum(axis=1)))
+    (a, in_a), (b, in_b) = place(a), place(b)
+    lifts = [up]
+    good = (up[top] == top) & ~(has & ~root & (up == me))[top]
+    while 2 ** len(lifts) <= int(hops[good].max(initial=0)):
+        lifts.append(lifts[-1][lifts[-1]])
+
+    def lifted(x: np.ndarray, steps: np.ndarray) -> np.ndarray:
+        for k, lift in enumerate(lifts):
+            x = np.where(steps >> k & 1, lift[x], x)
+        return x
+
+    share = good[a] & good[b] & (top[a] == top[b])
+    steps = np.where(share, hops[a] - hops[b], 0)
+    x, y = lifted(a, np.maximum(steps, 0)), lifted(b, np.maximum(-steps, 0))
+    for lift in lifts[::-1]:
+        apart = lift[x] != lift[y]
+        x, y = np.where(apart, lift[x], x), np.where(apart, lift[y], y)
+    meet = np.where(x == y, x, up[x])
+    far = lifted(b, np.where(share, np.minimum(hops[a] - hops[meet], hops[b]), 0))
+    out = [np.where(share, path[a] + path[b] - 2 * path[meet], np.inf), np.where(share, path[a] - path[meet] + path[b] - path[far], np.inf)]
+    return tuple(np.where(in_a & in_b, d, np.nan) for d in out)
 
 
 def path_distance(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Distance along the tree of node pairs (neuron_id, a, b) through their lowest common ancestor; infinite if they share none."""
-    depth = topology(nodes).select("neuron_id", "idx", "depth", "path_len")
-    anc = stored(ancestors(nodes, pairs.select("neuron_id", F.explode(F.array("a", "b")).alias("idx"))), "ancestors")
-    a = anc.select("neuron_id", F.col("idx").alias("a"), "anc")
-    b = anc.select("neuron_id", F.col("idx").alias("b"), "anc")
-    meet = pairs.join(a, ["neuron_id", "a"]).join(b, ["neuron_id", "b", "anc"]).join(depth.withColumnRenamed("idx", "anc"), ["neuron_id", "anc"])
-    meet = meet.groupBy("neuron_id", "a", "b").agg(F.max_by("path_len", "depth").alias("m"))
-    end = lambda c: depth.select("neuron_id", F.col("idx").alias(c), F.col("path_len").alias(f"l{c}"))
-    out = pairs.join(meet, ["neuron_id", "a", "b"], "left").join(end("a"), ["neuron_id", "a"]).join(end("b"), ["neuron_id", "b"])
-    return out.select("neuron_id", "a", "b", F.coalesce(F.col("la") + F.col("lb") - 2 * F.col("m"), F.lit(float("inf"))).alias("distance"))
+    """(neuron_id, a, b, distance) along the tree; see ``pair_distances``."""
+    return pair_distances(nodes, pairs).drop("distance_ref")
 
 
 def path_distance_ref(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The reference rule: walking up from ``a`` to the first node also above ``b``, the same number of steps is summed on both sides, so it depends on the order."""
-    top = stored(topology(nodes).select("neuron_id", "idx", "path_len"), "paths")
-    anc = stored(ancestors(nodes, pairs.select("neuron_id", F.explode(F.array("a", "b")).alias("idx"))), "ancestors").join(top.withColumnRenamed("idx", "anc"), ["neuron_id", "anc"])
-    a = anc.select("neuron_id", F.col("idx").alias("a"), "anc", F.col("hops").alias("ha"), F.col("path_len").alias("pa"))
-    b = anc.select("neuron_id", F.col("idx").alias("b"), "anc", F.col("hops").alias("hb"), F.col("path_len").alias("pb"))
-    first = pairs.join(a, ["neuron_id", "a"]).join(b.select("neuron_id", "b", "anc"), ["neuron_id", "b", "anc"]).groupBy("neuron_id", "a", "b").agg(F.min("ha").alias("steps"))
-    last = b.groupBy("neuron_id", "b").agg(F.max("hb").alias("most"))
-    start = top.select("neuron_id", F.col("idx"), F.col("path_len").alias("p0"))
-    rows = first.join(last, ["neuron_id", "b"]).withColumn("sb", F.least("steps", "most"))
-    rows = rows.join(a.select("neuron_id", "a", F.col("ha").alias("steps"), "pa"), ["neuron_id", "a", "steps"]).join(b.select("neuron_id", "b", F.col("hb").alias("sb"), "pb"), ["neuron_id", "b", "sb"])
-    rows = rows.join(start.toDF("neuron_id", "a", "la"), ["neuron_id", "a"]).join(start.toDF("neuron_id", "b", "lb"), ["neuron_id", "b"])
-    out = rows.select("neuron_id", "a", "b", (F.col("la") - F.col("pa") + F.col("lb") - F.col("pb")).alias("distance"))
-    return pairs.join(out, ["neuron_id", "a", "b"], "left").withColumn("distance", F.coalesce("distance", F.lit(float("inf"))))
+    """(neuron_id, a, b, distance) by the reference's rule; see ``pair_distances``."""
+    return pair_distances(nodes, pairs).select("neuron_id", "a", "b", F.col("distance_ref").alias("distance"))
 
 
 def branches(nodes: DataFrame) -> DataFrame:
@@ -245,6 +316,17 @@ def branches(nodes: DataFrame) -> DataFrame:
     return out.select("neuron_id", "first", F.col("p")[0]["parent"].alias("start"), F.concat(F.array(F.col("p")[0]["parent"]), F.col("p.idx")).alias("nodes"), "length")
 
 
+def typed_branches(nodes: DataFrame) -> DataFrame:
+    """``branches`` with the mesh class of the node that each starts at, joined by its id (not by its place, which others may share)."""
+    kind = nodes.select("neuron_id", F.col("idx").alias("start"), mesh_class(F.col("type_id")).alias("class"))
+    return branches(nodes).join(kind, ["neuron_id", "start"])
+
+
+def position(nodes: DataFrame) -> DataFrame:
+    """Nodes with their position as a vector."""
+    return nodes.withColumn("position", F.array("x", "y", "z"))
+
+
 def junctions(nodes: DataFrame) -> DataFrame:
     """Roots and nodes whose number of children is not one."""
     kids = nodes.where("parent <> -1").groupBy("neuron_id", F.col("parent").alias("idx")).agg(F.count("*").alias("n"))
