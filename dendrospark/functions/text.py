@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 # Priorities and patterns, in the order that decides.
 CELL_TYPE_PRIORITY = ("basket", "chandelier", "martinotti", "bitufted", "bipolar", "multipolar", "stellate", "granule", "purkinje", "mitral", "medium spiny", "pyramidal", "interneuron", "parvalbumin", "somatostatin", "VIP", "principal cell")
-GENERIC_TYPES = ("principal cell", "not reported", "unknown", "")
+GENERIC_TYPES = ("principal cell", "neuron")
+UNSAID_SPECIES = ("unknown", "not reported", "")
 PRIMARY_REGIONS = ("neocortex", "hippocampus", "cerebellum", "thalamus", "striatum", "amygdala", "olfactory bulb", "brainstem", "spinal cord", "retina")
 TEXT_CELL_TYPES = ("basket", "chandelier", "martinotti", "stellate", "granule", "purkinje", "mitral", "pyramidal", "interneuron", "principal")
 TEXT_REGIONS = ("neocortex", "hippocampus", "cerebellum", "thalamus", "striatum", "amygdala", "olfactory", "retina")
+HEX = "0123456789abcdef"
 LEVELS = (("broad", 0.1), ("standard", 0.3), ("detailed", 0.4), ("morphometric", 0.2))
 
 
@@ -34,13 +36,8 @@ def primary_cell_type(types: Column) -> Column:
 
 
 def primary_region(regions: Column) -> Column:
-    """The first primary region that a region holds or is part of, else the first region. An empty one is part of any."""
-
-    def hit(p: str) -> Column:
-        return F.when(F.exists(regions, lambda r: F.contains(F.lower(r), F.lit(p)) | F.contains(F.lit(p), F.lower(r))), p)
-
-    hits = [hit(p) for p in PRIMARY_REGIONS]
-    return F.coalesce(*hits, F.get(regions, F.lit(0)))
+    """The region, as it stands, that holds or is part of the first primary region for which there is one, else the first region. An empty one is part of any."""
+    return F.coalesce(first_match(regions, PRIMARY_REGIONS, both_ways=True), F.get(regions, F.lit(0)))
 
 
 def layer(regions: Column) -> Column:
@@ -69,19 +66,42 @@ class Parts:
 
 
 def archive_parts(species: Column, cell_types: Column, regions: Column) -> Parts:
-    """Metadata with lists of cell types and regions."""
-    said = lambda c: F.when(~F.lower(F.trim(c)).isin("", "unknown", "not reported"), c)
-    kind = said(primary_cell_type(cell_types))
-    return Parts(said(species), F.when(kind.isNotNull(), neuron_suffix(kind)), said(primary_region(regions)), layer(regions))
+    """Metadata with lists of cell types and regions; types and regions are lower-cased, of the species only an unsaid one is left out."""
+    kind = full(F.lower(primary_cell_type(cell_types)))
+    return Parts(F.when(~F.lower(species).isin(*UNSAID_SPECIES), species), neuron_suffix(kind), full(F.lower(primary_region(regions))), layer(regions))
+
+
+def full(c: Column) -> Column:
+    return F.nullif(c, F.lit(""))
+
+
+def specimen_parts(t_type: Column, dendrite: Column, structure: Column, species: Column) -> Parts:
+    """Metadata with transcriptomic labels; the dendrite type goes before them, a missing (not an empty) species is mouse."""
+    kind = F.coalesce(neuron_suffix(full(F.lower(dendrite))), full(F.lower(t_type)))
+    return Parts(full(F.coalesce(species, F.lit("mouse"))), kind, full(F.lower(structure)), F.lit(None).cast("string"))
+
 
+def generic_parts(species: Column, cell_type: Column, region: Column) -> Parts:
+    """Metadata of which only "unknown" and empty values are left out."""
+    said = lambda c: F.nullif(full(c), F.lit("unknown"))
+    return Parts(said(species), said(cell_type), said(region), F.lit(None).cast("string"))
 
-def specimen_parts(t_type: Column, met_type: Column, dendrite: Column, structure: Column, species: Column) -> Parts:
-    """Metadata with transcriptomic labels; defaults as that source's readers use them."""
-    full = lambda c: F.nullif(F.trim(c), F.lit(""))
-    return Parts(F.coalesce(full(species), F.lit("mouse")), F.coalesce(full(t_type), full(met_type), full(dendrite), F.lit("unknown")), F.coalesce(full(structure), F.lit("cortex")), F.lit(None).cast("string"))
 
+ADAPTERS = {"archive": archive_parts, "specimen": specimen_parts, "generic": generic_parts}
 
-ADAPTERS = {"archive": archive_parts, "specimen": specimen_parts, "generic": Parts}
+
+def archive_fields(neuron_id: Column, name: Column, cell_types: Column, regions: Column, species: Column) -> dict[str, Column]:
+    """The plain fields of metadata with lists: an id or else a name, lists joined, "unknown" for what is missing."""
+    joined = lambda a: F.when(F.size(a) > 0, F.array_join(a, " ")).otherwise("unknown")
+    return {"neuron_id": F.coalesce(neuron_id, name, F.lit("")), "cell_type": joined(cell_types), "brain_region": joined(regions), "species": F.coalesce(species, F.lit("unknown"))}
+
+
+def specimen_fields(specimen_id: Column, t_type: Column, met_type: Column, dendrite: Column, structure: Column, species: Column) -> dict[str, Column]:
+    """The plain fields of metadata with transcriptomic labels: the first type that is given."""
+    return {
+        "neuron_id": F.coalesce(specimen_id, F.lit("")), "cell_type": F.coalesce(full(t_type), full(met_type), full(dendrite), F.lit("unknown")),
+        "brain_region": F.coalesce(structure, F.lit("cortex")), "species": F.coalesce(species, F.lit("mouse")),
+    }
 
 
 def legacy_text(p: Parts) -> Column:
@@ -92,7 +112,8 @@ def legacy_text(p: Parts) -> Column:
 
 
 def specimen_text(dendrite: Column, structure: Column, t_type: Column) -> Column:
-    return F.concat_ws(" ", *[F.nullif(F.trim(c), F.lit("")) for c in (dendrite, structure, t_type)])
+    """What is given of dendrite type, structure and type label, else "neuron"."""
+    return F.coalesce(full(F.concat_ws(" ", *[full(c) for c in (dendrite, structure, t_type)])), F.lit("neuron"))
 
 
 def template_text(template: str, fields: dict[str, Column]) -> Column:
@@ -163,6 +184,11 @@ def label_from_text(text: Column, patterns: tuple[str, ...]) -> Column:
     return out.otherwise("other")
 
 
+def species_label(species: Column) -> Column:
+    """The species as given, "other" where it is unsaid."""
+    return F.when(F.lower(species).isin(*UNSAID_SPECIES) | species.isNull(), "other").otherwise(species)
+
+
 def stem(path: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
 
@@ -204,19 +230,14 @@ def ngrams(text: Column, most: int = 3) -> Column:
 
 
 def md5_mod(s: Column, d: int) -> Column:
-    """The 128-bit md5 of ``s`` modulo ``d``, folded by 32-bit words."""
-
-    def folded(h: Column) -> Column:
-        acc = F.lit(0).cast("bigint")
-        for k in range(4):
-            acc = (acc * (2**32 % d) + F.conv(F.substring(h, 8 * k + 1, 8), 16, 10).cast("bigint")) % d
-        return acc.cast("int")
-
-    return let(F.md5(s.cast("binary")), folded)
+    """The 128-bit md5 of ``s`` modulo ``d``: each hexadecimal digit counts what its place leaves modulo ``d``."""
+    h = F.md5(s.cast("binary"))
+    digit = lambda k: F.instr(F.lit(HEX), F.substring(h, k + 1, 1)) - 1
+    return (sum((digit(k).cast("bigint") * F.lit(pow(16, 31 - k, d)) for k in range(1, 32)), digit(0).cast("bigint") * F.lit(pow(16, 31, d))) % d).cast("int")
 
 
 def sha1_sign(s: Column) -> Column:
-    return F.when(F.conv(F.right(F.sha1(s.cast("binary")), F.lit(1)), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
+    return F.when(F.right(F.sha1(s.cast("binary")), F.lit(1)).isin(*HEX[::2]), 1).otherwise(-1)
 
 
 def hash_vectors(texts: DataFrame, id_column: str, text: str = "text", dim: int = 384) -> DataFrame:
