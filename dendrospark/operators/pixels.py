@@ -23,13 +23,18 @@ def depth_pool(pixels: DataFrame, f: int) -> DataFrame:
 
 
 def depth_bytes(pixels: DataFrame) -> DataFrame:
-    """Depth of valid pixels stretched to 0..255 per view, 255 for the others; a constant depth gives 128."""
+    """Depth of valid pixels stretched to 0..255 per view, 0 for the others; a constant depth gives 128."""
     v = F.when(F.col("val") < VALID, F.col("val"))
     span = pixels.groupBy("view_id").agg(F.min(v).alias("lo"), F.max(v).alias("hi"))
-    x = F.when(v.isNull(), 255).when(F.col("hi") > F.col("lo"), F.floor(255 * (v - F.col("lo")) / (F.col("hi") - F.col("lo")))).otherwise(128)
+    x = F.when(v.isNull(), 0).when(F.col("hi") > F.col("lo"), F.floor(255 * (v - F.col("lo")) / (F.col("hi") - F.col("lo")))).otherwise(128)
     return pixels.join(span, "view_id").select("view_id", "r", "c", x.cast("int").alias("val"))
 
 
+def grey(pixels: DataFrame, channels: list[str]) -> DataFrame:
+    """Pixels with val between 0 and 1: the mean of their channels (bytes) by 255."""
+    return pixels.withColumn("val", sum(F.col(c).cast("double") for c in channels) / (255.0 * len(channels)))
+
+
 def occupancy(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("view_id").agg((F.count_if(F.col("val") > 0) / F.count("*")).alias("occupancy"))
 

@@ -10,21 +10,34 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .topology import topology
+
 GOLDEN = math.pi * (3 - math.sqrt(5))
 
 
-def fibonacci_sphere(spark: SparkSession, n: int) -> DataFrame:
-    """(i, dx, dy, dz): n directions spread evenly over the sphere."""
-    i = F.col("id")
-    y = 1 - (i / max(n - 1, 1)) * 2
-    r = F.sqrt(F.greatest(F.lit(0.0), 1 - y * y))
-    return spark.range(n).select(i.alias("i"), (F.cos(i * GOLDEN) * r).alias("dx"), y.alias("dy"), (F.sin(i * GOLDEN) * r).alias("dz"))
+def even_places(i, n: int):
+    """Height and angle of the i-th of n directions that lie evenly on the sphere."""
+    return 1 - (2 * i + 1) / n, i * GOLDEN
+
+
+def fibonacci_sphere(spark: SparkSession, n: int, jitter: float = 0.0, seed: int = 0) -> DataFrame:
+    """(i, dx, dy, dz): n directions spread evenly over the sphere; ``jitter`` shifts angles by up to so much and heights by an n-th of it."""
+    z, angle = even_places(F.col("id"), n)
+    if jitter:
+        u = lambda k: 2 * uniform(F.col("id"), seed, k) - 1
+        z, angle = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), z + u(1) * jitter / n)), angle + u(0) * jitter
+    r = F.sqrt(F.greatest(F.lit(0.0), 1 - z * z))
+    return spark.range(n).select(F.col("id").alias("i"), (r * F.cos(angle)).alias("dx"), (r * F.sin(angle)).alias("dy"), z.alias("dz"))
+
+
+def uniform(key: Column, seed: int, k: int) -> Column:
+    """A number between 0 and 1 by hash."""
+    return (F.pmod(F.xxhash64(key, F.lit(seed), F.lit(k)), F.lit(2**31)) + 0.5) / 2**31
 
 
 def random_sphere(spark: SparkSession, n: int, seed: int) -> DataFrame:
     """n directions drawn evenly; each depends on its number and the seed only."""
-    u = lambda k: (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(2**31)) + 0.5) / 2**31
-    z, a = 2 * u(0) - 1, 2 * math.pi * u(1)
+    z, a = 2 * uniform(F.col("id"), seed, 0) - 1, 2 * math.pi * uniform(F.col("id"), seed, 1)
     r = F.sqrt(1 - z * z)
     return spark.range(n).select(F.col("id").alias("i"), (r * F.cos(a)).alias("dx"), (r * F.sin(a)).alias("dy"), z.alias("dz"))
 
@@ -57,60 +70,92 @@ def cross(a: list[Column], b: list[Column]) -> list[Column]:
 
 
 def plane(d: list[Column]) -> tuple[list[Column], list[Column]]:
-    """Right and up of the plane seen along unit direction ``d``; the helper axis is Y, or X near the pole."""
+    """Two axes of the image plane seen along unit direction ``d``; the helper axis is Y, or Z where ``d`` nearly is Y."""
     steep = F.abs(d[1]) > 0.95
-    helper = [F.when(steep, 1.0).otherwise(0.0), F.when(steep, 0.0).otherwise(1.0), F.lit(0.0)]
-    right = cross(helper, d)
-    size = F.sqrt(sum(x * x for x in right))
-    right = [x / size for x in right]
-    return right, cross(d, right)
+    helper = [F.lit(0.0), F.when(steep, 0.0).otherwise(1.0), F.when(steep, 1.0).otherwise(0.0)]
+    u = unit(cross(d, helper))
+    return u, unit(cross(u, d))
+
+
+def unit(v: list[Column]) -> list[Column]:
+    size = F.sqrt(sum(x * x for x in v)) + 1e-12
+    return [x / size for x in v]
+
+
+MOST_DIRECTIONS = 10_000
 
 
 def projected_extents(nodes: DataFrame, directions: DataFrame) -> DataFrame:
-    """(neuron_id, i, width, height) of each neuron seen along each direction. Directions are a short stated list and are broadcast."""
-    right, up = plane([F.col(c) for c in ("dx", "dy", "dz")])
-    d = directions.select("i", *[c.alias(f"r{k}") for k, c in enumerate(right)], *[c.alias(f"u{k}") for k, c in enumerate(up)])
+    """(neuron_id, i, width, height, diagonal) of each neuron's box seen along each direction. Directions are a short stated list (checked) and are broadcast."""
+    if directions.count() > MOST_DIRECTIONS:
+        raise ValueError(f"more than {MOST_DIRECTIONS} directions")
+    u, v = plane(unit([F.col(c) for c in ("dx", "dy", "dz")]))
+    d = directions.select("i", *[c.alias(f"u{k}") for k, c in enumerate(u)], *[c.alias(f"v{k}") for k, c in enumerate(v)])
     on = lambda p: sum(F.col(f"{p}{k}") * F.col(a) for k, a in enumerate("xyz"))
     rows = nodes.select("neuron_id", "x", "y", "z").crossJoin(F.broadcast(d))
-    return rows.groupBy("neuron_id", "i").agg((F.max(on("r")) - F.min(on("r"))).alias("width"), (F.max(on("u")) - F.min(on("u"))).alias("height"))
+    box = rows.groupBy("neuron_id", "i").agg((F.max(on("u")) - F.min(on("u"))).alias("width"), (F.max(on("v")) - F.min(on("v"))).alias("height"))
+    return box.withColumn("diagonal", F.sqrt(F.col("width") ** 2 + F.col("height") ** 2))
 
 
-def guided_directions(nodes: DataFrame, n_canonical: int = 6, n_biased: int = 12, n_random: int = 6, min_angle: float = 20.0, seed: int = 0) -> DataFrame:
-    """(neuron_id, i, tier, direction): both ways along the three axes, then directions most across the third axis, accepted greedily with an angle between, then random ones.
+def guided_directions(nodes: DataFrame, n_canonical: int = 6, n_biased: int = 12, n_random: int = 6, seed: int = 0) -> DataFrame:
+    """(neuron_id, i, tier, direction): both ways along the axes, then the most sidelong of an even pool, then random ones by hash.
 
-    Neurons of under ten nodes, or nearly round ones (ratio under 1.1), get an even spread instead (tier fibonacci).
+    Sidelong means little along the third axis. Those within 15 degrees of a
+    canonical direction, either way, are taken only if there are too few others.
+    Neurons of under ten nodes, or nearly round ones (first eigenvalue under 1.1
+    times a positive third), get an even spread instead (tier fibonacci). All
+    neurons of a batch are chosen for at once.
     """
     total = n_canonical + n_biased + n_random
-    grid = np.array([[math.cos(i * GOLDEN) * math.sqrt(max(0, 1 - y * y)), y, math.sin(i * GOLDEN) * math.sqrt(max(0, 1 - y * y))] for i, y in ((i, 1 - 2 * i / max(total * 8 - 1, 1)) for i in range(total * 8))])
-
-    def choose(axes: np.ndarray) -> list[tuple[str, np.ndarray]]:
-        out = [("canonical", s * a) for a in axes for s in (1.0, -1.0)][:n_canonical]
-        taken = 0
-        for d in grid[np.argsort(np.abs(grid @ axes[2]), kind="stable")]:
-            if taken == n_biased:
-                break
-            if all(d @ o < math.cos(math.radians(min_angle)) for _, o in out):
-                out.append(("biased", d))
-                taken += 1
-        rng = np.random.default_rng(seed)
-        for v in rng.standard_normal((total - len(out), 3)):
-            out.append(("random", v / np.linalg.norm(v)))
-        return out
+
+    def even(n: int) -> np.ndarray:
+        z, a = even_places(np.arange(n), n)
+        r = np.sqrt(np.maximum(0, 1 - z * z))
+        return np.stack([r * np.cos(a), r * np.sin(a), z], 1)
+
+    pool, spread = even(max(4 * n_biased, 48)), even(total)
+
+    def chosen(axes: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Directions of many neurons and which of them there are."""
+        m = len(axes)
+        canonical = np.stack([axes, -axes], 2).reshape(m, 6, 3)[:, : min(n_canonical, 6)]
+        order = np.argsort(np.abs(axes[:, 2] @ pool.T), axis=1, kind="stable")
+        dots = np.abs(canonical @ pool.T).max(axis=1, initial=0.0)
+        same = np.isclose(pool[None, :, None], canonical[:, None]).all(axis=3).any(axis=2)
+        late = np.where(dots <= math.cos(math.radians(15)), 0, np.where(same, 2, 1))
+        late = np.take_along_axis(late, order, axis=1)
+        first = np.argsort(late, axis=1, kind="stable")[:, :n_biased]
+        biased, there = pool[np.take_along_axis(order, first, axis=1)], np.take_along_axis(late, first, axis=1) < 2
+        u = np.stack([_noise(key[:, None] + k * 2**20 + np.arange(n_random)[None]) for k in range(2)])
+        z, a = 2 * u[0] - 1, 2 * math.pi * u[1]
+        random = np.stack([np.sqrt(1 - z * z) * np.cos(a), np.sqrt(1 - z * z) * np.sin(a), z], 2)
+        return np.concatenate([canonical, biased, random], axis=1), np.concatenate([np.ones(canonical.shape[:2], bool), there, np.ones((m, n_random), bool)], axis=1)
+
+    tiers = np.array(["canonical"] * min(n_canonical, 6) + ["biased"] * min(n_biased, len(pool)) + ["random"] * n_random)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        even = [("fibonacci", d) for d in grid[:: max(1, len(grid) // total)][:total]]
         for p in batches:
-            rows = []
-            for key, n, ratio, axes in zip(p["neuron_id"], p["n"], p["ratio"], p["axes"], strict=True):
-                picked = even if n < 10 or ratio < 1.1 else choose(np.array([list(a) for a in axes]))
-                rows += [(key, i, tier, d.tolist()) for i, (tier, d) in enumerate(picked)]
-            yield pd.DataFrame(rows, columns=["neuron_id", "i", "tier", "direction"])
+            values, axes = (np.array([list(map(list, a)) if c == "axes" else list(a) for a in p[c]], float).reshape(len(p), 3, -1) for c in ("values", "axes"))
+            flat = (p["n"].to_numpy() < 10) | ((values[:, 2, 0] > 0) & (p["ratio"].to_numpy() < 1.1))
+            d, there = chosen(axes[~flat], p["key"].to_numpy()[~flat])
+            who, place = np.nonzero(there)
+            guided = pd.DataFrame({"neuron_id": p["neuron_id"].to_numpy()[~flat][who], "i": np.cumsum(there, axis=1)[who, place] - 1, "tier": tiers[place], "direction": list(d[who, place])})
+            who, place = np.repeat(np.flatnonzero(flat), total), np.tile(np.arange(total), int(flat.sum()))
+            yield pd.concat([guided, pd.DataFrame({"neuron_id": p["neuron_id"].to_numpy()[who], "i": place, "tier": "fibonacci", "direction": list(spread[place])})])
 
     counts = nodes.groupBy("neuron_id").agg(F.count("*").alias("n"))
-    rows = principal_axes(nodes).join(counts, "neuron_id").select("neuron_id", "n", "ratio", "axes")
+    rows = principal_axes(nodes).join(counts, "neuron_id").select("neuron_id", "n", "ratio", "values", "axes", F.xxhash64("neuron_id", F.lit(seed)).alias("key"))
     return rows.mapInPandas(run, f"neuron_id {rows.schema['neuron_id'].dataType.simpleString()}, i int, tier string, direction array<double>")
 
 
+def _noise(x: np.ndarray) -> np.ndarray:
+    """Numbers between 0 and 1 from whole numbers, by mixing their bits."""
+    h = x.astype(np.int64).view(np.uint64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return ((h >> np.uint64(12)).astype(float) + 0.5) / 2**52
+
+
 def look_at(eye: np.ndarray, target: np.ndarray, up: np.ndarray) -> np.ndarray:
     f = (target - eye) / np.linalg.norm(target - eye)
     r = np.cross(f, up)
@@ -161,10 +206,21 @@ def sample_poses(views: DataFrame, n: int, group: str = "neuron_id", order: str
     return views.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= (n if how == "random" else 1)).drop("__r")
 
 
-def scaled_radii(nodes: DataFrame, percentile: float = 50.0, alpha: float = 1.0) -> DataFrame:
-    """Nodes with radii drawn towards a per-neuron reference: weight w = (ref / r)^alpha cut to 0..10, mixed by w / (1 + w)."""
-    ref = nodes.where("radius > 0").groupBy("neuron_id").agg(F.percentile("radius", F.lit(percentile / 100)).alias("__ref"))
-    r = F.greatest(F.col("radius"), F.lit(1e-9))
-    w = F.least(F.lit(10.0), F.pow(F.col("__ref") / r, F.lit(alpha)))
-    m = w / (1 + w)
-    return nodes.join(ref, "neuron_id", "left").withColumn("scaled_radius", F.coalesce((1 - m) * F.col("radius") + m * F.col("__ref"), F.col("radius"))).drop("__ref")
+def scaled_radii(nodes: DataFrame, radius_scale: float = 1.0, alpha: float = 0.0, percentile: float = 50.0) -> DataFrame:
+    """Nodes with scaled_radius, the radius times ``radius_scale``; with ``alpha`` above 0 thin neurites are scaled more than thick ones.
+
+    The scale is then 1 + (radius_scale - 1) w / (1 + w), w = (ref / radius)^alpha cut
+    to 0..10. ``ref`` is a percentile over the radii of all branches from the soma
+    on, in which a branch's start counts once for each child. What no branch
+    reaches, and the soma, keep their radius.
+    """
+    t = topology(nodes)
+    below = t.where("has_parent and soma_hops > 0 and soma_hops = depth - soma_depth")
+    start = t.select("neuron_id", F.col("idx").alias("parent"), ((F.col("n_children") > 1) | (F.col("idx") == F.col("soma_idx"))).alias("starts"))
+    radii = below.join(start, ["neuron_id", "parent"]).select("neuron_id", F.explode(F.array_compact(F.array("radius", F.when(F.col("starts"), F.col("pradius"))))).alias("r"))
+    ref = radii.groupBy("neuron_id").agg(F.percentile("r", F.lit(min(100.0, max(0.0, percentile)) / 100)).alias("__ref"))
+    w = F.least(F.lit(10.0), F.greatest(F.lit(0.0), F.pow(F.col("__ref") / (F.col("radius") + 1e-12), F.lit(float(alpha)))))
+    scale = F.when((F.lit(alpha) > 0) & (F.col("__ref") > 0), 1 + (radius_scale - 1) * w / (1 + w)).otherwise(F.lit(float(radius_scale)))
+    reached = below.select("neuron_id", "idx", F.lit(True).alias("__in"))
+    rows = nodes.join(ref, "neuron_id", "left").join(reached, ["neuron_id", "idx"], "left")
+    return rows.withColumn("scaled_radius", F.when(F.col("__in"), F.col("radius") * scale).otherwise(F.col("radius"))).drop("__ref", "__in")
