@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Bin names, their measure, labels and percentiles.
@@ -23,7 +23,8 @@ def max_extent(w: Column, h: Column, d: Column) -> Column:
 
 
 def aspect_ratio(w: Column, h: Column) -> Column:
-    return F.when((w > 0) & (h > 0), F.try_divide(w, h))
+    """Width by height; none for a width of 0 or a height that isn't above 0."""
+    return F.when((w != 0) & (h > 0), F.try_divide(w, h))
 
 
 def degenerate(n_bifs: Column, n_branch: Column, width: Column, depth: Column, length: Column) -> Column:
@@ -61,23 +62,28 @@ def reason_counts(df: DataFrame) -> DataFrame:
     return df.where("reason is not null").groupBy("reason").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason")
 
 
+def commonest(df: DataFrame, column: str, n: int = 10) -> DataFrame:
+    """(value, n) of the ``n`` commonest values, the smaller one first on ties."""
+    return df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(n)
+
+
 def split(df: DataFrame, key: str, strata: str | None, val: float, test: float, seed: int = 42) -> DataFrame:
     """(key, strata, split): per stratum the first int(n test) keys in hash order go to test, the next int(n val) to val, the rest to train.
 
     Keys of one value stay together. The order is a hash of key and seed, so a
-    split does not depend on partitioning. Without strata ranks are counted per
-    hash range, so no task sees all keys.
+    split does not depend on partitioning. Ranks are counted per range partition,
+    so no task sees all keys of a stratum.
     """
+    from ..sources.tables import numbered
+
     if not 0 <= val < 1 or not 0 <= test < 1 or val + test >= 1:
         raise ValueError("ratios must be in [0, 1) and leave room for train")
     h = F.xxhash64(F.col(key).cast("string"), F.lit(seed))
     if strata:
-        keys = df.groupBy(key).agg(F.min(strata).alias(strata)).withColumn("__h", h)
-        w = Window.partitionBy(strata)
-        keys = keys.withColumn("__r", F.row_number().over(w.orderBy("__h", key)) - 1).withColumn("__n", F.count("*").over(w))
+        keys = numbered(df.groupBy(key).agg(F.min(strata).alias(strata)).withColumn("__h", h), [strata, "__h", key])
+        each = keys.groupBy(F.col(strata).alias("__s")).agg(F.min("row_no").alias("__0"), F.count("*").alias("__n"))
+        keys = keys.join(each, F.col(strata).eqNullSafe(F.col("__s"))).withColumn("__r", F.col("row_no") - F.col("__0")).drop("__s", "__0", "row_no")
     else:
-        from ..sources.tables import numbered
-
         keys = df.select(key).distinct().withColumn("__h", h)
         keys = numbered(keys, ["__h", key]).withColumnRenamed("row_no", "__r").crossJoin(F.broadcast(keys.agg(F.count("*").alias("__n"))))
     n_test, n_val = F.floor(F.col("__n") * test), F.floor(F.col("__n") * val)
@@ -91,21 +97,27 @@ def assign_split(rows: DataFrame, splits: DataFrame, key: str) -> DataFrame:
 
 
 def bins(train: DataFrame, least: int = 100) -> DataFrame:
-    """(name, key, labels, thresholds, percentiles, n_samples, min, max, median) of the measures with at least ``least`` positive values."""
+    """(name, key, labels, thresholds, percentiles, n_samples, min, max, median) of the measures with at least ``least`` positive values.
+
+    Percentiles are exact: all values are numbered in order once, per range
+    partition, and only those at the wanted places are looked at.
+    """
+    from ..sources.tables import numbered
+
     keys = sorted({k for k, _, _ in BINS.values()} & set(train.columns))
     pairs = ", ".join(f"'{k}', try_cast(`{k}` as double)" for k in keys)
-    long = train.selectExpr(f"stack({len(keys)}, {pairs}) as (key, v)").where("v > 0")
-    out = None
-    for name, (key, labels, percents) in BINS.items():
-        if key not in keys:
-            continue
-        part = long.where(F.col("key") == key).agg(
-            F.lit(name).alias("name"), F.lit(key).alias("key"), F.array(*map(F.lit, labels)).alias("labels"), F.percentile("v", F.array(*[F.lit(p / 100) for p in percents])).alias("thresholds"), F.array(*map(F.lit, percents)).alias("percentiles"),
-            F.count("v").alias("n_samples"), F.min("v").alias("min"), F.max("v").alias("max"), F.median("v").alias("median"),
-        )
-        part = part.where(F.col("n_samples") >= least)
-        out = part if out is None else out.union(part)
-    return out
+    rows = numbered(train.selectExpr(f"stack({len(keys)}, {pairs}) as (key, v)").where("v > 0"), ["key", "v"])
+    each = rows.groupBy("key").agg(F.min("row_no").alias("start"), F.count("*").alias("n_samples"), F.min("v").alias("min"), F.max("v").alias("max"))
+    spark = train.sparkSession
+    wanted = spark.createDataFrame([(name, key, k, float(p)) for name, (key, _, percents) in BINS.items() if key in keys for k, p in enumerate([*percents, 50])], "name string, key string, k int, percent double")
+    at = wanted.join(each, "key").withColumn("at", (F.col("n_samples") - 1) * F.col("percent") / 100)
+    ends = at.select("name", "k", "key", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))).alias("place"), "at", "start")
+    near = ends.join(rows, (ends.key == rows.key) & (ends.place + ends.start == rows.row_no)).select("name", "k", "at", "place", "v")
+    value = near.groupBy("name", "k").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.max(F.col("at") - F.floor("at")).alias("part")).withColumn("q", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part"))
+    values = value.groupBy("name").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "q"))), lambda x: x["q"]).alias("q"))
+    fixed = spark.createDataFrame([(name, key, labels, percents) for name, (key, labels, percents) in BINS.items() if key in keys], "name string, key string, labels array<string>, percentiles array<int>")
+    out = fixed.join(each.where(F.col("n_samples") >= least), "key").join(values, "name")
+    return out.select("name", "key", "labels", F.slice("q", 1, F.size("q") - 1).alias("thresholds"), "percentiles", "n_samples", "min", "max", F.element_at("q", -1).alias("median"))
 
 
 def bin_label(value: Column, thresholds: Column, labels: Column) -> Column:
