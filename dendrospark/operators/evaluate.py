@@ -9,51 +9,92 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import dot, normalised
+from ..session import stored
+from .vectors import block_pairs, dot, normalised, products
 
-BLOCK_ROWS = 4096
+MOST_FIGURES = 10_000
 
 
-def ranks(queries: DataFrame, items: DataFrame, query_id: str, label: str = "label") -> DataFrame:
-    """(query, rank): the place of the best item of the query's own label, 1 + the number of items more similar.
+def ranks(queries: DataFrame, items: DataFrame, query_id: str, label: str = "label", query_vec: str = "vec", item_vec: str = "vec") -> DataFrame:
+    """(query, rank): the place of the best item of the query's own label, 1 + the number of items more similar; null if there is none.
 
-    Items go to the tasks in blocks of ``BLOCK_ROWS``; each task multiplies its
-    queries with a block and keeps, per query, the best right similarity and then
-    the count above it. Two passes over the blocks; no pair becomes a row.
+    Blocks of queries meet blocks of items (``block_pairs``) twice: for the best right
+    similarity, then for the count above it. A task passes on one number a query;
+    no pair becomes a row. Null labels equal each other.
     """
-    q = queries.select(F.col(query_id).alias("__id"), F.col(label).cast("string").alias("__label"), normalised(F.col("vec")).alias("__v"))
-    it = items.select(F.col(label).cast("string").alias("__label"), normalised(F.col("vec")).alias("__v"))
-    n_blocks = max(1, -(-it.count() // BLOCK_ROWS))
-    it = it.withColumn("__b", F.pmod(F.xxhash64("__v"), F.lit(n_blocks)))
-
-    def block(b: int) -> tuple[np.ndarray, np.ndarray]:
-        rows = it.where(F.col("__b") == b).collect()
-        return np.array([r["__label"] for r in rows], object), np.array([r["__v"] for r in rows], float).reshape(len(rows), -1)
-
-    def passed(df: DataFrame, b: int, count: bool) -> DataFrame:
-        shared, names = df.sparkSession.sparkContext.broadcast(block(b)), df.columns
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            labels, x = shared.value
-            for batch in batches:
-                for at in range(0, batch.num_rows, 512):
-                    part = batch.slice(at, 512)
-                    mine = np.array(part.column(1).to_pylist(), object)
-                    v = np.array(part.column(2).to_pylist(), float)
-                    best, above = part.column(3).to_numpy(), part.column(4).to_numpy()
-                    if len(x):
-                        sims = np.round(v @ x.T, 12)
-                        right = np.where(mine[:, None] == labels[None, :], sims, -np.inf)
-                        best, above = (best, above + (sims > best[:, None]).sum(axis=1)) if count else (np.maximum(best, right.max(axis=1)), above)
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(best), pa.array(above.astype(np.int64))], names=names)
-
-        return df.mapInArrow(run, df.schema)
-
-    state = q.withColumn("best", F.lit(float("-inf"))).withColumn("above", F.lit(0).cast("long"))
-    for count in (False, True):
-        for b in range(n_blocks):
-            state = passed(state, b, count)
-    return state.select(F.col("__id").alias(query_id), F.when(F.col("best") > float("-inf"), F.col("above") + 1).alias("rank"))
+    own = F.col(label).cast("string").alias("label")
+    q = queries.select(F.col(query_id).alias("id"), own, normalised(F.col(query_vec)).alias("v"))
+    it = items.select(own, normalised(F.col(item_vec)).alias("v"))
+    kind = q.schema["id"].dataType.simpleString()
+
+    def sims(q: pa.Table, it: pa.Table) -> np.ndarray:
+        return np.nan_to_num(np.round(products(q.column("v"), it.column("v")), 12), nan=-np.inf)
+
+    def best(q: pa.Table, it: pa.Table) -> pa.Table:
+        mine, theirs = (np.array(t.column("label").to_pylist(), object) for t in (q, it))
+        right = np.where(mine[:, None] == theirs[None, :], sims(q, it), -np.inf) if len(q) and len(it) else np.full((len(q), 1), -np.inf)
+        return pa.table({"id": q.column("id"), "best": right.max(axis=1)})
+
+    def above(q: pa.Table, it: pa.Table) -> pa.Table:
+        more = (sims(q, it) > q.column("best").to_numpy()[:, None]).sum(axis=1) if len(q) and len(it) else np.zeros(len(q), np.int64)
+        return pa.table({"id": q.column("id"), "above": more.astype(np.int64)})
+
+    top = block_pairs(q, it).applyInArrow(best, f"id {kind}, best double").groupBy("id").agg(F.max("best").alias("best"))
+    known = stored(q.join(top.where(F.col("best") > float("-inf")), "id").select("id", "v", "best"), "best")
+    counts = block_pairs(known, it.select("v")).applyInArrow(above, f"id {kind}, above long").groupBy("id").agg((F.sum("above") + 1).alias("rank"))
+    return q.select("id").join(counts, "id", "left").select(F.col("id").alias(query_id), "rank")
+
+
+def retrieval_both_ways(pairs: DataFrame, order: str, text: str = "text", image_vec: str = "image", text_vec: str = "embedded") -> DataFrame:
+    """One row: R@1, R@5, R@10, MRR and median rank from images to texts (i2t_) and back (t2i_); a hit is any row of the same text."""
+    i2t = ranks(pairs, pairs, order, text, image_vec, text_vec)
+    t2i = ranks(pairs, pairs, order, text, text_vec, image_vec)
+    return retrieval(i2t, "i2t_").crossJoin(retrieval(t2i, "t2i_"))  # one row each
+
+
+def of_classes(rows: DataFrame, classes: list, gt: str = "gt") -> DataFrame:
+    """The rows whose true label is one of the classes, predictions beside it."""
+    return rows.where(F.col(gt).isin(classes))
+
+
+def embedded(rows: DataFrame, columns: dict[str, str], encode, schema: str) -> DataFrame:
+    """``rows`` through a batched encoder: ``columns`` maps new array columns to the columns they are computed from.
+
+    ``encode(name, values)`` gets the values of a batch as a list and returns a vector for
+    each; it is made once a task by ``encode()`` without arguments if it is a class.
+    For a bounded number of rows put ``first_rows`` before it.
+    """
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = encode() if isinstance(encode, type) else encode
+        for batch in batches:
+            new = [pa.array([list(map(float, v)) for v in model(name, batch.column(names.index(source)).to_pylist())], pa.list_(pa.float64())) for name, source in columns.items()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*names, *columns])
+
+    return rows.mapInArrow(run, schema)
+
+
+def metrics(*named: tuple[str, DataFrame]) -> DataFrame:
+    """(section, name, value) of one-row tables of figures, in long form: what is written as the metrics table."""
+    out = None
+    for section, row in named:
+        pairs = F.explode(F.array(*[F.struct(F.lit(section).alias("section"), F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in row.columns])).alias("m")
+        part = row.select(pairs).select("m.*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def metrics_text(figures: DataFrame) -> str:
+    """The report: sections in the order in which they come up in ``figures``, a line a figure with one decimal, "n/a" for null. Figures are a short table."""
+    lines: list[str] = []
+    section = None
+    for r in figures.limit(MOST_FIGURES).collect():
+        if r.section != section:
+            section = r.section
+            lines += ["", f"[{section}]", "-" * 40]
+        lines.append(f"  {r['name']}: " + ("n/a" if r.value is None else f"{r.value:.1f}"))
+    return "\n".join(["=" * 70, "Evaluation report", "=" * 70, *lines, "", "=" * 70])
 
 
 def retrieval(rank: DataFrame, prefix: str = "") -> DataFrame:
@@ -128,6 +169,13 @@ def kl_term(mu: Column, logvar: Column, free_bits: float = 0.0) -> Column:
     return F.aggregate(each, F.lit(0.0), lambda s, x: s + x) / F.size(mu)
 
 
+def cross_entropy(logits: Column, label: Column, ignored: int = -100) -> Column:
+    """log(sum e^l) - l of the label's class (from 0), shifted by the largest logit; null for an ignored label."""
+    top = F.array_max(logits)
+    total = F.aggregate(logits, F.lit(0.0), lambda s, x: s + F.exp(x - top))
+    return F.when(label != ignored, F.log(total) + top - F.get(logits, label))
+
+
 def dice(pred: Column, true: Column, smooth: float = 1.0) -> Column:
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
     return (2 * dot(pred, true) + smooth) / (total(pred) + total(true) + smooth)

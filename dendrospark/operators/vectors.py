@@ -102,20 +102,23 @@ def products(a: pa.ChunkedArray, b: pa.ChunkedArray) -> np.ndarray:
     return out
 
 
+def block_pairs(queries: DataFrame, items: DataFrame):
+    """Blocks of about ``QUERY_BLOCK`` and ``ITEM_BLOCK`` rows, each of the ones with each of the others: a cogrouping, one pair of blocks a task at a time."""
+    n_q, n_i = max(1, -(-queries.count() // QUERY_BLOCK)), max(1, -(-items.count() // ITEM_BLOCK))
+
+    def dealt(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
+        return df.withColumn(own, F.pmod(F.xxhash64(*df.columns), F.lit(n_own)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
+
+    return dealt(queries, "qb", n_q, "ib", n_i).groupBy("qb", "ib").cogroup(dealt(items, "ib", n_i, "qb", n_q).groupBy("qb", "ib"))
+
+
 def nearest(queries: DataFrame, items: DataFrame, query_id: str, item_id: str, k: int, places: int | None = None) -> DataFrame:
     """(query, item, sim, rank): the k most similar items of any number of queries, as ``top_k`` orders them.
 
-    Queries and items are dealt into blocks of about ``QUERY_BLOCK`` and
-    ``ITEM_BLOCK`` rows. A task multiplies a block of queries with one of items
+    Queries and items are dealt into blocks (``block_pairs``). A task multiplies a block of queries with one of items
     and passes on k rows a query; these lists are merged by rank. Similarities are
     rounded to ``places`` before they are compared. Unknown ones come last.
     """
-    n_q, n_i = max(1, -(-queries.count() // QUERY_BLOCK)), max(1, -(-items.count() // ITEM_BLOCK))
-
-    def dealt(df: DataFrame, own_id: str, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-        rows = df.select(F.col(own_id).alias("id"), normalised(F.col("vec")).alias("v"))
-        return rows.withColumn(own, F.pmod(F.xxhash64("id", "v"), F.lit(n_own)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
-
     schema = T.StructType([T.StructField(query_id, queries.schema[query_id].dataType), T.StructField(item_id, items.schema[item_id].dataType), T.StructField("sim", T.DoubleType())])
 
     def run(q: pa.Table, it: pa.Table) -> pa.Table:
@@ -138,8 +141,8 @@ def nearest(queries: DataFrame, items: DataFrame, query_id: str, item_id: str, k
         r, c, s = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((left, np.int64), (right, np.int64), (sims, float)))
         return pa.table({query_id: q.column("id").take(pa.array(r)), item_id: it.column("id").take(pa.array(c)), "sim": pa.array(s, mask=np.isnan(s))})
 
-    blocks = dealt(queries, query_id, "qb", n_q, "ib", n_i).groupBy("qb", "ib").cogroup(dealt(items, item_id, "ib", n_i, "qb", n_q).groupBy("qb", "ib"))
-    return top_k(blocks.applyInArrow(run, schema), query_id, item_id, k)
+    q, it = (df.select(F.col(i).alias("id"), normalised(F.col("vec")).alias("v")) for df, i in ((queries, query_id), (items, item_id)))
+    return top_k(block_pairs(q, it).applyInArrow(run, schema), query_id, item_id, k)
 
 
 def nearest_class(sims: DataFrame, item_id: str, class_id: str) -> DataFrame:
@@ -160,3 +163,18 @@ def group_cosines(items: DataFrame, id_column: str, label: str) -> DataFrame:
     both = inner.crossJoin(all_)
     total, pairs = (F.col("q") - F.col("n")) / 2, F.col("n") * (F.col("n") - 1) / 2
     return both.select(F.try_divide("intra_sum", "intra_n").alias("intra"), F.try_divide(total - F.col("intra_sum"), pairs - F.col("intra_n")).alias("inter"))
+
+
+def pca_scatter(items: DataFrame, id_column: str, k: int = 2) -> DataFrame:
+    """(id, point): vectors, less their mean, on their first ``k`` principal components; each component's largest entry is positive."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector
+
+    rows = items.where("vec is not null").select(id_column, doubles(F.col("vec")).alias("x"))
+    model = PCA(k=k, inputCol="f", outputCol="p").fit(rows.select(array_to_vector("x").alias("f")))
+    axes = model.pc.toArray()
+    axes = axes * np.where(np.take_along_axis(axes, np.abs(axes).argmax(axis=0)[None], axis=0) < 0, -1.0, 1.0)
+    mean = pool(rows.select(F.lit(0).alias("all"), F.col("x").alias("vec"), id_column), "mean", "all", id_column).select(F.col("vec").alias("mean"))
+    both = rows.crossJoin(F.broadcast(mean))  # one row
+    less = F.zip_with("x", "mean", lambda x, m: x - m)
+    return both.select(id_column, F.array(*[dot(less, F.array(*map(F.lit, axis.tolist()))) for axis in axes.T]).alias("point"))
