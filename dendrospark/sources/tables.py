@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,20 +30,107 @@ def as_strings(v: Column, field: str) -> Column:
 
 
 def read_metadata(spark: SparkSession, path: str, id_column: str) -> DataFrame:
-    """Rows by suffix (.jsonl, .json, .csv), all fields as text, one per id: the last wins. Empty ids go, save in .json."""
+    """Rows by suffix, all fields as text, one per id, the last in the file wins.
+
+    ``.jsonl`` and ``.csv``: rows without an id go. ``.json``: a list of objects, of
+    which those without an id go, or one object whose keys are the ids.
+    """
     if path.endswith(".csv"):
-        df = spark.read.csv(path, header=True, inferSchema=False)
+        rows = spark.read.csv(path, header=True, inferSchema=False, multiLine=True)
+        at = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
     elif path.endswith(".jsonl"):
-        df = spark.read.option("primitivesAsString", True).json(path)
+        rows = spark.read.option("primitivesAsString", True).json(path)
+        at = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
     elif path.endswith(".json"):
-        df = spark.read.option("primitivesAsString", True).json(path, multiLine=True)
+        return json_records(spark, path, id_column)
     else:
         raise ValueError(f"unknown kind of metadata: {path}")
-    rows = df.withColumn("__at", F.monotonically_increasing_id()).where(F.col(id_column).isNotNull())
-    if not path.endswith(".json"):
-        rows = rows.where(F.col(id_column) != "")
-    rest = [c for c in df.columns if c != id_column]
-    return rows.groupBy(id_column).agg(F.max_by(F.struct(*rest), "__at").alias("v")).select(id_column, "v.*") if rest else rows.select(id_column).distinct()
+    names = rows.columns
+    return last_of_each(rows.select("*", at.alias("__at")), id_column, names)
+
+
+def last_of_each(rows: DataFrame, id_column: str, names: list[str]) -> DataFrame:
+    """Per id, where there is one, the row with the greatest ``__at``."""
+    rest = [c for c in names if c != id_column]
+    some = rows.where(F.coalesce(F.col(id_column), F.lit("")) != "")
+    return some.groupBy(id_column).agg(F.max_by(F.struct(*rest), "__at").alias("v")).select(id_column, "v.*") if rest else some.select(id_column).distinct()
+
+
+def json_records(spark: SparkSession, path: str, id_column: str) -> DataFrame:
+    """The objects of a JSON file that is a list of them, or one object that maps ids to them; (id, fields as a map of texts)."""
+    raw = spark.read.text(path, wholetext=True)
+    listed = F.from_json("value", "array<map<string,string>>")
+    keyed = F.from_json("value", "map<string,map<string,string>>")
+    is_list = F.ltrim("value").startswith("[")
+    rows = raw.where(is_list).select(F.posexplode(listed).alias("__at", "fields")).withColumn(id_column, F.element_at("fields", F.lit(id_column)))
+    whole = raw.where(~is_list).select(F.posexplode(F.map_entries(keyed)).alias("__at", "e")).select("__at", F.col("e.value").alias("fields"), F.col("e.key").alias(id_column))
+    return last_of_each(rows.unionByName(whole), id_column, ["fields", id_column])
+
+
+def specimen_id(swc_name: Column) -> Column:
+    """What stands before the first "_" of a file name; null for none."""
+    return F.when(swc_name != "", F.substring_index(swc_name, "_", 1))
+
+
+def with_specimen_metadata(views: DataFrame, by_specimen: DataFrame, by_file: DataFrame, swc: str = "swc") -> DataFrame:
+    """Views with ``specimen`` and ``file_fields``: the rows of metadata indexed by cell_specimen_id and by filename that a view's SWC name leads to."""
+    a = by_specimen.select(F.col("cell_specimen_id").alias("__s"), F.struct(*by_specimen.columns).alias("specimen"))
+    b = by_file.select(F.col("filename").alias("__f"), F.struct(*by_file.columns).alias("file_fields"))
+    return views.join(a, specimen_id(F.col(swc)) == F.col("__s"), "left").join(b, F.col(swc) == F.col("__f"), "left").drop("__s", "__f")
+
+
+def write_jsonl(rows: DataFrame, folder: str, append: bool = True) -> None:
+    """Rows as JSON lines; fields that are null are kept."""
+    rows.write.mode("append" if append else "overwrite").option("ignoreNullFields", False).json(folder)
+
+
+def merged_manifests(spark: SparkSession, folder: str, schema: str | T.StructType, parts: list[int] | None = None) -> DataFrame:
+    """The entries of the manifests that tasks left (manifest_<i>.jsonl), in one table with ``task``; missing parts are passed over."""
+    rows = spark.read.schema(schema).json(folder, pathGlobFilter="manifest_*.jsonl").select("*", F.regexp_extract(F.col("_metadata.file_name"), r"manifest_(\d+)\.jsonl$", 1).alias("task"))
+    rows = rows.where("task <> ''").withColumn("task", F.col("task").cast("int"))
+    return rows if parts is None else rows.where(F.col("task").isin(parts))
+
+
+def with_morphometry(neurons: DataFrame, measures: DataFrame, id_column: str = "neuron_id") -> DataFrame:
+    """Neurons with the struct ``morphometry`` of their measures, null where there are none."""
+    m = measures.select(id_column, F.struct(*[c for c in measures.columns if c != id_column]).alias("morphometry"))
+    return neurons.join(m, id_column, "left")
+
+
+def paired(entries: DataFrame) -> DataFrame:
+    """Entries that come with their metadata (image_path, metadata, maybe neuron_id); a missing id is empty."""
+    own = F.coalesce(F.col("neuron_id").cast("string"), F.lit("")) if "neuron_id" in entries.columns else F.lit("")
+    return entries.withColumn("neuron_id", own)
+
+
+# The named collections of the archive.
+COLLECTIONS = (
+    ("mouse_motor_cortex", "Mouse Motor Cortex Patch-seq", "https://download.brainimagelibrary.org/biccn/zeng/tolias/pseq/morph/"),
+    ("mouse_visual_cortex", "Mouse Visual Cortex Patch-seq", "https://download.brainimagelibrary.org/biccn/zeng/pseq/morph/200526/"),
+)
+
+
+def collections(spark: SparkSession) -> DataFrame:
+    """(key, name, url) of the collections that can be asked for by name."""
+    return spark.createDataFrame(COLLECTIONS, "key string, name string, url string")
+
+
+def standard_swc_url(base: str, archive: Column, name: Column) -> Column:
+    """Where an archive keeps the standardised file of a neuron."""
+    return F.concat(F.lit(f"{base}/dableFiles/"), F.lower(F.trim(archive)), F.lit("/CNG%20version/"), name, F.lit(".CNG.swc"))
+
+
+def first_rows(df: DataFrame, n: int, order: list[str]) -> DataFrame:
+    """The first ``n`` rows in a stated order."""
+    return df.orderBy(*order).limit(n)
+
+
+def by_swc(entries: DataFrame, swc: str = "swc", order: str = "line_no", strict: bool = False) -> DataFrame:
+    """(swc, first, lines): manifest lines by file name, in the order in which they stand. Blank names go; with ``strict`` a missing one is an error."""
+    if strict and not entries.where(F.col(swc).isNull()).isEmpty():
+        raise ValueError(f"an entry without {swc}")
+    rows = entries.where(F.coalesce(F.col(swc), F.lit("")) != "") if not strict else entries
+    return rows.groupBy(swc).agg(F.min(order).alias("first"), F.sort_array(F.collect_list(order)).alias("lines"))
 
 
 def find_manifests(spark: SparkSession, folder: str, split: str) -> str | None:
@@ -60,12 +149,13 @@ def links(pages: DataFrame, html: str = "html", pattern: str = r'href="([^"]+)"'
     return pages.select("*", F.posexplode(F.regexp_extract_all(html, F.lit(pattern), F.lit(1))).alias("pos", "link"))
 
 
-def labelled_link(html: Column, label: str, suffix: str = ".swc") -> Column:
-    """The link whose anchor holds ``label``, else the first that ends in ``suffix``."""
-    anchors = F.split(html, "</a>")
-    named = F.get(F.filter(anchors, lambda a: F.contains(a, F.lit(label))), F.lit(0))
-    first = F.get(F.filter(F.regexp_extract_all(html, F.lit(r'href="([^"]+)"'), F.lit(1)), lambda h: F.lower(h).endswith(suffix)), F.lit(0))
-    return F.coalesce(F.nullif(F.regexp_extract(named, r'.*href="([^"]+)"', 1), F.lit("")), first)
+def labelled_link(html: Column, label: str, base: str = "", folder: str = "dableFiles", suffix: str = ".swc") -> Column:
+    """The first link into ``folder`` of an anchor that holds ``label``, else the first one that ends in ``suffix``; relative ones below ``base``."""
+    named = F.filter(F.split(html, "</a>"), lambda a: F.contains(a, F.lit(label)))
+    link = rf'(?i)href\s*=\s*("?)({folder}[^"\s>]+{{}})\1'
+    found = F.get(F.filter(F.transform(named, lambda a: F.regexp_extract(a, link.format(""), 2)), lambda x: x != ""), F.lit(0))
+    rel = F.coalesce(found, F.nullif(F.regexp_extract(html, link.format(re.escape(suffix)), 2), F.lit("")))
+    return F.when(rel.rlike("^https?://"), rel).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), F.regexp_replace(rel, "^/+", "")))
 
 
 def saved_pages(spark: SparkSession, folder: str) -> DataFrame:
