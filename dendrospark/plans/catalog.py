@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import curate, evaluate, features, match, pixels, topology, vectors, views
+from ..session import shared_folder
 from ..sources import swc, tables
 from . import fixtures as fx
 from .fixtures import rounded
@@ -101,9 +103,13 @@ def _(spark, d):
     return rounded(topology.path_distance(n, pairs), "distance")
 
 
-@query("T8_branches")
+_RUNS = "runs AS (SELECT e.neuron_id, e.idx AS first, e.parent AS start, e.idx AS cur, e.seg AS len, concat(e.parent, '-', e.idx) AS nodes FROM edges e LEFT JOIN kids k ON k.neuron_id = e.neuron_id AND k.idx = e.parent JOIN nodes p ON p.neuron_id = e.neuron_id AND p.idx = e.parent WHERE p.parent = -1 OR k.k > 1 UNION ALL SELECT r.neuron_id, r.first, r.start, e.idx, r.len + e.seg, concat(r.nodes, '-', e.idx) FROM runs r JOIN kids k ON k.neuron_id = r.neuron_id AND k.idx = r.cur AND k.k = 1 JOIN edges e ON e.neuron_id = r.neuron_id AND e.parent = r.cur)"
+
+
+@query("T8_branches", f"WITH RECURSIVE {NODES}, {EDGES}, {KIDS}, {_RUNS} SELECT neuron_id, first, start, {r('max(len)', 'length')}, arg_max(nodes, length(nodes)) AS nodes, CASE WHEN start = 1 THEN 'soma' WHEN any_value(t.type_id) = 2 THEN 'axon' WHEN any_value(t.type_id) IN (3, 4) THEN 'dendrite' ELSE 'other' END AS class FROM runs JOIN (SELECT neuron_id AS n_, idx AS i_, type_id FROM nodes) t ON t.n_ = neuron_id AND t.i_ = start GROUP BY 1, 2, 3")
 def _(spark, d):
-    return rounded(topology.branches(fx.nodes(spark, d)), "length")
+    b = topology.typed_branches(fx.nodes(spark, d))
+    return rounded(b.select("neuron_id", "first", "start", "length", F.array_join(F.col("nodes").cast("array<string>"), "-").alias("nodes"), "class"), "length")
 
 
 @query("T9_junctions", f"WITH {NODES}, {KIDS} SELECT n.neuron_id, n.idx FROM nodes n LEFT JOIN kids USING (neuron_id, idx) WHERE n.parent = -1 OR coalesce(k, 0) <> 1")
@@ -111,9 +117,68 @@ def _(spark, d):
     return topology.junctions(fx.nodes(spark, d)).select("neuron_id", "idx")
 
 
-@query("V_problems", f"WITH {NODES} SELECT neuron_id, 'warning' AS level, 'orphan' AS problem, CAST(idx AS VARCHAR) AS detail FROM nodes n WHERE idx > 4 AND parent <> -1 AND parent NOT BETWEEN 1 AND 3 AND parent <> 4 AND NOT EXISTS (SELECT 1 FROM nodes p WHERE p.neuron_id = n.neuron_id AND p.idx = n.parent AND p.idx <> 5) UNION ALL SELECT neuron_id, 'error', 'no_root', '' FROM nodes WHERE false")
+ODD = f"nodes AS ({fx.ODD})"
+TOPS = "tops AS (SELECT n.* FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.neuron_id = n.neuron_id AND e.idx = n.idx))"
+ODD_DEPTH = "d AS (SELECT neuron_id, idx, 0 AS depth, CAST(0 AS DOUBLE) AS path, idx AS root FROM tops UNION ALL SELECT e.neuron_id, e.idx, d.depth + 1, d.path + e.seg, d.root FROM edges e JOIN d ON e.neuron_id = d.neuron_id AND e.parent = d.idx)"
+ODD_ANC = "anc AS (SELECT neuron_id, idx, idx AS a, 0 AS hops FROM d UNION ALL SELECT p.neuron_id, p.idx, e.parent, p.hops + 1 FROM anc p JOIN edges e ON e.neuron_id = p.neuron_id AND e.idx = p.a)"
+ODD_TREE = f"WITH RECURSIVE {ODD}, {EDGES}, {TOPS}, {ODD_DEPTH}"
+
+
+@query("V_problems", f"{ODD_TREE}, rooted AS (SELECT neuron_id, count(*) FILTER (WHERE parent = -1) AS n, string_agg(CAST(idx AS VARCHAR), ',' ORDER BY idx) FILTER (WHERE parent = -1) AS ids FROM nodes GROUP BY 1) SELECT neuron_id, 'error' AS level, 'no_root' AS problem, '' AS detail FROM rooted WHERE n = 0 UNION ALL SELECT neuron_id, 'warning', 'several_roots', ids FROM rooted WHERE n > 1 UNION ALL SELECT neuron_id, 'warning', 'orphan', CAST(idx AS VARCHAR) FROM tops WHERE parent <> -1 UNION ALL SELECT neuron_id, 'warning', 'self_loop', CAST(idx AS VARCHAR) FROM nodes WHERE idx = parent UNION ALL SELECT neuron_id, 'error', 'cycle', CAST(count(*) AS VARCHAR) FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.neuron_id = n.neuron_id AND d.idx = n.idx) GROUP BY 1")
+def _(spark, d):
+    return swc.swc_errors(fx.odd(spark, d))
+
+
+@query("P1_position", f"WITH {NODES} SELECT neuron_id, idx, {r('x', 'p0')}, {r('y', 'p1')}, {r('z', 'p2')} FROM nodes")
+def _(spark, d):
+    p = topology.position(fx.nodes(spark, d))
+    return rounded(p.select("neuron_id", "idx", *[F.col("position")[k].alias(f"p{k}") for k in range(3)]), "p0", "p1", "p2")
+
+
+@query("P4_soma_fallback", f"WITH {ODD} SELECT neuron_id, coalesce(min(CASE WHEN type_id = 1 THEN idx END), min(CASE WHEN parent = -1 THEN idx END)) AS soma_idx FROM nodes GROUP BY 1")
+def _(spark, d):
+    return topology.soma_index(fx.odd(spark, d))
+
+
+@query("T1_deep", f"{ODD_TREE} SELECT n.neuron_id, n.idx, depth, {r('path', 'path_len')}, root FROM nodes n LEFT JOIN d ON d.neuron_id = n.neuron_id AND d.idx = n.idx")
 def _(spark, d):
-    return swc.swc_errors(fx.nodes(spark, d).where("idx <> 5")).where("problem in ('orphan', 'no_root')")
+    return rounded(topology.topology(fx.odd(spark, d)).select("neuron_id", "idx", "depth", "path_len", "root"), "path_len")
+
+
+@query("T1_deep_joins", f"{ODD_TREE} SELECT neuron_id, idx, depth, {r('path', 'path_len')}, root FROM d")
+def _(spark, d):
+    return rounded(topology.closure(fx.odd(spark, d)), "path_len")
+
+
+@query("J11_ancestors", f"{ODD_TREE}, {ODD_ANC} SELECT a.neuron_id, a.idx, a.a AS anc, hops FROM anc a WHERE a.idx % 9 = 0 UNION SELECT neuron_id, idx, idx, 0 FROM nodes WHERE idx % 9 = 0")
+def _(spark, d):
+    n = fx.odd(spark, d)
+    return topology.ancestors(n, n.where("idx % 9 = 0"))
+
+
+@query("T2_subtree", f"{ODD_TREE}, {ODD_ANC} SELECT neuron_id, a AS start, idx FROM anc WHERE a % 10 = 3 UNION SELECT neuron_id, idx, idx FROM nodes WHERE idx % 10 = 3")
+def _(spark, d):
+    n = fx.odd(spark, d)
+    return topology.subtree(n, n.where("idx % 10 = 3").select("neuron_id", "idx"))
+
+
+_ODD_PAIRS = f"{ODD_TREE}, {ODD_ANC}, pairs AS (SELECT neuron_id, idx AS a, CAST(1 + (idx * 7) % 50 AS INT) AS b FROM nodes WHERE idx % 5 = 0), meet AS (SELECT p.neuron_id, p.a, p.b, min(x.hops) AS ha, arg_min(x.a, x.hops) AS m FROM pairs p JOIN anc x ON x.neuron_id = p.neuron_id AND x.idx = p.a JOIN anc y ON y.neuron_id = p.neuron_id AND y.idx = p.b AND y.a = x.a GROUP BY 1, 2, 3)"
+
+
+@query("T3_deep_distance", f"{_ODD_PAIRS} SELECT p.neuron_id, p.a, p.b, {r('coalesce(da.path + db.path - 2 * dm.path, -1)', 'distance')} FROM pairs p LEFT JOIN meet m USING (neuron_id, a, b) LEFT JOIN d da ON da.neuron_id = p.neuron_id AND da.idx = p.a LEFT JOIN d db ON db.neuron_id = p.neuron_id AND db.idx = p.b LEFT JOIN d dm ON dm.neuron_id = p.neuron_id AND dm.idx = m.m")
+def _(spark, d):
+    out = topology.path_distance(fx.odd(spark, d), odd_pairs(spark, d))
+    return rounded(out.withColumn("distance", F.when(F.col("distance") < float("inf"), F.col("distance")).otherwise(-1.0)), "distance")
+
+
+def odd_pairs(spark, d):
+    return fx.odd(spark, d).where("idx % 5 = 0").select("neuron_id", F.col("idx").alias("a"), (1 + (F.col("idx") * 7) % 50).alias("b"))
+
+
+@query("T3_reference_distance", f"{_ODD_PAIRS}, far AS (SELECT m.neuron_id, m.a, m.b, m.m, least(m.ha, db.depth) AS sb FROM meet m JOIN d db ON db.neuron_id = m.neuron_id AND db.idx = m.b) SELECT p.neuron_id, p.a, p.b, {r('coalesce(da.path - dm.path + db.path - df.path, -1)', 'distance')} FROM pairs p LEFT JOIN far f USING (neuron_id, a, b) LEFT JOIN anc y ON y.neuron_id = p.neuron_id AND y.idx = p.b AND y.hops = f.sb LEFT JOIN d da ON da.neuron_id = p.neuron_id AND da.idx = p.a LEFT JOIN d db ON db.neuron_id = p.neuron_id AND db.idx = p.b LEFT JOIN d dm ON dm.neuron_id = p.neuron_id AND dm.idx = f.m LEFT JOIN d df ON df.neuron_id = p.neuron_id AND df.idx = y.a")
+def _(spark, d):
+    out = topology.path_distance_ref(fx.odd(spark, d), odd_pairs(spark, d))
+    return rounded(out.withColumn("distance", F.when(F.col("distance") < float("inf"), F.col("distance")).otherwise(-1.0)), "distance")
 
 
 # Features
@@ -178,7 +243,11 @@ feature_query(
 )
 
 
-@query("features_all")
+_REST = f"{TREE} SELECT neuron_id, {r('max(x) - min(x)', 'bbox_x')}, {r('max(y) - min(y)', 'bbox_y')}, {r('max(z) - min(z)', 'bbox_z')}, {r(f'CASE WHEN {_BOX} > 0 THEN {_VOL} / {_BOX} ELSE 0 END', 'space_filling_ratio')}, {r('CASE WHEN coalesce(sum(CASE WHEN type_id IN (3,4) THEN seg END),0) > 0 THEN coalesce(sum(CASE WHEN type_id = 2 THEN seg END),0) / sum(CASE WHEN type_id IN (3,4) THEN seg END) ELSE 0 END', 'axon_dendrite_length_ratio')}, {r('coalesce(max(radius) FILTER (WHERE type_id = 1), 0)', 'max_soma_radius')}, max(sqrt(power(x - sx, 2) + power(y - sy, 2) + power(z - sz, 2))) = 0 AS degenerate FROM full_ JOIN (SELECT neuron_id, x AS sx, y AS sy, z AS sz FROM nodes WHERE idx = 1) s USING (neuron_id) GROUP BY 1"
+_PARTS = ["A4_segments", "A5_counts", "A8_volume", "A12_graph", "A14_moments", "A15_orientation", "A16_sholl", "A17_fractal"]
+
+
+@query("features_all", f"SELECT * FROM ({_REST}) rest " + " ".join(f"JOIN ({SQL[p]}) q_{p} USING (neuron_id)" for p in _PARTS))
 def _(spark, d):
     return rounded(features.neuron_features(fx.nodes(spark, d)), *features.NAMES)
 
@@ -191,10 +260,55 @@ def _(spark, d):
     return tables.links(spark.read.parquet(f"{d}/pages.parquet").select("page_id", "html")).select("page_id", "pos", "link")
 
 
-@query("S15_labelled_link", "SELECT page_id, CASE WHEN html LIKE '%href=\"/the\"%' THEN '/the' END AS link FROM pages")
+@query("S15_labelled_link", "SELECT page_id, 'http://x/' || regexp_replace(link, '^/+', '') AS link FROM (SELECT page_id, coalesce(([x FOR x IN [regexp_extract(p, 'href=\"(/[^\"\\s>]+)\"', 1) FOR p IN string_split(html, '</a>') IF contains(p, '>the')] IF x <> ''])[1], nullif(regexp_extract(html, 'href=\"(/[^\"\\s>]+ch)\"', 1), '')) AS link FROM pages)")
 def _(spark, d):
     p = spark.read.parquet(f"{d}/pages.parquet")
-    return p.select("page_id", tables.labelled_link(F.col("html"), '<a href="/the">the', ".none").alias("link")).withColumn("link", F.when(F.col("link") == "/the", F.col("link")))
+    return p.select("page_id", tables.labelled_link(F.col("html"), ">the", "http://x/", "/", "ch").alias("link"))
+
+
+@query("P15_swc_url", "SELECT p_partkey, concat('http://x/dableFiles/', lower(trim(p_type)), '/CNG%20version/', p_name, '.CNG.swc') AS url FROM part")
+def _(spark, d):
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", tables.standard_swc_url("http://x", F.concat(F.lit(" "), "p_type", F.lit(" ")), F.col("p_name")).alias("url"))
+
+
+@query("K2_jsonl", "SELECT p_partkey, p_name, CASE WHEN p_partkey % 3 > 0 THEN p_type END AS p_type FROM part")
+def _(spark, d):
+    rows = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_name", F.when(F.col("p_partkey") % 3 > 0, F.col("p_type")).alias("p_type"))
+    folder = new_folder(spark, "jsonl")
+    for half in (0, 1):
+        tables.write_jsonl(rows.where(F.col("p_partkey") % 2 == half), folder)
+    return tables.read_jsonl(spark, folder, "p_partkey long, p_name string, p_type string").drop("_corrupt")
+
+
+@query("S12_morphometry", f"WITH m AS ({fx.META}) SELECT p_partkey, m.length, m.quality FROM part LEFT JOIN m ON p_partkey = m.neuron_id")
+def _(spark, d):
+    n = tables.with_morphometry(spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("neuron_id")), fx.meta(spark, d).select("neuron_id", "length", "quality"))
+    return n.select(F.col("neuron_id").alias("p_partkey"), "morphometry.length", "morphometry.quality")
+
+
+@query("S20_paired", "SELECT p_partkey, CASE WHEN p_partkey % 3 > 0 THEN CAST(p_partkey AS VARCHAR) ELSE '' END AS neuron_id FROM part")
+def _(spark, d):
+    return tables.paired(spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.when(F.col("p_partkey") % 3 > 0, F.col("p_partkey")).alias("neuron_id")))
+
+
+@query("P13_first_rows", "SELECT o_orderkey FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 25")
+def _(spark, d):
+    return tables.first_rows(spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_totalprice"), 25, ["o_totalprice", "o_orderkey"]).select("o_orderkey")
+
+
+@query("A36_by_swc", "SELECT p_type AS swc, min(p_partkey) AS first, count(*) AS n, sum(p_partkey) AS s FROM part WHERE p_type <> 'PROMO' GROUP BY 1")
+def _(spark, d):
+    p = spark.read.parquet(f"{d}/part.parquet").select(F.when(F.col("p_type") != "PROMO", F.col("p_type")).otherwise("").alias("swc"), F.col("p_partkey").alias("line_no"))
+    return tables.by_swc(p).select("swc", "first", F.size("lines").cast("long").alias("n"), F.aggregate("lines", F.lit(0).cast("long"), lambda s, x: s + x).alias("s"))
+
+
+@query("A35_commonest", "SELECT p_name AS value, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, value LIMIT 10")
+def _(spark, d):
+    return curate.commonest(spark.read.parquet(f"{d}/part.parquet"), "p_name")
+
+
+def new_folder(spark: SparkSession, label: str) -> str:
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 @query("S18_task_range", "SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS n, count(*) OVER () AS c FROM orders) WHERE n >= 2 * ceil(c / 7.0) AND n < 3 * ceil(c / 7.0)")
@@ -276,14 +390,17 @@ def _(spark, d):
     return fx.meta(spark, d).select("neuron_id", curate.bin_label(F.col("length"), F.array(F.lit(500.0), F.lit(2000.0)), F.array(*map(F.lit, ("small", "medium", "large")))).alias("label"))
 
 
-@query("G5_measures", "SELECT p_partkey, CASE WHEN greatest(p_size - 10, p_size % 7, 0) > 0 THEN CAST(greatest(p_size - 10, p_size % 7, 0) AS DOUBLE) END AS extent, round(CASE WHEN p_size % 7 > 0 THEN CAST(p_size AS DOUBLE) / (p_size % 7) END + 3.3e-8, 6) AS aspect FROM part")
+@query("G5_measures", "SELECT p_partkey, CASE WHEN greatest(p_size - 10, p_size % 7, 0) > 0 THEN CAST(greatest(p_size - 10, p_size % 7, 0) AS DOUBLE) END AS extent, round(CASE WHEN p_size <> 10 AND p_size % 7 > 0 THEN CAST(p_size - 10 AS DOUBLE) / (p_size % 7) END + 3.3e-8, 6) AS aspect FROM part")
 def _(spark, d):
     p = spark.read.parquet(f"{d}/part.parquet")
     a, b, c = (F.expr(e).cast("double") for e in ("p_size - 10", "p_size % 7", "0"))
-    return rounded(p.select("p_partkey", curate.max_extent(a, b, c).alias("extent"), curate.aspect_ratio(F.col("p_size").cast("double"), b).alias("aspect")), "aspect")
+    return rounded(p.select("p_partkey", curate.max_extent(a, b, c).alias("extent"), curate.aspect_ratio(a, b).alias("aspect")), "aspect")
+
 
+_PASS = f"p AS ({SQL['P11_cascade']}), q AS (SELECT p.reason, m.species FROM p JOIN m USING (neuron_id))"
 
-@query("report")
+
+@query("report", f"WITH m AS ({fx.META}), {_PASS}, s AS ({SQL['W2_split_sizes']}) SELECT 'total' AS section, 'rows' AS name, count(*) AS n FROM q UNION ALL SELECT 'total', 'passing', count(*) FILTER (WHERE reason IS NULL) FROM q UNION ALL SELECT 'reason', reason, count(*) FROM q WHERE reason IS NOT NULL GROUP BY 2 UNION ALL SELECT 'species', species, count(*) FROM q WHERE reason IS NULL GROUP BY 2 UNION ALL SELECT 'species', 'more', 0 UNION ALL SELECT 'split', split, CAST(sum(n) AS BIGINT) FROM s GROUP BY 2")
 def _(spark, d):
     m = fx.meta(spark, d)
     return curate.report(m.join(curated(spark, d), "neuron_id"), curate.split(m, "neuron_id", "archive", 0.1, 0.1))
@@ -321,9 +438,64 @@ def _(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", tx.article(F.col("text")).alias("t"))
 
 
-@query("F10_labels", "SELECT p_partkey, CASE WHEN lower(p_type) LIKE '%basket%' THEN 'basket' WHEN lower(p_type) LIKE '%principal%' THEN 'principal' ELSE 'other' END AS cell_type FROM part")
+_TAGS = f"t AS ({fx.TAGS})"
+
+
+def _label(patterns: tuple[str, ...]) -> str:
+    return "CASE " + " ".join(f"WHEN contains(s, '{p}') THEN '{p}'" for p in patterns) + " ELSE 'other' END"
+
+
+@query("F10_labels", f"WITH {_TAGS}, l AS (SELECT *, lower(concat(array_to_string(cell_types, ' '), ' in ', array_to_string(regions, ' '))) AS s FROM t) SELECT p_partkey, {_label(tx.TEXT_CELL_TYPES)} AS cell_type, {_label(tx.TEXT_REGIONS)} AS region, CASE WHEN coalesce(lower(species), '') IN ('', 'unknown', 'not reported') THEN 'other' ELSE species END AS species FROM l")
+def _(spark, d):
+    t = fx.tags(spark, d).withColumn("s", F.concat(F.array_join("cell_types", " "), F.lit(" in "), F.array_join("regions", " ")))
+    return t.select("p_partkey", tx.label_from_text(F.col("s"), tx.TEXT_CELL_TYPES).alias("cell_type"), tx.label_from_text(F.col("s"), tx.TEXT_REGIONS).alias("region"), tx.species_label(F.col("species")).alias("species"))
+
+
+_FIRST_TYPE = "coalesce(" + ", ".join(f"([c FOR c IN cell_types IF contains(lower(c), '{p}')])[1]" for p in tx.CELL_TYPE_PRIORITY) + ", ([c FOR c IN cell_types IF lower(c) NOT IN ('principal cell', 'neuron')])[1], cell_types[1])"
+_FIRST_REGION = "coalesce(" + ", ".join(f"([x FOR x IN regions IF contains(lower(x), '{p}') OR contains('{p}', lower(x))])[1]" for p in tx.PRIMARY_REGIONS) + ", regions[1])"
+_LAYER = "([y FOR y IN [regexp_extract(lower(x), 'layer\\s*(\\d+(?:[/-]\\d+)?)', 1) FOR x IN regions] IF y <> ''])[1]"
+
+
+@query("F1_cell_type", f"WITH {_TAGS} SELECT p_partkey, {_FIRST_TYPE} AS cell_type FROM t")
+def _(spark, d):
+    return fx.tags(spark, d).select("p_partkey", tx.primary_cell_type(F.col("cell_types")).alias("cell_type"))
+
+
+@query("F2_region", f"WITH {_TAGS} SELECT p_partkey, {_FIRST_REGION} AS region, 'layer ' || {_LAYER} AS layer FROM t")
+def _(spark, d):
+    return fx.tags(spark, d).select("p_partkey", tx.primary_region(F.col("regions")).alias("region"), tx.layer(F.col("regions")).alias("layer"))
+
+
+_PARTS_SQL = f"q AS (SELECT p_partkey, CASE WHEN lower(species) NOT IN ('unknown', 'not reported', '') THEN species END AS species, nullif(lower({_FIRST_TYPE}), '') AS c, nullif(lower({_FIRST_REGION}), '') AS region, 'layer ' || {_LAYER} AS layer FROM t), p AS (SELECT *, CASE WHEN contains(c, 'cell') OR contains(c, 'neuron') THEN c ELSE c || ' neuron' END AS kind FROM q)"
+
+
+@query("F4_parts", f"WITH {_TAGS}, {_PARTS_SQL} SELECT p_partkey, species, kind AS cell_type, region, layer FROM p")
+def _(spark, d):
+    p = tx.archive_parts(F.col("species"), F.col("cell_types"), F.col("regions"))
+    return fx.tags(spark, d).select("p_partkey", p.species.alias("species"), p.cell_type.alias("cell_type"), p.region.alias("region"), p.layer.alias("layer"))
+
+
+@query("F4_text", f"WITH {_TAGS}, {_PARTS_SQL}, s AS (SELECT p_partkey, coalesce(kind, 'neuron') || coalesce(' from ' || region || coalesce(' ' || layer, ''), '') AS s FROM p) SELECT p_partkey, CASE WHEN left(s, 1) IN ('a', 'e', 'i', 'o', 'u') THEN 'an ' ELSE 'a ' END || s AS description FROM s")
+def _(spark, d):
+    p = tx.archive_parts(F.col("species"), F.col("cell_types"), F.col("regions"))
+    return fx.tags(spark, d).select("p_partkey", tx.legacy_text(p).alias("description"))
+
+
+@query("F6_fields", f"WITH {_TAGS} SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_partkey AS VARCHAR) ELSE concat('n', p_partkey) END AS neuron_id, CASE WHEN len(cell_types) > 0 THEN array_to_string(cell_types, ' ') ELSE 'unknown' END AS cell_type, CASE WHEN len(regions) > 0 THEN array_to_string(regions, ' ') ELSE 'unknown' END AS brain_region, coalesce(species, 'unknown') AS species FROM t")
+def _(spark, d):
+    key = F.col("p_partkey").cast("string")
+    f = tx.archive_fields(F.when(F.col("p_partkey") % 2 == 0, key), F.concat(F.lit("n"), key), F.col("cell_types"), F.col("regions"), F.col("species"))
+    return fx.tags(spark, d).select("p_partkey", *[v.alias(k) for k, v in f.items()])
+
+
+@query("F6_specimen", "WITH s AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE '' END AS t, CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE '' END AS m, CASE WHEN p_partkey % 5 = 0 THEN 'Spiny' ELSE '' END AS d, CASE WHEN p_partkey % 7 > 0 THEN 'VISp' END AS st FROM part) SELECT p_partkey, coalesce(nullif(t, ''), nullif(m, ''), nullif(d, ''), 'unknown') AS cell_type, coalesce(st, 'cortex') AS brain_region, coalesce(nullif(concat_ws(' ', nullif(d, ''), st, nullif(t, '')), ''), 'neuron') AS description, coalesce(CASE WHEN d <> '' THEN 'spiny neuron' END, nullif(lower(t), '')) AS kind, lower(st) AS region FROM s")
 def _(spark, d):
-    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", tx.label_from_text(F.col("p_type"), tx.TEXT_CELL_TYPES).alias("cell_type"))
+    k = F.col("p_partkey")
+    if_ = lambda ok, v: F.when(ok, v).otherwise("")
+    t, m, de, st = if_(k % 2 == 0, F.col("p_name")), if_(k % 3 == 0, F.col("p_type")), if_(k % 5 == 0, F.lit("Spiny")), F.when(k % 7 > 0, "VISp")
+    f = tx.specimen_fields(k.cast("string"), t, m, de, st, F.lit(None).cast("string"))
+    p = tx.specimen_parts(t, de, st, F.lit(None).cast("string"))
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", f["cell_type"].alias("cell_type"), f["brain_region"].alias("brain_region"), tx.specimen_text(de, st, t).alias("description"), p.cell_type.alias("kind"), p.region.alias("region"))
 
 
 @query("F11_id_from_path", f"WITH i AS ({fx.IDS}) SELECT p_partkey, CAST(p_partkey AS VARCHAR) AS id FROM i")
@@ -341,10 +513,11 @@ def _(spark, d):
     return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", tx.md5_mod(F.col("p_name"), 384).alias("at"), tx.sha1_sign(F.col("p_name")).alias("sign"))
 
 
-@query("F15_hash_vectors")
+@query("F15_hash_vectors", "WITH w AS (SELECT doc_id, text, [x FOR x IN regexp_split_to_array(lower(text), '\\s+') IF x <> ''] AS w FROM documents), g AS (SELECT doc_id, unnest(w) AS gram FROM w UNION ALL SELECT doc_id, unnest([concat(w[i], ' ', w[i+1]) FOR i IN range(1, len(w))]) FROM w UNION ALL SELECT doc_id, unnest([concat(w[i], ' ', w[i+1], ' ', w[i+2]) FOR i IN range(1, len(w) - 1)]) FROM w UNION ALL SELECT doc_id, text FROM w WHERE len(w) = 0), c AS (SELECT doc_id, gram, count(*) AS n FROM g GROUP BY 1, 2), h AS (SELECT doc_id, CAST(CAST(concat('0x', md5(gram)) AS UHUGEINT) % 384 AS INT) AS slot, sum(CASE WHEN CAST(concat('0x', right(sha1(gram), 1)) AS INT) % 2 = 0 THEN n ELSE -n END) AS v FROM c GROUP BY 1, 2), z AS (SELECT * FROM h WHERE v <> 0) SELECT doc_id, CAST(count(*) AS INT) AS n, min(slot) AS first_slot, " + r("arg_min(v, slot) / sqrt(sum(v * v))", "first_value") + ", " + r("sum(slot * v) / sqrt(sum(v * v))", "weighted") + " FROM z GROUP BY 1")
 def _(spark, d):
     v = tx.hash_vectors(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), "doc_id")
-    return v.select("doc_id", F.size("slots").alias("n"), F.round(F.aggregate("slots", F.lit(0.0), lambda s, x: s + x["v"] * x["v"]), 6).alias("norm2"))
+    first = F.col("slots")[0]
+    return rounded(v.select("doc_id", F.size("slots").alias("n"), first["at"].alias("first_slot"), first["v"].alias("first_value"), F.aggregate("slots", F.lit(0.0), lambda s, x: s + x["at"] * x["v"]).alias("weighted")), "first_value", "weighted")
 
 
 @query("P14_safe_filename", "SELECT page_id, left(regexp_replace(trim(url), '[^A-Za-z0-9._-]+', '_', 'g'), 240) AS name FROM pages")
@@ -429,6 +602,18 @@ def _(spark, d):
     return rounded(e, *e.columns)
 
 
+@query("W1_both_ways", f"WITH {_V}, s AS (SELECT a.view_id AS i, b.view_id AS j, a.label = b.label AS ok, list_cosine_similarity(a.vec, list_reverse(b.vec)) AS sim FROM v a, v b), x AS (SELECT i, 1 + count(*) FILTER (WHERE sim > best + 1e-9) AS rank FROM (SELECT *, max(sim) FILTER (WHERE ok) OVER (PARTITION BY i) AS best FROM s) GROUP BY 1), y AS (SELECT j, 1 + count(*) FILTER (WHERE sim > best + 1e-9) AS rank FROM (SELECT *, max(sim) FILTER (WHERE ok) OVER (PARTITION BY j) AS best FROM s) GROUP BY 1) SELECT * FROM (SELECT " + ", ".join([r(f"100 * avg(CASE WHEN rank <= {k} THEN 1.0 ELSE 0 END)", f"i2t_r_at_{k}") for k in (1, 5, 10)] + [r("100 * avg(1.0 / rank)", "i2t_mrr"), r("median(rank)", "i2t_median_rank")]) + " FROM x), (SELECT " + ", ".join([r(f"100 * avg(CASE WHEN rank <= {k} THEN 1.0 ELSE 0 END)", f"t2i_r_at_{k}") for k in (1, 5, 10)] + [r("100 * avg(1.0 / rank)", "t2i_mrr"), r("median(rank)", "t2i_median_rank")]) + " FROM y)")
+def both_ways(spark, d):
+    v = fx.views(spark, d).select("view_id", F.col("label").alias("text"), F.col("vec").alias("image"), F.reverse("vec").alias("embedded"))
+    e = evaluate.retrieval_both_ways(v, "view_id")
+    return rounded(e, *e.columns)
+
+
+@query("K7_metrics", f"SELECT 'retrieval' AS section, name, value FROM (UNPIVOT ({SQL['W1_both_ways']}) ON COLUMNS(*) INTO NAME name VALUE value) WHERE name LIKE '%r_at%'")
+def _(spark, d):
+    return rounded(evaluate.metrics(("retrieval", both_ways(spark, d))).where("name like '%r_at%'"), "value")
+
+
 _ZERO = f"WITH {_V}, {_LONG}, p AS (SELECT label AS class, i, avg(v) AS m FROM l GROUP BY 1, 2), pn AS (SELECT class, sqrt(sum(m * m)) AS n FROM p GROUP BY 1), ln AS (SELECT view_id, sqrt(sum(v * v)) AS n FROM l GROUP BY 1), s AS (SELECT l.view_id, l.label, p.class, sum(l.v * p.m) / (ln.n * pn.n) AS sim FROM l JOIN p USING (i) JOIN pn USING (class) JOIN ln USING (view_id) GROUP BY 1, 2, 3, ln.n, pn.n), z AS (SELECT view_id, label AS gt, class AS pred FROM (SELECT *, row_number() OVER (PARTITION BY view_id ORDER BY sim DESC, class) AS k FROM s) WHERE k = 1)"
 
 
@@ -477,7 +662,10 @@ def _(spark, d):
     return rounded(e, "top_mean", "mean", "std", "effect_size")
 
 
-@query("A33_info_nce")
+_NCE = f"WITH {_V}, b AS (SELECT row_number() OVER (ORDER BY view_id) - 1 AS k, vec FROM v), s AS (SELECT CAST(floor(x.k / 64) AS BIGINT) AS batch, x.k AS i, y.k AS j, list_cosine_similarity(x.vec, list_reverse(y.vec)) / 0.07 AS s FROM b x JOIN b y ON floor(x.k / 64) = floor(y.k / 64)), m AS (SELECT *, max(s) OVER (PARTITION BY i) AS mi, max(s) OVER (PARTITION BY j) AS mj, row_number() OVER (PARTITION BY i ORDER BY s DESC, j) AS ri, row_number() OVER (PARTITION BY j ORDER BY s DESC, i) AS rj FROM s), e AS (SELECT *, sum(exp(s - mi)) OVER (PARTITION BY i) AS ei, sum(exp(s - mj)) OVER (PARTITION BY j) AS ej FROM m)"
+
+
+@query("A33_info_nce", f"{_NCE} SELECT batch, count(*) AS n, {r('(avg(ln(ei) + mi - s) + avg(ln(ej) + mj - s)) / 2', 'loss')}, {r('avg(CASE WHEN ri = 1 THEN 1.0 ELSE 0 END)', 'i2t_acc')}, {r('avg(CASE WHEN rj = 1 THEN 1.0 ELSE 0 END)', 't2i_acc')} FROM e WHERE i = j GROUP BY 1")
 def _(spark, d):
     v = tables.numbered(fx.views(spark, d), ["view_id"]).select("view_id", F.floor(F.col("row_no") / 64).alias("batch"), F.col("vec").alias("image"), F.reverse("vec").alias("text"))
     return rounded(evaluate.info_nce(v, "view_id", "batch"), "loss", "i2t_acc", "t2i_acc")
@@ -501,7 +689,7 @@ def _(spark, d):
     return rounded(pixels.depth_pool(fx.depths(spark, d), 2), "val")
 
 
-@query("A29_depth_bytes", f"WITH {_DP}, s AS (SELECT view_id, min(val) FILTER (WHERE val < 0.999) AS lo, max(val) FILTER (WHERE val < 0.999) AS hi FROM p GROUP BY 1) SELECT p.view_id, r, c, CAST(CASE WHEN val >= 0.999 THEN 255 WHEN hi > lo THEN floor(255 * (val - lo) / (hi - lo)) ELSE 128 END AS INT) AS val FROM p JOIN s USING (view_id)")
+@query("A29_depth_bytes", f"WITH {_DP}, s AS (SELECT view_id, min(val) FILTER (WHERE val < 0.999) AS lo, max(val) FILTER (WHERE val < 0.999) AS hi FROM p GROUP BY 1) SELECT p.view_id, r, c, CAST(CASE WHEN val >= 0.999 THEN 0 WHEN hi > lo THEN floor(255 * (val - lo) / (hi - lo)) ELSE 128 END AS INT) AS val FROM p JOIN s USING (view_id)")
 def _(spark, d):
     return pixels.depth_bytes(fx.depths(spark, d))
 
@@ -532,30 +720,38 @@ def _(spark, d):
     return rounded(c, *[x for x in c.columns if x.startswith("c")])
 
 
-@query("A31_principal_axes")
+# Eigenvalues of a symmetric 3 x 3 matrix in closed form.
+_EIGEN = f"c AS (SELECT neuron_id, count(*) AS n, coalesce(covar_samp(x, x), 0) a, coalesce(covar_samp(y, y), 0) b, coalesce(covar_samp(z, z), 0) c, coalesce(covar_samp(x, y), 0) d, coalesce(covar_samp(x, z), 0) e, coalesce(covar_samp(y, z), 0) f FROM nodes GROUP BY 1), p AS (SELECT *, (a + b + c) / 3 AS q FROM c), s AS (SELECT *, sqrt(((a-q)*(a-q) + (b-q)*(b-q) + (c-q)*(c-q) + 2*(d*d + e*e + f*f)) / 6) AS p FROM p), t AS (SELECT *, CASE WHEN p < 1e-12 THEN 0 ELSE greatest(-1, least(1, ((a-q)*((b-q)*(c-q) - f*f) - d*(d*(c-q) - f*e) + e*(d*f - (b-q)*e)) / (2*p*p*p))) END AS r FROM s), w AS (SELECT neuron_id, n, q + 2*p*cos(acos(r)/3) AS w1, q + 2*p*cos(acos(r)/3 + 2*pi()/3) AS w3, 3*q AS tr FROM t)"
+
+
+@query("A31_principal_axes", f"WITH {NODES}, {_EIGEN} SELECT neuron_id, round(w1 + 3.3e-6, 3) AS w1, round(tr - w1 - w3 + 3.3e-6, 3) AS w2, round(w3 + 3.3e-6, 3) AS w3 FROM w")
 def _(spark, d):
-    return views.principal_axes(fx.nodes(spark, d))
+    p = views.principal_axes(fx.nodes(spark, d))
+    return p.select("neuron_id", *[F.round(F.col("values")[k] + 3.3e-6, 3).alias(f"w{k + 1}") for k in range(3)])
 
 
-@query("G6_fibonacci", f"SELECT i, {r('cos(i * a) * sqrt(greatest(0, 1 - y * y))', 'dx')}, {r('y', 'dy')}, {r('sin(i * a) * sqrt(greatest(0, 1 - y * y))', 'dz')} FROM (SELECT i, 1 - i / 99.0 * 2 AS y, pi() * (3 - sqrt(5)) AS a FROM range(100) t(i))")
+@query("G6_fibonacci", f"SELECT i, {r('sqrt(1 - z * z) * cos(i * a)', 'dx')}, {r('sqrt(1 - z * z) * sin(i * a)', 'dy')}, {r('z', 'dz')} FROM (SELECT i, (1 - 1/100.0) - i * (2 - 2/100.0) / 99 AS z, pi() * (3 - sqrt(5)) AS a FROM range(100) t(i))")
 def _(spark, d):
     return rounded(views.fibonacci_sphere(spark, 100), "dx", "dy", "dz")
 
 
-@query("G8_extents", f"WITH {NODES} SELECT neuron_id, 0 AS i, {r('max(x) - min(x)', 'width')}, {r('max(y) - min(y)', 'height')} FROM nodes GROUP BY 1")
+_ALONG = [(0, 0.0, 0.0, 1.0), (1, 0.0, -1.0, 0.0), (2, 0.6, 0.0, 0.8), (3, 0.48, 0.6, 0.64), (4, 0.18, 0.96, 0.24), (5, -2.0, 1.0, 2.0)]
+
+
+@query("G8_extents", f"WITH {NODES}, g AS (SELECT * FROM (VALUES " + ", ".join(map(str, _ALONG)) + f") t(i, gx, gy, gz)), h AS (SELECT i, gx / l AS dx, gy / l AS dy, gz / l AS dz FROM (SELECT *, sqrt(gx*gx + gy*gy + gz*gz) AS l FROM g)), k AS (SELECT *, CASE WHEN abs(dy) > 0.95 THEN dy ELSE -dz END AS ux, CASE WHEN abs(dy) > 0.95 THEN -dx ELSE 0 END AS uy, CASE WHEN abs(dy) > 0.95 THEN 0 ELSE dx END AS uz FROM h), u AS (SELECT i, dx, dy, dz, ux / l AS ux, uy / l AS uy, uz / l AS uz FROM (SELECT *, sqrt(ux*ux + uy*uy + uz*uz) AS l FROM k)), o AS (SELECT neuron_id, i, x*ux + y*uy + z*uz AS pu, x*(uy*dz - uz*dy) + y*(uz*dx - ux*dz) + z*(ux*dy - uy*dx) AS pv FROM nodes, u) SELECT neuron_id, CAST(i AS INT) AS i, {r('max(pu) - min(pu)', 'width')}, {r('max(pv) - min(pv)', 'height')}, {r('sqrt(power(max(pu) - min(pu), 2) + power(max(pv) - min(pv), 2))', 'diagonal')} FROM o GROUP BY 1, 2")
 def _(spark, d):
-    along = spark.createDataFrame([(0, 0.0, 0.0, 1.0)], "i int, dx double, dy double, dz double")
-    return rounded(views.projected_extents(fx.nodes(spark, d), along), "width", "height")
+    along = spark.createDataFrame(_ALONG, "i int, dx double, dy double, dz double")
+    return rounded(views.projected_extents(fx.nodes(spark, d), along), "width", "height", "diagonal")
 
 
-@query("G7_guided_directions")
+@query("G7_guided_directions", f"WITH {NODES.replace(fx.NODES, fx.ODD)}, {_EIGEN}, f AS (SELECT neuron_id, n < 10 OR (w3 > 0 AND w1 / greatest(w3, 1e-12) < 1.1) AS flat FROM w) SELECT neuron_id, tier, CAST(n AS BIGINT) AS n FROM f, (VALUES ('canonical', 6, false), ('biased', 12, false), ('random', 6, false), ('fibonacci', 24, true)) t(tier, n, on_flat) WHERE flat = on_flat")
 def _(spark, d):
-    return views.guided_directions(fx.nodes(spark, d))
+    return views.guided_directions(fx.odd(spark, d)).groupBy("neuron_id", "tier").agg(F.count("*").alias("n"))
 
 
-@query("G12_scaled_radii", f"WITH {NODES}, m AS (SELECT neuron_id, median(radius) AS ref FROM nodes WHERE radius > 0 GROUP BY 1), w AS (SELECT n.*, ref, least(10.0, ref / greatest(radius, 1e-9)) AS w FROM nodes n JOIN m USING (neuron_id)) SELECT neuron_id, idx, {r('(1 - w / (1 + w)) * radius + w / (1 + w) * ref', 'scaled_radius')} FROM w")
+@query("G12_scaled_radii", f"WITH RECURSIVE {NODES}, {EDGES}, {KIDS}, rr AS (SELECT neuron_id, radius AS r FROM edges UNION ALL SELECT e.neuron_id, e.pr FROM edges e JOIN kids k ON k.neuron_id = e.neuron_id AND k.idx = e.parent WHERE e.parent = 1 OR k.k > 1), m AS (SELECT neuron_id, quantile_cont(r, 0.25) AS ref FROM rr GROUP BY 1), w AS (SELECT n.*, least(10.0, power(ref / (radius + 1e-12), 2)) AS w FROM nodes n LEFT JOIN m USING (neuron_id)) SELECT neuron_id, idx, {r('CASE WHEN idx = 1 THEN radius ELSE radius * (1 + 2 * w / (1 + w)) END', 'scaled_radius')} FROM w")
 def _(spark, d):
-    return rounded(views.scaled_radii(fx.nodes(spark, d)).select("neuron_id", "idx", "scaled_radius"), "scaled_radius")
+    return rounded(views.scaled_radii(fx.nodes(spark, d), 3.0, 2.0, 25.0).select("neuron_id", "idx", "scaled_radius"), "scaled_radius")
 
 
 @query("W4_first_pose", f"SELECT neuron_id, min(view_id) AS view_id FROM ({fx.VIEWS}) GROUP BY 1")

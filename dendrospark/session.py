@@ -20,10 +20,15 @@ def session(app: str = "dendrospark", master: str | None = None, **conf: str) ->
     return (builder.master(master) if master else builder).getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors reach: spark.checkpoint.dir, or one below the warehouse where that is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
+    return folder.rstrip("/")
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder (spark.checkpoint.dir, or below the warehouse) and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
-    path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
