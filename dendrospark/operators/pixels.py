@@ -26,7 +26,7 @@ def depth_bytes(pixels: DataFrame) -> DataFrame:
     """Depth of valid pixels stretched to 0..255 per view, 0 for the others; a constant depth gives 128."""
     v = F.when(F.col("val") < VALID, F.col("val"))
     span = pixels.groupBy("view_id").agg(F.min(v).alias("lo"), F.max(v).alias("hi"))
-    x = F.when(v.isNull(), 0).when(F.col("hi") > F.col("lo"), F.floor(255 * (v - F.col("lo")) / (F.col("hi") - F.col("lo")))).otherwise(128)
+    x = F.when(v.isNull(), 0).when(F.col("hi") > F.col("lo"), F.floor((v - F.col("lo")) / (F.col("hi") - F.col("lo")) * 255)).otherwise(128)
     return pixels.join(span, "view_id").select("view_id", "r", "c", x.cast("int").alias("val"))
 
 

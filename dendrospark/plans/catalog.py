@@ -689,7 +689,7 @@ def _(spark, d):
     return rounded(pixels.depth_pool(fx.depths(spark, d), 2), "val")
 
 
-@query("A29_depth_bytes", f"WITH {_DP}, s AS (SELECT view_id, min(val) FILTER (WHERE val < 0.999) AS lo, max(val) FILTER (WHERE val < 0.999) AS hi FROM p GROUP BY 1) SELECT p.view_id, r, c, CAST(CASE WHEN val >= 0.999 THEN 0 WHEN hi > lo THEN floor(255 * (val - lo) / (hi - lo)) ELSE 128 END AS INT) AS val FROM p JOIN s USING (view_id)")
+@query("A29_depth_bytes", f"WITH {_DP}, s AS (SELECT view_id, min(val) FILTER (WHERE val < 0.999) AS lo, max(val) FILTER (WHERE val < 0.999) AS hi FROM p GROUP BY 1) SELECT p.view_id, r, c, CAST(CASE WHEN val >= 0.999 THEN 0 WHEN hi > lo THEN floor((val - lo) / (hi - lo) * 255) ELSE 128 END AS INT) AS val FROM p JOIN s USING (view_id)")
 def _(spark, d):
     return pixels.depth_bytes(fx.depths(spark, d))
 

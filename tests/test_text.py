@@ -15,13 +15,18 @@ def test_descriptions(spark):
     p = tx.archive_parts(F.col("s"), F.col("c"), F.col("r"))
     assert one(spark, tx.legacy_text(p), s="mouse", c=["pyramidal", "principal cell"], r=["neocortex", "layer 2/3"]) == "a pyramidal neuron from neocortex layer 2/3"
     assert one(spark, tx.standard(p), s="mouse", c=["principal cell"], r=[]) == "a mouse principal cell"
+    assert one(spark, tx.legacy_text(p), s="mouse", c=["Basket cell"], r=["Frontal Lobe"]) == "a basket cell from frontal lobe"
+    assert one(spark, tx.legacy_text(p), s="mouse", c=["Unknown"], r=[""]) == "an unknown neuron"
+    assert one(spark, tx.specimen_text(F.col("s"), F.col("s"), F.col("s")), s="") == "neuron"
     assert one(spark, tx.broad(p), s="African elephant", c=["x"], r=[]) == "an African elephant neuron"
 
 
 def test_priorities(spark):
     assert one(spark, tx.primary_cell_type(F.col("c")), c=["Pyramidal", "Basket cell"]) == "Basket cell"
     assert one(spark, tx.primary_cell_type(F.col("c")), c=["VIP", "odd"]) == "VIP"
-    assert one(spark, tx.primary_region(F.col("c")), c=["left olfactory bulb"]) == "olfactory bulb"
+    assert one(spark, tx.primary_region(F.col("c")), c=["left olfactory bulb"]) == "left olfactory bulb"
+    assert one(spark, tx.primary_region(F.col("c")), c=["qq", ""]) == "" and one(spark, tx.primary_region(F.col("c")), c=["odd place"]) == "odd place"
+    assert one(spark, tx.primary_cell_type(F.col("c")), c=["neuron", "foo"]) == "foo"
     assert one(spark, tx.layer(F.col("c")), c=["x", "Layer 5/6"]) == "layer 5/6"
 
 
