@@ -120,9 +120,11 @@ def search(codes: np.ndarray, order: np.ndarray, test: Suffixes) -> tuple[np.nda
         new_lo = narrowed(codes, order, lo, hi, depth, want, False)
         new_hi = narrowed(codes, order, new_lo, hi, depth, want, True)
         ended = (new_lo >= new_hi) | (want == 0)
-        for s, a, b in zip(active[ended], lo[ended], hi[ended], strict=True):
-            if depth >= test.length[s]:
-                long.append((order[a:b], depth))
+        new_hi = np.where(ended, new_lo, new_hi)
+        # The places that go no further match this far.
+        for k in np.flatnonzero((depth >= test.length[active]) & (new_hi - new_lo < hi - lo)):
+            places = order[lo[k] : hi[k]] if ended[k] else np.r_[order[lo[k] : new_lo[k]], order[new_hi[k] : hi[k]]]
+            long.append((places, depth))
         active, lo, hi = active[~ended], new_lo[~ended], new_hi[~ended]
         depth += 1
     longest = np.zeros(len(codes), np.int64)
