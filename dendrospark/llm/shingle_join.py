@@ -649,7 +649,7 @@ def classes(docs: DataFrame) -> DataFrame:
     ends = components(links).withColumnRenamed("node", "rep")
 
     of_doc = points.join(reps, ["d1", "d2"], "left").join(ends, "rep", "left")
-    own = F.when(F.col("n") > 0, F.coalesce("component", "rep", "doc_id")).otherwise(F.col("doc_id"))
+    own = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") > 0, F.coalesce("component", "rep", "doc_id")).otherwise(F.col("doc_id"))
     return of_doc.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
 
 
