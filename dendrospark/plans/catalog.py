@@ -31,8 +31,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def r(expr: str, name: str | None = None) -> str:
-    return f"round(CAST({expr} AS DOUBLE) + 3.3e-8, 6) AS {name or expr}"
+def r(expr: str, name: str | None = None, places: int = 6) -> str:
+    return f"round(CAST({expr} AS DOUBLE) + {fx.nudge(places)!r}, {places}) AS {name or expr}"
 
 
 NODES = f"nodes AS ({fx.NODES})"
@@ -738,10 +738,10 @@ def _(spark, d):
 _ALONG = [(0, 0.0, 0.0, 1.0), (1, 0.0, -1.0, 0.0), (2, 0.6, 0.0, 0.8), (3, 0.48, 0.6, 0.64), (4, 0.18, 0.96, 0.24), (5, -2.0, 1.0, 2.0)]
 
 
-@query("G8_extents", f"WITH {NODES}, g AS (SELECT * FROM (VALUES " + ", ".join(map(str, _ALONG)) + f") t(i, gx, gy, gz)), h AS (SELECT i, gx / l AS dx, gy / l AS dy, gz / l AS dz FROM (SELECT *, sqrt(gx*gx + gy*gy + gz*gz) AS l FROM g)), k AS (SELECT *, CASE WHEN abs(dy) > 0.95 THEN dy ELSE -dz END AS ux, CASE WHEN abs(dy) > 0.95 THEN -dx ELSE 0 END AS uy, CASE WHEN abs(dy) > 0.95 THEN 0 ELSE dx END AS uz FROM h), u AS (SELECT i, dx, dy, dz, ux / l AS ux, uy / l AS uy, uz / l AS uz FROM (SELECT *, sqrt(ux*ux + uy*uy + uz*uz) AS l FROM k)), o AS (SELECT neuron_id, i, x*ux + y*uy + z*uz AS pu, x*(uy*dz - uz*dy) + y*(uz*dx - ux*dz) + z*(ux*dy - uy*dx) AS pv FROM nodes, u) SELECT neuron_id, CAST(i AS INT) AS i, {r('max(pu) - min(pu)', 'width')}, {r('max(pv) - min(pv)', 'height')}, {r('sqrt(power(max(pu) - min(pu), 2) + power(max(pv) - min(pv), 2))', 'diagonal')} FROM o GROUP BY 1, 2")
+@query("G8_extents", f"WITH {NODES}, g AS (SELECT * FROM (VALUES " + ", ".join(map(str, _ALONG)) + f") t(i, gx, gy, gz)), h AS (SELECT i, gx / l AS dx, gy / l AS dy, gz / l AS dz FROM (SELECT *, sqrt(gx*gx + gy*gy + gz*gz) AS l FROM g)), k AS (SELECT *, CASE WHEN abs(dy) > 0.95 THEN dy ELSE -dz END AS ux, CASE WHEN abs(dy) > 0.95 THEN -dx ELSE 0 END AS uy, CASE WHEN abs(dy) > 0.95 THEN 0 ELSE dx END AS uz FROM h), u AS (SELECT i, dx, dy, dz, ux / l AS ux, uy / l AS uy, uz / l AS uz FROM (SELECT *, sqrt(ux*ux + uy*uy + uz*uz) AS l FROM k)), o AS (SELECT neuron_id, i, x*ux + y*uy + z*uz AS pu, x*(uy*dz - uz*dy) + y*(uz*dx - ux*dz) + z*(ux*dy - uy*dx) AS pv FROM nodes, u) SELECT neuron_id, CAST(i AS INT) AS i, {r('max(pu) - min(pu)', 'width', 4)}, {r('max(pv) - min(pv)', 'height', 4)}, {r('sqrt(power(max(pu) - min(pu), 2) + power(max(pv) - min(pv), 2))', 'diagonal', 4)} FROM o GROUP BY 1, 2")
 def _(spark, d):
     along = spark.createDataFrame(_ALONG, "i int, dx double, dy double, dz double")
-    return rounded(views.projected_extents(fx.nodes(spark, d), along), "width", "height", "diagonal")
+    return rounded(views.projected_extents(fx.nodes(spark, d), along), "width", "height", "diagonal", places=4)
 
 
 @query("G7_guided_directions", f"WITH {NODES.replace(fx.NODES, fx.ODD)}, {_EIGEN}, f AS (SELECT neuron_id, n < 10 OR (w3 > 0 AND w1 / greatest(w3, 1e-12) < 1.1) AS flat FROM w) SELECT neuron_id, tier, CAST(n AS BIGINT) AS n FROM f, (VALUES ('canonical', 6, false), ('biased', 12, false), ('random', 6, false), ('fibonacci', 24, true)) t(tier, n, on_flat) WHERE flat = on_flat")

@@ -96,4 +96,8 @@ def depths(spark, sf_dir):
 
 def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
     """Doubles rounded alike in every engine: a nudge keeps decimal ties from falling on either side."""
-    return df.withColumns({c: F.round(F.col(c).cast("double") + 3.3e-8, places) for c in columns})
+    return df.withColumns({c: F.round(F.col(c).cast("double") + nudge(places), places) for c in columns})
+
+
+def nudge(places: int) -> float:
+    return 3.3 * 10.0 ** -(places + 2)
