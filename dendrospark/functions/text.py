@@ -230,10 +230,10 @@ def ngrams(text: Column, most: int = 3) -> Column:
 
 
 def md5_mod(s: Column, d: int) -> Column:
-    """The 128-bit md5 of ``s`` modulo ``d``: each hexadecimal digit counts what its place leaves modulo ``d``."""
+    """The 128-bit md5 of ``s`` modulo ``d``, from its hexadecimal digits in pieces that fit a long."""
     h = F.md5(s.cast("binary"))
-    digit = lambda k: F.instr(F.lit(HEX), F.substring(h, k + 1, 1)) - 1
-    return (sum((digit(k).cast("bigint") * F.lit(pow(16, 31 - k, d)) for k in range(1, 32)), digit(0).cast("bigint") * F.lit(pow(16, 31, d))) % d).cast("int")
+    piece = lambda at, n: F.conv(F.substring(h, at, n), 16, 10).cast("bigint") % d
+    return ((piece(1, 15) * pow(16, 17, d) + piece(16, 15) * pow(16, 2, d) + piece(31, 2)) % d).cast("int")
 
 
 def sha1_sign(s: Column) -> Column:
