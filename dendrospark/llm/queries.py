@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cdc, chat_hmm, decontam, embed_dups, pii, secrets, shingle_join, sp_bpe, toxicity, warc
+from . import cdc, chat_hmm, decontam, embed_dups, oracle, pii, secrets, shingle_join, sp_bpe, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,7 +43,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,4 +74,4 @@ QUERIES: dict[str, Query] = {
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_secrets": op10_secrets,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = oracle.SQL
