@@ -620,8 +620,8 @@ _ZERO = f"WITH {_V}, {_LONG}, p AS (SELECT label AS class, i, avg(v) AS m FROM l
 def zero_shot(spark, d):
     v = fx.views(spark, d)
     p = vectors.pool(v, "mean", "label").select(F.col("label").alias("class"), "vec")
-    s = vectors.similarities(p, v.select("view_id", "vec"), "class", "view_id")
-    return vectors.nearest_class(s, "view_id", "class").join(v.select("view_id", F.col("label").alias("gt")), "view_id").select("view_id", "gt", F.col("predicted").alias("pred"))
+    best = vectors.nearest(v.select("view_id", "vec"), p, "view_id", "class", 1)
+    return best.join(v.select("view_id", F.col("label").alias("gt")), "view_id").select("view_id", "gt", F.col("class").alias("pred"))
 
 
 @query("O3_zero_shot", f"{_ZERO} SELECT view_id, gt, pred FROM z")
