@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -180,14 +181,33 @@ def is_perspective(projection: str) -> bool:
     return projection in ("perspective", "persp")
 
 
-def qc_fraction(points: np.ndarray, view_projection: np.ndarray) -> float:
-    """Share of the box's eight corners, six face centres and twice its centre that lie in the clip volume."""
-    lo, hi = points.min(axis=0), points.max(axis=0)
-    mid = (lo + hi) / 2
-    corners = [[(lo, hi)[i >> k & 1][k] for k in range(3)] for i in range(8)]
-    faces = [[*(side[k] if j == k else mid[j] for j in range(3))] for k in range(3) for side in (lo, hi)]
-    p = np.c_[np.array([*corners, *faces, mid, mid]), np.ones(16)] @ view_projection.T
-    return float(np.mean((p[:, 3] > 0) & (np.abs(p[:, :3]) <= p[:, 3:]).all(axis=1)))
+# Of a box in halves of its size from its centre: the corners, the middles of the faces, and the centre twice.
+BOX_POINTS = [*product((-1, 1), repeat=3), *[tuple(side * (k == j) for j in range(3)) for k in range(3) for side in (-1, 1)], (0, 0, 0), (0, 0, 0)]
+
+
+def boxes(nodes: DataFrame) -> DataFrame:
+    """(neuron_id, c0..c2, h0..h2): centre and half size of each neuron's box."""
+    lo, hi = ([f(a) for a in "xyz"] for f in (F.min, F.max))
+    return nodes.groupBy("neuron_id").agg(*[((a + b) / 2).alias(f"c{k}") for k, (a, b) in enumerate(zip(lo, hi, strict=True))], *[((b - a) / 2).alias(f"h{k}") for k, (a, b) in enumerate(zip(lo, hi, strict=True))])
+
+
+def framing(nodes: DataFrame, margin: float = 0.85, fovy: float = 45.0) -> DataFrame:
+    """(neuron_id, target, ortho_scale, ortho_distance, distance): how a camera along Z takes in each neuron, without and with perspective."""
+    radius = F.greatest(F.lit(1e-6), F.sqrt(sum(F.col(f"h{k}") ** 2 for k in range(3))))
+    far = margin * radius / math.tan(math.radians(fovy) / 2)
+    return boxes(nodes).select("neuron_id", F.array("c0", "c1", "c2").alias("target"), (margin * radius).alias("ortho_scale"), (3 * radius + 1).alias("ortho_distance"), far.alias("distance"))
+
+
+def qc_fractions(nodes: DataFrame, view_projection: np.ndarray) -> DataFrame:
+    """(neuron_id, fraction): the share of sixteen points of each neuron's box that lie in the clip volume."""
+
+    def inside(place: tuple[int, int, int]) -> Column:
+        p = [*[F.col(f"c{k}") + s * F.col(f"h{k}") for k, s in enumerate(place)], F.lit(1.0)]
+        x, y, z, w = (sum(F.lit(float(v)) * q for v, q in zip(row, p, strict=True)) for row in view_projection)
+        size = F.greatest(F.lit(1e-6), w)
+        return F.when(F.greatest(*[F.abs(v / size) for v in (x, y, z)]) <= 1, 1).otherwise(0)
+
+    return boxes(nodes).select("neuron_id", (sum(map(inside, BOX_POINTS)) / len(BOX_POINTS)).alias("fraction"))
 
 
 def first_passing(candidates: DataFrame, key: str, order: str, score: str, least: float) -> DataFrame:

@@ -6,6 +6,7 @@ import math
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -744,6 +745,22 @@ def _(spark, d):
     return rounded(views.projected_extents(fx.nodes(spark, d), along), "width", "height", "diagonal", places=4)
 
 
+@query("G9_framing", f"WITH {NODES}, b AS (SELECT neuron_id, (min(x) + max(x)) / 2 AS cx, (min(y) + max(y)) / 2 AS cy, (min(z) + max(z)) / 2 AS cz, greatest(1e-6, 0.5 * sqrt(power(max(x) - min(x), 2) + power(max(y) - min(y), 2) + power(max(z) - min(z), 2))) AS rad FROM nodes GROUP BY 1) SELECT neuron_id, {r('cx')}, {r('cy')}, {r('cz')}, {r('0.85 * rad', 'ortho_scale')}, {r('3 * rad + 1', 'ortho_distance')}, {r('0.85 * rad / tan(radians(22.5))', 'distance')} FROM b")
+def _(spark, d):
+    f = views.framing(fx.nodes(spark, d))
+    return rounded(f.select("neuron_id", *[F.col("target")[k].alias(c) for k, c in enumerate(("cx", "cy", "cz"))], "ortho_scale", "ortho_distance", "distance"), "cx", "cy", "cz", "ortho_scale", "ortho_distance", "distance")
+
+
+_CAMERA = views.perspective(30.0, 1.0, 0.1, 90.0) @ views.look_at(np.array([60.0, 20.0, 50.0]), np.array([25.0, 5.0, 4.0]), np.array([0.0, 1.0, 0.0]))
+_CLIP = ", ".join(f"{row[0]!r}*px + {row[1]!r}*py + {row[2]!r}*pz + {row[3]!r} AS {c}" for row, c in zip(_CAMERA.tolist(), "uvts", strict=True))
+_BOX16 = ", ".join(map(str, [(a, b, c) for a in (-1, 1) for b in (-1, 1) for c in (-1, 1)] + [(-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1), (0, 0, 0), (0, 0, 0)]))
+
+
+@query("G10_qc_fraction", f"WITH {NODES}, b AS (SELECT neuron_id, min(x) x0, max(x) x1, min(y) y0, max(y) y1, min(z) z0, max(z) z1 FROM nodes GROUP BY 1), p AS (SELECT neuron_id, (x0 + x1) / 2 + sx * (x1 - x0) / 2 AS px, (y0 + y1) / 2 + sy * (y1 - y0) / 2 AS py, (z0 + z1) / 2 + sz * (z1 - z0) / 2 AS pz FROM b, (VALUES {_BOX16}) k(sx, sy, sz)), q AS (SELECT neuron_id, {_CLIP} FROM p) SELECT neuron_id, avg(CASE WHEN greatest(abs(u), abs(v), abs(t)) / greatest(1e-6, s) <= 1 THEN 1.0 ELSE 0 END) AS fraction FROM q GROUP BY 1")
+def _(spark, d):
+    return views.qc_fractions(fx.nodes(spark, d), _CAMERA)
+
+
 @query("G7_guided_directions", f"WITH {NODES.replace(fx.NODES, fx.ODD)}, {_EIGEN}, f AS (SELECT neuron_id, n < 10 OR (w3 > 0 AND w1 / greatest(w3, 1e-12) < 1.1) AS flat FROM w) SELECT neuron_id, tier, CAST(n AS BIGINT) AS n FROM f, (VALUES ('canonical', 6, false), ('biased', 12, false), ('random', 6, false), ('fibonacci', 24, true)) t(tier, n, on_flat) WHERE flat = on_flat")
 def _(spark, d):
     return views.guided_directions(fx.odd(spark, d)).groupBy("neuron_id", "tier").agg(F.count("*").alias("n"))
