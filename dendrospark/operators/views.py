@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .topology import topology
+from .topology import branches, topology
 
 GOLDEN = math.pi * (3 - math.sqrt(5))
 
@@ -244,3 +244,31 @@ def scaled_radii(nodes: DataFrame, radius_scale: float = 1.0, alpha: float = 0.0
     reached = below.select("neuron_id", "idx", F.lit(True).alias("__in"))
     rows = nodes.join(ref, "neuron_id", "left").join(reached, ["neuron_id", "idx"], "left")
     return rows.withColumn("scaled_radius", F.when(F.col("__in"), F.col("radius") * scale).otherwise(F.col("radius"))).drop("__ref", "__in")
+
+
+def tubes(nodes: DataFrame, segments: int = 32, radius: str = "radius") -> DataFrame:
+    """(neuron_id, first, at, k, vertex, x, y, z): rings of ``segments`` points around the nodes of every branch, across the way from the node before to the one after.
+
+    ``vertex`` numbers a branch's points from 0, ring by ring; ``tube_faces`` uses it.
+    """
+    if segments < 3:
+        raise ValueError("a ring needs three points")
+    along = branches(nodes).select("neuron_id", "first", F.posexplode("nodes").alias("at", "idx"))
+    rows = along.join(nodes.select("neuron_id", "idx", "x", "y", "z", F.col(radius).alias("r")), ["neuron_id", "idx"])
+    w = Window.partitionBy("neuron_id", "first").orderBy("at")
+    way = unit([F.coalesce(F.lead(a).over(w), F.col(a)) - F.coalesce(F.lag(a).over(w), F.col(a)) for a in "xyz"])
+    rows = rows.select("*", *[c.alias(f"d{k}") for k, c in enumerate(way)])
+    u, v = plane([F.col(f"d{k}") for k in range(3)])
+    rows = rows.select("*", *[c.alias(f"u{k}") for k, c in enumerate(u)], *[c.alias(f"v{k}") for k, c in enumerate(v)], F.explode(F.sequence(F.lit(0), F.lit(segments - 1))).alias("k"))
+    angle = F.col("k") * (2 * math.pi / segments)
+    ring = [(F.col(a) + F.col("r") * (F.cos(angle) * F.col(f"u{k}") + F.sin(angle) * F.col(f"v{k}"))).alias(a) for k, a in enumerate("xyz")]
+    return rows.select("neuron_id", "first", "at", "k", (F.col("at") * segments + F.col("k")).alias("vertex"), *ring)
+
+
+def tube_faces(nodes: DataFrame, segments: int = 32) -> DataFrame:
+    """(neuron_id, first, a, b, c): two triangles for each side between neighbouring rings, by vertex number."""
+    gaps = branches(nodes).select("neuron_id", "first", F.explode(F.sequence(F.lit(0), (F.size("nodes") - 1) * segments - 1)).alias("a"))
+    k = F.col("a") % segments
+    right = F.col("a") - k + (k + 1) % segments
+    pair = F.array(F.struct("a", (F.col("a") + segments).alias("b"), (right + segments).alias("c")), F.struct("a", (right + segments).alias("b"), right.alias("c")))
+    return gaps.select("neuron_id", "first", F.explode(pair).alias("f")).select("neuron_id", "first", "f.*")

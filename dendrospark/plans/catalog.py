@@ -324,6 +324,18 @@ def _(spark, d):
     return rounded(n.select(F.col("neuron_id").cast("long").alias("neuron_id"), "idx", "type_id", "x", "radius", "parent"), "x", "radius")
 
 
+@query("W5_ordinals", f"WITH v AS ({fx.VIEWS}) SELECT view_id, CAST(floor((row_number() OVER (ORDER BY view_id) - 1) / 64) AS BIGINT) AS batch, CAST(row_number() OVER (PARTITION BY neuron_id ORDER BY view_id) - 1 AS INT) AS place FROM v")
+def _(spark, d):
+    v = tables.in_batches(fx.views(spark, d).select("view_id", "neuron_id"), ["view_id"], 64)
+    return tables.place_in_group(v, "neuron_id", "view_id").select("view_id", "batch", "place")
+
+
+@query("G13_tube_faces", f"WITH RECURSIVE {NODES}, {EDGES}, {KIDS}, {_RUNS}, b AS (SELECT neuron_id, first, max(len(string_split(nodes, '-'))) AS n FROM runs GROUP BY 1, 2) SELECT neuron_id, first, 2 * 8 * (n - 1) AS n_faces, 8 * n - 1 AS last_vertex FROM b")
+def _(spark, d):
+    f = views.tube_faces(fx.nodes(spark, d), 8)
+    return f.groupBy("neuron_id", "first").agg(F.count("*").alias("n_faces"), F.max(F.greatest("a", "b", "c")).cast("long").alias("last_vertex"))
+
+
 @query("K6_sprite_cells", "WITH n AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS i, ceil(sqrt(count(*) OVER ())) AS cols FROM part) SELECT p_partkey, CAST(floor(i / cols) AS BIGINT) AS cell_row, CAST(i % cols AS BIGINT) AS cell_col FROM n")
 def _(spark, d):
     return tables.sprite_cells(spark.read.parquet(f"{d}/part.parquet").select("p_partkey"), ["p_partkey"]).select("p_partkey", "cell_row", "cell_col")

@@ -191,6 +191,18 @@ def numbered(df: DataFrame, order: list[str]) -> DataFrame:
     return rows.drop("__part", "__start")
 
 
+def in_batches(df: DataFrame, order: list[str], size: int) -> DataFrame:
+    """Rows with ``batch``, the number of the run of ``size`` rows in the given order that they are in."""
+    return numbered(df, order).withColumn("batch", F.floor(F.col("row_no") / size)).drop("row_no")
+
+
+def place_in_group(df: DataFrame, group: str, order: str, name: str = "place") -> DataFrame:
+    """Rows with their place from 0 among those of their group (a neuron's views: a small group)."""
+    from pyspark.sql import Window
+
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1)
+
+
 def write_projector(vectors: DataFrame, metadata: DataFrame, id_column: str, folder: str, fields: list[str]) -> None:
     """Tensor and metadata TSV files in one order, and the config as JSON. Metadata comes from annotation columns first, then from ``metadata``, then is empty."""
     rows = vectors.join(metadata.select(id_column, *[F.col(f).alias(f"__{f}") for f in fields]), id_column, "left")

@@ -129,6 +129,23 @@ def test_other_pools(spark):
     assert np.allclose(pooled["l2_then_mean"], [0.3, 0.9]) and np.allclose(pooled["mean_then_l2"], np.array([1.5, 3]) / np.hypot(1.5, 3)) and np.allclose(pooled["concat_mean_std"], [1.5, 3, 1.5, 1])
 
 
+def test_tubes_have_their_radius_and_close(spark):
+    rng = np.random.default_rng(8)
+    p = np.cumsum(rng.standard_normal((6, 3)), axis=0)
+    n = node_table(spark, {0: p})
+    rings = np.zeros((6, 5, 3))
+    for r in views.tubes(n, 5).collect():
+        assert r.vertex == r.at * 5 + r.k
+        rings[r.at, r.k] = r.x, r.y, r.z
+    way = np.r_[p[1:], p[-1:]] - np.r_[p[:1], p[:-1]]
+    away = rings - p[:, None]
+    assert np.allclose(np.linalg.norm(away, axis=2), (1.0 + np.arange(6) % 3)[:, None]) and np.allclose((away * way[:, None]).sum(axis=2), 0)
+    assert np.allclose(rings.mean(axis=1), p)
+    faces = [(r.a, r.b, r.c) for r in views.tube_faces(n, 5).collect()]
+    edges = [e for a, b, c in faces for e in ((a, b), (b, c), (c, a))]
+    assert len(faces) == 50 and len(set(edges)) == 150 and sum((b, a) not in set(edges) for a, b in edges) == 10  # open at both ends only
+
+
 def test_first_passing_candidate(spark):
     c = spark.createDataFrame([("a", 0, 0.2), ("a", 1, 0.9), ("a", 2, 0.95), ("b", 0, 0.1), ("b", 1, 0.3)], "key string, at int, score double")
     assert {r.key: r.at for r in views.first_passing(c, "key", "at", "score", 0.8).collect()} == {"a": 1, "b": 1}
