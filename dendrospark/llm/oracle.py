@@ -40,4 +40,18 @@ EMBEDDINGS = f"""WITH RECURSIVE v AS (SELECT vec_id AS id, [CAST(x AS DOUBLE) FO
  links AS (SELECT x.id AS a, y.id AS b FROM v x JOIN v y ON x.id <> y.id WHERE list_cosine_similarity(x.v, y.v) >= 0.9), {REACHED}
  SELECT id AS vec_id, (SELECT count(*) FROM links WHERE a = id) AS n_links, component_id, id = component_id AS kept FROM v JOIN component USING (id)"""
 
-SQL = {"op2_ngram_jaccard": JACCARD, "op6_decontamination": DECONTAMINATION, "op8_warc": WARC, "op9_embedding_dedup": EMBEDDINGS}
+# A mask of the failed filters; orders are all strings of the five letters, each once.
+AUDIT = f"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+ l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS g, max(CAST(toxic = 1 AS INT)) AS x FROM labels GROUP BY 1),
+ m AS (SELECT doc_id, part, CASE WHEN len(w) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+  + CASE WHEN 100 * (length(t) - length(translate(t, '{UPPER}', ''))) > 3 * length(t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+  + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask FROM d),
+ c AS (SELECT part, mask, count(*) AS n, coalesce(sum(g), 0) AS good, coalesce(sum(x), 0) AS bad FROM m LEFT JOIN l USING (doc_id) GROUP BY 1, 2),
+ f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f), o AS (SELECT a.f || b.f || c.f || d.f || e.f AS o FROM f a, f b, f c, f d, f e WHERE a.f NOT IN (b.f, c.f, d.f, e.f) AND b.f NOT IN (c.f, d.f, e.f) AND c.f NOT IN (d.f, e.f) AND d.f <> e.f),
+ s AS (SELECT o, step, substr(o, step, 1) AS f, 1 << (ascii(substr(o, step, 1)) - 65) AS own, list_sum([1 << (ascii(y) - 65) FOR y IN string_split(substr(o, 1, step - 1), '') IF y <> '']) AS before FROM o, (SELECT unnest(range(1, 6)) AS step)),
+ r AS (SELECT part, o, step, f, coalesce(sum(n) FILTER (mask & (own | b) = 0), 0) AS kept, coalesce(sum(n) FILTER (mask & own > 0 AND mask & b = 0), 0) AS removed, coalesce(sum(n) FILTER (mask & own > 0 AND mask & b > 0), 0) AS redundant,
+  coalesce(sum(n) FILTER (mask = own), 0) AS unique_fails, coalesce(sum(good) FILTER (mask & own > 0 AND mask & b = 0), 0) AS good_lost, coalesce(sum(bad) FILTER (mask & own > 0 AND mask & b = 0), 0) AS toxic_lost
+  FROM c, (SELECT *, CAST(coalesce(before, 0) AS INT) AS b FROM s) GROUP BY 1, 2, 3, 4)
+ SELECT part, o AS filter_order, step, f AS filter, {", ".join(f"CAST({x} AS BIGINT) AS {x}" for x in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))}, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM r"""
+
+SQL = {"op2_ngram_jaccard": JACCARD, "op6_decontamination": DECONTAMINATION, "op8_warc": WARC, "op9_embedding_dedup": EMBEDDINGS, "op12_filter_audit": AUDIT}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cdc, chat_hmm, decontam, embed_dups, oracle, pii, secrets, shingle_join, sp_bpe, toxicity, warc
+from . import cdc, chat_hmm, decontam, embed_dups, filter_audit, html_text, oracle, pii, secrets, shingle_join, sp_bpe, token_align, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,10 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("piece_bpe_32k.model")
+    return public_tokenizers.path(name)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +62,18 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents")).drop("found")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.aligned(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path())
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.document_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -73,5 +85,8 @@ QUERIES: dict[str, Query] = {
     "op8_warc": op8_warc,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_secrets": op10_secrets,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_html_extraction": op13_html_extraction,
 }
 ORACLE: dict[str, str] = oracle.SQL

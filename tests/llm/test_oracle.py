@@ -8,7 +8,7 @@ import pytest
 from dendrospark.llm import queries
 
 DATA = "/root/testdata/sf0.001"
-TABLES = ("documents", "embeddings", "pages", "benchmark")
+TABLES = ("documents", "embeddings", "pages", "benchmark", "labels")
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
