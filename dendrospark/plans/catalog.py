@@ -798,3 +798,6 @@ def _(spark, d):
     from ..streaming.curation import status_counts
 
     return status_counts(spark.read.parquet(f"{d}/events.parquet").withColumn("status", F.col("event_type")))
+
+
+from . import files  # noqa: E402, F401  registers further queries
