@@ -23,9 +23,13 @@ SIDE = 0.95  # a direction whose Y is larger gets Z as its way up
 Vector = list[Column]
 
 
+def item(column: str | Column, k: int) -> Column:
+    """Number ``k`` of an array. Not ``get``: the optimizer sees through that and writes a vector's expression out at each of its uses, which grows with every step."""
+    return F.try_element_at(F.col(column) if isinstance(column, str) else column, F.lit(k + 1))
+
+
 def parts(column: str | Column) -> Vector:
-    c = F.col(column) if isinstance(column, str) else column
-    return [F.get(c, F.lit(k)) for k in range(3)]
+    return [item(column, k) for k in range(3)]
 
 
 def dot(a: Vector, b: Vector) -> Column:
@@ -109,7 +113,7 @@ def with_axes(cameras: DataFrame) -> DataFrame:
 
 
 def axes() -> tuple[Vector, Vector, Vector]:
-    a = [F.get(F.col("__axes"), F.lit(k)) for k in range(9)]
+    a = [item("__axes", k) for k in range(9)]
     return a[:3], a[3:6], a[6:]
 
 
@@ -136,7 +140,7 @@ def dollied(cameras: DataFrame, factor: str) -> DataFrame:
 
 def product(a: str, b: str) -> Column:
     """The product of two columns of 4 x 4 matrices."""
-    at = lambda m, i, j: F.get(F.col(m), F.lit(4 * i + j))
+    at = lambda m, i, j: item(m, 4 * i + j)
     return F.array(*[sum((at(a, i, k) * at(b, k, j) for k in range(1, 4)), at(a, i, 0) * at(b, 0, j)) for i in range(4) for j in range(4)])
 
 
@@ -155,7 +159,7 @@ def matrices(cameras: DataFrame, aspect: float = 1.0) -> DataFrame:
 
 def clipped(cameras: DataFrame, points: str = "points", matrix: str = "view_projection") -> DataFrame:
     """Cameras with ``clip``: of each of their points (an array of arrays of three) the four clip coordinates."""
-    at = lambda i, j: F.get(F.col(matrix), F.lit(4 * i + j))
+    at = lambda i, j: item(matrix, 4 * i + j)
     rows = lambda p: F.array(*[at(i, 0) * F.get(p, F.lit(0)) + at(i, 1) * F.get(p, F.lit(1)) + at(i, 2) * F.get(p, F.lit(2)) + at(i, 3) for i in range(4)])
     return cameras.withColumn("clip", F.transform(points, rows))
 
