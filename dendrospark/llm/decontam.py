@@ -37,7 +37,7 @@ SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructF
 FOUND = [
     T.StructField("n_words", T.LongType()),
     T.StructField("hits", SPAN),
-    T.StructField("items", T.ArrayType(T.LongType())),
+    T.StructField("items", T.ArrayType(T.StringType())),
     T.StructField("longest", T.LongType()),
 ]
 
@@ -66,7 +66,8 @@ class Suffixes:
             length += [need] * (n - need + 1)
             item += [ids[i]] * (n - need + 1)
             at += n + 1
-        self.starts, self.length, self.item = (np.array(x, np.int64) for x in (starts, length, item))
+        self.starts, self.length = (np.array(x, np.int64) for x in (starts, length))
+        self.item = np.array(item, object)
         self.shortest = int(self.length.min()) if len(self.length) else 0
         self.longest_item = max((len(words[i]) for i in keep), default=0)
 
@@ -173,7 +174,7 @@ def shard(raw: np.ndarray, starts: np.ndarray, test: Suffixes) -> tuple[np.ndarr
         words = kept[hit & (owner == o)] - first[np.flatnonzero(owner == o)[0]]
         cut = np.flatnonzero(np.diff(words) > 1)
         spans_ = list(zip(words[np.r_[0, cut + 1]].tolist(), (words[np.r_[cut, len(words) - 1]] + 1).tolist(), strict=True))
-        out[o] = (spans_, np.unique(test.item[which[mine]]).tolist(), int(longest[owner == o].max()))
+        out[o] = (spans_, sorted(set(test.item[np.unique(which[mine])])), int(longest[owner == o].max()))
     return n_words, out
 
 
@@ -188,8 +189,8 @@ def merged(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int
 
 
 def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[list[int], list[str]]]:
-    """The items (integer id, non-empty text), dealt by hash into blocks of about ``block_bytes``."""
-    items = benchmark.selectExpr("cast(item_id as bigint) item_id", "text").where("item_id is not null and text is not null")
+    """The items (id as a string, text), those without either left out, dealt by hash into blocks of about ``block_bytes``."""
+    items = benchmark.selectExpr("cast(item_id as string) item_id", "text").where("item_id is not null and text is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-total // block_bytes))
     for k in range(n):
@@ -230,7 +231,7 @@ def locate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_by
                 new = [
                     pa.array(n_words, pa.int64()),
                     pa.array([[{"start": a, "end": b} for a, b in f[0]] for f in found], span),
-                    pa.array([f[1] for f in found], pa.list_(pa.int64())),
+                    pa.array([f[1] for f in found], pa.list_(pa.string())),
                     pa.array([f[2] for f in found], pa.int64()),
                 ]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *new], names=out.names)
@@ -243,7 +244,7 @@ def locate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_by
 def judged(found: DataFrame) -> DataFrame:
     """Adds n_hit, n_items, contaminated (at least a twentieth of the words hit) and items_sha256 to what ``locate`` gives."""
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
-    ids = F.array_join(F.sort_array(F.transform("items", lambda i: i.cast("string"))), ",")
+    ids = F.array_join(F.sort_array("items"), ",")
     return (
         found.withColumn("n_hit", n_hit)
         .withColumn("n_items", F.size("items").cast("long"))

@@ -42,9 +42,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 GITHUB = re.compile(r"gh[pousr]_([0-9A-Za-z]{36})(?![0-9A-Za-z])")
 NPM = re.compile(r"npm_([0-9A-Za-z]{36})(?![0-9A-Za-z])")
-JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)")
+JWT = re.compile(r"(eyJ[A-Za-z0-9_-]++)\.([A-Za-z0-9_-]++)\.([A-Za-z0-9_-]++)")
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----")
-PEM_BODY = re.compile(r"\s*(?:[A-Za-z][A-Za-z0-9-]*:[^\n]*\n)*[A-Za-z0-9+/=\s]{16,}")
+PEM_BODY = re.compile(r"\s*+((?:[A-Za-z][A-Za-z0-9-]*+:[^\n]*+\n)*+)([A-Za-z0-9+/=\s]*+)")  # possessive: each character is read once
+PEM_LEAST = 16
+TOKEN = re.compile(r"[A-Za-z0-9_-]*+")
 KEYWORDS = {
     "password": "assign", "passwd": "assign", "secret": "assign", "token": "assign", "apikey": "assign", "api_key": "assign",
     "akia": "access", "ghp_": "github", "gho_": "github", "ghu_": "github", "ghs_": "github", "ghr_": "github",
@@ -95,6 +97,12 @@ def jwt_ok(head: str) -> bool:
     return isinstance(parsed, dict) and "alg" in parsed
 
 
+def pem_ok(text: str, start: int, end: int) -> bool:
+    """Whether header lines, if any, and then ``PEM_LEAST`` or more characters of a key's body fill a place."""
+    m = PEM_BODY.fullmatch(text, start, end)
+    return bool(m) and end - (m.start(2) if m[1] else start) >= PEM_LEAST
+
+
 def find(text: str) -> list[tuple[int, int, str, int]]:
     """Spans (start, order of kind, kind, end) of one text, by start, then kind."""
     low = text.encode().lower().decode()  # A-Z only, so positions stay
@@ -115,17 +123,26 @@ def find(text: str) -> list[tuple[int, int, str, int]]:
             if end - at >= 20:
                 out.append((at, 1, "access", end))
     out += [(m.start(), 2, "hex", m.end()) for m in HEX.finditer(text)]
-    for kind, pattern, ok in (("github", GITHUB, lambda m: checksum_ok(m[1])), ("npm", NPM, lambda m: checksum_ok(m[1])), ("jwt", JWT, lambda m: jwt_ok(m[1]))):
+    for kind, pattern in (("github", GITHUB), ("npm", NPM)):
         end = 0
         for at in near.get(kind, ()):
-            if at >= end and (m := pattern.match(text, at)) and ok(m):
+            if at >= end and (m := pattern.match(text, at)) and checksum_ok(m[1]):
                 end = m.end()
                 out.append((at, KINDS.index(kind), kind, end))
+    end = 0
+    for at in near.get("jwt", ()):
+        if at < end or not text.startswith("eyJ", at):
+            continue
+        # Only the first mark of a run of token characters can begin a token, so a run is read once.
+        end = TOKEN.match(text, at).end()
+        if (m := JWT.match(text, at)) and jwt_ok(m[1]):
+            end = m.end()
+            out.append((at, KINDS.index("jwt"), "jwt", end))
     begins = near.get("pem", [])
     for at, stop in zip(begins, [*begins[1:], len(text)], strict=False):
         if m := PEM.match(text, at):
             last = text.find(f"-----END {m[1]}-----", m.end(), stop)
-            if last >= 0 and PEM_BODY.fullmatch(text, m.end(), last):
+            if last >= 0 and pem_ok(text, m.end(), last):
                 out.append((at, KINDS.index("pem"), "pem", last + len(m[1]) + 14))
     return sorted(out)
 
@@ -138,7 +155,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): counts of base kinds, all spans, digest of base spans.
 
     A map over partitions, no shuffle. Null text counts as empty; repeated rows
-    and null ids give a row each; further columns are not read.
+    and null ids give a row each; very long texts are searched whole, in time linear
+    in their length; further columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

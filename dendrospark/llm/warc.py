@@ -34,6 +34,7 @@ MAGIC = b"\x1f\x8b\x08"
 PROBE = 1 << 14
 ID = "urn:page:"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+SHARE = 1000
 LEAST_REVISIT = 0  # bytes; smaller payloads are always whole responses
 
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
@@ -81,21 +82,22 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_REVISIT) ->
     """Writes pages (page_id, url, html) as archives in ``folder``; returns their paths and sizes.
 
     Of pages with equal payloads of ``least`` bytes or more that with the smallest
-    id is written whole, the others as revisits of it. The folder must be one that
-    all executors share.
+    id is written whole, the others as revisits of it; each row gives one record,
+    also where an id has several payloads. The folder must be one that all
+    executors share.
     """
     folder = qualified(pages.sparkSession, folder)
     rows = pages.selectExpr("cast(page_id as bigint) page_id", "url", "html").where("page_id is not null")
-
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            data = [(t or "").encode() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([digest_of(d) for d in data]), pa.array([len(d) for d in data], pa.int64())], names=["page_id", "digest", "size"])
-
-    sums = mapped(rows.select("page_id", "html"), weigh, "page_id long, digest string, size long").where(F.col("size") >= least)
-    first = sums.groupBy("digest", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = sums.join(first, ["digest", "size"]).where("page_id <> first").select("page_id", "first").distinct()
-    marked = rows.join(again, "page_id", "left").select("page_id", "url", "first", "html")
+    rows = rows.withColumns({"digest": F.sha1(F.coalesce("html", F.lit("")).cast("binary")), "size": F.coalesce(F.octet_length("html"), F.lit(0))})
+    sums = rows.where(F.col("size") >= least).groupBy("digest", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = written(sums.select(F.col("digest").alias("same"), F.col("size").alias("same_size"), "first", "n"), "payloads")
+    # A payload that has more than a share of all repeats is told by broadcast: there are fewer than SHARE of those, and the others are small keys of a join.
+    often = F.col("n") * SHARE > (first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    hot, rest = (first.where(c).drop("n") for c in (often, ~often))
+    marked = rows.join(F.broadcast(hot.withColumnsRenamed({"same": "hot", "same_size": "hot_size", "first": "hot_first"})), (F.col("digest") == F.col("hot")) & (F.col("size") == F.col("hot_size")), "left")
+    key = F.when(F.col("hot").isNull(), F.col("digest")).otherwise(F.concat(F.lit("hot "), F.col("page_id").cast("string")))
+    marked = marked.withColumn("key", key).join(rest, (F.col("key") == F.col("same")) & (F.col("size") == F.col("same_size")), "left")
+    marked = marked.withColumn("first", F.coalesce("hot_first", "first")).select("page_id", "url", F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("first"), "html")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -259,7 +261,8 @@ def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
 
     Null html is an empty payload, a null url an empty one; pages with a null id
     can't be named in an archive and are left out; a repeated row is written
-    again (as a response if its id is the first of its payload).
+    again (as a response if its id is the first of its payload). An id with several
+    payloads has a record for each, and each refers to the first page of its own.
     """
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     files = write_archives(pages, folder)

@@ -295,6 +295,19 @@ def test_repeated_and_missing_page_ids(spark):
     assert got == [(5, "response", None), (5, "response", None), (7, "response", None), (9, "revisit", 5)]
 
 
+def test_an_id_with_several_payloads_has_a_record_for_each(spark, monkeypatch):
+    rows = [(1, "BBB"), (5, "AAA"), (5, "BBB"), (2, "CCC"), (5, "CCC"), *[(100 + i, None if i % 2 else "") for i in range(40)], (7, "AAA")]
+    pages = spark.createDataFrame([(i, f"u{i}", h) for i, h in rows], "page_id long, url string, html string").repartition(3)
+    for share in (1000, 2, 1):  # how many payloads are told by broadcast changes nothing
+        monkeypatch.setattr(warc, "SHARE", share)
+        files = warc.write_archives(pages, f"{warc.shared_dir(spark)}/several-{share}")
+        got = warc.read_archives(files).collect()
+        first = {h: min(i for i, g in rows if (g or "") == h) for h in {h or "" for _, h in rows}}
+        want = sorted((i, h or "", "response" if first[h or ""] == i else "revisit", None if first[h or ""] == i else first[h or ""]) for i, h in rows)
+        texts = {r.payload_digest: bytes(r.payload).decode() for r in got if r.record_type == "response"}
+        assert sorted((r.page_id, texts[r.payload_digest], r.record_type, r.refers_to) for r in got) == want
+
+
 def test_archives_of_other_writers(spark, tmp_path):
     def one(kind, ident, body, more=""):
         block = f"HTTP/1.1 200 OK\r\n\r\n{body}".encode() if kind == "response" else body.encode()
@@ -432,3 +445,32 @@ def test_pipeline_by_brute_force(spark, tmp_path):
         ids = lib.encode(t or "", add_bos=True, add_eos=True)
         left[k] = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), sha(lib.decode(ids)))
     assert got == left
+
+
+# Worst cases for patterns, and benchmark ids that are no numbers
+
+
+def test_secrets_take_linear_time():
+    import time
+
+    head = "eyJhbGciOiJIUzI1NiJ9"
+    worst = [
+        "-----BEGIN RSA PRIVATE KEY-----" + " " * 1_000_000 + "!" + "-----END RSA PRIVATE KEY-----",
+        "-----BEGIN PRIVATE KEY-----\n" + "a-b:\n" * 200_000 + "!" + "-----END PRIVATE KEY-----",
+        "eyJ" * 330_000 + ".",
+        "eyJ" * 330_000 + ".a.b",
+        "secret" * 170_000 + " " * 100_000,
+    ]
+    start = time.time()
+    assert [[s[2] for s in secrets.find(t) if s[2] in ("pem", "jwt")] for t in worst] == [[], [], [], [], []]
+    assert time.time() - start < 20
+    kinds = lambda t: [s[2] for s in secrets.find(t)]
+    assert kinds(f"x {head}.e30.abc y") == ["jwt"] and kinds(f"eyJx.a {head}.e30.abc") == ["jwt"] and kinds("-----BEGIN PRIVATE KEY-----\nQUJD\nQUJDQUJDQUJD\n-----END PRIVATE KEY-----") == ["pem"]
+    assert kinds("-----BEGIN PRIVATE KEY-----\nA: b\nQUJDQUJDQUJDQUJD\n-----END PRIVATE KEY-----") == ["pem"] and kinds("-----BEGIN PRIVATE KEY-----\nA: b\nQUJD\n-----END PRIVATE KEY-----") == []
+
+
+def test_benchmark_ids_may_be_any_texts(spark):
+    bench = spark.createDataFrame([("b-1", "one two three"), ("a", "four five"), ("b-1", "six seven"), (None, "one two"), ("c", None)], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "x one two three four five y six seven"), (2, "one two")], "doc_id long, text string")
+    got = {r.doc_id: r for r in decontam.report(docs, bench).collect()}
+    assert (got[1].n_hit, got[1].n_items, got[1].items_sha256) == (7, 2, sha("a,b-1")) and got[2].n_items == 0

@@ -157,7 +157,7 @@ def test_decontamination(spark, docs):
                     if x := windows.get(tuple(w[k : k + n])):
                         hit.update(range(k, k + n))
                         seen |= x
-            assert (r.n_words, r.n_hit, r.n_items, r.items) == (len(w), len(hit), len(seen), sorted(seen))
+            assert (r.n_words, r.n_hit, r.n_items, r.items) == (len(w), len(hit), len(seen), sorted(map(str, seen)))
             assert r.contaminated == (bool(hit) and 20 * len(hit) >= len(w))
     assert decontam.drop_contaminated(docs, bench).columns == docs.columns
     assert decontam.drop_contaminated(docs, bench.where("false")).count() == docs.count()
