@@ -12,12 +12,17 @@ what it has verified, so a dense group costs rows in proportion to its size.
 A window is bounded, so a dense group has links that no window shows. They are
 all found afterwards: within each component every pair is compared, in blocks of
 ``BLOCK`` vectors that spread over tasks, and only counted. Equal vectors are one
-class from the start. Recall can thus only be lost between components: two
-vectors at cosine 0.9 agree in a sign with probability 0.86, at 0.95 with 0.9.
-They surely meet in a pass where they agree in the log2(n / ``WINDOW``) signs
-that leave ``WINDOW`` of n evenly spread vectors together. ``passes_for`` takes
-as many passes as find a pair at the least cosine with probability ``RECALL``.
-Where no link may be lost, ``exact`` compares all blocks of all vectors instead.
+class from the start. Recall can thus only be lost between components.
+
+Vectors usually share a direction, which makes all their signs alike, so the mean
+of all is taken off before they are projected. That leaves less of the likeness of
+a pair: at cosine 0.9 two vectors agree in a sign with probability 0.86, but 0.73
+if the mean pair has a cosine of 0.7. The number of passes therefore follows from
+the vectors (``passes_needed``): for each of a sample of at most ``SAMPLE`` it is
+measured how many signs leave ``WINDOW`` vectors together, and computed how
+likely a partner at the least cosine agrees in all of them; as many passes are made as find
+such partners with probability ``RECALL`` on average. Where no link may be lost,
+``exact`` compares all blocks of all vectors instead.
 """
 
 from __future__ import annotations
@@ -34,28 +39,99 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import mapped, written
+from .shared import mapped, salted_fold, written
 
 RECALL = 0.98  # of isolated pairs at the least cosine
 PASSES = 16  # at least
+MOST_PASSES = 4096  # a table that needs more is refused rather than searched in part
 PASSES_A_JOB = 4  # passes whose sorted copies are on disk at a time
-WINDOW = 64
+WINDOW = 256
+SAMPLE = 8192
 BLOCK = 256
 COSINE = 0.9
 
 
-def passes_for(n: int, window: int = WINDOW, cosine: float = COSINE, recall: float = RECALL) -> int:
-    """Passes over ``n`` vectors that show a pair at ``cosine`` with probability ``recall``, and ``PASSES`` at least."""
-    agree = 1 - math.acos(cosine) / math.pi
-    met = agree ** math.log2(max(1.0, n / window))
-    return PASSES if met >= 1 else max(PASSES, math.ceil(math.log(1 - recall) / math.log(1 - met)))
-
-
 @cache
 def planes(number: int, dim: int) -> np.ndarray:
     return np.random.default_rng([number, dim, 77]).standard_normal((dim, 64))
 
 
+def signs(x: np.ndarray, number: int) -> np.ndarray:
+    """The signs of a pass's projections as 64-bit numbers."""
+    return np.packbits(x @ planes(number, x.shape[1]) > 0, axis=1).view(">u8").astype(np.uint64).ravel()
+
+
+def passes_needed(x: np.ndarray, centre: np.ndarray, n: int, window: int = WINDOW, cosine: float = COSINE, recall: float = RECALL) -> int:
+    """Passes over ``n`` vectors, of which the unit vectors ``x`` are a sample, that show a partner at ``cosine`` with probability ``recall``; ``PASSES`` at least."""
+    if n <= window or not len(x):
+        return PASSES
+    # A partner as near the mean as its vector: its cosine once the mean is off.
+    away = np.maximum(1e-9, 1 - 2 * x @ centre + centre @ centre)
+    agree = 1 - np.arccos(np.clip((cosine - 1 + away) / away, -1, 1)) / math.pi
+    most = max(1.0, window * len(x) / n)  # vectors of the sample that stand for a window
+    further = max(0.0, math.log2(n / (window * len(x))))
+    met = []
+    for p in range(2):
+        codes = signs(x - centre, p)
+        depth = np.zeros(len(x), np.int64)
+        for d in range(65):
+            prefix = codes >> np.uint64(64 - d) if d else codes * np.uint64(0)
+            _, of, size = np.unique(prefix, return_inverse=True, return_counts=True)
+            together = size[of] > most
+            depth[together] = d + 1
+            if not together.any():
+                break
+        met.append(np.minimum(1.0, agree ** (depth + further)))
+    met = np.concatenate(met)
+    low, high = 0, PASSES
+    while np.mean(1 - (1 - met) ** high) < recall:
+        low, high = high, 2 * high
+        if high > MOST_PASSES:
+            raise ValueError(f"more than {MOST_PASSES} passes would be needed; exact=True compares all vectors")
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if np.mean(1 - (1 - met) ** middle) < recall else (low, middle)
+    return max(PASSES, high)
+
+
+def centres(vecs: DataFrame) -> dict[int, tuple[int, np.ndarray]]:
+    """For each length of vectors (in bytes) their number and the mean of the unit vectors: a row of fixed size a task, folded in two steps."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, tuple[int, np.ndarray]] = {}
+        for batch in batches:
+            for size, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                m, t = total.get(size, (0, 0.0))
+                total[size] = (m + n, t + np.frombuffer(raw, np.float64))
+        yield from told(total)
+
+    def told(total) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([n for n, _ in total.values()], pa.int64()), pa.array([t.tobytes() for _, t in total.values()], pa.binary())], names=["size", "n", "total"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, tuple[int, np.ndarray]] = {}
+        for batch in batches:
+            raw = batch.column(0).to_pylist()
+            sizes = np.array([len(r) for r in raw])
+            for size in np.unique(sizes).tolist():
+                mine = np.flatnonzero(sizes == size)
+                n, t = total.get(size, (0, 0.0))
+                total[size] = (n + len(mine), t + units_of([raw[i] for i in mine]).sum(axis=0))
+        yield from told(total)
+
+    rows = salted_fold(mapped(vecs.select("vec"), run, "size int, n long, total binary"), fold)
+    return {r["size"]: (r.n, np.frombuffer(r.total, np.float64) / r.n) for r in rows.toLocalIterator()}
+
+
+def passes_over(vecs: DataFrame, means: dict[int, tuple[int, np.ndarray]], window: int, cosine: float) -> int:
+    """The passes that the vectors of every length need, judged by a sample of ``SAMPLE`` vectors by hash."""
+    n = sum(m for m, _ in means.values())
+    some = vecs.select("vec").where(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-n // SAMPLE)))) == 0)
+    raw = [bytes(r.vec) for r in some.toLocalIterator()]
+    by_size = {size: [r for r in raw if len(r) == size] for size in means}
+    return max([PASSES, *(passes_needed(units_of(v), means[size][1], means[size][0], window, cosine) for size, v in by_size.items() if v)])
+
+
 def usable(embeddings: DataFrame) -> DataFrame:
     """(vec_id, d1, d2, vec) of the vectors that can link; vec is their components as doubles."""
 
@@ -138,8 +214,8 @@ def windows(batches: Iterator[pa.RecordBatch], window: int, cosine: float) -> It
                 ids, x = ids[-window:], x[-window:]
 
 
-def sorted_pass(classes: DataFrame, numbers: list[int], window: int, cosine: float) -> DataFrame:
-    """Verified links (a, b) from the windows of some passes."""
+def sorted_pass(classes: DataFrame, numbers: list[int], window: int, cosine: float, means: dict[int, tuple[int, np.ndarray]]) -> DataFrame:
+    """Verified links (a, b) from the windows of some passes; ``means`` are what ``centres`` gives."""
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,10 +223,9 @@ def sorted_pass(classes: DataFrame, numbers: list[int], window: int, cosine: flo
             sizes = np.array([len(r) for r in raw])
             for size in np.unique(sizes):
                 mine = np.flatnonzero(sizes == size)
-                x = units_of([raw[i] for i in mine])
+                x = units_of([raw[i] for i in mine]) - means[int(size)][1]
                 for p in numbers:
-                    bits = np.packbits(x @ planes(p, x.shape[1]) > 0, axis=1)
-                    sign = bits.view(">u8").astype(np.uint64).ravel() ^ np.uint64(1 << 63)  # so that signed order is the order of the bits
+                    sign = signs(x, p) ^ np.uint64(1 << 63)  # so that signed order is the order of the bits
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(mine), p, np.int32)), pa.array(np.full(len(mine), size, np.int32)), pa.array(sign.view(np.int64)), batch.column(0).take(pa.array(mine)), pa.array([raw[i] for i in mine], pa.binary())],
                         names=["pass", "size", "sign", "vec_id", "vec"],
@@ -295,7 +370,7 @@ def near_duplicates(embeddings: DataFrame, passes: int | None = None, window: in
     nothing; so do vectors of different lengths with each other. A repeated row
     counts once in links. A null id gives a row with no links and null component.
     Further columns are not read; an empty table gives an empty result. Without
-    ``passes`` their number follows from the number of different vectors; with
+    ``passes`` their number follows from the vectors (``passes_needed``); with
     ``exact`` there are none, and all vectors are compared.
     """
     narrow = embeddings.selectExpr("cast(vec_id as bigint) vec_id", "embedding")
@@ -304,10 +379,11 @@ def near_duplicates(embeddings: DataFrame, passes: int | None = None, window: in
     grouped = written(ids.groupBy("d1", "d2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes")
     vecs = rows.join(grouped, (rows.d1 == grouped.d1) & (rows.d2 == grouped.d2) & (rows.vec_id == grouped.rep)).select("vec_id", "copies", "vec")
     vecs = written(vecs.dropDuplicates(["vec_id"]), "representatives")
-    passes = 0 if exact else passes or passes_for(vecs.count(), window, cosine)
+    means = {} if exact else centres(vecs)
+    passes = 0 if exact else passes or passes_over(vecs, means, window, cosine)
     links = written(all_links(vecs, cosine).distinct(), "links") if exact else None
     for at in range(0, passes, PASSES_A_JOB):
-        part = written(sorted_pass(vecs, list(range(at, min(passes, at + PASSES_A_JOB))), window, cosine).distinct(), "links")
+        part = written(sorted_pass(vecs, list(range(at, min(passes, at + PASSES_A_JOB))), window, cosine, means).distinct(), "links")
         links = part if links is None else links.union(part)
     comps = components(links)
     near = link_counts(vecs, comps, cosine)

@@ -67,17 +67,19 @@ def test_windows_reach_over_the_edges_of_partitions(spark):
     u = embed_dups.units_of([r.tobytes() for r in v])
     want = set()
     for p in (0, 1):
-        bits = (u @ embed_dups.planes(p, 16) > 0).astype(int).tolist()
+        bits = ((u - u.mean(axis=0)) @ embed_dups.planes(p, 16) > 0).astype(int).tolist()
         order = sorted(range(len(v)), key=lambda i: (bits[i], i))
         want |= {frozenset((a, b)) for k, a in enumerate(order) for b in order[max(0, k - 12) : k] if u[a] @ u[b] >= 0.9}
     assert want
+    means = embed_dups.centres(vecs)
+    assert list(means) == [128] and means[128][0] == 400 and np.allclose(means[128][1], u.mean(axis=0))
     conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "4"}
     before = {k: spark.conf.get(k) for k in conf}
     try:
         for parts in ("1", "9", "80"):
             for k, x in (conf | {"spark.sql.shuffle.partitions": parts}).items():
                 spark.conf.set(k, x)
-            links = embed_dups.sorted_pass(vecs, [0, 1], 12, 0.9).collect()
+            links = embed_dups.sorted_pass(vecs, [0, 1], 12, 0.9, {128: (400, u.mean(axis=0))}).collect()
             got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
             assert {frozenset((r.a, r.b)) for r in links} <= want
             assert all(got[a] == got[b] for a, b in map(tuple, want))
@@ -86,12 +88,52 @@ def test_windows_reach_over_the_edges_of_partitions(spark):
             spark.conf.set(k, x)
 
 
-def test_passes_follow_the_number_of_vectors():
-    agree = 1 - np.arccos(0.9) / np.pi
-    for n in (50, 500, 50_000, 1_000_000, 10_000_000):
-        met = agree ** max(0, np.log2(n / embed_dups.WINDOW))
-        assert 1 - (1 - met) ** embed_dups.passes_for(n) >= embed_dups.RECALL
-    assert embed_dups.passes_for(10_000_000) > embed_dups.passes_for(1_000_000) > embed_dups.passes_for(50)
+def partners(n, dim, background, seed=1):
+    """Unit vectors that share a direction: the second half are partners of the first at cosine 0.9001, all other pairs have the background's cosine."""
+    rng = np.random.default_rng(seed)
+
+    def across(*to):
+        r = rng.standard_normal((n // 2, dim))
+        r[:, 0] = 0
+        for t in to:
+            r -= (r * t).sum(axis=1, keepdims=True) * t
+        return r / np.linalg.norm(r, axis=1, keepdims=True)
+
+    a = across()
+    c = (0.9001 - background) / (1 - background)
+    shared = np.sqrt(background) * np.eye(dim)[:1]
+    return np.r_[shared + np.sqrt(1 - background) * a, shared + np.sqrt(1 - background) * (c * a + np.sqrt(1 - c * c) * across(a))]
+
+
+@pytest.mark.parametrize(("n", "dim", "background"), [(10_000, 64, 0.0), (10_000, 64, 0.7), (50_000, 64, 0.5), (50_000, 64, 0.7)])
+def test_passes_find_partners_of_vectors_that_share_a_direction(n, dim, background):
+    x = partners(n, dim, background)
+    centre, some = x.mean(axis=0), x[np.random.default_rng(0).permutation(n)[: embed_dups.SAMPLE]]
+    met = np.zeros(n // 2, bool)
+    for p in range(embed_dups.passes_needed(some, centre, n)):
+        place = np.empty(n, int)
+        place[np.argsort(embed_dups.signs(x - centre, p), kind="stable")] = np.arange(n)
+        met |= np.abs(place[: n // 2] - place[n // 2 :]) <= embed_dups.WINDOW
+    assert met.mean() >= 0.95
+
+
+def test_passes_follow_the_vectors():
+    even, shared = partners(4000, 32, 0.0), partners(4000, 32, 0.7)
+    need = lambda x, n: embed_dups.passes_needed(x, x.mean(axis=0), n)
+    assert need(even, 200) == embed_dups.PASSES and need(even, 10**6) > need(even, 10**5) >= embed_dups.PASSES
+    assert need(shared, 10**5) > need(even, 10**5)
+    with pytest.raises(ValueError, match="exact=True"):
+        need(partners(4000, 32, 0.89), 10**9)
+
+
+def test_recall_against_brute_force_on_vectors_that_share_a_direction(spark):
+    x = partners(3000, 32, 0.7)
+    rows = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in embed_dups.near_duplicates(rows, window=32).collect()}
+    hit = x @ x.T >= 0.9
+    np.fill_diagonal(hit, False)
+    found = np.array([got[i].n_links for i in range(3000)])
+    assert (found <= hit.sum(axis=1)).all() and found.sum() >= 0.95 * hit.sum()
 
 
 def test_pipeline_on_small_tables(spark):
