@@ -1,11 +1,16 @@
-"""Text from metadata, labels from text, hashed text vectors; all as column expressions."""
+"""Text from metadata, labels from text, hashed text vectors; column expressions but for the last."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import chain, pairwise
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -240,10 +245,52 @@ def sha1_sign(s: Column) -> Column:
     return F.when(F.right(F.sha1(s.cast("binary")), F.lit(1)).isin(*HEX[::2]), 1).otherwise(-1)
 
 
+KNOWN = 200_000  # grams whose places a task remembers
+SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
+
+
 def hash_vectors(texts: DataFrame, id_column: str, text: str = "text", dim: int = 384) -> DataFrame:
-    """(id, slots): the non-zero places of signed n-gram counts, scaled to length 1. Counts are summed before they are shuffled."""
-    grams = texts.select(id_column, F.explode(ngrams(F.col(text))).alias("g"))
-    sums = grams.select(id_column, md5_mod(F.col("g"), dim).alias("at"), sha1_sign(F.col("g")).alias("s")).groupBy(id_column, "at").agg(F.sum("s").cast("double").alias("v"))
+    """(id, slots): the non-zero places of signed n-gram counts, scaled to length 1. Rows of one id add up.
+
+    Grams repeat, in a text and among texts, so each batch is counted in Python, where
+    a gram that was met before isn't hashed again (``md5_mod``, ``sha1_sign`` say
+    the same of one gram). A task passes on sums by place. Null texts have no
+    grams; ids whose counts are all 0 have no row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+
+        def code(gram: str) -> int:
+            raw = gram.encode()
+            known[gram] = c = 1 + 2 * (int.from_bytes(hashlib.md5(raw).digest()) % dim) + hashlib.sha1(raw).digest()[-1] % 2
+            return c  # never 0
+
+        for batch in batches:
+            rows, places, sums = [], [], []
+            for row, (whole, low) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                if whole is None:
+                    continue
+                w = [x for x in SPACE.split(low) if x]
+                two = [f"{a} {b}" for a, b in pairwise(w)]
+                grams = chain(w, two, [f"{a} {b}" for a, b in zip(two, w[2:], strict=False)]) if w else [whole]
+                if len(known) > KNOWN:
+                    known.clear()
+                get = known.get
+                found = np.fromiter((get(g) or code(g) for g in grams), np.int64) - 1
+                total = np.bincount(found >> 1, 1 - 2 * (found & 1), dim)
+                at = np.flatnonzero(total)
+                rows.append(np.full(len(at), row))
+                places.append(at.astype(np.int32))
+                sums.append(total[at])
+            if rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(places)), pa.array(np.concatenate(sums))], names=[id_column, "at", "s"])
+
+    kind = texts.schema[id_column].dataType.simpleString()
+    # Hashing costs some thirty times what moving a text does, and few files, or row groups, would leave it to few tasks.
+    dealt = texts.select(id_column, F.col(text), F.lower(text).alias("low")).repartition(F.xxhash64(F.col(id_column), F.col(text)))
+    parts = dealt.mapInArrow(run, f"{id_column} {kind}, at int, s double")
+    sums = parts.groupBy(id_column, "at").agg(F.sum("s").alias("v"))
     per = sums.where("v <> 0").groupBy(id_column).agg(F.sort_array(F.collect_list(F.struct("at", "v"))).alias("slots"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
     return per.select(id_column, F.transform("slots", lambda x: F.struct(x["at"].alias("at"), (x["v"] / F.col("norm")).alias("v"))).alias("slots"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -91,14 +92,23 @@ def top_k(sims: DataFrame, query_id: str, item_id: str, k: int) -> DataFrame:
     return sims.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths (-1 for null), starts and components (nan for null) of a column of vectors, without a Python object a vector."""
+    a = column.combine_chunks()
+    a = a if isinstance(a, pa.Array) else pa.concat_arrays(a.chunks) if a.num_chunks else pa.array([], a.type)
+    size = pc.list_value_length(a).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    there = np.maximum(size, 0)
+    return size, np.cumsum(there) - there, a.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False)
+
+
 def products(a: pa.ChunkedArray, b: pa.ChunkedArray) -> np.ndarray:
     """All dot products of two columns of vectors; nan where one is null, holds a null or has another length."""
     out = np.full((len(a), len(b)), np.nan)
-    rows, cols = a.to_pylist(), b.to_pylist()
-    left, right = (np.array([-1 if v is None else len(v) for v in x], np.int64) for x in (rows, cols))
+    (left, at, x), (right, to, y) = flat(a), flat(b)
     for size in np.intersect1d(left[left >= 0], right[right >= 0]):
         i, j = np.flatnonzero(left == size), np.flatnonzero(right == size)
-        out[np.ix_(i, j)] = np.array([rows[k] for k in i], float).reshape(len(i), size) @ np.array([cols[k] for k in j], float).reshape(len(j), size).T
+        k = np.arange(size)
+        out[np.ix_(i, j)] = x[at[i][:, None] + k] @ y[to[j][:, None] + k].T
     return out
 
 
