@@ -800,4 +800,4 @@ def _(spark, d):
     return status_counts(spark.read.parquet(f"{d}/events.parquet").withColumn("status", F.col("event_type")))
 
 
-from . import files, geometry  # noqa: E402, F401  registers further queries
+from . import files, geometry, more  # noqa: E402, F401  registers further queries

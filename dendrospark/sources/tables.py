@@ -49,6 +49,15 @@ def read_metadata(spark: SparkSession, path: str, id_column: str) -> DataFrame:
     return last_of_each(rows.select("*", at.alias("__at")), id_column, names)
 
 
+def metadata_fields(spark: SparkSession, path: str, id_column: str) -> DataFrame:
+    """``read_metadata`` with one schema for all kinds of files: (id, fields), a map of the texts that a row has."""
+    rows = read_metadata(spark, path, id_column)
+    if path.endswith(".json"):
+        return rows
+    pairs = F.array(*[F.struct(F.lit(c).alias("k"), F.col(f"`{c}`").cast("string").alias("v")) for c in rows.columns if c != id_column])
+    return rows.select(id_column, F.map_from_entries(F.filter(pairs, lambda x: x["v"].isNotNull())).alias("fields"))
+
+
 def last_of_each(rows: DataFrame, id_column: str, names: list[str]) -> DataFrame:
     """Per id, where there is one, the row with the greatest ``__at``."""
     rest = [c for c in names if c != id_column]
@@ -144,6 +153,16 @@ def find_manifests(spark: SparkSession, folder: str, split: str) -> str | None:
     return None
 
 
+def evaluator_manifest(spark: SparkSession, folder: str) -> str:
+    """The manifest that an evaluation reads: validation's, else the test's, else the undivided one; none is an error."""
+    jvm = spark.sparkContext._jvm
+    for name in ("manifest_val.jsonl", "manifest_test.jsonl", "manifest.jsonl"):
+        p = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+            return f"{folder}/{name}"
+    raise ValueError(f"no manifest in {folder}")
+
+
 def links(pages: DataFrame, html: str = "html", pattern: str = r'href="([^"]+)"') -> DataFrame:
     """One row per link of a page, in order (pos, link)."""
     return pages.select("*", F.posexplode(F.regexp_extract_all(html, F.lit(pattern), F.lit(1))).alias("pos", "link"))
@@ -208,9 +227,11 @@ def write_projector(vectors: DataFrame, metadata: DataFrame, id_column: str, fol
     rows = vectors.join(metadata.select(id_column, *[F.col(f).alias(f"__{f}") for f in fields]), id_column, "left")
     own = set(vectors.columns)
     cols = [F.coalesce(*([F.col(f)] if f in own else []), F.col(f"__{f}"), F.lit("")).alias(f) for f in fields]
-    rows = rows.orderBy(id_column)
+    # Both files are sorted in jobs of their own: the order must tell rows of one id apart.
+    rows = rows.withColumns({f: c for f, c in zip(fields, cols, strict=True)}).withColumn("__all", F.to_json(F.struct("vec", *fields)))
+    rows = rows.orderBy(id_column, "__all")
     rows.select(F.concat_ws("\t", F.transform("vec", lambda x: x.cast("string")))).write.mode("overwrite").text(f"{folder}/tensors")
-    rows.select(id_column, *cols).write.mode("overwrite").csv(f"{folder}/metadata", sep="\t", header=True)
+    rows.select(id_column, *fields).write.mode("overwrite").csv(f"{folder}/metadata", sep="\t", header=True)
     shape = vectors.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d"))
     shape.select(F.to_json(F.struct(F.array(F.struct(F.lit("embeddings").alias("tensorName"), F.array("n", F.col("d").cast("long")).alias("tensorShape"), F.lit("tensors").alias("tensorPath"), F.lit("metadata").alias("metadataPath"))).alias("embeddings")))).write.mode("overwrite").text(f"{folder}/config")
 

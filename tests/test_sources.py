@@ -123,3 +123,38 @@ def test_repeated_and_short_lines(spark):
     n = topology.unique_nodes(swc.parse_nodes(lines))
     assert sorted((r.idx, r.x) for r in n.collect()) == [(1, 0.0), (2, 2.0)]
     assert swc.parse_headers(lines).first().header == {"a": "1", "comment_2": "note"}
+
+
+def test_metadata_of_every_kind_has_one_schema(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"id": "1", "x": "p"}, {"x": "q"}, {"id": "2"}]')
+    (tmp_path / "b.json").write_text('{"1": {"x": "p"}, "2": {}}')
+    (tmp_path / "c.csv").write_text("id,x\n1,o\n1,p\n,q\n2,\n")
+    (tmp_path / "d.jsonl").write_text('{"id": 1, "x": "p"}\n{"id": "2"}\n{"x": 3}\n')
+    for name in ("a.json", "b.json", "c.csv", "d.jsonl"):
+        got = {r["id"]: r.fields for r in tables.metadata_fields(spark, f"{tmp_path}/{name}", "id").collect()}
+        assert {k: v.get("x") for k, v in got.items()} == {"1": "p", "2": None}, name
+
+
+def test_an_evaluation_takes_the_first_manifest_of_its_order(spark, tmp_path):
+    with pytest.raises(ValueError, match="no manifest"):
+        tables.evaluator_manifest(spark, str(tmp_path))
+    for name in ("manifest.jsonl", "manifest_test.jsonl", "manifest_val.jsonl"):
+        (tmp_path / name).write_text("{}")
+        assert tables.evaluator_manifest(spark, str(tmp_path)).endswith(f"/{name}")
+
+
+def test_projector_files_tell_rows_of_one_id_apart(spark, tmp_path):
+    rows = [(k % 3, [float(k), 1.0], f"n{k}") for k in range(30)]
+    v = spark.createDataFrame(rows, "id long, vec array<double>, name string").repartition(7)
+    tables.write_projector(v, spark.createDataFrame([(0, "z")], "id long, name string"), "id", f"{tmp_path}/p", ["name"])
+    lines = lambda part: [x for f in sorted((tmp_path / "p" / part).glob("part-*")) for x in f.read_text().splitlines()]
+    tensors, names = [float(x.split("\t")[0]) for x in lines("tensors")], [x.split("\t") for x in lines("metadata") if not x.startswith("id\t")]
+    assert [f"n{int(t)}" for t in tensors] == [n for _, n in names] and [i for i, _ in names] == sorted(i for i, _ in names)
+
+
+@pytest.mark.parametrize(("val", "test"), [(-0.1, 0.1), (0.5, 0.5), (0.1, 1.0), (1.2, 0.0)])
+def test_ratios_must_leave_room(spark, val, test):
+    from dendrospark.operators import curate
+
+    with pytest.raises(ValueError, match="leave room"):
+        curate.split(spark.range(3), "id", None, val, test)
