@@ -57,7 +57,7 @@ WIDTH = 5
 GROUPS = 64
 BUCKETS = 1 << 18
 CHUNK = 512
-HOT = 1 << 16
+HOT = 1 << 16  # rows of a shard that one task takes at any rate; see tasks_of
 LOWS = 8
 LEAF = 32
 BROADCAST_ROWS = 1_000_000
@@ -180,13 +180,23 @@ def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield counts_row(total)
 
 
+def tasks_of(counts: np.ndarray) -> np.ndarray:
+    """Tasks that the shards of each bucket are dealt to: one, but for buckets with more than ``HOT`` shingles that also have more than four times the mean.
+
+    Many shards share a bucket once the table is large, and none is hot for that. A
+    shard dealt to one task has at most four buckets' share of the table's rows.
+    """
+    most = max(HOT, int(np.ceil(4 * counts.mean())))
+    return np.maximum(1, -(-counts // most))
+
+
 def postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     """(key, salt, doc_id, place) for each shard a document goes to; place is 2^32 times the set's size and the shingle's place in the order; salt is above 0 for shards that are dealt to several tasks."""
     mean = counts.mean()
-    shared = docs.sparkSession.sparkContext.broadcast((counts, int(mean + 6 * np.sqrt(mean) + 8)))  # BUCKETS numbers at any scale
+    shared = docs.sparkSession.sparkContext.broadcast((counts, int(mean + 6 * np.sqrt(mean) + 8), tasks_of(counts)))  # BUCKETS numbers at any scale
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, crowded = shared.value
+        table, crowded, dealt = shared.value
         for batch in slices(batches, 1):
             sets, _ = shingles(*text_bytes(batch.column(1)))
             ks = [keys(s, table, crowded) if len(s) else s for s in sets]
@@ -195,7 +205,7 @@ def postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
             if sum(size):
                 key, doc = np.concatenate(ks), np.repeat(ids, size)
                 place = np.repeat([len(s) for s in sets], size) << 32 | np.concatenate([np.arange(k) for k in size])
-                tasks = -(-table[bucket(key)] // HOT)
+                tasks = dealt[bucket(key)]
                 salt = np.where(tasks > 1, 1 + (mixed(doc.view(np.uint64)) % np.maximum(tasks, 1).astype(np.uint64)).astype(np.int64), 0)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(doc), pa.array(place)], names=["key", "salt", "doc_id", "place"])
 

@@ -8,7 +8,7 @@ import os
 import numpy as np
 import pytest
 
-from dendrospark.llm import components, embed_dups, warc
+from dendrospark.llm import components, embed_dups, shingle_join, warc
 
 
 def test_components(spark):
@@ -88,6 +88,16 @@ def test_windows_reach_over_the_edges_of_partitions(spark):
             spark.conf.set(k, x)
 
 
+def test_shards_are_dealt_out_by_their_excess_at_any_scale():
+    rng = np.random.default_rng(3)
+    for mean in (10, 10**3, 10**6, 10**9):
+        counts = rng.poisson(mean, shingle_join.BUCKETS)
+        assert (shingle_join.tasks_of(counts) == 1).all()
+        counts[7] = 40 * max(mean, shingle_join.HOT)
+        tasks = shingle_join.tasks_of(counts)
+        assert 9 <= tasks[7] <= 40 and (np.delete(tasks, 7) == 1).all()
+
+
 def partners(n, dim, background, seed=1):
     """Unit vectors that share a direction: the second half are partners of the first at cosine 0.9001, all other pairs have the background's cosine."""
     rng = np.random.default_rng(seed)
