@@ -334,6 +334,22 @@ def junctions(nodes: DataFrame) -> DataFrame:
     return rows.where((F.col("parent") == -1) | (F.coalesce("n", F.lit(0)) != 1)).select(*nodes.columns)
 
 
+KINDS = ("root", "soma", "axon", "dendrite", "branch_point", "terminal")
+
+
+def of_kind(nodes: DataFrame, *kinds: str) -> DataFrame:
+    """Nodes with ``kind``, once for each of the kinds (all of KINDS by default) that they are of; a node without children is a terminal, one with several a branch point."""
+    unknown = set(kinds) - set(KINDS)
+    if unknown:
+        raise ValueError(f"unknown kinds: {sorted(unknown)}")
+    kids = nodes.where("parent <> -1").groupBy("neuron_id", F.col("parent").alias("idx")).agg(F.count("*").alias("__n"))
+    rows = nodes.join(kids, ["neuron_id", "idx"], "left").withColumn("__n", F.coalesce("__n", F.lit(0)))
+    t = F.col("type_id")
+    tests = {"root": F.col("parent") == -1, "soma": is_soma(t), "axon": is_axon(t), "dendrite": is_dendrite(t), "branch_point": F.col("__n") > 1, "terminal": F.col("__n") == 0}
+    named = F.array_compact(F.array(*[F.when(tests[k], k) for k in kinds or KINDS]))
+    return rows.withColumn("kind", F.explode(named)).select(*nodes.columns, "kind")
+
+
 def subtree(nodes: DataFrame, start: DataFrame) -> DataFrame:
     """(neuron_id, start, idx): the nodes at and below each start node (neuron_id, idx)."""
     anc = ancestors(nodes, nodes.join(start.select("neuron_id").distinct(), "neuron_id", "left_semi"))

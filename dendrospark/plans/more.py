@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import curate, evaluate, match, vectors, views
-from ..sources import files, swc, tables
+from ..operators import curate, evaluate, match, topology, vectors, views
+from ..sources import files, lines, swc, tables
 from . import fixtures as fx
-from .catalog import _EIGEN, _SIM, _V, _ZERO, NODES, SQL, new_folder, query, r, ranked, zero_shot
+from .catalog import _EIGEN, _V, _ZERO, NODES, SQL, new_folder, query, r, ranked, zero_shot
 from .fixtures import rounded
 
 
@@ -225,3 +226,32 @@ def _(spark, d):
     by_specimen = p.where("p_partkey % 3 = 0").select(F.col("p_partkey").cast("string").alias("cell_specimen_id"), "p_brand")
     by_file = p.where("p_partkey % 2 = 0").select(name.alias("filename"), "p_size")
     return tables.with_specimen_metadata(p.select("p_partkey", name.alias("swc")), by_specimen, by_file).select("p_partkey", F.col("specimen.p_brand").alias("brand"), F.col("file_fields.p_size").alias("size"))
+
+
+def whole_lines(spark, folder, skip=0):
+    """Lines of a folder's files, in the order of the files, numbered through; the first ``skip`` lines of each are left out."""
+    rows = lines.numbered_lines(spark, folder, "part-*").where(F.col("line_no") > skip)
+    sizes = rows.groupBy("path").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a file
+    return rows.join(sizes.select("path", before.alias("before")), "path").select((F.col("before") + F.col("line_no") - skip).alias("line"), "value")
+
+
+@query("K4_projector", f"WITH v AS ({fx.VIEWS}) SELECT view_id, CASE WHEN view_id % 3 = 0 THEN '' ELSE concat('n', label) END AS name, {r('vec[1]', 'x', 4)}, (SELECT count(*) FROM v) AS n, 64 AS d FROM v")
+def _(spark, d):
+    folder, v = new_folder(spark, "projector"), fx.views(spark, d)
+    names = v.where("view_id % 3 <> 0").select("view_id", F.concat(F.lit("n"), F.col("label").cast("string")).alias("name"))
+    tables.write_projector(v.select("view_id", "vec"), names, "view_id", folder, ["name"])
+    shape = F.from_json("value", "embeddings array<struct<tensorShape: array<bigint>>>")["embeddings"][0]["tensorShape"]
+    config = spark.read.text(f"{folder}/config").select(shape[0].alias("n"), shape[1].cast("int").alias("d"))
+    # Every file of metadata begins with a header line, which tensors have not.
+    meta = whole_lines(spark, f"{folder}/metadata", 1).select("line", F.split("value", "\t").alias("m"))
+    tensors = whole_lines(spark, f"{folder}/tensors").select("line", F.split("value", "\t")[0].cast("double").alias("x"))
+    rows = meta.join(tensors, "line").crossJoin(F.broadcast(config))
+    return rounded(rows.select(F.col("m")[0].cast("long").alias("view_id"), F.replace(F.col("m")[1], F.lit('""'), F.lit("")).alias("name"), "x", "n", "d"), "x", places=4)
+
+
+@query("P3_node_lists", f"""WITH {NODES.replace(fx.NODES, fx.ODD)}, k AS (SELECT neuron_id, parent AS idx, count(*) AS n FROM nodes WHERE parent <> -1 GROUP BY 1, 2), j AS (SELECT nodes.*, coalesce(n, 0) AS n FROM nodes LEFT JOIN k USING (neuron_id, idx))
+ SELECT neuron_id, idx, 'root' AS kind FROM j WHERE parent = -1 UNION ALL SELECT neuron_id, idx, 'soma' FROM j WHERE type_id = 1 UNION ALL SELECT neuron_id, idx, 'axon' FROM j WHERE type_id = 2 UNION ALL SELECT neuron_id, idx, 'dendrite' FROM j WHERE type_id IN (3, 4)
+ UNION ALL SELECT neuron_id, idx, 'branch_point' FROM j WHERE n > 1 UNION ALL SELECT neuron_id, idx, 'terminal' FROM j WHERE n = 0""")
+def _(spark, d):
+    return topology.of_kind(fx.odd(spark, d)).select("neuron_id", "idx", "kind")
