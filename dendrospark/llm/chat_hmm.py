@@ -8,15 +8,20 @@ line of a turn or a line that goes on. Transitions and emission tables are count
 Spark over labelled lines, smoothed, and small; Viterbi decoding finds the best
 path, from which turns are cut and rendered in one canonical form.
 
-Transcripts are decoded in parts of at most ``PART`` turns, so a conversation of any
-length is spread over tasks, and still along the one best path of the whole. For
-conversations of several parts each part first gives a table of its best scores
-from every state before it to every last state; these small tables, in order,
-tell the states at the edges of the parts, between which each is then decoded.
+Transcripts are decoded in parts of ``PART`` lines, wherever turns begin, so a
+conversation of any length is spread over tasks, and still along the one best path of
+the whole. For conversations of several parts each part first gives a table of its
+best scores from every state before it to every last state; these small tables, in
+order, tell the states at the edges of the parts, between which each is then decoded.
+Lines by which a part goes on with a turn of a part before it are given back to that
+turn, so renderings hold whole turns, and those of a conversation's parts in order
+are the rendering of the whole. A conversation of up to ``PART`` lines has one.
 
 Input rows with a null conv_id or turn are left out, and rows that repeat another
-in full count once. Roles other than the three are no states: their turns are
-not learned from and come back as one of the three.
+in full count once. Turn numbers only order a conversation: negative, missing and
+repeated ones are fine, turns of one number follow by role, then text. Roles other
+than the three are no states: their turns are not learned from and come back as one
+of the three. Null text is empty, an empty table has no rows.
 """
 
 from __future__ import annotations
@@ -27,14 +32,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import mapped, slices, written
 
 ROLES = ("system", "user", "assistant")
 STATES = [(role, first) for role in ROLES for first in (True, False)]
-PART = 1024
+PART = 1024  # lines decoded at a time
+BLOCK = 1024  # turn numbers whose lines are counted together
 SAMPLE = 20_000
 # Speaker markers of common transcript styles, by role.
 MARKERS = {
@@ -126,19 +132,26 @@ class Hmm:
         return out[::-1]
 
 
-def turns(text: str, model: Hmm, before: int | None = None, last: int | None = None) -> list[tuple[str, str]]:
-    """(role, text) of a transcript's turns, markers removed."""
+def pieces(text: str, model: Hmm, before: int | None = None, last: int | None = None) -> tuple[str | None, list[tuple[str, int, str]]]:
+    """The text that goes on with the turn before, if any, and (role, line, text) of the turns that begin; markers are removed."""
     lines = text.split("\n")
-    out: list[list] = []
-    for line, state in zip(lines, model.path([observed(x) for x in lines], before, last), strict=True):
+    role_before = None if before is None else STATES[before][0]
+    head: list[str] = []
+    out: list[tuple[str, int, list[str]]] = []
+    for k, (line, state) in enumerate(zip(lines, model.path([observed(x) for x in lines], before, last), strict=True)):
         role, first = STATES[state]
         marked, at = marker(line)
         body = line[at:] if marked == role else line
-        if first or not out or out[-1][0] != role:
-            out.append([role, [body]])
+        if first or role != (out[-1][0] if out else role_before):
+            out.append((role, k, [body]))
         else:
-            out[-1][1].append(body)
-    return [(role, "\n".join(body).strip()) for role, body in out]
+            (out[-1][2] if out else head).append(body)
+    return "\n".join(head) if head else None, [(role, k, "\n".join(body)) for role, k, body in out]
+
+
+def turns(text: str, model: Hmm) -> list[tuple[str, str]]:
+    """(role, text) of a whole transcript's turns, markers removed."""
+    return [(role, body.strip()) for role, _, body in pieces(text, model)[1]]
 
 
 def render(pairs: list[tuple[str, str]]) -> str:
@@ -146,19 +159,29 @@ def render(pairs: list[tuple[str, str]]) -> str:
 
 
 def transcripts(conversations: DataFrame) -> DataFrame:
-    """(conv_id, part, roles, text): plain transcripts of labelled turns, to be parsed again.
+    """(conv_id, part, roles, begins, lines, text): plain transcripts of labelled turns, to be parsed again.
 
     A conversation's style and which of its later turns lost their marker come
-    from hashes of its id and the turn. Groups are parts of ``PART`` turn numbers.
+    from hashes of its id and the turn. A part is ``PART`` lines of the transcript;
+    ``begins`` tells a turn that begins in it from the rest of one that began before.
+    Lines are numbered from sums over ``BLOCK`` turn numbers and the order inside each.
     """
     c = conversations.selectExpr("cast(conv_id as bigint) conv_id", "cast(turn as bigint) turn", "role", "coalesce(text, '') text").where("conv_id is not null and turn is not null").distinct()
     style = F.pmod(F.xxhash64("conv_id"), F.lit(len(STYLES)))
     name = F.initcap(F.coalesce("role", F.lit("user")))
     text = F.coalesce(*[F.when(style == k, F.concat(*[{"0": name, "1": F.col("text")}.get(p, F.lit(p)) if p in ("0", "1") else F.lit(p) for p in re.split(r"\{([01])\}", s) if p])) for k, s in enumerate(STYLES)])
     bare = (F.pmod(F.xxhash64("conv_id", "turn"), F.lit(6)) == 0) & (F.col("turn") > 0)
-    rows = c.select("conv_id", F.floor(F.col("turn") / PART).alias("part"), F.struct("turn", F.col("role"), F.when(bare, F.col("text")).otherwise(text).alias("text")).alias("t"))
-    group = rows.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list("t")).alias("t"))
-    return group.select("conv_id", "part", F.col("t.role").alias("roles"), F.array_join("t.text", "\n").alias("text"), F.transform("t", lambda x: F.size(F.split(x["text"], "\n"))).alias("lines"))
+    rows = c.select("conv_id", F.floor(F.col("turn") / BLOCK).alias("block"), "turn", "role", F.when(bare, F.col("text")).otherwise(text).alias("text")).withColumn("n", F.size(F.split("text", "\n")).cast("long"))
+    before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("conv_id", "block").agg(F.sum("n").alias("n")).select("conv_id", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    at = rows.withColumn("at", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(blocks, ["conv_id", "block"]).withColumn("at", F.col("at") + F.col("offset"))
+    cut = at.select("conv_id", "role", "text", "at", "n", F.explode_outer(F.expr(f"sequence(at div {PART}, (at + n - 1) div {PART})")).alias("part"))
+    lo, hi = F.greatest("at", F.col("part") * PART), F.least(F.col("at") + F.col("n"), (F.col("part") + 1) * PART)
+    some = F.array_join(F.slice(F.split("text", "\n"), (lo - F.col("at") + 1).cast("int"), (hi - lo).cast("int")), "\n")
+    piece = F.struct(lo.alias("lo"), (lo == F.col("at")).alias("begins"), "role", (hi - lo).alias("n"), F.when(hi - lo == F.col("n"), F.col("text")).otherwise(some).alias("text"))
+    group = cut.select("conv_id", "part", piece.alias("t")).groupBy("conv_id", "part").agg(F.sort_array(F.collect_list("t")).alias("t"))
+    return group.select("conv_id", "part", F.col("t.role").alias("roles"), F.col("t.begins").alias("begins"), F.col("t.n").alias("lines"), F.array_join("t.text", "\n").alias("text"))
 
 
 def held_out():
@@ -170,13 +193,13 @@ def learn(parts: DataFrame, sample: int = SAMPLE) -> Hmm:
     some = parts.where(~held_out()).orderBy(F.xxhash64("conv_id", F.lit(5)), "conv_id", "part").limit(sample)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2):
+        for batch in slices(batches, 1):
             seen: dict[tuple[str, int, int, int], int] = {}
-            for roles, text, lines in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for part, text, roles, begins, lines in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if any(r not in ROLES for r in roles):
                     continue
-                states = [STATES.index((r, k == 0)) for r, n in zip(roles, lines, strict=True) for k in range(n)]
-                keys = [("s", states[0], 0, 0), *[("t", a, b, 0) for a, b in zip(states, states[1:], strict=False)]]
+                states = [STATES.index((r, b and k == 0)) for r, b, n in zip(roles, begins, lines, strict=True) for k in range(n)]
+                keys = [*[("s", states[0], 0, 0)][part:], *[("t", a, b, 0) for a, b in zip(states, states[1:], strict=False)]]
                 keys += [("e", s, f, v) for s, line in zip(states, text.split("\n"), strict=True) for f, v in enumerate(observed(line))]
                 for k in keys:
                     seen[k] = seen.get(k, 0) + 1
@@ -184,7 +207,7 @@ def learn(parts: DataFrame, sample: int = SAMPLE) -> Hmm:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["what", "x", "y", "z", "n"])
 
-    counts = mapped(some.select("conv_id", "roles", "text", "lines"), count, "what string, x long, y long, z long, n long").groupBy("what", "x", "y", "z").agg(F.sum("n").alias("n")).collect()
+    counts = mapped(some.select("part", "text", "roles", "begins", "lines"), count, "what string, x long, y long, z long, n long").groupBy("what", "x", "y", "z").agg(F.sum("n").alias("n")).collect()
     by = lambda what: [(r["x"], r["y"], r["z"], float(r["n"])) for r in counts if r["what"] == what]
     return Hmm({(x, y): n for x, y, _, n in by("t")}, {(x, y, z): n for x, y, z, n in by("e")}, {x: n for x, _, _, n in by("s")})
 
@@ -218,28 +241,48 @@ def edges(parts: DataFrame, shared) -> DataFrame:
 
 
 def format_chats(parts: DataFrame, model: Hmm) -> DataFrame:
-    """Per row of ``parts`` (conv_id, part, text): the turns found and their canonical rendering.
+    """Per row of ``parts`` (conv_id, part, text): the turns that begin in it, whole, and their canonical rendering.
 
-    Null text is one empty turn; very long parts are decoded whole, line by line.
+    Null text is one empty turn where the transcript begins, else an empty line. A part
+    that begins no turn has an empty rendering; the last turn before it has its text.
+    Very long lines are decoded whole. One turn is one value, however many parts it spans.
     """
     shared = parts.sparkSession.sparkContext.broadcast(model)
-    rows = parts.select("conv_id", "part", "text").join(edges(parts, shared), ["conv_id", "part"], "left")
+    edge = written(edges(parts, shared), "chat-edges")
+    rows = parts.select("conv_id", "part", "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2):
-            got = [turns(t or "", shared.value, a, b) for t, a, b in zip(*[c.to_pylist() for c in batch.columns[2:5]], strict=True)]
-            text = [render(g) for g in got]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], pa.array([[r for r, _ in g] for g in got], pa.list_(pa.string())), pa.array(text), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in text])],
-                names=["conv_id", "part", "found_roles", "rendered", "rendered_sha256"],
-            )
-
-    return mapped(rows.select("conv_id", "part", "text", "before", "last"), run, "conv_id long, part long, found_roles array<string>, rendered string, rendered_sha256 string")
+            got = [pieces(t or "", shared.value, a, b) for t, a, b in zip(*[c.to_pylist() for c in batch.columns[2:5]], strict=True)]
+            columns = [pa.array([[x[k] for x in new] for _, new in got], pa.list_(kind)) for k, kind in ((0, pa.string()), (1, pa.int32()), (2, pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns, pa.array([head for head, _ in got], pa.string())], names=["conv_id", "part", "found_roles", "starts", "texts", "head"])
+
+    def rendering(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for roles, texts, tail in zip(*[c.to_pylist() for c in batch.columns[3:6]], strict=True):
+                if tail is not None:
+                    texts[-1] += "\n" + tail
+                out.append(render([(role, text.strip()) for role, text in zip(roles, texts, strict=True)]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], batch.column(3), batch.column(2), pa.array(out, pa.string()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in out], pa.string())], names=["conv_id", "part", "found_roles", "starts", "rendered", "rendered_sha256"])
+
+    schema = "conv_id long, part long, found_roles array<string>, starts array<int>, texts array<string>, head string"
+    none = F.lit(None).cast("int")
+    alone = mapped(rows.join(edge, ["conv_id", "part"], "left_anti").select("*", none.alias("before"), none.alias("last")), decode, schema)
+    several = written(mapped(rows.join(edge, ["conv_id", "part"]).select("conv_id", "part", "text", "before", "last"), decode, schema), "chat-parts")
+    earlier = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    owners = several.select("conv_id", "part", F.last(F.when(F.size("starts") > 0, F.col("part")), ignorenulls=True).over(earlier).alias("owner"))
+    heads = several.where("head is not null").select("conv_id", "part", "head").join(owners, ["conv_id", "part"])
+    tails = heads.groupBy("conv_id", F.col("owner").alias("part")).agg(F.array_join(F.sort_array(F.collect_list(F.struct("part", "head")))["head"], "\n").alias("tail"))
+    all_turns = alone.withColumn("tail", F.lit(None).cast("string")).unionByName(several.join(tails, ["conv_id", "part"], "left"))
+    return mapped(all_turns.select("conv_id", "part", "starts", "found_roles", "texts", "tail"), rendering, "conv_id long, part long, found_roles array<string>, starts array<int>, rendered string, rendered_sha256 string")
 
 
 def recovered(conversations: DataFrame) -> DataFrame:
-    """Per conversation part: turns written and found, whether all roles came back, whether its id is held out from learning, the rendering."""
+    """Per conversation (of more than ``PART`` lines, per part in which turns begin): turns written and found, whether all roles came back, whether its id is held out from learning, the rendering."""
     parts = written(transcripts(conversations), "transcripts")
     found = format_chats(parts, learn(parts))
-    both = parts.select("conv_id", "part", "roles").join(found, ["conv_id", "part"])
-    return both.select("conv_id", "part", F.size("roles").alias("n_turns"), F.size("found_roles").alias("n_found"), (F.col("roles") == F.col("found_roles")).alias("same_roles"), held_out().alias("held_out"), "rendered", "rendered_sha256")
+    roles = F.transform(F.filter(F.arrays_zip("roles", "begins"), lambda x: x["begins"]), lambda x: x["roles"])
+    both = parts.select("conv_id", "part", roles.alias("roles")).join(found, ["conv_id", "part"])
+    same = F.col("roles") == F.col("found_roles")
+    return both.select("conv_id", "part", F.size("roles").alias("n_turns"), F.size("found_roles").alias("n_found"), same.alias("same_roles"), held_out().alias("held_out"), "rendered", "rendered_sha256").where("n_turns > 0 or n_found > 0")

@@ -279,6 +279,39 @@ def test_parts_are_decoded_along_the_path_of_the_whole(spark):
     assert chat_hmm.format_chats(df, model).count() == len(rows)
 
 
+def test_turns_over_the_edges_of_parts_are_whole(spark, monkeypatch):
+    rng = random.Random(8)
+    model = chat_hmm.Hmm({(0, 2): 5.3, (2, 4): 30.7, (4, 2): 31.1, (2, 3): 20.9, (4, 5): 43.3, (3, 3): 17.1, (5, 5): 60.1, (3, 4): 9.7, (5, 2): 8.9}, {(2, 1, 4): 30.1, (4, 2, 2): 20.3, (5, 1, 5): 25.7}, {2: 5.9})
+    lines = ["what is this?", "it is so", "- a", "and a much longer line that goes on for a while, as answers do", "", "  well? ", "> quoted"]
+    rows = [(c, t - 3, "user" if t % 2 == 0 else "assistant", "\n".join(rng.choice(lines) for _ in range(rng.choice([1, 1, 2, 5, 40])))) for c in range(12) for t in range(1 + 3 * c)]
+    rows += [(50, 7, "user", "same number"), (50, 7, "assistant", "twice"), (51, 0, None, None)]
+    frame_ = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    ways = []
+    for part, block in ((100_000, 1024), (9, 4)):
+        monkeypatch.setattr(chat_hmm, "PART", part)
+        monkeypatch.setattr(chat_hmm, "BLOCK", block)
+        cut = chat_hmm.transcripts(frame_)
+        whole, turns, text = {}, {}, {}
+        for r in sorted(cut.collect(), key=lambda r: (r.conv_id, r.part)):
+            assert sum(r.lines) == len(r.text.split("\n")) <= part
+            whole.setdefault(r.conv_id, []).append(r.text)
+            turns[r.conv_id] = turns.get(r.conv_id, 0) + sum(r.begins)
+        for r in sorted(chat_hmm.format_chats(cut, model).collect(), key=lambda r: (r.conv_id, r.part)):
+            text[r.conv_id] = text.get(r.conv_id, "") + r.rendered
+            assert len(r.starts) == len(r.found_roles) == r.rendered.count("<|end|>")
+        ways.append(({c: "\n".join(t) for c, t in whole.items()}, turns, text))
+    assert ways[0] == ways[1]
+    assert ways[0][1] == {c: 1 + 3 * c for c in range(12)} | {50: 2, 51: 1}
+    assert ways[0][2] == {c: chat_hmm.render(chat_hmm.turns(t, model)) for c, t in ways[0][0].items()}
+
+
+def test_a_long_conversation_is_not_cut_in_turns(spark):
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"what is {t}?" if t % 2 == 0 else f"It is number {t}.\nAnd more.") for c in (1, 2, 3, 4, 5, 6) for t in range(1030 if c == 1 else 6)]
+    got = chat_hmm.recovered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sum(r.n_turns for r in got if r.conv_id == 1) == 1030 and sorted(r.part for r in got) == [0] * 6 + [1]
+    assert all(r.rendered.count("<|end|>") == r.n_found for r in got)
+
+
 def test_chat_rows_that_name_no_turn_are_left_out(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (None, 0, "user", "x"), (2, None, "user", "y"), (3, 0, "tool", "z" * 300_000)]
     got = {r.conv_id: r for r in chat_hmm.recovered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
