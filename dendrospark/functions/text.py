@@ -126,10 +126,20 @@ def template_text(template: str, fields: dict[str, Column]) -> Column:
     return reduce(lambda text, kv: F.replace(text, F.lit("{" + kv[0] + "}"), F.coalesce(kv[1].cast("string"), F.lit(""))), fields.items(), F.lit(template))
 
 
+def lot(*parts: Column) -> Column:
+    """A hash of the parts, as hexadecimal digits that SQL elsewhere can replay."""
+    return F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]).cast("binary"))
+
+
+def chance(*parts: Column) -> Column:
+    """A number in [0, 1) drawn by the parts' hash."""
+    return F.conv(F.left(lot(*parts), F.lit(8)), 16, 10).cast("bigint") / 2**32
+
+
 def augmented(text: Column, key: Column, seed: int = 0) -> Column:
     """One of four phrasings, by hash."""
     forms = F.array(text, F.lower(text), F.concat(F.lit("a "), text), F.concat(F.lit("morphology of "), text))
-    return F.element_at(forms, F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(4)).cast("int") + 1)
+    return F.element_at(forms, F.floor(chance(key, F.lit(seed)) * 4).cast("int") + 1)
 
 
 def broad(p: Parts) -> Column:
@@ -157,23 +167,23 @@ def facts(length: Column, n_bifs: Column, n_stems: Column, width: Column, height
 
 def some(items: Column, n: Column, key: Column) -> Column:
     """Up to ``n`` items in hash order; which ones depends on the key only."""
-    ranked = F.array_sort(F.transform(items, lambda x: F.struct(F.xxhash64(key, x).alias("h"), x.alias("x"))))
+    ranked = F.array_sort(F.transform(items, lambda x: F.struct(lot(key, x).alias("h"), x.alias("x"))))
     return F.transform(F.slice(ranked, F.lit(1), F.least(n, F.size(items))), lambda r: r["x"])
 
 
 def morphometric(p: Parts, fact_list: Column, key: Column) -> Column:
-    n = F.pmod(F.xxhash64(key, F.lit("facts")), F.lit(2)).cast("int") + 2
+    n = F.floor(chance(key, F.lit("facts")) * 2).cast("int") + 2
     return F.concat_ws(", ", standard(p), F.nullif(F.array_join(some(fact_list, n, key), ", "), F.lit("")))
 
 
 def detailed(p: Parts, adjectives: Column, key: Column) -> Column:
-    n = F.pmod(F.xxhash64(key, F.lit("adjectives")), F.lit(2)).cast("int") + 1
+    n = F.floor(chance(key, F.lit("adjectives")) * 2).cast("int") + 1
     return standard(p, F.nullif(F.array_join(some(adjectives, n, key), ", "), F.lit("")))
 
 
 def level(key: Column, seed: int = 0) -> Column:
     """A detail level by hash, with the levels' weights."""
-    u = F.pmod(F.xxhash64(key, F.lit(f"level{seed}")), F.lit(10_000)) / 10_000
+    u = chance(key, F.lit(f"level{seed}"))
     out, at = None, 0.0
     for name, weight in LEVELS[:-1]:
         at += weight

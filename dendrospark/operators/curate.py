@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import lot
+
 # Bin names, their measure, labels and percentiles.
 BINS = {
     "size": ("length", ["small", "medium", "large", "very large", "extremely large"], [20, 40, 60, 80]),
@@ -78,7 +80,7 @@ def split(df: DataFrame, key: str, strata: str | None, val: float, test: float,
 
     if not 0 <= val < 1 or not 0 <= test < 1 or val + test >= 1:
         raise ValueError("ratios must be in [0, 1) and leave room for train")
-    h = F.xxhash64(F.col(key).cast("string"), F.lit(seed))
+    h = lot(F.col(key), F.lit(seed))
     if strata:
         keys = numbered(df.groupBy(key).agg(F.min(strata).alias(strata)).withColumn("__h", h), [strata, "__h", key])
         each = keys.groupBy(F.col(strata).alias("__s")).agg(F.min("row_no").alias("__0"), F.count("*").alias("__n"))

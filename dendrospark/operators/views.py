@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import lot
 from .topology import branches, topology
 
 GOLDEN = math.pi * (3 - math.sqrt(5))
@@ -221,7 +222,7 @@ def sample_poses(views: DataFrame, n: int, group: str = "neuron_id", order: str
     """``n`` views per neuron without replacement, by hash; or the first; or all."""
     if how == "all":
         return views
-    key = F.xxhash64(F.col(group), F.col(order), F.lit(seed)) if how == "random" else F.col(order)
+    key = lot(F.col(group), F.col(order), F.lit(seed)) if how == "random" else F.col(order)
     w = Window.partitionBy(group).orderBy(key, order)
     return views.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= (n if how == "random" else 1)).drop("__r")
 

@@ -375,7 +375,7 @@ def _(spark, d):
     return curate.split(fx.meta(spark, d), "neuron_id", "archive", 0.1, 0.1).groupBy("archive", "split").agg(F.count("*").alias("n"))
 
 
-@query("W2_split")
+@query("W2_split", f"WITH {_META}, n AS (SELECT neuron_id, archive, row_number() OVER (PARTITION BY archive ORDER BY md5(concat_ws('|', neuron_id, 42)), neuron_id) - 1 AS r, CAST(floor(count(*) OVER (PARTITION BY archive) * 0.1) AS BIGINT) AS tenth FROM m) SELECT neuron_id, archive, CASE WHEN r < tenth THEN 'test' WHEN r < 2 * tenth THEN 'val' ELSE 'train' END AS split FROM n")
 def _(spark, d):
     return curate.split(fx.meta(spark, d), "neuron_id", "archive", 0.1, 0.1)
 
@@ -549,7 +549,25 @@ def _(spark, d):
     return fx.meta(spark, d).select("neuron_id", tx.broad(p).alias("broad"), tx.standard(p).alias("standard"))
 
 
-@query("F9_multilevel_texts")
+def _chance(parts):
+    """SQL of a number in [0, 1) drawn by a hash of the parts."""
+    return f"CAST('0x' || left(md5(concat_ws('|', {parts})), 8) AS BIGINT) / 4294967296.0"
+
+
+@query("F8_augmented", f"SELECT p_partkey, [p_name, lower(p_name), 'a ' || p_name, 'morphology of ' || p_name][CAST(floor(4 * {_chance('p_partkey, 3')}) AS INT) + 1] AS phrase FROM part")
+def _(spark, d):
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", tx.augmented(F.col("p_name"), F.col("p_partkey"), 3).alias("phrase"))
+
+
+@query(
+    "F9_multilevel_texts",
+    f"""WITH {_META}, f AS (SELECT *, concat(species, ' ', archive, ' neuron from hippocampus') AS s, concat(CASE WHEN left(archive, 1) IN ('a', 'e', 'i', 'o', 'u') THEN 'an ' ELSE 'a ' END, archive, ' neuron from hippocampus') AS old,
+ concat_ws(' ', CASE WHEN length <= 500 THEN 'small' WHEN length <= 2000 THEN 'medium' WHEN length > 2000 THEN 'large' END, s) AS sized, {_chance("neuron_id, 'level0'")} AS u, CAST(floor(2 * {_chance("neuron_id, 'facts'")}) AS INT) + 2 AS wanted,
+ [x FOR x IN [CAST(round_even(length, 0) AS BIGINT) || ' um total length', CAST(quality AS BIGINT) || ' bifurcations', CAST(toxic AS BIGINT) || ' stems', CAST(round_even(length / 3, 0) AS BIGINT) || ' x ' || CAST(round_even(length / 7, 0) AS BIGINT) || ' um span'] IF x IS NOT NULL] AS facts FROM m),
+ o AS (SELECT *, list_sort([md5(concat_ws('|', neuron_id, x)) || x FOR x IN facts])[:wanted] AS drawn FROM f),
+ a AS (SELECT *, CASE WHEN lower(left(s, 1)) IN ('a', 'e', 'i', 'o', 'u') THEN 'an ' ELSE 'a ' END || s AS standard, CASE WHEN lower(left(sized, 1)) IN ('a', 'e', 'i', 'o', 'u') THEN 'an ' ELSE 'a ' END || sized AS detailed FROM o)
+ SELECT neuron_id, CASE WHEN u < 0.1 THEN 'broad' WHEN u < 0.4 THEN 'standard' WHEN u < 0.8 THEN 'detailed' ELSE 'morphometric' END AS level, detailed, array_to_string(list_concat([standard], [x[33:] FOR x IN drawn]), ', ') AS morphometric, [old, lower(old), 'a ' || old, 'morphology of ' || old][CAST(floor(4 * {_chance('neuron_id, 0')}) AS INT) + 1] AS legacy FROM a""",
+)
 def _(spark, d):
     key = F.col("neuron_id")
     p = tx.archive_parts(F.col("species"), F.array("archive"), F.array(F.lit("Hippocampus")))
@@ -788,7 +806,7 @@ def _(spark, d):
     return views.sample_poses(fx.views(spark, d), 1, how="first").select("neuron_id", "view_id")
 
 
-@query("W4_pose_sample")
+@query("W4_pose_sample", f"WITH v AS ({fx.VIEWS}), n AS (SELECT neuron_id, view_id, row_number() OVER (PARTITION BY neuron_id ORDER BY md5(concat_ws('|', neuron_id, view_id, 0)), view_id) AS r FROM v) SELECT neuron_id, view_id FROM n WHERE r <= 2")
 def _(spark, d):
     return views.sample_poses(fx.views(spark, d), 2).select("neuron_id", "view_id")
 

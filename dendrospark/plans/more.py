@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..operators import curate, evaluate, match, topology, vectors, views
 from ..sources import files, lines, swc, tables
 from . import fixtures as fx
@@ -56,7 +57,7 @@ def _(spark, d):
 @query("W2_split_order", f"WITH m AS ({fx.META}), n AS (SELECT archive, count(*) AS n FROM m GROUP BY 1) SELECT archive, n, true AS ordered, CAST(floor(n * 0.1) AS BIGINT) AS tests FROM n")
 def _(spark, d):
     m = fx.meta(spark, d)
-    s = curate.split(m, "neuron_id", "archive", 0.1, 0.1).withColumn("h", F.xxhash64(F.col("neuron_id").cast("string"), F.lit(42)))
+    s = curate.split(m, "neuron_id", "archive", 0.1, 0.1).withColumn("h", tx.lot(F.col("neuron_id"), F.lit(42)))
     at = lambda f, name: f(F.when(F.col("split") == name, F.col("h")))
     lower = lambda a, b: F.coalesce(at(F.max, a) < at(F.min, b), F.lit(True))
     return s.groupBy("archive").agg(F.count("*").alias("n"), (lower("test", "val") & lower("val", "train") & lower("test", "train")).alias("ordered"), F.count_if(F.col("split") == "test").alias("tests"))
@@ -197,15 +198,15 @@ def _(spark, d):
     nodes = fx.nodes(spark, d)
     ids = nodes.select("neuron_id").distinct()
     headers = ids.select("neuron_id", F.create_map(F.lit("SOURCE"), F.concat(F.lit("n"), (F.col("neuron_id") % 7).cast("string")), F.lit("comment_2"), F.lit("free words")).alias("header"))
-    text = swc.swc_text(nodes, headers).select(F.concat(F.col("neuron_id").cast("string"), F.lit(".swc")).alias("path"), "value")
-    return swc.parse_headers(swc.text_lines(text)).select("neuron_id", F.explode("header").alias("key", "value"))
+    texts = swc.swc_text(nodes, headers).select(F.concat(F.col("neuron_id").cast("string"), F.lit(".swc")).alias("path"), "value")
+    return swc.parse_headers(swc.text_lines(texts)).select("neuron_id", F.explode("header").alias("key", "value"))
 
 
 @query("S3_load_swc", f"WITH n AS ({fx.ODD}) SELECT concat('cell', neuron_id) AS neuron_id, idx, type_id, {r('x')}, {r('radius')}, parent FROM n")
 def _(spark, d):
     folder = new_folder(spark, "swc")
-    text = swc.swc_text(fx.odd(spark, d)).select(F.concat(F.lit("deep/cell"), F.col("neuron_id").cast("string"), F.when(F.col("neuron_id") % 2 == 0, ".swc").otherwise(".SWC")).alias("name"), F.encode("value", "utf-8").alias("content"))
-    files.write_files(text, folder).write.format("noop").mode("overwrite").save()
+    texts = swc.swc_text(fx.odd(spark, d)).select(F.concat(F.lit("deep/cell"), F.col("neuron_id").cast("string"), F.when(F.col("neuron_id") % 2 == 0, ".swc").otherwise(".SWC")).alias("name"), F.encode("value", "utf-8").alias("content"))
+    files.write_files(texts, folder).write.format("noop").mode("overwrite").save()
     nodes, _, _ = swc.load_swc(spark, folder)
     return rounded(nodes.select("neuron_id", "idx", "type_id", "x", "radius", "parent"), "x", "radius")
 
@@ -255,3 +256,67 @@ def _(spark, d):
  UNION ALL SELECT neuron_id, idx, 'branch_point' FROM j WHERE n > 1 UNION ALL SELECT neuron_id, idx, 'terminal' FROM j WHERE n = 0""")
 def _(spark, d):
     return topology.of_kind(fx.odd(spark, d)).select("neuron_id", "idx", "kind")
+
+
+# Found manifests, named collections, the projector's config, the report
+
+
+@query(
+    "S10_manifests",
+    "SELECT 'divided' AS layout, CASE p_partkey % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split, p_partkey FROM part UNION ALL SELECT 'whole', s, p_partkey FROM part, (VALUES ('train'), ('evaluation')) t(s) UNION ALL SELECT 'both', 'evaluation', p_partkey FROM part WHERE p_partkey % 3 = 2",
+)
+def _(spark, d):
+    p, folder = part(spark, d).select("p_partkey"), new_folder(spark, "manifests")
+    for name, rows in (("divided/manifest_train.jsonl", "p_partkey % 3 = 0"), ("divided/val.jsonl", "p_partkey % 3 = 1"), ("divided/manifest_test.json", "p_partkey % 3 = 2"), ("whole/manifest.jsonl", "true"), ("both/manifest_test.jsonl", "p_partkey % 3 = 2"), ("both/manifest.jsonl", "true")):
+        p.where(rows).write.json(f"{folder}/{name}")
+    found = [(layout, split, tables.find_manifests(spark, f"{folder}/{layout}", split)) for layout in ("divided", "whole") for split in ("train", "val", "test")]
+    found += [(layout, "evaluation", tables.evaluator_manifest(spark, f"{folder}/{layout}")) for layout in ("whole", "both")]
+    out = None
+    for layout, split, path in found:
+        if path:
+            rows = spark.read.schema(p.schema).json(path).select(F.lit(layout).alias("layout"), F.lit(split).alias("split"), "p_partkey")
+            out = out.union(rows) if out else rows
+    return out
+
+
+@query(
+    "S19_collections",
+    f"SELECT p_partkey, CASE p_size % 3 {' '.join(f'WHEN {k} THEN {chr(39)}{url}{chr(39)}' for k, (_, _, url) in enumerate(tables.COLLECTIONS))} END AS url FROM part",
+)
+def _(spark, d):
+    keys = F.array(*[F.lit(key) for key, _, _ in tables.COLLECTIONS], F.lit("of no such name"))
+    asked = part(spark, d).select("p_partkey", F.get(keys, F.col("p_size") % 3).alias("key"))
+    return asked.join(F.broadcast(tables.collections(spark)), "key", "left").select("p_partkey", "url")
+
+
+@query("K5_projector_config", "SELECT 'embeddings' AS name, count(*) AS n, max(len(embedding)) AS d, 'tensors' AS tensors, 'metadata' AS metadata FROM embeddings")
+def _(spark, d):
+    folder, v = new_folder(spark, "config"), fx.views(spark, d)
+    tables.write_projector(v.select("view_id", "vec"), v.select("view_id", "label"), "view_id", folder, ["label"])
+    one = "embeddings array<struct<tensorName: string, tensorShape: array<bigint>, tensorPath: string, metadataPath: string>>"
+    e = spark.read.text(f"{folder}/config").select(F.explode(F.from_json("value", one)["embeddings"]).alias("e"))
+    return e.select(F.col("e.tensorName").alias("name"), F.col("e.tensorShape")[0].alias("n"), F.col("e.tensorShape")[1].alias("d"), F.col("e.tensorPath").alias("tensors"), F.col("e.metadataPath").alias("metadata"))
+
+
+_FIGURES = [("retrieval", c, f"(SELECT {c} FROM k)") for c in ("r_at_1", "r_at_5", "r_at_10", "mrr", "median_rank")] + [("lengths", "longest", "(SELECT max(length) FROM m)"), ("lengths", "mean", "(SELECT avg(length) FROM m)"), ("lengths", "unknown", "NULL")]
+_LINES = ["'" + "=" * 70 + "'", "'Evaluation report'", "'" + "=" * 70 + "'"]
+for _section in ("retrieval", "lengths"):
+    _LINES += ["''", f"'[{_section}]'", "'" + "-" * 40 + "'", *[f"'  {name}: ' || coalesce(format('{{:.1f}}', CAST({value} AS DOUBLE)), 'n/a')" for section, name, value in _FIGURES if section == _section]]
+_LINES += ["''", "'" + "=" * 70 + "'"]
+
+
+@query("K10_report", f"WITH m AS ({fx.META}), k AS ({SQL['W1_retrieval']}) SELECT CAST(i - 1 AS INT) AS line, lines[i] AS value FROM (SELECT [{', '.join(_LINES)}] AS lines), range(1, {len(_LINES) + 1}) t(i)")
+def _(spark, d):
+    lengths = fx.meta(spark, d).agg(F.max("length").alias("longest"), F.avg("length").alias("mean"), F.lit(None).cast("double").alias("unknown"))
+    said = evaluate.metrics_text(evaluate.metrics(("retrieval", evaluate.retrieval(ranked(spark, d))), ("lengths", lengths)))
+    return spark.createDataFrame(list(enumerate(said.split("\n"))), "line int, value string")
+
+
+@query("G16_scatter", "SELECT count(embedding) AS n, true AS centred, true AS uncorrelated, true AS ordered, true AS leading FROM embeddings")
+def _(spark, d):
+    v = fx.views(spark, d)
+    x, y = F.col("point")[0], F.col("point")[1]
+    widest = v.select(F.posexplode("vec").alias("i", "x")).groupBy("i").agg(F.var_pop("x").alias("v")).agg(F.max("v").alias("widest"))
+    s = vectors.pca_scatter(v, "view_id", 2).agg(F.count("*").alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"), F.var_pop(x).alias("vx"), F.var_pop(y).alias("vy"), F.covar_pop(x, y).alias("xy"))
+    least = F.col("vx") * 1e-6
+    return s.crossJoin(widest).select("n", (F.abs("mx") + F.abs("my") < least).alias("centred"), (F.abs("xy") < least).alias("uncorrelated"), (F.col("vx") >= F.col("vy")).alias("ordered"), (F.col("vx") >= F.col("widest")).alias("leading"))
