@@ -29,6 +29,7 @@ from .shared import _BYTE, discard, mapped, mixed, powers, slices, text_bytes, w
 REACH = 20
 LONGEST = 512
 LEAST_RUN = 100
+FREQUENT = 4096  # a chunk with more than this share of all occurrences is broadcast
 PAD = 32
 _GEAR = (mixed(_BYTE) >> np.uint64(16)).astype(np.uint32)
 _CHECK = mixed(_BYTE + np.uint64(0x9E3779B97F4A7C15))  # other values for the bytes, for the digests' further bits
@@ -139,6 +140,18 @@ def values(cell: pa.ListScalar) -> np.ndarray:
     return cell.values.to_numpy() if cell.is_valid else np.zeros(0, np.int64)
 
 
+def owned(seen: DataFrame, many: DataFrame, share: int = FREQUENT) -> DataFrame:
+    """The occurrences of chunks in ``many`` (digest, check, owner, n), each with its owner.
+
+    A chunk with more than one in ``share`` of all occurrences, of which there are fewer
+    than ``share``, is looked up where it stands; the others meet by a shuffle.
+    """
+    keys, often = ["digest", "check"], seen.count() / share
+    frequent = F.broadcast(many.where(F.col("n") > often).drop("n"))
+    rest = seen.join(frequent, keys, "left_anti").join(many.where(F.col("n") <= often).drop("n"), keys)
+    return seen.join(frequent, keys).unionByName(rest)
+
+
 def deduplicate(docs: DataFrame, least_run: int = LEAST_RUN, within: bool = False) -> DataFrame:
     """``docs`` with ``text`` freed of repeats, and n_chunks, n_repeated, repeated, removed, removed_chars.
 
@@ -154,10 +167,10 @@ def deduplicate(docs: DataFrame, least_run: int = LEAST_RUN, within: bool = Fals
     names = docs.columns
     known = docs.selectExpr("cast(doc_id as bigint) doc_id", "text").where("doc_id is not null and text is not null")
     seen = written(occurrences(known), "chunks")
-    many = seen.groupBy("digest", "check").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n")).where("n > 1").drop("n")
-    hits = seen.join(many, ["digest", "check"]).groupBy("doc_id").agg(F.collect_set(F.when(F.col("doc_id") > F.col("owner"), F.col("digest"))).alias("__again"), F.collect_set(F.when(F.col("doc_id") == F.col("owner"), F.col("digest"))).alias("__owned"))
+    many = written(seen.groupBy("digest", "check").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n")).where("n > 1"), "repeated-chunks")
+    hits = owned(seen, many).groupBy("doc_id").agg(F.collect_set(F.when(F.col("doc_id") > F.col("owner"), F.col("digest"))).alias("__again"), F.collect_set(F.when(F.col("doc_id") == F.col("owner"), F.col("digest"))).alias("__owned"))
     hits = written(hits, "repeats").withColumnRenamed("doc_id", "__doc")
-    discard(seen)
+    discard(seen, many)
     rows = docs.join(hits, F.col("doc_id") == F.col("__doc"), "left").select(*names, "__again", "__owned")
     extra = {"n_chunks": F.lit(0).cast("long"), "n_repeated": F.lit(0).cast("long"), "repeated": F.lit(""), "removed": F.lit(""), "removed_chars": F.lit(0).cast("long")}
     schema, added = docs.limit(0).withColumns(extra).schema, list(extra)

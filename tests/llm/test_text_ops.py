@@ -308,6 +308,19 @@ def test_exception_phrases():
     assert lex.hits("the trash can") == (0, 0, 3) and lex.hits("you tr4sh")[1] == 1
 
 
+def test_frequent_chunks_find_their_owners(spark):
+    rows = [(k % 7 if k % 3 else 99, k % 5 if k % 3 else 1, k) for k in range(400)]
+    seen = spark.createDataFrame(rows, "digest long, check int, doc_id long")
+    least = {}
+    for d, c, k in rows:
+        least.setdefault((d, c), []).append(k)
+    want = sorted((d, c, k, min(least[d, c])) for d, c, k in rows if len(least[d, c]) > 1)
+    many = spark.createDataFrame([(d, c, min(v), len(v)) for (d, c), v in least.items() if len(v) > 1], "digest long, check int, owner long, n long")
+    for share in (1, 4, 100, 4096):
+        got = cdc.owned(seen, many, share).select("digest", "check", "doc_id", "owner").collect()
+        assert sorted(map(tuple, got)) == want
+
+
 def test_chat_roles(spark):
     rows = []
     for c in range(80):
