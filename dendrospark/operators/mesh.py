@@ -10,6 +10,7 @@ distance, for every branch at a time.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,7 +25,12 @@ MERGED = 1e-8  # a branch whose ends are nearer than this is closed and gets no
 ZERO = 1e-13
 TREES = 4_000  # nodes whose trees are swept together, at least
 RINGS = 20_000  # rings written together
-CLASSES = np.array(["OTHER", "SOMA", "AXON", "BASAL_DENDRITE", "APICAL_DENDRITE"])
+TEXT_BYTES = 4_000_000  # texts passed on together
+CLASSES = pa.array(["OTHER", "SOMA", "AXON", "BASAL_DENDRITE", "APICAL_DENDRITE"])
+FOUR, LEFT = (np.frombuffer(b"".join(str(i).encode().rjust(4, fill) for i in range(10_000)), np.uint32) for fill in (b"0", b"\0"))  # four digits
+EXACT = 4e7  # numbers below it keep eight decimals in a double's integers
+BALLS = 128  # neurons whose spheres are written together
+SPHERES = 1_000  # texts of a sphere's faces that a task remembers
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -90,6 +96,51 @@ def transported_axes(normal: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np
     return tuple(turned(q, a[start]) for a in spherical_axes(normal))
 
 
+def digits(n: np.ndarray, fill: np.ndarray = LEFT) -> np.ndarray:
+    """Whole numbers below 10 ** 16 as rows of bytes, with zero bytes on the left."""
+    if n.max(initial=0) < 10_000:
+        return fill[n].view(np.uint8).reshape(len(n), 4)
+    high, low = np.divmod(n, 10_000)
+    mine = FOUR[low] if fill is FOUR else np.where(high > 0, FOUR[low], LEFT[low])
+    above = digits(high, fill)
+    above[high == 0] = 0
+    return np.concatenate([above, mine.view(np.uint8).reshape(len(n), 4)], 1)
+
+
+def decimals(x: np.ndarray) -> np.ndarray:
+    """Numbers with eight decimals as rows of bytes, zero bytes among them: the text that Python's format gives."""
+
+    def exact(v: np.ndarray, width: int = 0) -> np.ndarray:
+        said = [f"{i:.8f}".encode() for i in v.tolist()]
+        width = width or max(map(len, said))
+        return np.frombuffer(b"".join(t.rjust(width, b"\0") for t in said), np.uint8).reshape(len(said), width)
+
+    size = np.abs(x)
+    if not (size < EXACT).all():
+        return exact(x)
+    scaled = size * 1e8
+    whole, part = np.divmod(np.rint(scaled).astype(np.int64), 10**8)
+    a, b = (FOUR[v].view(np.uint8).reshape(len(x), 4) for v in np.divmod(part, 10_000))
+    out = np.concatenate([np.where(np.signbit(x), 45, 0).astype(np.uint8)[:, None], digits(whole), np.full((len(x), 1), 46, np.uint8), a, b], 1)
+    # The product is rounded, so numbers halfway between two texts are left to the format.
+    doubt = np.flatnonzero(np.abs(scaled - np.floor(scaled) - 0.5) <= np.spacing(scaled))
+    if len(doubt):
+        out[doubt] = exact(x[doubt], out.shape[1])
+    return out
+
+
+def text_rows(mark: bytes, columns: list[np.ndarray]) -> np.ndarray:
+    """Lines of texts as rows of bytes; zero bytes are no part of a text."""
+    parts = [np.broadcast_to(np.frombuffer(mark, np.uint8), (len(columns[0]), len(mark)))]
+    for c in columns:
+        parts += [np.full((len(c), 1), 32, np.uint8), c]
+    return np.concatenate([*parts, np.full((len(columns[0]), 1), 10, np.uint8)], 1)
+
+
+def text_of(rows: np.ndarray) -> bytes:
+    return rows.tobytes().translate(None, b"\0")
+
+
 class Sweep:
     """Branches of many trees as rings: of each ring its tree, branch, place, point, radius and axes; of each tree where its parts lie in the vertex list."""
 
@@ -155,7 +206,7 @@ class Sweep:
         self.offset = before - tree_from[self.tree]
         self.sphere_offset = total
 
-    def vertices(self) -> Iterator[dict[str, np.ndarray]]:
+    def vertices(self, sphere: bool = True) -> Iterator[dict[str, np.ndarray]]:
         """Vertices with tree, vertex number, branch (index of its first node; -1 for the soma), class, ring, place in it (-1: centre of a cap)."""
         angle = np.arange(self.segments) * (2 * np.pi / self.segments)
         for a in range(0, len(self.at), RINGS):
@@ -169,6 +220,8 @@ class Sweep:
         end = np.tile([0, 1], len(b) // 2)
         at = np.where(end, self.rings[b] - 1, 0)
         yield self.told(self.tree[b], self.offset[b] + self.rings[b] * self.segments + end, self.first[b], self.kind[b], at, np.full(len(b), -1), self.point[self.start[b] + at])
+        if not sphere:
+            return
         t = np.flatnonzero(self.soma_radius > 0)
         n = len(self.sphere)
         p = self.centre[t][:, None] + self.soma_radius[t][:, None, None] * self.sphere[None]
@@ -176,9 +229,9 @@ class Sweep:
         yield self.told(tree, self.sphere_offset[tree] + k, np.full(len(tree), -1), np.ones(len(tree), np.int64), np.zeros(len(tree), np.int64), k, p.reshape(-1, 3))
 
     def told(self, tree, vertex, branch, kind, at, k, p) -> dict[str, np.ndarray]:
-        return {"tree": tree, "vertex": vertex, "branch": branch, "class": CLASSES[kind], "at": at, "k": k, "x": p[:, 0], "y": p[:, 1], "z": p[:, 2]}
+        return {"tree": tree, "vertex": vertex, "branch": branch, "class": kind, "at": at, "k": k, "x": p[:, 0], "y": p[:, 1], "z": p[:, 2]}
 
-    def faces(self) -> Iterator[dict[str, np.ndarray]]:
+    def faces(self, sphere: bool = True) -> Iterator[dict[str, np.ndarray]]:
         """Triangles: two for each side between neighbouring rings, fans on the caps, the sphere."""
         m = self.segments
         k = np.arange(m)
@@ -196,12 +249,14 @@ class Sweep:
         centre = (self.offset[b] + self.rings[b] * m)[:, None] + np.zeros((1, m), np.int64)
         fans = np.concatenate([np.stack([centre, low + next_, low + k], 2), np.stack([high + k, high + next_, centre + 1], 2)], 1).reshape(-1, 3)
         yield self.faced(np.repeat(self.tree[b], 2 * m), np.repeat(self.kind[b], 2 * m), fans)
+        if not sphere:
+            return
         t = np.flatnonzero(self.soma_radius > 0)
         tree = np.repeat(t, len(self.sphere_faces))
         yield self.faced(tree, np.ones(len(tree), np.int64), (self.sphere_offset[t][:, None, None] + self.sphere_faces[None]).reshape(-1, 3))
 
     def faced(self, tree, kind, corners) -> dict[str, np.ndarray]:
-        return {"tree": tree, "class": CLASSES[kind], "a": corners[:, 0], "b": corners[:, 1], "c": corners[:, 2]}
+        return {"tree": tree, "class": kind, "a": corners[:, 0], "b": corners[:, 1], "c": corners[:, 2]}
 
 
 def swept(nodes: DataFrame, schema: str, rows: Callable[[Sweep], Iterator[dict]], segments: int, cap: bool, frames: str, centred: bool, radius: str) -> DataFrame:
@@ -220,13 +275,13 @@ def swept(nodes: DataFrame, schema: str, rows: Callable[[Sweep], Iterator[dict]]
             sweep = Sweep(t, {c: i for i, c in enumerate(names)}, radius, segments, cap, frames, centred)
             for found in rows(sweep):
                 ids = sweep.ids.take(pa.array(found["tree"]))
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array(found[f]) for f in fields)], names=["neuron_id", *fields])
+                yield pa.RecordBatch.from_arrays([ids, *(CLASSES.take(pa.array(found[f])) if f == "class" else pa.array(found[f]) for f in fields)], names=["neuron_id", *fields])
 
     rows_of = nodes.select(*[F.col(c).cast("int").alias(c) if c in ("idx", "type_id", "parent") else F.col(c) for c in names], *([order] if order not in names else []))
     return rows_of.repartition("neuron_id").sortWithinPartitions("neuron_id", order).select(*names).mapInArrow(run, f"neuron_id {kind}, {schema}")
 
 
-def mesh_vertices(nodes: DataFrame, segments: int = 32, cap: bool = False, frames: str = "spherical", centred: bool = True, radius: str = "radius") -> DataFrame:
+def mesh_vertices(nodes: DataFrame, segments: int = 32, cap: bool = False, frames: str = "spherical", centred: bool = True, radius: str = "radius", sphere: bool = True) -> DataFrame:
     """(neuron_id, vertex, branch, class, at, k, x, y, z): all points of each neuron's mesh, numbered from 0.
 
     ``branch`` is the first node of a branch after its start, -1 for the soma's
@@ -234,14 +289,15 @@ def mesh_vertices(nodes: DataFrame, segments: int = 32, cap: bool = False, frame
     soma lies at the origin if ``centred``. ``radius`` names the column that the rings
     take; the sphere takes ``radius``. What isn't below the soma has no mesh; a
     soma without a positive radius has no sphere; coincident nodes give rings
-    across Z. Nodes must be unique (``unique_nodes``).
+    across Z. Nodes must be unique (``unique_nodes``). ``sphere=False`` leaves out the
+    soma's points, which come last.
     """
-    return swept(nodes, "vertex bigint, branch bigint, class string, at bigint, k bigint, x double, y double, z double", Sweep.vertices, segments, cap, frames, centred, radius)
+    return swept(nodes, "vertex bigint, branch bigint, class string, at bigint, k bigint, x double, y double, z double", lambda sweep: sweep.vertices(sphere), segments, cap, frames, centred, radius)
 
 
-def mesh_faces(nodes: DataFrame, segments: int = 32, cap: bool = False) -> DataFrame:
-    """(neuron_id, class, a, b, c): the triangles, by the numbers of ``mesh_vertices``, seen from outside counter-clockwise on caps and sphere."""
-    return swept(nodes, "class string, a bigint, b bigint, c bigint", Sweep.faces, segments, cap, "spherical", True, "radius")
+def mesh_faces(nodes: DataFrame, segments: int = 32, cap: bool = False, sphere: bool = True) -> DataFrame:
+    """(neuron_id, class, a, b, c): the triangles, by the numbers of ``mesh_vertices``, seen from outside counter-clockwise on caps and sphere (which ``sphere=False`` leaves out)."""
+    return swept(nodes, "class string, a bigint, b bigint, c bigint", lambda sweep: sweep.faces(sphere), segments, cap, "spherical", True, "radius")
 
 
 def neuron_mesh(nodes: DataFrame, segments: int = 32, cap: bool = False, radius_scale: float = 1.0, alpha: float = 0.0, percentile: float = 50.0, **how) -> tuple[DataFrame, DataFrame]:
@@ -262,21 +318,71 @@ def mesh_texts(nodes: DataFrame, kind: str = "ply", segments: int = 32, cap: boo
     if kind not in ("ply", "obj"):
         raise ValueError(f"unknown kind of mesh: {kind}")
 
+    first, mark = (0, b"3") if kind == "ply" else (1, b"f")
+    sphere, corners = icosphere()
+    spheres: dict[int, bytes] = {}
+
+    def points(p: np.ndarray) -> np.ndarray:
+        rows = text_rows(b"" if kind == "ply" else b"v", [decimals(c) for c in p.T])
+        return rows[:, 1:] if kind == "ply" else rows
+
+    def sphere_faces(offset: int) -> bytes:
+        if offset not in spheres:
+            if len(spheres) >= SPHERES:
+                spheres.clear()
+            spheres[offset] = text_of(text_rows(mark, [digits(c) for c in (corners + offset + first).T]))
+        return spheres[offset]
+
     def texts(sweep: Sweep) -> Iterator[dict]:
-        parts = [{k: np.concatenate([p[k] for p in found]) for k in found[0]} for found in (list(sweep.vertices()), list(sweep.faces()))]
-        points, faces = parts
-        points = {k: v[np.lexsort((points["vertex"], points["tree"]))] for k, v in points.items()}
-        faces = {k: v[np.argsort(faces["tree"], kind="stable")] for k, v in faces.items()}
-        for t in np.unique(points["tree"]).tolist():
-            (a, b), (c, d) = (np.searchsorted(p["tree"], [t, t + 1]) for p in (points, faces))
-            corners = [f[c:d].tolist() for f in (faces["a"], faces["b"], faces["c"])]
-            rows = zip(*(points[k][a:b].tolist() for k in "xyz"), strict=True)
+        tubes, faces = ({k: np.concatenate([p[k] for p in found]) for k in names} for found, names in ((list(sweep.vertices(False)), ("tree", "vertex", "x", "y", "z")), (list(sweep.faces(False)), ("tree", "a", "b", "c"))))
+        order = np.lexsort((tubes["vertex"], tubes["tree"]))
+        tube_rows = points(np.stack([tubes[k][order] for k in "xyz"], 1))
+        order_f = np.argsort(faces["tree"], kind="stable")
+        face_rows = text_rows(mark, [digits(faces[k][order_f] + first) for k in "abc"])
+        trees = np.arange(len(sweep.ids) + 1)
+        v, f = np.searchsorted(tubes["tree"][order], trees).tolist(), np.searchsorted(faces["tree"][order_f], trees).tolist()
+        made, held, balls = ([], []), 0, None
+        for t in range(len(sweep.ids)):
+            soma = sweep.soma_radius[t] > 0
+            if t % BALLS == 0:
+                near = slice(t, t + BALLS)
+                balls = points((sweep.centre[near, None] + sweep.soma_radius[near, None, None] * sphere).reshape(-1, 3))
+                balls = balls.reshape(-1, len(sphere), balls.shape[1])
+            (a, b), (c, d) = v[t : t + 2], f[t : t + 2]
+            if a == b and not soma:
+                continue
+            head = b""
             if kind == "ply":
-                head = f"ply\nformat ascii 1.0\nelement vertex {b - a}\nproperty float x\nproperty float y\nproperty float z\nelement face {d - c}\nproperty list uchar int vertex_indices\nend_header\n"
-                text = head + "".join(f"{x:.8f} {y:.8f} {z:.8f}\n" for x, y, z in rows) + "".join(f"3 {i} {j} {k}\n" for i, j, k in zip(*corners, strict=True))
-            else:
-                text = "".join(f"v {x:.8f} {y:.8f} {z:.8f}\n" for x, y, z in rows) + "".join(f"f {i + 1} {j + 1} {k + 1}\n" for i, j, k in zip(*corners, strict=True))
-            yield {"tree": np.array([t]), "content": [text.encode()]}
+                n, m = b - a + len(sphere) * soma, d - c + len(corners) * soma
+                head = f"ply\nformat ascii 1.0\nelement vertex {n}\nproperty float x\nproperty float y\nproperty float z\nelement face {m}\nproperty list uchar int vertex_indices\nend_header\n".encode()
+            ball = text_of(balls[t % BALLS]) if soma else b""
+            content = b"".join((head, text_of(tube_rows[a:b]), ball, text_of(face_rows[c:d]), sphere_faces(b - a) if soma else b""))
+            made[0].append(t)
+            made[1].append(content)
+            held += len(content)
+            if held >= TEXT_BYTES:
+                yield {"tree": np.array(made[0]), "content": made[1]}
+                made, held = ([], []), 0
+        if made[0]:
+            yield {"tree": np.array(made[0]), "content": made[1]}
 
     made = swept(nodes, "content binary", texts, segments, cap, frames, centred, radius)
     return made.select("neuron_id", F.concat(F.col("neuron_id").cast("string"), F.lit(f".{kind}")).alias("name"), "content")
+
+
+def read_obj(texts: DataFrame) -> DataFrame:
+    """(neuron_id, vertices, faces, last): what OBJ texts of lines "v" and "f" (neuron_id, content) hold; ``last`` is the greatest vertex that a face names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            found = []
+            for content in batch.column(1):
+                text = b"\n" + content.as_py()
+                named = np.fromstring(re.sub(rb"\nv [^\n]*", b"", text).replace(b"\nf ", b" "), np.int64, sep=" ")
+                found.append((text.count(b"\nv "), text.count(b"\nf "), named.max() if len(named) else None))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int32(), pa.int32(), pa.int64()), strict=True))], names=["neuron_id", "vertices", "faces", "last"])
+
+    kind = texts.schema["neuron_id"].dataType.simpleString()
+    return texts.select("neuron_id", "content").mapInArrow(run, f"neuron_id {kind}, vertices int, faces int, last bigint")

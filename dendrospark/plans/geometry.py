@@ -53,8 +53,7 @@ _ANGLE = f"k * 2 * pi() / {M}"
  SELECT neuron_id, CAST(vertex AS BIGINT) AS vertex, CAST(first AS BIGINT) AS branch, class, CAST(ring AS BIGINT) AS "at", k, {", ".join(r(c, places=4) for c in "xyz")} FROM spots""",
 )
 def _(spark, d):
-    v = mesh.mesh_vertices(fx.nodes(spark, d), M, True)
-    return rounded(v.where("branch >= 0"), "x", "y", "z", places=4)
+    return rounded(mesh.mesh_vertices(fx.nodes(spark, d), M, True, sphere=False), "x", "y", "z", places=4)
 
 
 _FACES = f"""gap AS (SELECT neuron_id, class, CAST(low + ring * {M} AS BIGINT) AS l, k, (k + 1) % {M} AS j FROM part, (SELECT unnest(range({M})) AS k), (SELECT unnest(range(1000000)) AS ring) WHERE ring < rings - 1),
@@ -65,7 +64,7 @@ _FACES = f"""gap AS (SELECT neuron_id, class, CAST(low + ring * {M} AS BIGINT) A
 
 @query("G13_mesh_faces", f"{MESH}, {_FACES} SELECT * FROM face")
 def _(spark, d):
-    return mesh.mesh_faces(fx.nodes(spark, d), M, True).where("class <> 'SOMA'")
+    return mesh.mesh_faces(fx.nodes(spark, d), M, True, sphere=False)
 
 
 @query(
@@ -73,11 +72,7 @@ def _(spark, d):
     f"{MESH}, {_FACES}, v AS (SELECT neuron_id, sum(rings * {M} + 2 * open) AS v FROM part GROUP BY 1), f AS (SELECT neuron_id, count(*) AS f FROM face GROUP BY 1) SELECT n.neuron_id, CAST(coalesce(v, 0) + 162 AS INT) AS vertices, CAST(coalesce(f, 0) + 320 AS INT) AS faces, CAST(coalesce(v, 0) + 162 AS BIGINT) AS last FROM (SELECT DISTINCT neuron_id FROM nodes WHERE idx = 1 AND radius > 0) n LEFT JOIN v USING (neuron_id) LEFT JOIN f USING (neuron_id)",
 )
 def _(spark, d):
-    lines = F.split(F.decode("content", "utf-8"), "\n")
-    texts = mesh.mesh_texts(fx.nodes(spark, d), "obj", M, True).select("neuron_id", lines.alias("l"))
-    marked = lambda m: F.filter("l", lambda x: x.startswith(m))
-    last = F.array_max(F.flatten(F.transform(marked("f "), lambda x: F.split(F.substr(x, F.lit(3)), " ").cast("array<bigint>"))))
-    return texts.select("neuron_id", F.size(marked("v ")).alias("vertices"), F.size(marked("f ")).alias("faces"), last.alias("last"))
+    return mesh.read_obj(mesh.mesh_texts(fx.nodes(spark, d), "obj", M, True))
 
 
 # Cameras: one a neuron, looking at its box from the way its root lies.

@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from dendrospark.operators import mesh
@@ -151,3 +152,25 @@ def test_texts_read_back(spark, tmp_path, kind):
         want = sorted((r.vertex, r.x, r.y, r.z) for r in vertices if r.neuron_id == k)
         assert np.allclose(np.array(points, float), [w[1:] for w in want], atol=1e-7)
         assert sorted(corners) == sorted((r.a, r.b, r.c) for r in faces if r.neuron_id == k)
+
+
+def test_decimals_are_those_of_the_format():
+    rng = np.random.default_rng(5)
+    x = np.r_[0.0, -0.0, -1e-12, 1e-8, 0.5e-8, 1.5e-8, -2.5e-8, 0.999999995, 9999.999999995, 12345.125, 39_999_999.5, rng.normal(0, 50, 5000), rng.normal(0, 1e6, 5000), rng.integers(0, 10**9, 5000) / 1e8 + 0.5e-8]
+    for values in (x, np.r_[x, 1e12, np.inf, np.nan, -1e300]):
+        assert mesh.text_of(mesh.text_rows(b"v", [mesh.decimals(values)])).decode().split("\n")[:-1] == [f"v {v:.8f}" for v in values.tolist()]
+    n = np.array([0, 7, 9999, 10_000, 12_030, 100_000_000, 10**15 + 5])
+    for some in (n[:2], n[:4], n):
+        assert mesh.text_of(mesh.text_rows(b"f", [mesh.digits(some)])).decode().split() == [t for i in some.tolist() for t in ("f", str(i))]
+
+
+def test_texts_come_many_a_batch(spark):
+    nodes = spark.createDataFrame([r for k in range(300) for r in grown(k, 4, k)], NODES)
+    rows = mesh.mesh_texts(nodes, "obj", 3, True)
+    batches = rows.select("content").coalesce(1).mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in bs), "n long").collect()
+    assert sum(b.n for b in batches) == 300
+    assert mesh.mesh_vertices(nodes, 3, sphere=False).exceptAll(mesh.mesh_vertices(nodes, 3).where("branch >= 0")).count() == 0
+    assert mesh.mesh_faces(nodes, 3, sphere=False).count() == mesh.mesh_faces(nodes, 3).where("class <> 'SOMA'").count()
+    got = mesh.read_obj(rows).orderBy("neuron_id").collect()
+    text = [bytes(r.content).decode().splitlines() for r in rows.orderBy("neuron_id").collect()]
+    assert [(r.vertices, r.faces, r.last) for r in got] == [(sum(x[0] == "v" for x in t), sum(x[0] == "f" for x in t), max(int(i) for x in t if x[0] == "f" for i in x[2:].split())) for t in text]
