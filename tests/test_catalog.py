@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from dendrospark.operators import vectors
+from dendrospark.operators import evaluate, vectors
 from dendrospark.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
@@ -84,3 +84,19 @@ def test_moments_of_values_that_differ_by_rounding_alone(spark, duck, tmp_path):
     own.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
     got, want = plain(catalog.QUERIES["A14_moments"](spark, str(tmp_path)).toPandas()), plain(own.execute(catalog.SQL["A14_moments"]).df())
     assert want["segment_length_skewness"].tolist() == [0.0] and got.equals(want)
+
+
+def test_ranks_move_queries_once_and_read_items_in_chunks(spark, monkeypatch):
+    for name, rows in (("QUERIES", 7), ("ITEM_BLOCK", 5)):
+        monkeypatch.setattr(vectors, name, rows, raising=False)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 6))
+    labels = [None if i % 9 == 0 else f"l{i % 5}" for i in range(39)] + ["alone"]
+    v = spark.createDataFrame([(i, labels[i], x[i].tolist()) for i in range(40)], "view_id long, label string, vec array<double>")
+    ranks = evaluate.ranks(v, v.where("view_id < 39"), "view_id")
+    assert "CoGroup" not in ranks._jdf.queryExecution().toString()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(u @ u[:39].T, 12)
+    for r in ranks.collect():
+        right = [s[r.view_id, j] for j in range(39) if labels[j] == labels[r.view_id]]
+        assert r.rank == (1 + (s[r.view_id] > max(right)).sum() if right else None)
