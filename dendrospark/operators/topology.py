@@ -1,10 +1,11 @@
 """Trees of nodes: links to parents, depth, path length, subtree size, distances, branches.
 
 A node table has neuron_id, idx, type_id, x, y, z, radius, parent (-1 for a root)
-and, where it comes from files, line_no. Two strategies give the same columns:
+and, where it comes from files, line_no. Two strategies give the same values:
 
-* ``joins``: pointer doubling in joins, ceil(log2 depth) rounds. A single tree
-  may be as large as the table.
+* ``placed`` and ``closure``: blocks of a tree's indices by themselves, then pointer
+  doubling in joins over the ends that lead from block to block. A single tree may be
+  as large as the table. Depth, path length and root only.
 * ``arrow``: one shuffle by neuron, then vectorised pointer doubling over whole
   trees, many per batch. A task holds one tree beyond a batch. The default, since
   trees are small and deep chains would cost a dozen shuffles.
@@ -23,6 +24,7 @@ from pyspark.sql import types as T
 
 from ..session import stored
 
+BLOCK = 65_536  # successive indices of a tree that a task holds at once
 NODE = ["neuron_id", "idx", "type_id", "x", "y", "z", "radius", "parent"]
 ADDED = "has_parent boolean, px double, py double, pz double, pradius double, seg_len double, n_children int, depth int, path_len double, root int, subtree_size int, soma_idx int, sx double, sy double, sz double, soma_depth int, soma_hops int"
 
@@ -69,22 +71,68 @@ def soma_index(nodes: DataFrame) -> DataFrame:
 
 
 def closure(nodes: DataFrame) -> DataFrame:
-    """(neuron_id, idx, depth, path_len, root) by pointer doubling in joins. Nodes on or below a cycle never reach a root and are left out.
+    """(neuron_id, idx, depth, path_len, root) for trees of any size; nodes on or below a cycle never reach a root and are left out."""
+    return placed(nodes).where("depth is not null").select("neuron_id", "idx", "depth", "path_len", "root")
 
-    Every round but those that only go around cycles finishes some nodes, so
-    the first that finishes none is the last.
+
+LOCAL = "neuron_id {}, idx int, parent int, x double, y double, z double, end int, hops bigint, len double, out boolean"
+
+
+def placed(nodes: DataFrame, block: int | None = None) -> DataFrame:
+    """(neuron_id, idx, parent, depth, path_len, root) of all nodes, the last three null on or below a cycle.
+
+    A tree is cut into blocks of ``block`` successive indices (``BLOCK`` by default), so no task
+    holds more of one. Each block leads its nodes to their last ancestor in it. Those of
+    these ends whose parent lies in another block are few where trees are small or numbered
+    along branches; they alone are followed from block to block, by doubling in joins.
     """
-    linked = edges(nodes).select("neuron_id", "idx", F.col("parent").alias("anc"), F.lit(1).cast("long").alias("hops"), F.col("seg_len").alias("len"))
-    top = nodes.join(linked.select("neuron_id", "idx"), ["neuron_id", "idx"], "left_anti").select("neuron_id", "idx", F.col("idx").alias("anc"), F.lit(0).cast("long").alias("hops"), F.lit(0.0).alias("len"))
-    state = stored(top.union(linked), "closure")
-    ends = top.select("neuron_id", F.col("idx").alias("anc"))
-    before, left = None, state.join(ends, ["neuron_id", "anc"], "left_anti").count()
+    block = block or BLOCK
+    kind = nodes.schema["neuron_id"].dataType.simpleString()
+    rows = nodes.select("neuron_id", F.col("idx").cast("int").alias("idx"), F.col("parent").cast("int").alias("parent"), *[F.col(c).cast("double").alias(c) for c in "xyz"], F.floor(F.col("idx") / block).cast("int").alias("block"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_trees(batches, 7):
+            tree, idx, parent, part = tree_numbers(t.column(0)), *(t.column(i).to_numpy().astype(np.int64) for i in (1, 2, 6))
+            group = np.cumsum(np.r_[0, (tree[1:] != tree[:-1]) | (part[1:] != part[:-1])])
+            me = np.arange(len(idx))
+            key = group * 2**32 + (idx + 2**31)
+            order = np.argsort(key, kind="stable")
+            want = group * 2**32 + (parent + 2**31)
+            at = np.minimum(np.searchsorted(key[order], want), len(idx) - 1)
+            has = key[order][at] == want
+            up = np.where(has, order[at], me)
+            xyz = np.stack([t.column(i).to_numpy() for i in (3, 4, 5)], 1)
+            end, hops, length = doubled(up, np.where(has, np.sqrt(((xyz - xyz[up]) ** 2).sum(axis=1)), 0.0))
+            lost = has[end]  # a way that ends has an end without a parent here
+            out = (end == me) & ~has & (parent != -1) & (parent // block != part)
+            cols = [pa.array(idx[end], pa.int32(), mask=lost), pa.array(hops), pa.array(length), pa.array(out)]
+            yield from pa.table([*t.select([0, 1, 2, 3, 4, 5]).columns, *cols], names=[f.split()[0] for f in LOCAL.split(", ")]).combine_chunks().to_batches(max_chunksize=65_536)
+
+    dealt = rows.withColumn("key", F.xxhash64("neuron_id", "block")).repartition("key").sortWithinPartitions("neuron_id", "block")
+    local = stored(dealt.mapInArrow(run, LOCAL.format(kind)), "blocks")
+    plain = lambda df: df.select("neuron_id", "idx", "parent", F.when(F.col("end").isNotNull(), F.col("hops")).cast("int").alias("depth"), F.when(F.col("end").isNotNull(), F.col("len")).alias("path_len"), F.col("end").alias("root"))
+    leaving = local.where("out").select("neuron_id", "idx", "parent", "x", "y", "z")
+    if leaving.isEmpty():
+        return plain(local)
+    above = local.select("neuron_id", F.col("idx").alias("parent"), F.lit(True).alias("known"), F.col("end").alias("anc"), "hops", "len", *[F.col(c).alias(f"p{c}") for c in "xyz"])
+    step = F.sqrt(sum((F.col(c) - F.col(f"p{c}")) ** 2 for c in "xyz"))
+    ways = stored(leaving.join(above, ["neuron_id", "parent"], "left").select("neuron_id", "idx", "known", "anc", (F.col("hops") + 1).alias("hops"), (F.col("len") + step).alias("len")), "ways")
+    state = ways.where("known and anc is not null").drop("known")
+    live = state.select("neuron_id", F.col("idx").alias("anc"))
+    before, left = None, state.join(live, ["neuron_id", "anc"], "left_semi").count()
+    # Every round but those that only go around cycles finishes some ends, so the first that finishes none is the last.
     while left and left != before:
         jump = state.select("neuron_id", F.col("idx").alias("anc"), F.col("anc").alias("to"), F.col("hops").alias("h"), F.col("len").alias("l"))
-        state = stored(state.join(jump, ["neuron_id", "anc"]).select("neuron_id", "idx", F.col("to").alias("anc"), (F.col("hops") + F.col("h")).alias("hops"), (F.col("len") + F.col("l")).alias("len")), "closure")
-        before, left = left, state.join(ends, ["neuron_id", "anc"], "left_anti").count()
-    done = state.join(ends, ["neuron_id", "anc"], "left_semi")
-    return done.select("neuron_id", "idx", F.col("hops").cast("int").alias("depth"), F.col("len").alias("path_len"), F.col("anc").alias("root"))
+        state = stored(state.join(jump, ["neuron_id", "anc"], "left").select("neuron_id", "idx", F.coalesce("to", "anc").alias("anc"), (F.col("hops") + F.coalesce("h", F.lit(0))).alias("hops"), (F.col("len") + F.coalesce("l", F.lit(0.0))).alias("len")), "ways")
+        before, left = left, state.join(live, ["neuron_id", "anc"], "left_semi").count()
+    lost = ways.where("known and anc is null").select("neuron_id", F.col("idx").alias("anc"))
+    done = state.join(live.union(lost), ["neuron_id", "anc"], "left_anti").select("neuron_id", F.col("idx").alias("end"), F.col("anc").alias("to"), F.col("hops").alias("h"), F.col("len").alias("l"))
+    # What leaves for a parent that isn't there is a top; other leaving ends without a way are lost.
+    tops = ways.where("known is null").select("neuron_id", F.col("idx").alias("end"), F.col("idx").alias("to"), F.lit(0).cast("long").alias("h"), F.lit(0.0).alias("l"))
+    fate = ways.select("neuron_id", F.col("idx").alias("end")).join(done.union(tops), ["neuron_id", "end"], "left").withColumn("leaves", F.lit(True))
+    both = local.join(fate, ["neuron_id", "end"], "left")
+    here = F.col("leaves").isNull()
+    return plain(both.select("neuron_id", "idx", "parent", F.when(here, F.col("end")).otherwise(F.col("to")).alias("end"), (F.col("hops") + F.coalesce("h", F.lit(0))).alias("hops"), (F.col("len") + F.coalesce("l", F.lit(0.0))).alias("len")))
 
 
 def doubled(parent: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -207,7 +255,7 @@ def ancestors(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     A node on or below a cycle has only itself.
     """
     mine = nodes.join(wanted.select("neuron_id").distinct(), "neuron_id", "left_semi")
-    linked = stored(topology(mine).where("depth > 0").select("neuron_id", F.col("idx").alias("anc"), F.col("parent").alias("next"), "depth"), "links")
+    linked = stored(placed(mine).where("depth > 0").select("neuron_id", F.col("idx").alias("anc"), F.col("parent").alias("next"), "depth"), "links")
     deepest, step = linked.agg(F.max("depth")).first()[0] or 0, 1
     jump = linked.drop("depth")
     all_ = wanted.select("neuron_id", "idx", F.col("idx").alias("anc"), F.lit(0).alias("hops")).distinct()

@@ -69,7 +69,7 @@ def write_swc(nodes: DataFrame, path: str, headers: DataFrame | None = None) ->
 
 def swc_errors(nodes: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """(neuron_id, level, problem, detail): no root, several roots, orphans, self-loops, cycles, empty files."""
-    from ..operators.topology import topology
+    from ..operators.topology import placed
 
     rooted = nodes.groupBy("neuron_id").agg(F.count_if(F.col("parent") == -1).alias("n"), F.sort_array(F.collect_list(F.when(F.col("parent") == -1, F.col("idx")))).alias("ids"))
     none = rooted.where("n = 0").select("neuron_id", F.lit("error").alias("level"), F.lit("no_root").alias("problem"), F.lit("").alias("detail"))
@@ -77,7 +77,7 @@ def swc_errors(nodes: DataFrame, files: DataFrame | None = None) -> DataFrame:
     known = nodes.select("neuron_id", F.col("idx").alias("parent")).distinct()
     orphan = nodes.where("parent <> -1").join(known, ["neuron_id", "parent"], "left_anti").select("neuron_id", F.lit("warning"), F.lit("orphan"), F.col("idx").cast("string"))
     loop = nodes.where("parent = idx").select("neuron_id", F.lit("warning"), F.lit("self_loop"), F.col("idx").cast("string"))
-    lost = topology(nodes).where("depth is null").groupBy("neuron_id").agg(F.count("*").alias("n")).select("neuron_id", F.lit("error"), F.lit("cycle"), F.col("n").cast("string"))
+    lost = placed(nodes).where("depth is null").groupBy("neuron_id").agg(F.count("*").alias("n")).select("neuron_id", F.lit("error"), F.lit("cycle"), F.col("n").cast("string"))
     out = none.union(many).union(orphan).union(loop).union(lost)
     if files is not None:
         out = out.union(files.select("neuron_id").distinct().join(nodes.select("neuron_id"), "neuron_id", "left_anti").select("neuron_id", F.lit("error"), F.lit("empty"), F.lit("")))
