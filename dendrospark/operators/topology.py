@@ -278,16 +278,36 @@ def pair_distances(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     reference's rule: from ``a`` up to the first node also above ``b``, and as many
     steps up from ``b`` (or to its root), so it depends on the order. Both are
     infinite without a common ancestor, also for nodes on or below a cycle, and
-    null for nodes that are not there. One shuffle by neuron; the ancestors of many
-    trees' pairs are looked up at once by binary lifting.
+    null for nodes that are not there. Neurons of more than ``BLOCK`` nodes are dealt
+    to tasks root by root; the ancestors of many trees' pairs are looked up at once by
+    binary lifting.
     """
     kind = nodes.schema["neuron_id"].dataType.simpleString()
+    large = nodes.groupBy("neuron_id").count().where(F.col("count") > BLOCK).select("neuron_id")
+    large = stored(large, "large")
     tagged = nodes.select("neuron_id", F.lit(0).alias("pair"), F.col("idx").cast("int"), F.col("parent").cast("int"), *[F.col(c).cast("double") for c in "xyz"])
-    rows = tagged.union(pairs.select("neuron_id", F.lit(1), F.col("a").cast("int"), F.col("b").cast("int"), *[F.lit(0.0)] * 3))
+    asked = pairs.select("neuron_id", F.lit(1).alias("pair"), F.col("a").cast("int").alias("idx"), F.col("b").cast("int").alias("parent"), *[F.lit(0.0).alias(c) for c in "xyz"])
+    rows = tagged.union(asked)
+    if not large.isEmpty():
+        # Pairs go to the root of ``a``. Of those with a ``b`` of another root, or without any, only whether both are there is asked.
+        roots = stored(placed(nodes.join(large, "neuron_id", "left_semi")).select("neuron_id", "idx", F.coalesce("root", F.lit(-1)).alias("part"), F.col("root").isNotNull().alias("rooted")), "roots")
+        place = lambda c: roots.select("neuron_id", F.col("idx").alias(c), F.col("part").alias(f"part_{c}"), F.col("rooted").alias(f"rooted_{c}"))
+        whole = tagged.join(large, "neuron_id", "left_semi").join(roots.where("rooted").drop("rooted"), ["neuron_id", "idx"])
+        known = asked.join(large, "neuron_id", "left_semi").select("neuron_id", F.col("idx").alias("a"), F.col("parent").alias("b")).join(place("a"), ["neuron_id", "a"], "left").join(place("b"), ["neuron_id", "b"], "left")
+        share = F.coalesce(F.col("rooted_a") & F.col("rooted_b") & (F.col("part_a") == F.col("part_b")), F.lit(False))
+        apart = F.when(F.col("part_a").isNotNull() & F.col("part_b").isNotNull(), F.lit(float("inf")))
+        none = known.where(~share).select("neuron_id", "a", "b", apart.alias("distance"), apart.alias("distance_ref"))
+        near = known.where(share).select("neuron_id", F.lit(1).alias("pair"), F.col("a").alias("idx"), F.col("b").alias("parent"), *[F.lit(0.0).alias(c) for c in "xyz"], F.col("part_a").alias("part"))
+        small = rows.join(large, "neuron_id", "left_anti").withColumn("part", F.lit(0))
+        rows = small.unionByName(whole).unionByName(near)
+    else:
+        none, rows = None, rows.withColumn("part", F.lit(0))
+    rows = rows.select("neuron_id", "pair", "idx", "parent", *"xyz", "part", F.xxhash64("neuron_id", "part").alias("key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_trees(batches, 0):
-            tree, pair = tree_numbers(t.column(0)), t.column(1).to_numpy() == 1
+        for t in whole_trees(batches, 8):
+            tree, part, pair = tree_numbers(t.column(0)), t.column(7).to_numpy(), t.column(1).to_numpy() == 1
+            tree = np.cumsum(np.r_[0, (tree[1:] != tree[:-1]) | (part[1:] != part[:-1])])
             idx, other = (t.column(i).to_numpy().astype(np.int64) for i in (2, 3))
             if not pair.any():
                 continue
@@ -300,7 +320,8 @@ def pair_distances(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
             out = pa.table({"neuron_id": t.column(0).take(pa.array(ask)), "a": t.column(2).take(pa.array(ask)), "b": t.column(3).take(pa.array(ask)), "distance": pa.array(dist, mask=np.isnan(dist)), "distance_ref": pa.array(ref, mask=np.isnan(ref))})
             yield from out.combine_chunks().to_batches(max_chunksize=65_536)
 
-    return rows.repartition("neuron_id").sortWithinPartitions("neuron_id", "pair").mapInArrow(run, PAIR.format(kind))
+    found = rows.repartition("key").sortWithinPartitions("neuron_id", "part", "pair").mapInArrow(run, PAIR.format(kind))
+    return found if none is None else found.unionByName(none)
 
 
 def distances(keys: np.ndarray, order: np.ndarray, xyz: np.ndarray, want: np.ndarray, root: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

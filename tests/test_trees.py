@@ -127,3 +127,14 @@ def test_blocks_of_a_tree_give_what_the_whole_tree_gives(spark, block):
     got = said(topology.placed(nodes, block))
     # What lies on or below a cycle differs in nothing: topology gives nulls there too.
     assert got == said(topology.topology(nodes)) and any(g[2] is None for g in got)
+
+
+def test_pairs_of_large_trees_go_root_by_root(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(f"n{k}", i, 2, float(rng.randrange(9)), float(rng.randrange(9)), 0.0, 1.0, -1 if i in (1, 20) else rng.choice([i - 1, max(1, i - 3)]) if i != 30 else 31, i) for k in range(3) for i in range(1, 41 - 30 * (k == 2))]
+    nodes = spark.createDataFrame(rows, NODE)
+    pairs = spark.createDataFrame([(f"n{k}", rng.randrange(1, 44), rng.randrange(1, 44)) for k in range(3) for _ in range(80)], "neuron_id string, a int, b int")
+    said = lambda: sorted(map(str, ((r.neuron_id, r.a, r.b, r.distance, r.distance_ref) for r in topology.pair_distances(nodes, pairs).collect())))
+    whole = said()
+    monkeypatch.setattr(topology, "BLOCK", 15)
+    assert "part" in topology.pair_distances(nodes, pairs)._jdf.queryExecution().toString() and said() == whole and any("inf" in w for w in whole) and any("None" in w for w in whole)
