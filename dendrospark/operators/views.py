@@ -94,7 +94,8 @@ def projected_extents(nodes: DataFrame, directions: DataFrame) -> DataFrame:
     u, v = plane(unit([F.col(c) for c in ("dx", "dy", "dz")]))
     d = directions.select("i", *[c.alias(f"u{k}") for k, c in enumerate(u)], *[c.alias(f"v{k}") for k, c in enumerate(v)])
     on = lambda p: sum(F.col(f"{p}{k}") * F.col(a) for k, a in enumerate("xyz"))
-    rows = nodes.select("neuron_id", "x", "y", "z").crossJoin(F.broadcast(d))
+    # Dealt by neuron before the rows are multiplied: the grouping then needs no second shuffle.
+    rows = nodes.select("neuron_id", "x", "y", "z").repartition("neuron_id").crossJoin(F.broadcast(d))
     box = rows.groupBy("neuron_id", "i").agg((F.max(on("u")) - F.min(on("u"))).alias("width"), (F.max(on("v")) - F.min(on("v"))).alias("height"))
     return box.withColumn("diagonal", F.sqrt(F.col("width") ** 2 + F.col("height") ** 2))
 

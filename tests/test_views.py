@@ -149,3 +149,12 @@ def test_tubes_have_their_radius_and_close(spark):
 def test_first_passing_candidate(spark):
     c = spark.createDataFrame([("a", 0, 0.2), ("a", 1, 0.9), ("a", 2, 0.95), ("b", 0, 0.1), ("b", 1, 0.3)], "key string, at int, score double")
     assert {r.key: r.at for r in views.first_passing(c, "key", "at", "score", 0.8).collect()} == {"a": 1, "b": 1}
+
+
+def test_extents_shuffle_nodes_not_their_projections(spark):
+    nodes = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (1, 3.0, 4.0, 0.0), (2, 1.0, 1.0, 1.0)], "neuron_id long, x double, y double, z double")
+    along = spark.createDataFrame([(0, 0.0, 0.0, 1.0), (1, 0.0, 1.0, 0.0)], "i int, dx double, dy double, dz double")
+    box = views.projected_extents(nodes, along)
+    plan = box._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(neuron_id" in plan and "hashpartitioning(neuron_id#" in plan and ", i#" not in plan.split("Exchange hashpartitioning")[1].split(")")[0]
+    assert {(r.neuron_id, r.i): round(r.diagonal, 9) for r in box.collect()} == {(1, 0): 5.0, (1, 1): 3.0, (2, 0): 0.0, (2, 1): 0.0}
