@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$|^[+-]?(nan|inf|infinity)$"
+NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
+SPACES = " \t\n\x0b\f\r"
+SPECIAL = {"nan": ("nan", "+nan", "-nan"), "inf": ("inf", "+inf", "infinity", "+infinity"), "-inf": ("-inf", "-infinity")}
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -18,24 +20,28 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def text_lines(files: DataFrame) -> DataFrame:
     """Lines of (path, value) whole files; the neuron's id is the file's stem."""
     stem = F.regexp_extract("path", r"([^/]*?)(?:\.[sS][wW][cC])?$", 1)
-    return files.select("path", stem.alias("neuron_id"), F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line")).withColumn("line", F.trim(F.regexp_replace("line", r"^\s+|\s+$", "")))
+    # Trimmed before they become rows: a filter of the lines would else be pushed below the trimming, and do it over again in each of its parts.
+    lines = F.transform(F.split("value", r"\r?\n"), lambda line: F.btrim(line, F.lit(SPACES)))
+    return files.select("path", stem.alias("neuron_id"), F.posexplode(lines).alias("line_no", "line"))
 
 
 def number(token: Column) -> Column:
     """A decimal number as Python's float reads it (without underscores); null otherwise."""
-    low = F.lower(token)
-    plain = F.regexp_replace(low, r"^[+-]", "")
-    value = F.when(plain == "nan", F.lit(float("nan"))).when(plain.isin("inf", "infinity"), F.when(low.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))).otherwise(token.try_cast("double"))
-    return F.when(low.rlike(NUMBER), value)
+    out = F.when(token.rlike(NUMBER), token.try_cast("double"))
+    for value, names in SPECIAL.items():
+        out = out.when(F.lower(token).isin(*names), F.lit(float(value)))
+    return out
 
 
 def parse_nodes(lines: DataFrame) -> DataFrame:
     """The node table: lines of exactly seven tokens that cast; others are passed over."""
-    t = F.split("line", r"\s+")
-    rows = lines.where((F.col("line") != "") & ~F.col("line").startswith("#")).withColumn("t", t).where(F.size("t") == 7)
-    whole = lambda i: F.when(F.col("t")[i].rlike(r"^[+-]?\d+$"), F.col("t")[i].try_cast("int"))
-    real = lambda i: number(F.col("t")[i])
-    out = rows.select("neuron_id", whole(0).alias("idx"), whole(1).alias("type_id"), real(2).alias("x"), real(3).alias("y"), real(4).alias("z"), real(5).alias("radius"), whole(6).alias("parent"), "line_no")
+    whole = lambda t: F.when(t.rlike(r"^[+-]?\d+$"), t.try_cast("int"))
+    said = lines.where((F.col("line") != "") & ~F.col("line").startswith("#")).withColumn("t", F.split("line", r"\s+"))
+    read = said.select("neuron_id", "line_no", "t", F.transform(F.array(*[F.get("t", F.lit(i)) for i in (0, 1, 6)]), whole).alias("w"), F.transform(F.slice("t", 3, 4), number).alias("v"))
+    # The fields come out of a generator, below which no filter is pushed: each token is read once.
+    fields = [*[F.get("w", F.lit(i)).alias(c) for i, c in enumerate(("idx", "type_id"))], *[F.get("v", F.lit(i)).alias(c) for i, c in enumerate(("x", "y", "z", "radius"))], F.get("w", F.lit(2)).alias("parent")]
+    out = read.select("neuron_id", "line_no", F.inline(F.array(F.when(F.size("t") == 7, F.struct(*fields)))))
+    out = out.select("neuron_id", "idx", "type_id", "x", "y", "z", "radius", "parent", "line_no")
     return out.where(" and ".join(f"{c} is not null" for c in ("idx", "type_id", "x", "y", "z", "radius", "parent")))
 
 

@@ -47,6 +47,16 @@ def test_bad_tokens_are_passed_over(spark):
     assert sorted(got) == [3, 5] and math.isnan(got[3].radius) and got[5].x == 1000 and got[5].neuron_id == "b"
 
 
+def test_lines_are_split_and_read_once(spark):
+    tokens = ["1.5", "+.5", "-5.", "1e3", "NaN", "-nan", "+Inf", "-INFINITY", "1_0", "1d", "0x1p3", "e5", "."]
+    text = "\r\n".join([f"\t {i} 3 {t} 0 0 1 -1 \f" for i, t in enumerate(tokens)] + ["# 1 2 3 4 5 6 7", "90 3 0 0 0 1", "91 3 0 0 0 1 -1 0", "92 3.0 0 0 0 1 -1", "93 99999999999 0 0 0 1 -1"])
+    nodes = swc.parse_nodes(lines_of(spark, {"/c/odd.swc": text}))
+    assert [(r.idx, str(r.x)) for r in nodes.orderBy("idx").collect()] == list(enumerate(["1.5", "0.5", "-5.0", "1000.0", "nan", "nan", "inf", "-inf"]))
+    plan = nodes._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 2  # a file into lines, a line into tokens
+    assert plan.count("RLIKE(") == 2
+
+
 def test_directory_scan_takes_either_case(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "one.swc").write_text(Y_TREE)
