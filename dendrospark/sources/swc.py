@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 SPACES = " \t\n\x0b\f\r"
 SPECIAL = {"nan": ("nan", "+nan", "-nan"), "inf": ("inf", "+inf", "infinity", "+infinity"), "-inf": ("-inf", "-infinity")}
@@ -20,9 +22,9 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def text_lines(files: DataFrame) -> DataFrame:
     """Lines of (path, value) whole files; the neuron's id is the file's stem."""
     stem = F.regexp_extract("path", r"([^/]*?)(?:\.[sS][wW][cC])?$", 1)
-    # Trimmed before they become rows: a filter of the lines would else be pushed below the trimming, and do it over again in each of its parts.
+    # A file's stem is taken once, not on each of its lines; these are trimmed before they become rows: a filter of the lines would else be pushed below the trimming, and do it over again in each of its parts.
     lines = F.transform(F.split("value", r"\r?\n"), lambda line: F.btrim(line, F.lit(SPACES)))
-    return files.select("path", stem.alias("neuron_id"), F.posexplode(lines).alias("line_no", "line"))
+    return files.select("path", stem.alias("neuron_id"), "value").select("path", "neuron_id", F.posexplode(lines).alias("line_no", "line"))
 
 
 def number(token: Column) -> Column:
@@ -91,9 +93,9 @@ def swc_errors(nodes: DataFrame, files: DataFrame | None = None) -> DataFrame:
 
 
 def load_swc(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes (unique), headers and errors of many files. A bad file is reported and the others go on."""
+    """Nodes (unique), headers and errors of many files. A bad file is reported and the others go on. Nodes are stored, as the search for errors reads them too."""
     from ..operators.topology import unique_nodes
 
     lines = read_lines(spark, path)
-    nodes = unique_nodes(parse_nodes(lines))
+    nodes = stored(unique_nodes(parse_nodes(lines)), "swc_nodes")
     return nodes, parse_headers(lines), swc_errors(nodes, lines)

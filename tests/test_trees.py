@@ -55,6 +55,14 @@ def test_lines_are_split_and_read_once(spark):
     plan = nodes._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") == 2  # a file into lines, a line into tokens
     assert plan.count("RLIKE(") == 2
+    assert plan.index("regexp_extract(") > plan.index("Generate posexplode(")  # below it: a stem a file, not one a line
+
+
+def test_files_are_parsed_once(spark, tmp_path):
+    (tmp_path / "a.swc").write_text(Y_TREE)
+    nodes, _, errors = swc.load_swc(spark, str(tmp_path))
+    assert nodes.count() > 0 and "Generate" not in nodes._jdf.queryExecution().optimizedPlan().toString()
+    assert errors.columns == ["neuron_id", "level", "problem", "detail"]
 
 
 def test_directory_scan_takes_either_case(spark, tmp_path):
