@@ -53,7 +53,8 @@ def _(spark, d):
     total = p.agg((F.max("page") + 1).alias("n"))
     lists = p.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("p_partkey", "p_name"))).alias("items")).crossJoin(F.broadcast(total))
     body = F.to_json(F.struct(F.struct(F.col("items").alias("parts")).alias("_embedded"), F.struct(F.col("n").alias("totalPages")).alias("page")))
-    lists.select("page", body.alias("value")).write.partitionBy("page").text(folder)
+    saved = lists.select(F.concat(F.lit("page-"), F.col("page").cast("string"), F.lit(".json")).alias("name"), F.encode(body, "utf-8").alias("content"))
+    written.write_files(saved, folder).write.format("noop").mode("overwrite").save()
     got = paged.pages(spark, written.located(spark, folder), pages="1000000").where("page >= 2")
     item = F.from_json("item", "p_partkey long, p_name string")
     return got.select("page", item.alias("i")).select("page", "i.*")

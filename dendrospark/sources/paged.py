@@ -8,7 +8,7 @@ with the options
   ``page=<n>`` folders whose files hold the page.
 * ``start`` (0), ``pages`` (500 at most by default), ``size`` (500), ``q``, ``body``.
 
-One page is one partition. Planning asks the first page for ``page.totalPages``;
+A partition is a run of pages, of one where there are up to ``PARTITIONS`` of them. Planning asks the first page for ``page.totalPages``;
 comparisons of the column ``page`` narrow the range before that. Where a service
 doesn't tell, one task asks page after page and ends at the first one without
 items. Rows are (page, pos, item), the item as JSON text.
@@ -29,6 +29,7 @@ from .files import opened
 
 LISTS = ("neurons", "Neuron", "results", "data")  # fixed values: names of the list of items where there is no _embedded
 TIMEOUT_S = 60
+PARTITIONS = 512  # more pages than this share partitions, as a task costs more than a page of a folder
 
 
 def items_of(page: dict) -> list:
@@ -78,10 +79,11 @@ class Service:
 
 @dataclass
 class Page(InputPartition):
-    """A page, or all pages from ``first`` on up to ``last`` or the first one without items."""
+    """All pages from ``first`` up to ``last``; with ``until_empty`` only up to the first one without items."""
 
     first: int
     last: int
+    until_empty: bool = False
 
 
 class PagedJson(DataSource):
@@ -127,13 +129,15 @@ class Pages(DataSourceReader):
         total = total_pages(self.service.page(self.start) or {})
         if total is None:
             # Nobody says which page is the last: they are asked in a row, from the service's first on, as an empty page ends them.
-            return [Page(self.start, self.last)]
-        return [Page(n, n) for n in range(self.first, min(self.last, total - 1) + 1)] or [Page(0, -1)]
+            return [Page(self.start, self.last, True)]
+        last = min(self.last, total - 1)
+        run = max(1, -(-(last - self.first + 1) // PARTITIONS))
+        return [Page(n, min(n + run - 1, last)) for n in range(self.first, last + 1, run)] or [Page(0, -1)]
 
     def read(self, partition: Page) -> Iterator[tuple[int, int, str]]:
         for n in range(partition.first, partition.last + 1):
             rows = self.service.rows(n)
-            if not rows:
+            if not rows and partition.until_empty:
                 return
             if n >= self.first:
                 yield from rows

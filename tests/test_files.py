@@ -156,6 +156,16 @@ def test_without_a_total_an_empty_page_ends_the_walk(spark, tmp_path):
     assert paged.pages(spark, f"{tmp_path}/b", start="4").count() == 0
 
 
+def test_many_pages_share_partitions(tmp_path):
+    for n in range(1100):
+        (tmp_path / f"page-{n}.json").write_text(json.dumps({"data": [] if n == 4 else [n], "page": {"totalPages": 1100}}))
+    reader = paged.Pages(paged.Service(str(tmp_path), 500, None, None), 0, 10**6)
+    list(reader.pushFilters([]))
+    parts = reader.partitions()
+    assert len(parts) <= paged.PARTITIONS
+    assert [(n, item) for p in parts for n, _, item in reader.read(p)] == [(n, str(n)) for n in range(1100) if n != 4]
+
+
 def test_a_stream_takes_pages_as_they_appear(spark, tmp_path):
     paged.pages(spark, f"{tmp_path}/c")
     saved(tmp_path / "c", {0: {"data": [1, 2]}, 1: {"data": [3]}})
