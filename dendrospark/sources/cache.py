@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 
 def content_key(*columns: str | Column, version: int = 1, **settings) -> Column:
     """A key of a row's content, the settings of the computation and its version. Nulls differ from empty texts."""
@@ -50,12 +52,14 @@ class Cache:
         unknown results at worst. Rows without a key go.
         """
         wanted = rows.where("key is not null")
-        missing = wanted.join(self.known(), "key", "left_anti")
+        # Which keys are missing is settled among keys alone; whole rows are moved once, for those that are computed.
+        keys = stored(wanted.select("key").distinct(), "cache_keys")
+        missing = stored(keys.join(self.known(), "key", "left_anti"), "cache_missing")
         part = uuid.uuid4().hex
         if not missing.isEmpty():
-            compute(missing).withColumn("part", F.lit(part)).write.mode("append").parquet(f"{self.folder}/results")
-            missing.select("key").distinct().withColumn("part", F.lit(part)).write.mode("append").parquet(f"{self.folder}/keys")
-        return self.results().join(wanted.select("key").distinct(), "key", "left_semi")
+            compute(wanted.join(missing, "key", "left_semi")).withColumn("part", F.lit(part)).write.mode("append").parquet(f"{self.folder}/results")
+            missing.withColumn("part", F.lit(part)).write.mode("append").parquet(f"{self.folder}/keys")
+        return self.results().join(keys, "key", "left_semi")
 
     def results(self) -> DataFrame:
         """All results."""

@@ -89,3 +89,16 @@ def test_a_restarted_stream_doubles_nothing(spark, tmp_path):
     manifest.vacuum()
     assert seen() == want and manifest.numbers("base", "upto") == [3] and manifest.numbers("delta", "batch") == []
     assert manifest.entries().count() == len(want)
+
+
+def test_rows_are_made_twice_at_most(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(k):
+        made.add(1)
+        return k
+
+    rows = spark.range(10).select(F.udf(seen, "string").asNondeterministic()(F.col("id").cast("string")).alias("key"), "id")
+    found = Cache(spark, str(tmp_path / "c")).through(rows, lambda r: r.groupBy("key").agg(F.sum("id").alias("s")))
+    assert sorted((r.key, r.s) for r in found.collect()) == [(str(k), k) for k in range(10)]
+    assert made.value <= 20  # once for the keys, once for the missing rows
