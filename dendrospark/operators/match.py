@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def by_candidates(left: DataFrame, key: str, candidates: Column, right: DataFrame, right_id: str) -> DataFrame:
+def by_candidates(left: DataFrame, key: str, candidates: Column, right: DataFrame, right_id: str, names: DataFrame | None = None) -> DataFrame:
     """Rows of ``left`` with the row of ``right`` that the first of their candidate ids finds; rows without one go.
 
     One equi-join on the exploded candidates, then the earliest hit per ``key``.
+    ``names`` may give the ids of ``right`` where its rows are costly to make twice.
     """
     tries = left.select(F.col(key), F.posexplode(candidates).alias("__pos", "__id"))
-    hits = tries.join(right.select(F.col(right_id).alias("__id")).distinct(), "__id").groupBy(key).agg(F.min_by("__id", "__pos").alias("__id"))
+    hits = tries.join((right if names is None else names).select(F.col(right_id).alias("__id")).distinct(), "__id").groupBy(key).agg(F.min_by("__id", "__pos").alias("__id"))
     return left.join(hits, key).join(right.withColumnRenamed(right_id, "__rid"), F.col("__id") == F.col("__rid")).drop("__id").withColumnRenamed("__rid", right_id)
 
 

@@ -32,7 +32,8 @@ def _(spark, d):
     # The manifest leaves out "images/" where the file has it, and the other way round.
     views = fx.pixels(spark, d).select("view_id").distinct()
     manifest = views.select("view_id", F.concat(F.when(F.col("view_id") % 2 == 1, "images/").otherwise(""), F.col("view_id").cast("string"), F.lit(".png")).alias("image"))
-    seen = images.intensities(images.with_images(manifest, images.read_png(spark, folder), folder, "view_id"))
+    files = images.png_files(spark, folder)
+    seen = images.intensities(images.with_images(manifest, images.decoded(files), folder, "view_id", files))
     rows = seen.select("view_id", F.posexplode("values").alias("k", "intensity"))
     return rounded(rows.select("view_id", F.expr("cast(k div 8 as int)").alias("r"), F.expr("k % 8").alias("c"), "intensity"), "intensity", places=4)
 

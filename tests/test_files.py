@@ -235,3 +235,14 @@ def test_crawl_by_brute_force(spark):
         got = crawl.crawl(spark.createDataFrame(pages, "url string, html string"), spark.createDataFrame([("http://h/d0/",), ("http://h/d1/",), ("http://nowhere/",), (None,)], "url string"), depth=depth).collect()
         assert {r.url: (r.depth, r.listing, r.filename) for r in got} == want and len(got) == len(want)
         assert all(r.cell_id == r.filename.rsplit("/", 1)[-1].rsplit(".", 1)[0] for r in got)
+
+
+def test_images_are_decoded_once_where_their_files_are_listed(spark, tmp_path):
+    for name, v in (("a.png", 51), ("images/b.png", 102)):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(images.encode(np.full((2, 2, 1), v, np.uint8)))
+    manifest = spark.createDataFrame([(1, "images/a.png"), (2, "b.png"), (3, "c.png")], "id int, image string")
+    png = images.png_files(spark, str(tmp_path))
+    rows = images.with_images(manifest, images.decoded(png), str(tmp_path), "id", png)
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert sorted((r.id, r.pixels[0], len(r.pixels)) for r in rows.collect()) == [(1, 51, 4), (2, 102, 4)]
