@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import hashlib
-import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
-from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .digests import signed_places
+
 # Priorities and patterns, in the order that decides.
 CELL_TYPE_PRIORITY = ("basket", "chandelier", "martinotti", "bitufted", "bipolar", "multipolar", "stellate", "granule", "purkinje", "mitral", "medium spiny", "pyramidal", "interneuron", "parvalbumin", "somatostatin", "VIP", "principal cell")
 GENERIC_TYPES = ("principal cell", "neuron")
@@ -255,51 +254,84 @@ def sha1_sign(s: Column) -> Column:
     return F.when(F.right(F.sha1(s.cast("binary")), F.lit(1)).isin(*HEX[::2]), 1).otherwise(-1)
 
 
-KNOWN = 200_000  # grams whose places a task remembers
-SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
+GRAM_BYTES, GRAM_ROWS = 4_000_000, 2048  # of texts whose grams are hashed together
+SPACES = np.isin(np.arange(256), list(b" \t\n\x0b\f\r"))
+
+
+def gram_sums(low: pa.ChunkedArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """The signed counts of the texts' 1- to 3-grams by place, ``dim`` of them a text, and whether a text has words. Each different gram is hashed once."""
+    whole = pa.concat_arrays(low.chunks).fill_null("").cast(pa.large_binary())
+    rows = len(whole)
+    edges = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset : whole.offset + rows + 1]
+    data = np.frombuffer(whole.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]
+    edges = edges - edges[0]
+    sums, ink = np.zeros(rows * dim), np.concatenate([[False], ~SPACES[data], [False]])
+    cut = np.zeros(len(data) + 1, bool)
+    cut[edges] = True
+    start, end = np.flatnonzero(ink[1:] & (~ink[:-1] | cut)), np.flatnonzero(ink[:-1] & (~ink[1:] | cut))
+    row = np.searchsorted(edges, start, side="right") - 1
+    if not len(start):
+        return sums, np.zeros(rows, bool)
+    # The words with one space after each, so that a gram is one piece.
+    length = end - start
+    to = np.r_[0, np.cumsum(length + 1)]
+    words = np.full(to[-1], 32, np.uint8)
+    at = np.flatnonzero(ink[1:-1])
+    words[at + np.repeat(to[:-1] - start, length)] = data[at]
+    held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(to), pa.py_buffer(words)]).dictionary_encode()
+    word = held.indices.to_numpy().astype(np.int64)
+    many, code = len(held.dictionary), word
+    for n in range(1, 4):
+        if n > 1:
+            key = code[: len(start) - n + 1] * many + word[n - 1 :]
+            code = pa.array(key).dictionary_encode().indices.to_numpy().astype(np.int64)
+        here = np.flatnonzero(row[: len(code)] == row[n - 1 :])  # the others reach into the next text
+        if not len(here):
+            break
+        own = np.full(code.max() + 1, -1)
+        own[code[here]] = here
+        met = np.flatnonzero(own >= 0)
+        first = own[met]
+        places, signs = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+        places[met], signs[met] = signed_places(words, to[first], to[first + n] - 1 - to[first], dim)
+        sums += np.bincount(row[here] * dim + places[code[here]], signs[code[here]], rows * dim)
+    return sums, np.bincount(row, minlength=rows) > 0
 
 
 def hash_vectors(texts: DataFrame, id_column: str, text: str = "text", dim: int = 384) -> DataFrame:
     """(id, slots): the non-zero places of signed n-gram counts, scaled to length 1. Rows of one id add up.
 
-    Grams repeat, in a text and among texts, so each batch is counted in Python, where
-    a gram that was met before isn't hashed again (``md5_mod``, ``sha1_sign`` say
-    the same of one gram). A task passes on sums by place. Null texts have no
-    grams; ids whose counts are all 0 have no row.
+    Grams are cut, told apart and hashed in columns (``md5_mod``, ``sha1_sign`` say
+    the same of one gram), some megabytes of texts at a time. A task passes on sums by
+    place, which are moved once, by id. Null texts have no grams; ids whose counts are all 0 have no row.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
-
-        def code(gram: str) -> int:
-            raw = gram.encode()
-            known[gram] = c = 1 + 2 * (int.from_bytes(hashlib.md5(raw).digest()) % dim) + hashlib.sha1(raw).digest()[-1] % 2
-            return c  # never 0
-
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held, size = [], 0
         for batch in batches:
-            rows, places, sums = [], [], []
-            for row, (whole, low) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                if whole is None:
-                    continue
-                w = [x for x in SPACE.split(low) if x]
-                two = [f"{a} {b}" for a, b in pairwise(w)]
-                grams = chain(w, two, [f"{a} {b}" for a, b in zip(two, w[2:], strict=False)]) if w else [whole]
-                if len(known) > KNOWN:
-                    known.clear()
-                get = known.get
-                found = np.fromiter((get(g) or code(g) for g in grams), np.int64) - 1
-                total = np.bincount(found >> 1, 1 - 2 * (found & 1), dim)
-                at = np.flatnonzero(total)
-                rows.append(np.full(len(at), row))
-                places.append(at.astype(np.int32))
-                sums.append(total[at])
-            if rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(places)), pa.array(np.concatenate(sums))], names=[id_column, "at", "s"])
+            for at in range(0, batch.num_rows, 256):
+                held.append(batch.slice(at, 256))
+                size += held[-1].column(2).nbytes
+                if size >= GRAM_BYTES or sum(b.num_rows for b in held) >= GRAM_ROWS:
+                    yield pa.Table.from_batches(held)
+                    held, size = [], 0
+        if held:
+            yield pa.Table.from_batches(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in pieces(batches):
+            sums, worded = gram_sums(t.column(2), dim)
+            for row in np.flatnonzero(~worded & t.column(1).is_valid().to_numpy()).tolist():
+                raw = np.frombuffer(t.column(1)[row].as_py().encode(), np.uint8)
+                (place,), (sign,) = signed_places(raw, np.array([0]), np.array([len(raw)]), dim)
+                sums[row * dim + place] = sign
+            found = np.flatnonzero(sums)
+            yield from pa.table({id_column: t.column(0).take(pa.array(found // dim)), "at": pa.array((found % dim).astype(np.int32)), "s": sums[found]}).combine_chunks().to_batches()
 
     kind = texts.schema[id_column].dataType.simpleString()
-    # Hashing costs some thirty times what moving a text does, and few files, or row groups, would leave it to few tasks.
-    dealt = texts.select(id_column, F.col(text), F.lower(text).alias("low")).repartition(F.xxhash64(F.col(id_column), F.col(text)))
-    parts = dealt.mapInArrow(run, f"{id_column} {kind}, at int, s double")
+    # Hashing costs far more than moving a text does, and few files, or row groups, would leave it to few tasks.
+    dealt = texts.select(id_column, F.col(text)).repartition(F.xxhash64(F.col(id_column), F.col(text))).withColumn("low", F.lower(text))
+    parts = dealt.mapInArrow(run, f"{id_column} {kind}, at int, s double").repartition(id_column)
     sums = parts.groupBy(id_column, "at").agg(F.sum("s").alias("v"))
     per = sums.where("v <> 0").groupBy(id_column).agg(F.sort_array(F.collect_list(F.struct("at", "v"))).alias("slots"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
     return per.select(id_column, F.transform("slots", lambda x: F.struct(x["at"].alias("at"), (x["v"] / F.col("norm")).alias("v"))).alias("slots"))

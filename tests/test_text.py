@@ -1,8 +1,11 @@
 import hashlib
 import math
+import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from dendrospark.functions import digests
 from dendrospark.functions import text as tx
 from dendrospark.operators import curate, evaluate, match, vectors
 
@@ -73,3 +76,34 @@ def test_ranks_and_effects(spark):
     assert {r.q: r["rank"] for r in evaluate.ranks(q, items, "q").collect()} == {7: 2, 8: None}
     c = vectors.group_cosines(items, "id", "label").first()
     assert math.isclose(c.intra, 0.0, abs_tol=1e-12)
+
+
+def test_digests_of_many_pieces_are_hashlibs():
+    rng = np.random.default_rng(4)
+    data = rng.integers(0, 256, 3000).astype(np.uint8)
+    start, length = rng.integers(0, 2900, 500), np.r_[np.arange(90), rng.integers(0, 60, 410)]
+    for dim in (384, 7):
+        for i, place, sign in zip(range(500), *digests.signed_places(data, start, length, dim), strict=True):
+            raw = data[start[i] : start[i] + length[i]].tobytes()
+            assert place == int.from_bytes(hashlib.md5(raw).digest()) % dim and sign == 1 - 2 * (hashlib.sha1(raw).digest()[-1] % 2)
+
+
+def test_hashed_vectors_of_odd_texts_move_twice(spark, monkeypatch):
+    monkeypatch.setattr(tx, "GRAM_ROWS", 3, raising=False)
+    texts = ["A b  c\tA b\n", "", "   ", None, "one", "\x0bTwo x 中文 Été\r\f", "w" * 70 + " " + "v" * 30 + " u", " a", "b ", "c A b c"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, "b c b"), (None, "x y"), (None, "z")]
+    got = tx.hash_vectors(spark.createDataFrame(rows, "id long, text string").repartition(2), "id")
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 2
+    want = {}
+    for i, t in rows:
+        if t is not None:
+            w = [x for x in re.split("[ \t\n\x0b\f\r]+", t.lower()) if x]
+            for g in [" ".join(w[k : k + n]) for n in (1, 2, 3) for k in range(len(w) - n + 1)] or [t]:
+                raw, v = g.encode(), want.setdefault(i, {})
+                at = int.from_bytes(hashlib.md5(raw).digest()) % 384
+                v[at] = v.get(at, 0) + 1 - 2 * (hashlib.sha1(raw).digest()[-1] % 2)
+    found = {r.id: {x.at: x.v for x in r.slots} for r in got.collect()}
+    assert found.keys() == want.keys()
+    for i, v in want.items():
+        size = sum(c * c for c in v.values()) ** 0.5
+        assert found[i] == {at: c / size for at, c in v.items() if c}
