@@ -13,7 +13,7 @@ and, where it comes from files, line_no. Two strategies give the same values:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -220,15 +220,18 @@ def tree_numbers(col: pa.ChunkedArray) -> np.ndarray:
     return np.cumsum(np.r_[0, codes[1:] != codes[:-1]])
 
 
-def topology(nodes: DataFrame) -> DataFrame:
+def topology(nodes: DataFrame, more: Callable[[np.ndarray, dict[str, np.ndarray]], dict[str, tuple[np.ndarray, np.ndarray | None]]] | None = None, fields: str = "") -> DataFrame:
     """Nodes with has_parent, the parent's place and radius, seg_len, n_children, depth, path_len, root, subtree_size, the soma and the hops to it.
 
     ``depth`` is null for nodes that reach no root (cycles); ``soma_hops`` is null
     outside the soma's component. Order within a tree is that of line_no, or idx.
+    ``more`` adds ``fields`` in the same pass: it gets the nodes' tree numbers and their columns
+    for some whole trees and returns values and which of them are null.
     """
     order = "line_no" if "line_no" in nodes.columns else "idx"
     names = nodes.columns
-    schema = T.StructType([*nodes.schema.fields, *T.StructType.fromDDL(ADDED).fields])
+    added = [*T.StructType.fromDDL(ADDED).fields, *(T.StructType.fromDDL(fields).fields if more else [])]
+    schema = T.StructType([*nodes.schema.fields, *added])
     at = {c: names.index(c) for c in NODE}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,12 +240,14 @@ def topology(nodes: DataFrame) -> DataFrame:
 
     def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
         get = lambda c: t.column(at[c]).to_numpy()
-        out = of_trees(tree_numbers(t.column(at["neuron_id"])), get("idx"), get("type_id"), np.stack([get(c).astype(float) for c in "xyz"], 1), get("radius").astype(float), get("parent"))
+        tree, xyz = tree_numbers(t.column(at["neuron_id"])), np.stack([get(c).astype(float) for c in "xyz"], 1)
+        out = of_trees(tree, get("idx"), get("type_id"), xyz, get("radius").astype(float), get("parent"))
+        rest = more(tree, out | {"parent": get("parent")} | dict(zip("xyz", xyz.T, strict=True))) if more else {}
         cols = []
-        for f in schema.fields[len(names) :]:
-            v = out[f.name]
-            hide = {"depth": out["depth"] < 0, "subtree_size": out["depth"] < 0, "root": out["depth"] < 0, "path_len": out["depth"] < 0, "soma_hops": out["soma_hops"] < 0, "soma_idx": out["soma_idx"] == -(2**31)}.get(f.name)
-            cols.append(pa.array(v, {"boolean": pa.bool_(), "double": pa.float64(), "int": pa.int32()}[f.dataType.simpleString()], mask=hide))
+        for f in added:
+            v, null = rest.get(f.name) or (out[f.name], None)
+            hide = {"depth": out["depth"] < 0, "subtree_size": out["depth"] < 0, "root": out["depth"] < 0, "path_len": out["depth"] < 0, "soma_hops": out["soma_hops"] < 0, "soma_idx": out["soma_idx"] == -(2**31)}.get(f.name, null)
+            cols.append(pa.array(v, {"boolean": pa.bool_(), "double": pa.float64(), "int": pa.int32(), "bigint": pa.int64()}[f.dataType.simpleString()], mask=hide))
         table = pa.table([*t.columns, *cols], names=schema.names)
         yield from table.combine_chunks().to_batches(max_chunksize=65_536)
 

@@ -156,3 +156,29 @@ def test_pairs_of_large_trees_go_root_by_root(spark, monkeypatch):
     whole = said()
     monkeypatch.setattr(topology, "BLOCK", 15)
     assert "part" in topology.pair_distances(nodes, pairs)._jdf.queryExecution().toString() and said() == whole and any("inf" in w for w in whole) and any("None" in w for w in whole)
+
+
+def test_features_take_one_pass_and_plain_sums(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, i, 1 if i == 1 else 2 + i % 3, *map(float, rng.integers(0, 9, 3)), 1.0, -1 if i == 1 else int(rng.integers(1, i))) for k in range(12) for i in range(1, 2 + 5 * k)]
+    df = features.neuron_features(spark.createDataFrame(rows, "neuron_id long, idx int, type_id int, x double, y double, z double, radius double, parent int").repartition(3))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ObjectHashAggregate" not in plan
+    for f in df.collect():
+        own = {r[1]: r for r in rows if r[0] == f.neuron_id}
+        place = {i: np.array(r[3:6]) for i, r in own.items()}
+        seg = {i: float(np.linalg.norm(place[i] - place[r[7]])) for i, r in own.items() if r[7] != -1}
+        path = {1: 0.0}
+        for i in sorted(seg):
+            path[i] = path[own[i][7]] + seg[i]
+        ends = [path[i] for i in own if i not in {r[7] for r in own.values()}]
+        assert abs(f.median_segment_length - (np.median(list(seg.values())) if seg else 0)) < 1e-9
+        assert abs(f.median_path_distance - np.median(ends)) < 1e-9
+        xy = np.array(list(place.values()))[:, :2]
+        low, size = xy.min(axis=0), np.ptp(xy, axis=0)
+        want = 0.0
+        if len(xy) > 1 and (size > 0).all():
+            most = [math.ceil(1 / s - 1e-9) for s in features.SCALES]
+            n = [len({tuple(c) for c in np.clip(np.floor((xy - low) / (size * s)), 0, m - 1)}) for s, m in zip(features.SCALES, most, strict=True)]
+            want = -np.polyfit(np.log(features.SCALES), np.log(n), 1)[0]
+        assert abs(f.fractal_dimension_2d - want) < 1e-9
