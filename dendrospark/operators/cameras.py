@@ -9,11 +9,16 @@ numbers, row by row. Every operation works on a whole table of cameras.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .vectors import flat
 from .views import BOX_POINTS, boxes, cross
 
 TINY = 1e-12
@@ -181,18 +186,94 @@ def first_in_frame(cameras: DataFrame, directions: DataFrame, points: DataFrame,
 
     Rule of the tries: look along direction i; if too little is seen, widen the
     scale by ``zoom`` and look again; the wider scale stays for the tries after. The
-    last of ``retries`` tries is taken however little it shows. All tries are rows: the scale of
-    try i is known beforehand, ``zoom`` to the power of i, or of i + 1 when widened.
+    last of ``retries`` tries is taken however little it shows. All tries of many cameras are computed at once: the
+    scale of try i is known beforehand, ``zoom`` to the power of i, or of i + 1 when widened. A camera's
+    points and directions are moved once, not with each of its tries.
     Returns the camera's columns as chosen, with ``i``, ``widened`` and ``fraction``.
     ``directions`` (key, i, direction); cameras without any have no row.
     """
-    tries = cameras.join(directions.where(F.col("i") < retries).select(key, "i", "direction"), key).join(points, key)
-    flat = ~F.col("perspective") if zoom else F.lit(False)
-    tries = placed(tries, "direction").withColumn("widened", F.explode(F.when(flat, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
-    tries = tries.withColumn("ortho_scale", F.when(flat, F.col("ortho_scale") * F.pow(F.lit(float(zoom or 1)), F.col("i") + F.col("widened"))).otherwise(F.col("ortho_scale")))
-    seen = clipped(matrices(tries, aspect)).withColumn("fraction", share_inside())
-    turn_ = F.struct("i", "widened")
-    good = F.min(F.when(F.col("fraction") >= least, turn_))
-    rest = [c for c in [*cameras.columns, "i", "widened", "fraction"] if c != key]
-    chosen = F.coalesce(F.min_by(F.struct(*rest), F.when(F.col("fraction") >= least, turn_)), F.max_by(F.struct(*rest), turn_))
-    return seen.groupBy(key).agg(chosen.alias("v"), good.isNotNull().alias("enough")).select(key, "v.*", "enough")
+    rest = [c for c in cameras.columns if c != key]
+    ways = directions.where(F.col("i") < retries).groupBy(key).agg(F.collect_list(F.struct(F.col("i"), F.col("direction"))).alias("__ways"))
+    rows = cameras.join(ways, key).join(points.select(key, F.col("points").alias("__points")), key).select(key, *rest, "__ways", "__points")
+    kind = lambda c: {"eye": "array<double>", "up": "array<double>", "ortho_scale": "double"}.get(c, cameras.schema[c].dataType.simpleString())
+    schema = ", ".join(f"`{c}` {kind(c)}" for c in [key, *rest]) + f", i {directions.schema['i'].dataType.simpleString()}, widened int, fraction double, enough boolean"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, CAMERAS):
+                yield from chosen(pa.Table.from_batches([batch.slice(at, CAMERAS)]), least, zoom, aspect)
+
+    return rows.mapInArrow(run, schema)
+
+
+CAMERAS = 1024  # cameras whose tries are computed together
+
+
+def triples(column: pa.ChunkedArray) -> Vector:
+    """The first three numbers of each array, as columns; nan where one is missing."""
+    length, start, values = flat(column)
+    out, known = np.full((3, len(length)), np.nan), np.flatnonzero(length >= 3)
+    out[:, known] = values[start[known] + np.arange(3)[:, None]]
+    return list(out)
+
+
+def chosen(t: pa.Table, least: float, zoom: float | None, aspect: float) -> Iterator[pa.RecordBatch]:
+    """The cameras with the try that is chosen of each, by the rule of ``first_in_frame``; steps as in ``placed``, ``matrices``, ``clipped`` and ``share_inside``."""
+    number = lambda c: pc.cast(t.column(c), pa.float64()).to_numpy()
+    length = lambda v: np.sqrt(dot(v, v))
+    many = pc.list_value_length(t.column("__ways")).to_numpy()
+    of, (i, direction) = np.repeat(np.arange(len(t)), many), t.column("__ways").combine_chunks().flatten().flatten()
+    if not len(of):
+        return
+    deep = pc.fill_null(t.column("perspective"), False).to_numpy(zero_copy_only=False).astype(bool)
+    # Each camera's tries in order: its directions, each once more with a wider scale where that may be.
+    wide = (pc.fill_null(pc.invert(t.column("perspective")), False).to_numpy(zero_copy_only=False).astype(bool) if zoom else np.zeros(len(t), bool))[of]
+    take, widened = np.r_[np.arange(len(of)), np.flatnonzero(wide)], np.r_[np.zeros(len(of), int), np.ones(wide.sum(), int)]
+    turn_ = i.to_numpy()
+    order = np.lexsort((widened, turn_[take], of[take]))
+    take, widened = take[order], widened[order]
+    own = of[take]
+    target, way = ([v[n] for v in triples(c)] for c, n in ((t.column("target"), own), (pa.chunked_array([direction]), take)))
+    away = added([v[own] for v in triples(t.column("eye"))], target, -1.0)
+    way = scaled(way, length(way) + TINY)
+    eye = added(target, way, -length(away))
+    steep = np.abs(way[1]) > SIDE
+    up = [np.zeros(len(own)), np.where(steep, 0.0, 1.0), np.where(steep, 1.0, 0.0)]
+    f = added(target, eye, -1.0)
+    f = scaled(f, length(f) + TINY)
+    s = cross(f, up)
+    s = scaled(s, length(s) + TINY)
+    u = cross(s, f)
+    h = number("ortho_scale")[own]
+    h = np.where(wide[take], h * np.power(float(zoom or 1), turn_[take] + widened), h)
+    z = np.fmax(NEAR + 1, length(added(eye, target, -1.0)) + 3 * number("diag")[own])
+    tan, p = 1 / np.tan(np.radians(number("fovy")[own]) / 2), deep[own]
+    with np.errstate(all="ignore"):
+        near = [np.where(p, tan / max(1e-6, aspect), 1 / (h * aspect)), np.where(p, tan, 1 / h), np.where(p, (z + NEAR) / (NEAR - z), -2 / (z - NEAR))]
+        shift = np.where(p, 2 * z * NEAR / (NEAR - z), -(z + NEAR) / (z - NEAR))
+        view = [[*s, -dot(s, eye)], [*u, -dot(u, eye)], [*[-x for x in f], dot(f, eye)]]
+        seen = [[m * x for x in row] for m, row in zip(near, view, strict=True)]
+        seen[2][3] = seen[2][3] + shift
+        last = [np.where(p, -x, one) for x, one in zip(view[2], (0.0, 0.0, 0.0, 1.0), strict=True)]
+        # A try's points one after the other; all points of all tries at once.
+        n = pc.fill_null(pc.list_value_length(t.column("__points")), 0).to_numpy()
+        first = np.cumsum(n) - n
+        each = np.repeat(np.arange(len(own)), n[own])
+        at = np.arange(len(each)) - np.repeat(np.cumsum(n[own]) - n[own], n[own]) + first[own][each]
+        point = [v[at] for v in triples(pa.chunked_array([t.column("__points").combine_chunks().flatten()]))]
+        clip = [row[0][each] * point[0] + row[1][each] * point[1] + row[2][each] * point[2] + row[3][each] for row in (*seen, last)]
+        bottom = np.fmax(1e-6, clip[3])
+        inside = np.logical_and.reduce([np.abs(c / bottom) <= 1 for c in clip[:3]])
+        share = np.bincount(each, inside, len(own)) / n[own]
+    good = share >= least
+    ends = np.flatnonzero(np.r_[own[1:] != own[:-1], True])
+    rank = np.where(good, np.arange(len(own)), len(own))
+    best = np.minimum.reduceat(rank, np.r_[0, ends[:-1] + 1])
+    enough = best < len(own)
+    best = np.where(enough, best, ends)
+    row, of_try = pa.array(own[best]), take[best]
+    listed = lambda v: pa.ListArray.from_arrays(pa.array(np.arange(0, 3 * len(best) + 1, 3, np.int32)), pa.array(np.stack([x[best] for x in v], 1).ravel()))
+    new = {"eye": listed(eye), "up": listed(up), "ortho_scale": pa.array(h[best])}
+    out = {c: new.get(c, t.column(c).take(row)) for c in t.column_names if c not in ("__ways", "__points")}
+    out |= {"i": i.take(pa.array(of_try)), "widened": pa.array(widened[best].astype(np.int32)), "fraction": pa.array(share[best], mask=np.isnan(share[best])), "enough": pa.array(enough)}
+    yield from pa.table(out).combine_chunks().to_batches()

@@ -153,3 +153,20 @@ def test_tries_by_the_stepwise_rule(spark):
             assert (r.i, r.widened, r.enough) == (i, widened, share >= least) and math.isclose(r.fraction, share) and math.isclose(r.ortho_scale, scale)
     assert cameras.first_in_frame(table(spark, rows), directions.where("false"), clouds, 1.0, 3).count() == 0
     assert cameras.box_points(spark.createDataFrame([(1, 0.0, 0.0, 0.0), (1, 2.0, 2.0, 2.0)], "neuron_id long, x double, y double, z double")).select(F.size("points")).first()[0] == 16
+
+
+def test_tries_are_computed_many_cameras_at_once(spark):
+    rows = made(5, 8)
+    clouds = {c["neuron_id"]: [(c["target"] + 0.1 * k * np.array(p)).tolist() for p in BOX_POINTS[: 3 + 2 * k]] for k, c in enumerate(rows)}
+    ways = [(c["neuron_id"], i, [1.0 + i, 0.5, -i / 2]) for k, c in enumerate(rows) for i in range(k + 1)]
+    points = spark.createDataFrame([(k, p if k != rows[0]["neuron_id"] else [*p, [1.0]]) for k, p in clouds.items()], "neuron_id long, points array<array<double>>")
+    df = cameras.first_in_frame(table(spark, rows), spark.createDataFrame(ways, "neuron_id long, i int, direction array<double>"), points, 0.9, 3, 1.1)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "SortAggregate" not in plan
+    got = {r.neuron_id: r for r in df.collect()}
+    assert len(got) == 5
+    for c in rows[1:]:
+        k = c["neuron_id"]
+        i, widened, share, scale = stepwise(c, [w[2] for w in ways if w[0] == k][:3], clouds[k], 0.9, 3, 1.1)
+        assert (got[k].i, got[k].widened) == (i, widened) and math.isclose(got[k].fraction, share) and math.isclose(got[k].ortho_scale, scale)
+    assert got[rows[0]["neuron_id"]].fraction <= 3 / 4  # a point that lacks numbers is not in view
