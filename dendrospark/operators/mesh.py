@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,7 @@ def unit(v: np.ndarray) -> np.ndarray:
     return np.divide(v, size, out=v.copy(), where=size > ZERO)
 
 
+@cache
 def icosphere(times: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """Points on the unit sphere and triangles: an icosahedron whose faces are cut in four ``times`` times."""
     golden = (1 + 5**0.5) / 2
@@ -198,7 +200,6 @@ class Sweep:
         # Class: that of the node a branch starts at, or of its second node where it starts at the soma.
         named = np.where(kind[up[first]] == 1, first, up[first])
         self.kind = np.where((kind[named] >= 1) & (kind[named] <= 4), kind[named], 0)
-        self.sphere, self.sphere_faces = icosphere()
         count = self.rings * segments + 2 * self.capped
         total = np.bincount(self.tree, count, trees).astype(np.int64)
         before = np.r_[0, np.cumsum(count)][:-1] if len(count) else np.zeros(0, np.int64)
@@ -223,8 +224,9 @@ class Sweep:
         if not sphere:
             return
         t = np.flatnonzero(self.soma_radius > 0)
-        n = len(self.sphere)
-        p = self.centre[t][:, None] + self.soma_radius[t][:, None, None] * self.sphere[None]
+        ball, _ = icosphere()
+        n = len(ball)
+        p = self.centre[t][:, None] + self.soma_radius[t][:, None, None] * ball[None]
         tree, k = np.repeat(t, n), np.tile(np.arange(n), len(t))
         yield self.told(tree, self.sphere_offset[tree] + k, np.full(len(tree), -1), np.ones(len(tree), np.int64), np.zeros(len(tree), np.int64), k, p.reshape(-1, 3))
 
@@ -252,8 +254,9 @@ class Sweep:
         if not sphere:
             return
         t = np.flatnonzero(self.soma_radius > 0)
-        tree = np.repeat(t, len(self.sphere_faces))
-        yield self.faced(tree, np.ones(len(tree), np.int64), (self.sphere_offset[t][:, None, None] + self.sphere_faces[None]).reshape(-1, 3))
+        _, triangles_ = icosphere()
+        tree = np.repeat(t, len(triangles_))
+        yield self.faced(tree, np.ones(len(tree), np.int64), (self.sphere_offset[t][:, None, None] + triangles_[None]).reshape(-1, 3))
 
     def faced(self, tree, kind, corners) -> dict[str, np.ndarray]:
         return {"tree": tree, "class": kind, "a": corners[:, 0], "b": corners[:, 1], "c": corners[:, 2]}

@@ -53,7 +53,7 @@ _ANGLE = f"k * 2 * pi() / {M}"
  SELECT neuron_id, CAST(vertex AS BIGINT) AS vertex, CAST(first AS BIGINT) AS branch, class, CAST(ring AS BIGINT) AS "at", k, {", ".join(r(c, places=4) for c in "xyz")} FROM spots""",
 )
 def _(spark, d):
-    return rounded(mesh.mesh_vertices(fx.nodes(spark, d), M, True, sphere=False), "x", "y", "z", places=4)
+    return fx.rounded_plainly(mesh.mesh_vertices(fx.nodes(spark, d), M, True, sphere=False), "x", "y", "z", places=4)
 
 
 _FACES = f"""gap AS (SELECT neuron_id, class, CAST(low + ring * {M} AS BIGINT) AS l, k, (k + 1) % {M} AS j FROM part, (SELECT unnest(range({M})) AS k), (SELECT unnest(range(1000000)) AS ring) WHERE ring < rings - 1),

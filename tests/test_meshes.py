@@ -6,8 +6,10 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from dendrospark.operators import mesh
+from dendrospark.plans import catalog, fixtures
 from dendrospark.sources import files
 
 NODES = "neuron_id long, idx int, type_id int, x double, y double, z double, radius double, parent int"
@@ -174,3 +176,17 @@ def test_texts_come_many_a_batch(spark):
     got = mesh.read_obj(rows).orderBy("neuron_id").collect()
     text = [bytes(r.content).decode().splitlines() for r in rows.orderBy("neuron_id").collect()]
     assert [(r.vertices, r.faces, r.last) for r in got] == [(sum(x[0] == "v" for x in t), sum(x[0] == "f" for x in t), max(int(i) for x in t if x[0] == "f" for i in x[2:].split())) for t in text]
+
+
+def test_rings_round_plainly_and_make_no_sphere(spark, monkeypatch):
+    values = [*np.random.default_rng(2).normal(scale=50, size=3000).tolist(), 0.0, -0.0, -1e-7, 2.5, -0.07, 1e9 / 3, None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    same = fixtures.rounded(df.withColumn("w", F.col("v")), "v", places=4).select("v").collect(), fixtures.rounded_plainly(df, "v", places=4).collect()
+    assert [str(r.v) for r in same[0]] == [str(r.v) for r in same[1]]
+    rows = [(1, i, 1 if i == 1 else 3, float(i), 0.0, float(i % 2), 1.0, i - 1 if i > 1 else -1) for i in range(1, 6)]
+    t = pa.Table.from_pylist([dict(zip(mesh.NODE, r, strict=True)) for r in rows])
+    monkeypatch.setattr(mesh, "icosphere", None)
+    sweep = mesh.Sweep(t, {c: i for i, c in enumerate(mesh.NODE)}, "radius", 3, True, "spherical", True)
+    assert sum(len(p["vertex"]) for p in sweep.vertices(False)) == 5 * 3 + 2 and sum(len(p["a"]) for p in sweep.faces(False)) == 4 * 6 + 6
+    plan = catalog.QUERIES["G13_rings"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "rint" in plan.lower() and "round(" not in plan
