@@ -9,12 +9,18 @@ from pyspark.sql import functions as F
 def by_candidates(left: DataFrame, key: str, candidates: Column, right: DataFrame, right_id: str, names: DataFrame | None = None) -> DataFrame:
     """Rows of ``left`` with the row of ``right`` that the first of their candidate ids finds; rows without one go.
 
-    One equi-join on the exploded candidates, then the earliest hit per ``key``.
-    ``names`` may give the ids of ``right`` where its rows are costly to make twice.
+    One semi-join of the exploded candidates, then each row's earliest hit, by its place alone.
+    ``names`` may give the ids of ``right`` where its rows are costly to make twice. Ids compress well, so
+    a table's size on disk says little of its size in memory: the joins sort and spill, none holds a whole
+    table (but that with costly rows, which adaptive execution chooses).
     """
-    tries = left.select(F.col(key), F.posexplode(candidates).alias("__pos", "__id"))
-    hits = tries.join((right if names is None else names).select(F.col(right_id).alias("__id")).distinct(), "__id").groupBy(key).agg(F.min_by("__id", "__pos").alias("__id"))
-    return left.join(hits, key).join(right.withColumnRenamed(right_id, "__rid"), F.col("__id") == F.col("__rid")).drop("__id").withColumnRenamed("__rid", right_id)
+    own = F.xxhash64(candidates).alias("__of")  # rows of one key have each their own candidates
+    tries = left.select(F.col(key), own, F.posexplode(candidates).alias("__pos", "__id"))
+    known = (right if names is None else names).select(F.col(right_id).alias("__id"))
+    hits = tries.join(known.hint("merge"), "__id", "left_semi").groupBy(key, "__of").agg(F.min("__pos").alias("__pos"))
+    found = left.withColumn("__of", own).join(hits.hint("merge"), [key, "__of"]).withColumn("__id", F.get(candidates, F.col("__pos"))).drop("__pos", "__of")
+    rows = right.withColumnRenamed(right_id, "__rid")
+    return found.join(rows.hint("merge") if names is None else rows, F.col("__id") == F.col("__rid")).drop("__id").withColumnRenamed("__rid", right_id)
 
 
 def with_metadata(rows: DataFrame, metadata: DataFrame, id_column: str) -> DataFrame:

@@ -107,3 +107,16 @@ def test_hashed_vectors_of_odd_texts_move_twice(spark, monkeypatch):
     for i, v in want.items():
         size = sum(c * c for c in v.values()) ** 0.5
         assert found[i] == {at: c / size for at, c in v.items() if c}
+
+
+def test_candidates_are_compared_by_place_and_sorted(spark):
+    left = spark.createDataFrame([(1, "a", "b"), (2, "x", "c"), (3, None, "b"), (4, "x", "y"), (5, "c", "a"), (5, "x", "a"), (None, "a", "b")], "k long, p string, q string")
+    right = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3), ("c", 4), (None, 5)], "id string, v int")
+    names = F.array("p", "q", "p")
+    df = match.by_candidates(left, "k", names, right, "id")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "Broadcast" not in plan and "distinct" not in plan
+    want = [(1, "a", 1), (2, "c", 4), (3, "b", 2), (3, "b", 3), (5, "a", 1), (5, "c", 4)]
+    assert sorted((r.k, r.id, r.v) for r in df.collect()) == want
+    costly = match.by_candidates(left, "k", names, right, "id", right.select("id"))
+    assert sorted((r.k, r.id, r.v) for r in costly.collect()) == want
