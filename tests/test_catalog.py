@@ -100,3 +100,20 @@ def test_ranks_move_queries_once_and_read_items_in_chunks(spark, monkeypatch):
     for r in ranks.collect():
         right = [s[r.view_id, j] for j in range(39) if labels[j] == labels[r.view_id]]
         assert r.rank == (1 + (s[r.view_id] > max(right)).sum() if right else None)
+
+
+def test_stored_items_lie_in_small_row_groups(spark, monkeypatch):
+    from pyarrow import parquet
+
+    monkeypatch.setattr(vectors, "GROUP_BYTES", 50_000)
+    folder = vectors.shared_folder(spark).removeprefix("file://")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    x = np.random.default_rng(5).normal(size=(3000, 16))
+    v = spark.createDataFrame([(i, f"l{i % 3}", x[i].tolist()) for i in range(3000)], "view_id long, label string, vec array<double>").coalesce(1)
+    got = {r.view_id: r.rank for r in evaluate.ranks(v.where("view_id < 20"), v.where("view_id >= 20"), "view_id").collect()}
+    (new,) = [f for f in set(os.listdir(folder)) - before if f.startswith("items-")]
+    files = [f"{folder}/{new}/{f}" for f in os.listdir(f"{folder}/{new}") if f.endswith(".parquet")]
+    assert sum(parquet.ParquetFile(f).num_row_groups for f in files) > 2
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(u[:20] @ u[20:].T, 12)
+    assert got == {i: 1 + (s[i] > s[i][np.arange(20, 3000) % 3 == i % 3].max()).sum() for i in range(20)}
