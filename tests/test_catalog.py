@@ -117,3 +117,36 @@ def test_stored_items_lie_in_small_row_groups(spark, monkeypatch):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     s = np.round(u[:20] @ u[20:].T, 12)
     assert got == {i: 1 + (s[i] > s[i][np.arange(20, 3000) % 3 == i % 3].max()).sum() for i in range(20)}
+
+
+@pytest.mark.parametrize("name", ["W1_both_ways", "W1_ranks", "K7_metrics"])
+def test_ranks_of_near_and_exact_ties_are_those_of_the_sql(spark, tmp_path, name):
+    # The own label's best and other labels' vectors differ by nothing, by 3e-11 (as good) or by 1e-7 (too near for single precision).
+    rng = np.random.default_rng(11)
+    x = np.repeat(rng.normal(size=(90, 6)), 8, axis=0)
+    x += rng.choice([0, 3e-11, 1e-7], size=(len(x), 1)) * rng.normal(size=x.shape)
+    labels = np.where(np.arange(len(x)) % 8 == 0, np.arange(len(x)) // 8 % 7, rng.integers(0, 7, len(x)))
+    own = duckdb.connect()
+    own.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[], label INTEGER)")
+    own.executemany("INSERT INTO embeddings VALUES (?, ?, ?)", [(i, v.tolist(), int(labels[i])) for i, v in enumerate(x)])
+    own.execute(f"COPY embeddings TO '{tmp_path}/embeddings.parquet' (FORMAT parquet)")
+    got, want = plain(catalog.QUERIES[name](spark, str(tmp_path)).toPandas()), plain(own.execute(catalog.SQL[name]).df())
+    assert got.equals(want)
+
+
+def test_ranks_of_vectors_of_several_lengths(spark, monkeypatch):
+    for name, rows in (("QUERIES", 400), ("ITEM_BLOCK", 150)):
+        monkeypatch.setattr(vectors, name, rows)
+    rng = np.random.default_rng(12)
+    odd = {3: None, 10: [1.0, None, 2.0], 17: [], 24: [0.0, 0.0, 0.0], 31: [float("nan"), 1.0, 1.0], 38: [float("inf"), 1.0, 1.0]}
+    x = [odd.get(i, rng.normal(size=3 + i % 2).tolist()) for i in range(1300)]
+    labels = [None if i % 11 == 0 else f"l{i % 11}" if i % 3 else f"own{i}" for i in range(1300)]
+    v = spark.createDataFrame([(i, labels[i], x[i]) for i in range(1300)], "view_id long, label string, vec array<double>")
+    ranks = evaluate.ranks(v, v, "view_id")
+    assert "aggregate(" not in ranks._jdf.queryExecution().analyzed().toString()  # vectors are normalised in columns
+    known = [None if v is None or None in v or not np.isfinite(v).all() else np.array(v) / max(np.linalg.norm(v), 1e-12) for v in x]
+    got = {r.view_id: r["rank"] for r in ranks.collect()}
+    for i, u in enumerate(known):
+        s = {j: u @ w for j, w in enumerate(known) if u is not None and w is not None and len(u) == len(w)}
+        right = [s[j] for j in s if labels[j] == labels[i]]
+        assert got[i] == (1 + sum(t > max(right) + 1e-9 for t in s.values()) if right else None)
