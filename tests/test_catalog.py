@@ -150,3 +150,27 @@ def test_ranks_of_vectors_of_several_lengths(spark, monkeypatch):
         s = {j: u @ w for j, w in enumerate(known) if u is not None and w is not None and len(u) == len(w)}
         right = [s[j] for j in s if labels[j] == labels[i]]
         assert got[i] == (1 + sum(t > max(right) + 1e-9 for t in s.values()) if right else None)
+
+
+def test_both_ways_come_from_one_product(spark, monkeypatch):
+    for name, rows in (("QUERIES", 400), ("ITEM_BLOCK", 150)):
+        monkeypatch.setattr(vectors, name, rows)
+    rng = np.random.default_rng(13)
+    image, text = ([rng.normal(size=4 + (i % 100 == 0)).tolist() if i % 97 or not i else None for i in range(1300)] for _ in range(2))
+    labels = [None if i % 13 == 0 else f"l{i % 13}" if i % 3 else f"own{i}" for i in range(1300)]
+    pairs = spark.createDataFrame([(i // 2, labels[i], image[i], text[i]) for i in range(1300)], "i long, text string, image array<float>, embedded array<double>")
+    row = evaluate.retrieval_both_ways(pairs, "i")
+    assert row._jdf.queryExecution().analyzed().toString().count("MapInArrow") == 1
+    figures = row.first().asDict()
+    unit = lambda vs, kind: [None if v is None else (u := np.array(v, kind).astype(float)) / np.linalg.norm(u) for v in vs]
+    sides = {"i2t": (unit(image, np.float32), unit(text, float)), "t2i": (unit(text, float), unit(image, np.float32))}
+    for way, (own, other) in sides.items():
+        ranks = []
+        for i, u in enumerate(own):
+            s = {j: u @ w for j, w in enumerate(other) if u is not None and w is not None and len(u) == len(w)}
+            right = [s[j] for j in s if labels[j] == labels[i]]
+            ranks.append(1 + sum(t > max(right) + 1e-9 for t in s.values()) if right else None)
+        known = [k for k in ranks if k is not None]
+        assert None in ranks and figures[f"{way}_median_rank"] == np.median(known)
+        want = [100 * sum(k <= most for k in known) / 1300 for most in (1, 5, 10)] + [100 * sum(1 / k for k in known) / 1300]
+        assert np.allclose([figures[f"{way}_{c}"] for c in ("r_at_1", "r_at_5", "r_at_10", "mrr")], want)
